@@ -14,7 +14,6 @@ from candela.llm.common import keep, slices
 
 LENGTH = 2048
 END_ID = 1
-BLANK = str.maketrans("\n\t\r", "   ")
 #: Words whose ids a worker remembers; beyond that it starts anew.
 CACHE = 400_000
 
@@ -36,7 +35,7 @@ class _Ids:
         self.seen: dict[str, bytes] = {}
 
     def __call__(self, texts: list[str | None]) -> list[np.ndarray]:
-        words = [(x or "").translate(BLANK).split(" ") for x in texts]
+        words = [(x or "").replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for x in texts]
         seen = self.seen
         if len(seen) > CACHE:
             seen.clear()

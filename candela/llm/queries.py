@@ -7,21 +7,31 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from candela.llm.ann import nearest
 from candela.llm.common import read
 from candela.llm.packing import pack
 from candela.llm.simhash import near_duplicates
+from candela.llm.warc import read_archives, write_archives
+
+
+def op2_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(read(spark, sf_dir, "embeddings"), lambda vec_id: vec_id % 20 == 0)
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_archives(write_archives(read(spark, sf_dir, "pages")), payloads=False)
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_simhash, op9_packing)}
+    return {f.__name__: f for f in (op2_ann, op5_simhash, op7_warc, op9_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
