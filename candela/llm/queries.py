@@ -7,6 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from candela.llm import toxicity
 from candela.llm.ann import nearest
 from candela.llm.common import read
 from candela.llm.packing import pack
@@ -26,12 +27,17 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_archives(write_archives(read(spark, sf_dir, "pages")), payloads=False)
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, read(spark, sf_dir, "labels")))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_ann, op5_simhash, op7_warc, op9_packing)}
+    return {f.__name__: f for f in (op2_ann, op5_simhash, op7_warc, op8_toxicity, op9_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
