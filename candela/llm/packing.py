@@ -15,46 +15,66 @@ from candela.llm.common import keep, slices
 LENGTH = 2048
 END_ID = 1
 #: Words whose ids a worker remembers; beyond that it starts anew.
-CACHE = 400_000
+CACHE = 600_000
 
 
 class _Ids:
     """ids of a text as 16-bit numbers, by way of the ids of its words between plain white space.
 
     The tokenizer drops white space and no token spans it, so words may be encoded one by one. Only the four commonest
-    kinds are split on here; the others stay in a word and the tokenizer deals with them.
+    kinds are split on here; the others stay in a word and the tokenizer deals with them. New words are encoded many at a
+    time, with a special token between, whose id parts their ids again; words that hold its text are encoded alone.
     """
 
     def __init__(self, tokenizer_path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(tokenizer_path)
-        self.tokenizer.encode_special_tokens = True
-        if self.tokenizer.get_vocab_size() > 1 << 16:
+        self.together, self.alone = Tokenizer.from_file(tokenizer_path), Tokenizer.from_file(tokenizer_path)
+        self.alone.encode_special_tokens = True
+        if self.alone.get_vocab_size() > 1 << 16:
             raise ValueError("ids need more than 16 bits")
-        self.seen: dict[str, bytes] = {}
-
-    def __call__(self, texts: list[str | None]) -> list[np.ndarray]:
+        special = [(k, t.content) for k, t in sorted(self.alone.get_added_tokens_decoder().items()) if t.special]
+        self.mark, self.sign = special[-1] if special else (-1, "")
+        self.signs = [x for _, x in special]
+        self.seen: dict[str, bytes] = {"": b""}
+
+    def learn(self, words: list[str]) -> None:
+        odd = [w for w in words if not self.signs or any(x in w for x in self.signs)]
+        for w, e in zip(odd, self.alone.encode_batch_fast(odd, add_special_tokens=False)):
+            self.seen[w] = np.array(e.ids, "<u2").tobytes()
+        words = [w for w in words if w not in self.seen]
+        for i in range(0, len(words), 256):
+            part = words[i : i + 256]
+            ids = np.array(self.together.encode(self.sign.join(part), add_special_tokens=False).ids, "<u2")
+            ends = (2 * np.append(np.nonzero(ids == self.mark)[0], len(ids))).tolist()
+            data, at = ids.tobytes(), 0
+            if len(ends) != len(part):
+                raise ValueError("a word holds the special token")
+            for w, end in zip(part, ends):
+                self.seen[w] = data[at:end]
+                at = end + 2
+
+    def __call__(self, texts: list[str | None]) -> list[bytes]:
         words = [(x or "").replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for x in texts]
+        if len(self.seen) > CACHE:
+            self.seen = {"": b""}
         seen = self.seen
-        if len(seen) > CACHE:
-            seen.clear()
-        new = list({w for x in words for w in x if w not in seen})
-        for i in range(0, len(new), 4096):
-            part = new[i : i + 4096]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                seen[w] = np.array(e.ids, "<u2").tobytes()
-        return [np.frombuffer(b"".join([seen[w] for w in x]), "<u2") for x in words]
+        self.learn([w for w in dict.fromkeys(w for x in words for w in x) if w not in seen])
+        return [b"".join([seen[w] for w in x]) for x in words]
+
+
+#: The worker's tokenizers: what they remember outlasts a task.
+_tokenizers: dict[str, _Ids] = {}
 
 
 def _tokenise(path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = _Ids(path)
+        ids = _tokenizers[path] = _tokenizers.get(path) or _Ids(path)
         at = 0  # tokens of this partition so far
         end = np.array([end_id], "<u2").tobytes()
         for batch in slices(batches):
             docs, parts, starts, tokens = batch.column(0), batch.column(1), [], []
-            data = [x.tobytes() + end for x in ids(batch.column(2).to_pylist())]
+            data = [x + end for x in ids(batch.column(2).to_pylist())]
             for x in data:
                 starts.append(at)
                 tokens.append(len(x) // 2)
