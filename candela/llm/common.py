@@ -18,6 +18,15 @@ SPREAD = 4096
 SLICE = 256
 
 
+#: Bounds of the batches that go to Python workers, so that their memory doesn't follow the length of the texts.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
+
+
+def small_batches(spark: SparkSession) -> None:
+    for k, v in BATCHES.items():
+        spark.conf.set(k, v)
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -40,6 +49,7 @@ def new_path(spark: SparkSession, label: str) -> str:
 
 def keep(df: DataFrame, label: str) -> DataFrame:
     """Write df as a table of the shared folder and read it back: cuts the lineage, survives lost executors."""
+    small_batches(df.sparkSession)
     path = new_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
@@ -62,6 +72,7 @@ def arrow_map(df: DataFrame, step: Callable[[pa.RecordBatch], dict], schema: str
             out = step(piece, state) if setup else step(piece)
             yield pa.RecordBatch.from_arrays([pa.array(out[k], t) for k, t in types.items()], schema=arrow)
 
+    small_batches(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 
