@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from candela.llm import toxicity
+from candela.llm import quality, toxicity
 from candela.llm.ann import nearest
 from candela.llm.common import read
 from candela.llm.packing import pack
@@ -19,6 +19,12 @@ def op2_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(read(spark, sf_dir, "embeddings"), lambda vec_id: vec_id % 20 == 0)
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    scored = quality.score(docs, quality.fit(docs, read(spark, sf_dir, "labels")), columns=["doc_id", "source", "lang"])
+    return scored.select("row.*", "doc_score", "host_score", "path_score", "score", "keep")
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents"))
 
@@ -37,7 +43,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_ann, op5_simhash, op7_warc, op8_toxicity, op9_packing)}
+    return {f.__name__: f for f in (op2_ann, op3_quality, op5_simhash, op7_warc, op8_toxicity, op9_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
