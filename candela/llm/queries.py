@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from candela.llm import quality, toxicity
 from candela.llm.ann import nearest
 from candela.llm.common import read
+from candela.llm.linededup import dedup_lines
 from candela.llm.packing import pack
 from candela.llm.simhash import near_duplicates
 from candela.llm.warc import read_archives, write_archives
@@ -25,6 +26,11 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("row.*", "doc_score", "host_score", "path_score", "score", "keep")
 
 
+def op4_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = dedup_lines(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return done.withColumnRenamed("__removed", "lines_removed")
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents"))
 
@@ -43,7 +49,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_ann, op3_quality, op5_simhash, op7_warc, op8_toxicity, op9_packing)}
+    return {f.__name__: f for f in (op2_ann, op3_quality, op4_linededup, op5_simhash, op7_warc, op8_toxicity, op9_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
