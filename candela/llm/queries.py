@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from candela.llm import quality, toxicity
+from candela.llm import imatch, quality, toxicity
 from candela.llm.ann import nearest
 from candela.llm.common import read
 from candela.llm.linededup import dedup_lines
@@ -35,6 +35,10 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op6_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return imatch.edited(read(spark, sf_dir, "documents"))
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_archives(write_archives(read(spark, sf_dir, "pages")), payloads=False)
 
@@ -49,7 +53,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_ann, op3_quality, op4_linededup, op5_simhash, op7_warc, op8_toxicity, op9_packing)}
+    return {f.__name__: f for f in (op2_ann, op3_quality, op4_linededup, op5_simhash, op6_imatch, op7_warc, op8_toxicity, op9_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
