@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from candela.llm import imatch, quality, toxicity
+from candela.llm import bpe, imatch, quality, toxicity
 from candela.llm.ann import nearest
 from candela.llm.common import read
 from candela.llm.linededup import dedup_lines
@@ -52,8 +52,12 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_ann, op3_quality, op4_linededup, op5_simhash, op6_imatch, op7_warc, op8_toxicity, op9_packing)}
+    return {f.__name__: f for f in (op2_ann, op3_quality, op4_linededup, op5_simhash, op6_imatch, op7_warc, op8_toxicity, op9_packing, op10_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
