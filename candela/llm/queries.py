@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from candela.llm import bpe, imatch, quality, toxicity
+from candela.llm import bpe, html, imatch, quality, toxicity
 from candela.llm.ann import nearest
 from candela.llm.common import read
 from candela.llm.linededup import dedup_lines
@@ -16,6 +16,10 @@ from candela.llm.simhash import near_duplicates
 from candela.llm.warc import read_archives, write_archives
 
 
+def op1_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.main_texts(read(spark, sf_dir, "pages"), html.trained())
+
+
 def op2_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(read(spark, sf_dir, "embeddings"), lambda vec_id: vec_id % 20 == 0)
 
@@ -57,7 +61,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_ann, op3_quality, op4_linededup, op5_simhash, op6_imatch, op7_warc, op8_toxicity, op9_packing, op10_bpe)}
+    return {f.__name__: f for f in (op1_html, op2_ann, op3_quality, op4_linededup, op5_simhash, op6_imatch, op7_warc, op8_toxicity, op9_packing, op10_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:

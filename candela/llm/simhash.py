@@ -8,10 +8,11 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from candela.llm.common import arrow_map, keep, lookup
+from candela.llm.common import arrow_map, free_name, keep, lookup, slices, small_batches
 from candela.llm.graph import components
 
 SHINGLE = 3
@@ -123,6 +124,18 @@ def fingerprinted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return arrow_map(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")), step, "id long, fp long", {"id": pa.int64(), "fp": pa.int64()})
 
 
+def classes(rows: DataFrame, bits: int = BITS) -> DataFrame:
+    """rows (id, fp; a kept table) -> fp, n (its rows), root (the least fingerprint of its component), component_id (the
+    component's least id)."""
+    distinct = keep(rows.groupBy("fp").agg(F.min("id").alias("least"), F.count("*").alias("n")), "distinct")
+    roots = components(links(distinct, "fp", bits))
+    linked = keep(roots.select(F.col("node").alias("fp"), "root").unionAll(roots.select(F.col("root").alias("fp"), "root").distinct()).join(distinct, "fp"), "linked")
+    found = keep(linked.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("members")), "classes")
+    named = lookup(linked.select("fp", "root", "n"), found, "root", "members", [F.col("fp")])
+    alone = distinct.join(linked.select("fp"), "fp", "left_anti").select("fp", "n", F.col("fp").alias("root"), F.col("least").alias("component_id"))
+    return keep(alone.unionByName(named.select("fp", "n", "root", "component_id")), "components")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, bits: int = BITS) -> DataFrame:
     """Per row of docs: id, fingerprint (16 lower-case hex digits), component_id (the smallest id reachable over links of
     at most bits differing bits).
@@ -132,12 +145,32 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Other columns are ignored, whatever their names. An empty table gives no rows.
     """
     rows = keep(fingerprinted(docs, id_col, text_col, shingle), "fingerprints")
-    distinct = keep(rows.groupBy("fp").agg(F.min("id").alias("least"), F.count("*").alias("n")), "distinct")
-    roots = components(links(distinct, "fp", bits))
-    linked = keep(roots.select(F.col("node").alias("fp"), "root").unionAll(roots.select(F.col("root").alias("fp"), "root").distinct()).join(distinct, "fp"), "linked")
-    classes = keep(linked.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("members")), "classes")
-    named = lookup(linked.select("fp", "root", "n"), classes, "root", "members", [F.col("fp")])
-    alone = distinct.join(linked.select("fp"), "fp", "left_anti").select("fp", "n", F.col("least").alias("component_id"))
-    table = keep(alone.unionByName(named.select("fp", "n", "component_id")), "components")
-    out = lookup(rows, table, "fp", "n", [F.col("id"), F.col("fp")])
+    out = lookup(rows, classes(rows, bits).drop("root"), "fp", "n", [F.col("id"), F.col("fp")])
     return out.select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, bits: int = BITS) -> DataFrame:
+    """docs, with all their columns, but for all rows of each component save the one of least id.
+
+    Of rows that share that id (repeated rows, or rows of a component without ids) the one with the least text stays.
+    """
+    fp, place = free_name(docs, "__fp"), docs.columns.index(text_col)
+    small_batches(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            fps = np.array([fingerprint(x, shingle) for x in batch.column(place).to_pylist()], np.uint64)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fps.view(np.int64))], names=[*batch.schema.names, fp])
+
+    told = keep(docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(fp, T.LongType())])), "documents")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    told = told.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(fp).alias("fp"), F.col(f"`{text_col}`").alias("text"), row.alias("row"))
+    found = classes(told.select("id", "fp"), bits)
+    first = lookup(told, found, "fp", "n", [F.col("id"), F.col("fp")]).filter(F.col("id").eqNullSafe(F.col("component_id")))
+    first = keep(first.select("root", "text", "row"), "first")
+    ties = first.groupBy("root").agg(F.count("*").alias("n"), F.min("text").alias("least")).filter("n > 1")  # few: rows that share an id
+    ties = keep(ties, "ties")
+    alone = first.join(ties.select("root"), "root", "left_anti")
+    tied = first.join(ties, "root").filter(F.col("text").eqNullSafe(F.col("least")))
+    tied = tied.withColumn("__k", F.row_number().over(Window.partitionBy("root").orderBy(F.xxhash64("row")))).filter("__k = 1")
+    return alone.select("row.*").unionAll(tied.select("row.*"))
