@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import json
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,49 +21,69 @@ END_ID = 1
 CACHE = 600_000
 
 
+class _Words(dict):
+    """What _Ids has worked out so far."""
+
+    def __init__(self, find):
+        super().__init__({"": b""})
+        self.find = find
+
+    def __missing__(self, word: str) -> bytes:
+        out = self[word] = self.find(word)
+        return out
+
+
+#: Words that the rules below treat as the tokenizer does: letters and printable ASCII.
+PLAIN = regex.compile(r"[\p{L}!-~]*")
+
+
 class _Ids:
     """ids of a text as 16-bit numbers, by way of the ids of its words between plain white space.
 
     The tokenizer drops white space and no token spans it, so words may be encoded one by one. Only the four commonest
-    kinds are split on here; the others stay in a word and the tokenizer deals with them. New words are encoded many at a
-    time, with a special token between, whose id parts their ids again; words that hold its text are encoded alone.
+    kinds are split on here; the others stay in a word and the tokenizer deals with them. Where the tokenizer's file asks
+    for the usual steps (NFC, lower case, split by a pattern, bytes), words of letters and printable ASCII take them here,
+    and only parts not met before go through the merges; all other words go through the whole tokenizer.
     """
 
     def __init__(self, tokenizer_path: str):
         from tokenizers import Tokenizer
 
-        self.together, self.alone = Tokenizer.from_file(tokenizer_path), Tokenizer.from_file(tokenizer_path)
-        self.alone.encode_special_tokens = True
-        if self.alone.get_vocab_size() > 1 << 16:
+        self.whole = Tokenizer.from_file(tokenizer_path)
+        self.whole.encode_special_tokens = True
+        if self.whole.get_vocab_size() > 1 << 16:
             raise ValueError("ids need more than 16 bits")
-        special = [(k, t.content) for k, t in sorted(self.alone.get_added_tokens_decoder().items()) if t.special]
-        self.mark, self.sign = special[-1] if special else (-1, "")
-        self.signs = [x for _, x in special]
-        self.seen: dict[str, bytes] = {"": b""}
-
-    def learn(self, words: list[str]) -> None:
-        odd = [w for w in words if not self.signs or any(x in w for x in self.signs)]
-        for w, e in zip(odd, self.alone.encode_batch_fast(odd, add_special_tokens=False)):
-            self.seen[w] = np.array(e.ids, "<u2").tobytes()
-        words = [w for w in words if w not in self.seen]
-        for i in range(0, len(words), 256):
-            part = words[i : i + 256]
-            ids = np.array(self.together.encode(self.sign.join(part), add_special_tokens=False).ids, "<u2")
-            ends = (2 * np.append(np.nonzero(ids == self.mark)[0], len(ids))).tolist()
-            data, at = ids.tobytes(), 0
-            if len(ends) != len(part):
-                raise ValueError("a word holds the special token")
-            for w, end in zip(part, ends):
-                self.seen[w] = data[at:end]
-                at = end + 2
+        self.model = self.whole.model
+        told = json.loads(self.whole.to_str())
+        steps = [x["type"] for x in (told["normalizer"] or {}).get("normalizers", [])]
+        cuts = (told["pre_tokenizer"] or {}).get("pretokenizers", [])
+        self.usual = steps == ["NFC", "Replace", "Lowercase"] and [x["type"] for x in cuts] == ["Split", "ByteLevel"] and cuts[0]["invert"] and cuts[0]["behavior"] == "Removed" and not cuts[1]["use_regex"] and not cuts[1]["add_prefix_space"]
+        self.pattern = regex.compile(cuts[0]["pattern"]["Regex"]) if self.usual else None
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves
+        self.bytes = {b: b for b in shown} | {b: 256 + i for i, b in enumerate(x for x in range(256) if x not in set(shown))}
+        self.clear()
+
+    def clear(self) -> None:
+        self.seen, self.parts = _Words(self.word), _Words(self.part)
+
+    def part(self, part: str) -> bytes:
+        if not part.isascii():
+            part = part.encode().decode("latin-1").translate(self.bytes)
+        return b"".join([x.id.to_bytes(2, "little") for x in self.model.tokenize(part)])
+
+    def word(self, word: str) -> bytes:
+        if not self.usual or not PLAIN.fullmatch(word) or not unicodedata.is_normalized("NFC", word):
+            return np.array(self.whole.encode(word, add_special_tokens=False).ids, "<u2").tobytes()
+        word = word.replace("\u03a3", "\u03c3").lower()  # capital sigma: letter by letter, as the tokenizer
+        if word.isascii() and word.isalpha():
+            return self.parts[word]
+        return b"".join([self.parts[x] for x in self.pattern.findall(word)])
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
-        words = [(x or "").replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for x in texts]
         if len(self.seen) > CACHE:
-            self.seen = {"": b""}
-        seen = self.seen
-        self.learn([w for w in dict.fromkeys(w for x in words for w in x) if w not in seen])
-        return [b"".join([seen[w] for w in x]) for x in words]
+            self.clear()
+        find = self.seen.__getitem__
+        return [b"".join(map(find, (x or "").replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" "))) for x in texts]
 
 
 #: The worker's tokenizers: what they remember outlasts a task.
