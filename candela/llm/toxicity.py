@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from candela.llm.common import arrow_map
+from candela.llm.common import arrow_map, keep, slices, small_batches
 
 #: Subsequences of this many letters count, each gap or letter that one spans by this factor.
 ORDER, DECAY = 3, 0.5
@@ -22,12 +22,18 @@ WINDOW = 16
 LANDMARKS, CLEAN_LANDMARKS = 28, 4
 #: Letters of the stems that are judged along with whole words.
 STEMS = (4, 5)
-#: At most so many sentences of either label are learnt from, those with the smallest hashes; longer ones aren't.
+#: At most so many documents of either label, and sentences of these, are learnt from: those with the smallest hashes.
+#: Sentences of more characters aren't.
+DOCUMENTS = 4_000
 SENTENCES, SENTENCE_CHARS = 60_000, 1_000
 #: Clean words of either kind (any, and nearest to the landmarks) the machine starts with; words searched for more.
 NEGATIVES, POOL = 4_000, 60_000
-#: Windows whose margin a worker remembers; beyond that it starts anew.
+#: Tokens that a worker remembers; beyond that it starts anew.
 CACHE = 400_000
+#: Buckets of pairs of letters, and the share of a landmark's pairs that a word needs to be compared with it.
+BUCKETS, SHARE = 1024, 0.5
+#: The margin of what has no window.
+NONE = -1e9
 #: Words whose kernels are taken at a time.
 TILE = 64
 FOLDS = 5
@@ -38,18 +44,32 @@ MARKED = re.compile(r"[^\W\d_]+(?:[^\w\s|]+[^\W\d_]+)+")
 GAP = re.compile(r"[\W\d_]+")
 
 
-def windows(text: str) -> set[str]:
-    """Lower-case words of the text, and those that marks or spaces between letters break up."""
+def _cut(word: str) -> list[str]:
+    return [word] if len(word) <= WINDOW else [word[i : i + WINDOW] for i in range(0, len(word) - WINDOW // 2, WINDOW // 2)]
+
+
+def token_windows(token: str) -> set[str]:
+    """The windows of what stands between white space: its words, and the word that marks between letters break up."""
+    found = set(WORD.findall(token))
+    if MARKED.search(token):
+        found.update(GAP.sub("", x) for x in MARKED.findall(token))
+    return {x for w in found for x in _cut(w)}
+
+
+def tokens(text: str) -> set[str]:
+    """What stands between white space, in lower case, and words spelt out letter by letter."""
     text = text.lower()
-    found = set(WORD.findall(text))
-    found.update(GAP.sub("", x) for x in SPELT.findall(text))
-    found.update(GAP.sub("", x) for x in set(MARKED.findall(text)))
-    for w in [w for w in found if len(w) > WINDOW]:
-        found.discard(w)
-        found.update(w[i : i + WINDOW] for i in range(0, len(w) - WINDOW // 2, WINDOW // 2))
+    found = set(text.split())
+    if runs := SPELT.findall(text):
+        found.update(GAP.sub("", x) for x in runs)
     return found
 
 
+def windows(text: str) -> set[str]:
+    """Lower-case words of the text, and those that marks or spaces between letters break up; long words in windows."""
+    return {w for t in tokens(text) for w in token_windows(t)}
+
+
 def _codes(words: list[str], width: int) -> np.ndarray:
     return np.array([w.ljust(width, "\0") for w in words], f"<U{width}").view(np.uint32).reshape(len(words), width)
 
@@ -67,20 +87,24 @@ def kernel(words: list[str], marks: list[str], order: int = ORDER, decay: float
     there; the next order lengthens them by one letter, each place skipped on either side costing a factor decay.
     """
     out = np.zeros((len(words), len(marks)), np.float32)
-    if not words or not marks:
-        return out
-    wide = max(map(len, marks)) or 1
+    widths = np.array([-(-len(m) // 3) * 3 for m in marks], int)
+    for wide in np.unique(widths[widths > 0]).tolist():  # marks of like length together
+        at = np.nonzero(widths == wide)[0]
+        out[:, at] = _kernel(words, [marks[i] for i in at], wide, order, decay)
+    return out
+
+
+def _kernel(words: list[str], marks: list[str], wide: int, order: int, decay: float) -> np.ndarray:
+    out = np.zeros((len(words), len(marks)), np.float32)
     t = _codes(marks, wide)
     after_t = _steps(wide, decay).T.copy()
-    lengths = np.array([len(w) for w in words])
-    for n in np.unique(lengths):
-        if not n:
-            continue
+    lengths = np.array([len(w) for w in words], int)
+    for n in np.unique(lengths[lengths > 0]).tolist():
         at = np.nonzero(lengths == n)[0]
         after_s = _steps(n, decay)
         for i in range(0, len(at), TILE):
             part = at[i : i + TILE]
-            s = _codes([words[k] for k in part], int(n))
+            s = _codes([words[k] for k in part], n)
             same = ((s[:, :, None, None] == t[None, None, :, :]) & (t != 0)).astype(np.float32) * decay**2  # word, i, mark, j
             common, total = same, 0
             for q in range(order):
@@ -119,9 +143,37 @@ def _sharp(cosine: np.ndarray) -> np.ndarray:
     return np.exp(WIDTH * (cosine - 1))
 
 
+def _pairs(codes: np.ndarray, gap: int) -> list[np.ndarray]:
+    """Buckets of a word's pairs of letters at most so many places apart."""
+    return [(codes[:, :-g].astype(np.int64) * 131 + codes[:, g:]) % BUCKETS for g in range(1, gap + 1) if codes.shape[1] > g]
+
+
+def near(words: list[str], marks: list[str]) -> np.ndarray:
+    """Whether a word holds, in order and with at most one letter between, half of some mark's neighbouring letters."""
+    out = np.zeros(len(words), bool)
+    if not words or not marks:
+        return out
+    wanted = [np.unique(np.concatenate([x.ravel() for x in _pairs(_codes([m], len(m)), 1)] or [np.zeros(0, np.int64)])) for m in marks]
+    which = np.concatenate(wanted)
+    of = np.zeros((len(which), len(marks)), np.float32)
+    of[np.arange(len(which)), np.repeat(np.arange(len(marks)), [len(x) for x in wanted])] = 1
+    least = np.array([len(x) * SHARE for x in wanted], np.float32)
+    lengths = np.array([len(w) for w in words], int)
+    for n in np.unique(lengths[lengths > 1]).tolist():
+        at = np.nonzero(lengths == n)[0]
+        for i in range(0, len(at), 1024):
+            part = at[i : i + 1024]
+            held = np.zeros((len(part), BUCKETS), np.float32)
+            for x in _pairs(_codes([words[k] for k in part], n), 2):
+                held[np.arange(len(part))[:, None], x] = 1
+            out[part] = ((held[:, which] @ of) >= np.maximum(least, 1)).any(axis=1)
+    return out
+
+
 @dataclass
 class Machine:
     marks: list[str]
+    insults: int  # the first so many marks are insults, the others clean words
     own: np.ndarray  # the marks' kernels with themselves
     weights: np.ndarray  # of the kernels with the marks: the machine's weights by Nyström's map
     bias: float
@@ -129,7 +181,12 @@ class Machine:
     offset: float
 
     def similar(self, words: list[str]) -> np.ndarray:
-        return _sharp(kernel(words, self.marks) / np.sqrt(self_kernel(words)[:, None] * self.own[None, :]))
+        """Similarity to each landmark; nothing for words that don't come near any insult."""
+        out = np.zeros((len(words), len(self.marks)), np.float32)
+        at = np.nonzero(near(words, self.marks[: self.insults]))[0]
+        close = [words[i] for i in at]
+        out[at] = _sharp(kernel(close, self.marks) / np.sqrt(self_kernel(close)[:, None] * self.own[None, :]))
+        return out
 
     def margins(self, words: list[str]) -> np.ndarray:
         return self.similar(words) @ self.weights + self.bias
@@ -207,25 +264,25 @@ def train(toxic: list[str], clean: list[str]) -> Machine | None:
     base = _sharp(kernel(names, names).astype(np.float64) / np.sqrt(own[:, None] * own[None, :]))
     values, vectors = np.linalg.eigh(base)
     root = vectors / np.sqrt(np.maximum(values, 1e-4)) @ vectors.T
-    machine = Machine(names, own, np.zeros(len(names)), 0.0, 1.0, 0.0)
+    machine = Machine(names, len(marks), own, np.zeros(len(names)), 0.0, 1.0, 0.0)
     pool = sorted((w for w in good if w not in told and len(w) >= ORDER), key=rank)[:POOL]
-    near = machine.similar(pool) @ root
-    yes = machine.similar(insults) @ root
-    hard = np.argsort(-(machine.similar(pool)[:, : len(marks)]).max(axis=1, initial=0), kind="stable")[:NEGATIVES]
+    close = machine.similar(pool)
+    hard = np.argsort(-close[:, : len(marks)].max(axis=1, initial=0), kind="stable")[:NEGATIVES]
+    yes, no = machine.similar(insults) @ root, close @ root
     kept = np.unique(np.concatenate([hard, np.arange(min(len(pool), NEGATIVES))]))
     seen = np.sqrt([bad[w] for w in insults])
     seen /= seen.sum()
     for _ in range(4):  # with the clean words that the last machine got wrong
-        x = np.vstack([yes, near[kept]]).astype(np.float64)
+        x = np.vstack([yes, no[kept]]).astype(np.float64)
         y = np.concatenate([np.ones(len(insults)), -np.ones(len(kept))])
         w, machine.bias = _svm(x, y, np.concatenate([0.5 * len(kept) * seen, np.ones(len(kept))]))
-        wrong = np.nonzero(near @ w + machine.bias > -0.5)[0]
+        wrong = np.nonzero(no @ w + machine.bias > -0.5)[0]
         more = np.union1d(kept, wrong)
         if len(more) == len(kept):
             break
         kept = more
     machine.weights = root @ w
-    m_bad, m_good = machine.margins(insults), near @ w + machine.bias
+    m_bad, m_good = machine.margins(insults), no @ w + machine.bias
     by = np.argsort(m_bad, kind="stable")
     low = float(m_bad[by][np.searchsorted(np.cumsum((seen**2)[by]), 0.05 * (seen**2).sum())])  # all but a twentieth of the evidence lies above
     high = float(m_good.max())
@@ -249,19 +306,27 @@ def _scorer(machine: Machine) -> _Scorer:
 
 
 class _Scorer:
+    """Scores of texts; remembers the margin of every window and the largest of every token it has met."""
+
     def __init__(self, machine: Machine):
-        self.machine, self.seen = machine, {}
+        self.machine, self.seen, self.worst = machine, {}, {}
+
+    def learn(self, new: list[str]) -> None:
+        seen = self.seen
+        found = {t: [w for w in token_windows(t) if len(w) >= ORDER] for t in new}
+        words = sorted({w for ws in found.values() for w in ws if w not in seen}, key=lambda w: (len(w), w))
+        for i in range(0, len(words), 4096):
+            seen.update(zip(words[i : i + 4096], self.machine.margins(words[i : i + 4096]).tolist()))
+        self.worst.update((t, max((seen[w] for w in ws), default=NONE)) for t, ws in found.items())
 
     def __call__(self, texts: list[str | None]) -> np.ndarray:
-        m, seen = self.machine, self.seen
-        words = [windows(x or "") for x in texts]
-        if len(seen) > CACHE:
-            seen.clear()
-        new = sorted({w for x in words for w in x if w not in seen and len(w) >= ORDER}, key=lambda w: (len(w), w))
-        for i in range(0, len(new), 4096):
-            seen.update(zip(new[i : i + 4096], m.margins(new[i : i + 4096]).tolist()))
-        best = [max((seen[w] for w in x if len(w) >= ORDER), default=None) for x in words]
-        return np.array([0.0 if b is None else m.probability(np.float64(b)) for b in best])
+        if len(self.worst) > CACHE:
+            self.seen, self.worst = {}, {}
+        found = [tokens(x or "") for x in texts]
+        worst = self.worst
+        self.learn([t for t in set().union(*found) if t not in worst])
+        best = np.array([max(map(worst.__getitem__, x), default=NONE) for x in found])
+        return np.where(best > NONE, self.machine.probability(best), 0.0)
 
 
 def held_out(id_col: Column) -> Column:
@@ -269,10 +334,16 @@ def held_out(id_col: Column) -> Column:
     return F.crc32(F.coalesce(id_col.cast("string"), F.lit("")).cast("binary")) % FOLDS == 0
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sentences: int = SENTENCES) -> Machine | None:
-    """Learn from sentences of labelled documents outside the held-out fold."""
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", documents: int = DOCUMENTS, sentences: int = SENTENCES) -> Machine | None:
+    """Learn from sentences of labelled documents outside the held-out fold.
+
+    A document with labels of both kinds counts as toxic; other values than 0 and 1, null ids and null texts teach nothing.
+    """
     told = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("label")).filter(F.col("id").isNotNull() & F.col("label").isin(0, 1))
     told = told.filter(~held_out(F.col("id"))).groupBy("id").agg(F.max("label").alias("label"))
+    told = keep(told, "labels")
+    some = [told.filter(F.col("label") == k).orderBy(F.xxhash64("id"), "id").limit(documents) for k in (0, 1)]
+    told = F.broadcast(some[0].unionAll(some[1]))  # 2 * documents rows at most
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).filter("id is not null and text is not null")
     split = rows.join(told, "id").select("label", F.explode(F.split("text", r"[.!?\n]+")).alias("s")).select("label", F.trim("s").alias("s")).filter((F.length("s") >= ORDER) & (F.length("s") <= SENTENCE_CHARS))
     some = [split.filter(F.col("label") == k).orderBy(F.xxhash64("s"), "s").limit(sentences).select("s").toArrow()["s"].to_pylist() for k in (1, 0)]
@@ -292,3 +363,17 @@ def score(docs: DataFrame, machine: Machine | None, id_col: str = "doc_id", text
         rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
         rows = arrow_map(rows, step, "id long, score double", {"id": pa.int64(), "score": pa.float64()}, lambda: _scorer(machine))
     return rows.select(F.col("id").alias(id_col), held_out(F.col("id")).alias("held_out"), "score", F.when(F.col("score") >= threshold, 1).otherwise(0).alias("predicted"))
+
+
+def without_toxic(docs: DataFrame, machine: Machine | None, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
+    """docs, with all their columns, but for rows whose text scores threshold or more."""
+    if machine is None:
+        return docs
+    small_batches(docs.sparkSession)
+
+    def run(batches):
+        scorer = _scorer(machine)
+        for batch in slices(batches):
+            yield batch.filter(pa.array(scorer(batch.column(text_col).to_pylist()) < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
