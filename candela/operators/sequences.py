@@ -168,8 +168,9 @@ def tier_table(spark) -> DataFrame:
     return spark.createDataFrame([(s, t, p.back, p.leave, p.enter, p.days) for s, t in TIER_OF.items() for p in [TIERS[t]]], "symbol string, tier string, back int, leave double, enter double, days int")
 
 
-def hysteresis_start():
-    state = [True, 0]
+def hysteresis_start(inside: bool = True, out_for: int = 0):
+    """A step; its attribute `state` holds whether it is in the market and for how many rows it has been out."""
+    state = [inside, out_for]
 
     def step(i: int, roc: float, back: int, leave: float, enter: float, days: int) -> tuple:
         if i < back:
@@ -185,6 +186,7 @@ def hysteresis_start():
             return 1, 1
         return 0, 0
 
+    step.state = state
     return step
 
 
