@@ -83,13 +83,14 @@ def arrow_map(df: DataFrame, step: Callable[[pa.RecordBatch], dict], schema: str
     return df.mapInArrow(run, schema)
 
 
-def lookup(left: DataFrame, right: DataFrame, key: str, n: str, spread_by: list[Column], total: int | None = None, right_key: str | None = None) -> DataFrame:
+def lookup(left: DataFrame, right: DataFrame, key: str, n: str, spread_by: list[Column], total: int | None = None, right_key: str | None = None, wide: bool = False) -> DataFrame:
     """left, with the other columns of right by key (null where there is no such key).
 
     right has each key once and, as column n, how many rows of left have it. The few keys that hold a large share of
     left (at most 1 / HEAVY_SHARE of them) are broadcast; the others are joined by a shuffle, in which rows of heavy
     keys are dealt out by spread_by. right should be a kept table: it is read three times. A null key matches nothing and
     is dealt out likewise. right_key: the key's name in right, if another.
+    wide: left holds whole texts; the plan is then the same at every size, whether or not right would fit a broadcast.
     """
     by = right_key or key
     values = [c for c in right.columns if c not in (by, n)]
@@ -100,5 +101,5 @@ def lookup(left: DataFrame, right: DataFrame, key: str, n: str, spread_by: list[
     light = right.filter(F.col(n) < least).select(F.col(by).alias("__lk"), F.lit(-1).cast("long").alias("__lp"), *[F.col(c).alias(f"__l_{c}") for c in values])
     one = left.join(F.broadcast(heavy), F.col(key) == F.col("__hk"), "left")
     place = F.when(F.col("__hit") | F.col(key).isNull(), F.pmod(F.xxhash64(*spread_by), F.lit(SPREAD))).otherwise(F.lit(-1)).cast("long")
-    two = one.withColumn("__p", place).join(light, (F.col(key) == F.col("__lk")) & (F.col("__p") == F.col("__lp")), "left")
+    two = one.withColumn("__p", place).join(light.hint("merge") if wide else light, (F.col(key) == F.col("__lk")) & (F.col("__p") == F.col("__lp")), "left")
     return two.select(*[F.col(c) for c in left.columns], *[F.coalesce(F.col(f"__h_{c}"), F.col(f"__l_{c}")).alias(c) for c in values])

@@ -57,7 +57,7 @@ def repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     found = keep(lookup(chunks, many, "chunk", "n", [F.col("key"), F.col("first")]).filter("origin is not null"), "found")
     # the bytes: each candidate's text, cut from its document
     spans = found.groupBy("key").agg(F.collect_set(F.struct("first", "last", "chunk")).alias("spans"))
-    texts = named.join(spans, "key").select(F.split("text", "\n", -1).alias("lines"), F.explode("spans").alias("s"))
+    texts = named.join(spans.hint("merge"), "key").select(F.split("text", "\n", -1).alias("lines"), F.explode("spans").alias("s"))
     texts = texts.select("s.chunk", F.array_join(F.slice("lines", F.col("s.first") + 1, F.col("s.last") - F.col("s.first") + 1), "\n").alias("text"))
     equal = texts.groupBy("chunk").agg(F.count("*").alias("n"), F.min("text").alias("a"), F.max("text").alias("b")).filter("a = b").select("chunk", "n", F.lit(True).alias("same"))
     sure = lookup(found, keep(equal, "equal"), "chunk", "n", [F.col("key"), F.col("first")])
@@ -78,7 +78,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     row, text = F.struct(*[docs[f"`{c}`"] for c in docs.columns]), docs[f"`{text_col}`"].cast("string")
     rows = docs.select(row.alias("__row"), docs[f"`{id_col}`"].cast("long").alias("__id"), text.alias("__text"))
     rows = rows.withColumn("__key", _key("__id", "__text"))
-    rows = lookup(rows, keep(gone.withColumnRenamed("key", "__gk"), "removed"), "__key", "n", [F.col("__id")], 0, right_key="__gk")
+    rows = lookup(rows, keep(gone.withColumnRenamed("key", "__gk"), "removed"), "__key", "n", [F.col("__id")], 0, right_key="__gk", wide=True)
     rows = rows.withColumn("__lines", F.when(F.col("gone").isNotNull(), F.split("__text", "\n", -1)))
     left = F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), "gone")  # in order
     told = F.when(F.col("gone").isNull(), F.col("__text")).otherwise(F.array_join(F.transform(left, lambda i: F.get("__lines", i)), "\n"))
