@@ -105,13 +105,13 @@ def _kernel(words: list[str], marks: list[str], wide: int, order: int, decay: fl
         for i in range(0, len(at), TILE):
             part = at[i : i + TILE]
             s = _codes([words[k] for k in part], n)
-            same = ((s[:, :, None, None] == t[None, None, :, :]) & (t != 0)).astype(np.float32) * decay**2  # word, i, mark, j
+            same = ((s[:, :, None, None] == t[None, None, :, :]) & (t != 0)).astype(np.float32)  # word, i, mark, j
             common, total = same, 0
             for q in range(order):
                 if q:
                     b = np.matmul(after_s, common.reshape(len(part), n, -1)).reshape(-1, wide)
                     common = same * (b @ after_t).reshape(same.shape)
-                total = total + common.sum(axis=(1, 3)) * decay ** (-2 * q)
+                total = total + common.sum(axis=(1, 3))
             out[part] = total
     return out
 
@@ -127,12 +127,12 @@ def self_kernel(words: list[str], order: int = ORDER, decay: float = DECAY) -> n
         for i in range(0, len(at), 4096):
             part = at[i : i + 4096]
             s = _codes([words[k] for k in part], int(n))
-            same = (s[:, :, None] == s[:, None, :]).astype(np.float32) * decay**2
+            same = (s[:, :, None] == s[:, None, :]).astype(np.float32)
             common, total = same, 0
             for q in range(order):
                 if q:
                     common = same * (step @ common @ step.T)
-                total = total + common.sum(axis=(1, 2)) * decay ** (-2 * q)
+                total = total + common.sum(axis=(1, 2))
             out[part] = total
     return out
 
