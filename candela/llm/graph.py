@@ -12,7 +12,7 @@ ROUNDS = 60
 
 
 def _mins(pairs: DataFrame) -> DataFrame:
-    return keep(pairs.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"), F.count("*").alias("n")), "mins")
+    return pairs.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"), F.count("*").alias("n")).persist()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -20,7 +20,8 @@ def components(edges: DataFrame) -> DataFrame:
     edge between different nodes, with the smallest node it is connected to. No edges: no rows.
 
     Each round replaces every node's links by links to its smallest neighbour: first those to larger neighbours, then
-    those to smaller ones. Each round is a kept table, so a lost executor repeats one round at most.
+    those to smaller ones. Each round ends in a kept table; within one, what is read several times is cached, and what a
+    lost executor had of it is worked out anew from the round's start.
     """
     e = keep(edges.filter("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
     mark = None
@@ -30,11 +31,14 @@ def components(edges: DataFrame) -> DataFrame:
             break
         mark = now
         both = e.unionAll(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = lookup(both, _mins(both), "u", "n", [F.col("u"), F.col("v")], 2 * now[0]).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").distinct()
-        large = keep(large, "large")
-        small = lookup(large, _mins(large), "u", "n", [F.col("u"), F.col("v")])
+        first = _mins(both)
+        large = lookup(both, first, "u", "n", [F.col("u"), F.col("v")], 2 * now[0]).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").distinct().persist()
+        second = _mins(large)
+        small = lookup(large, second, "u", "n", [F.col("u"), F.col("v")])
         small = small.select(F.explode(F.array(F.struct(F.col("u").alias("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x")).select("x.*")
         e = keep(small.filter("u != v").distinct(), "small")
+        for cached in (first, large, second):
+            cached.unpersist()
     else:
         raise RuntimeError(f"no components after {ROUNDS} rounds")
     return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
