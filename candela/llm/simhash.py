@@ -153,7 +153,12 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """docs, with all their columns, but for all rows of each component save the one of least id.
 
     Of rows that share that id (repeated rows, or rows of a component without ids) the one with the least text stays.
+    Fingerprints are taken twice, for the components and beside the rows, which costs less than a copy of all texts.
     """
+    rows = keep(fingerprinted(docs, id_col, text_col, shingle), "fingerprints")
+    found = classes(rows, bits)
+    least = F.col("id").eqNullSafe(F.col("component_id"))
+    tied = lookup(rows, found, "fp", "n", [F.col("id"), F.col("fp")]).filter(least).groupBy("root").agg(F.count("*").alias("n")).filter("n > 1").limit(1).count()
     fp, place = free_name(docs, "__fp"), docs.columns.index(text_col)
     small_batches(docs.sparkSession)
 
@@ -162,15 +167,11 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             fps = np.array([fingerprint(x, shingle) for x in batch.column(place).to_pylist()], np.uint64)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fps.view(np.int64))], names=[*batch.schema.names, fp])
 
-    told = keep(docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(fp, T.LongType())])), "documents")
+    told = docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(fp, T.LongType())]))
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    told = told.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(fp).alias("fp"), F.col(f"`{text_col}`").alias("text"), row.alias("row"))
-    found = classes(told.select("id", "fp"), bits)
-    first = lookup(told, found, "fp", "n", [F.col("id"), F.col("fp")]).filter(F.col("id").eqNullSafe(F.col("component_id")))
-    first = keep(first.select("root", "text", "row"), "first")
-    ties = first.groupBy("root").agg(F.count("*").alias("n"), F.min("text").alias("least")).filter("n > 1")  # few: rows that share an id
-    ties = keep(ties, "ties")
-    alone = first.join(ties.select("root"), "root", "left_anti")
-    tied = first.join(ties, "root").filter(F.col("text").eqNullSafe(F.col("least")))
-    tied = tied.withColumn("__k", F.row_number().over(Window.partitionBy("root").orderBy(F.xxhash64("row")))).filter("__k = 1")
-    return alone.select("row.*").unionAll(tied.select("row.*"))
+    told = told.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(fp).alias("fp"), row.alias("row"))
+    first = lookup(told, found, "fp", "n", [F.col("id"), F.col("fp")], wide=True).filter(least)
+    if tied:  # a second shuffle, of those that stay, only where ids repeat
+        by = Window.partitionBy("root").orderBy(F.col("row")[text_col], F.xxhash64("row"))
+        first = first.withColumn("k", F.row_number().over(by)).filter("k = 1")
+    return first.select("row.*")
