@@ -71,9 +71,11 @@ def signals(articles: DataFrame) -> DataFrame:
 def topic_aggregate(articles: DataFrame) -> DataFrame:
     """By ticker: the composite of its topics' mean sentiments, each weighing the root of its articles, and alerts."""
     s = signals(articles)
-    first = s.select("ticker", F.col("primary").alias("topic"), F.col("adjusted").alias("v"))
-    second = s.select("ticker", F.explode("secondary").alias("topic"), (F.col("adjusted") * 0.5).alias("v"))
-    t = first.unionByName(second).groupBy("ticker", "topic").agg(F.avg("v").alias("v"), F.count("*").alias("n"))
+    # one pass: the primary topic and, at half weight, the secondary ones. The outer form keeps the optimizer from
+    # filtering on the array first, which would find all topics twice
+    named = F.concat(F.array(F.struct(F.col("primary").alias("topic"), F.lit(1.0).alias("share"))), F.transform("secondary", lambda x: F.struct(x.alias("topic"), F.lit(0.5).alias("share"))))
+    t = s.select("ticker", "adjusted", F.explode_outer(named).alias("t")).select("ticker", "t.topic", (F.col("adjusted") * F.col("t.share")).alias("v"))
+    t = t.groupBy("ticker", "topic").agg(F.avg("v").alias("v"), F.count("*").alias("n"))
     weight = F.sqrt("n") * F.when(F.col("topic").isin(*HIGH_SIGNAL), 1.5).otherwise(1.0)
     of = lambda name, c: F.coalesce(F.max(F.when(F.col("topic") == name, F.col(c))), F.lit(0.0))
     g = t.groupBy("ticker").agg((F.sum(F.col("v") * weight) / F.sum(weight)).alias("composite_score"), F.count("*").alias("topics"), F.sum("n").alias("mentions"), of("litigation", "v").alias("lv"), of("litigation", "n").alias("ln"), of("earnings", "v").alias("ev"))
