@@ -26,7 +26,7 @@ def _sentiment(spark, sf_dir):
 
 def _quarters(spark, sf_dir):
     orders = s.table(spark, sf_dir, "orders")
-    return orders.groupBy(F.col("o_orderpriority").alias("symbol"), F.trunc(F.col("o_orderdate").cast("date"), "quarter").alias("quarter")).agg(F.sum("o_totalprice").alias("value"))
+    return orders.groupBy(F.col("o_orderpriority").alias("symbol"), F.trunc(F.col("o_orderdate").cast("date"), "quarter").alias("quarter")).agg(F.round(F.sum("o_totalprice"), 2).alias("value"))
 
 
 def _positions(spark, sf_dir):
@@ -236,7 +236,7 @@ ORACLE = {
     ),
     "quarterly_growth": query(
         f"SELECT symbol, quarter, {r('value', 'value')}, {r('(value - a) / nullif(abs(a), 0)', 'qoq')}, {r('(value - b) / nullif(abs(b), 0)', 'yoy')} FROM y",
-        steps={"x": "SELECT o_orderpriority AS symbol, CAST(date_trunc('quarter', o_orderdate) AS DATE) AS quarter, sum(o_totalprice) AS value FROM orders GROUP BY 1, 2", "y": "SELECT *, lag(value) OVER (PARTITION BY symbol ORDER BY quarter) AS a, lag(value, 4) OVER (PARTITION BY symbol ORDER BY quarter) AS b FROM x"},
+        steps={"x": "SELECT o_orderpriority AS symbol, CAST(date_trunc('quarter', o_orderdate) AS DATE) AS quarter, round(sum(o_totalprice), 2) AS value FROM orders GROUP BY 1, 2", "y": "SELECT *, lag(value) OVER (PARTITION BY symbol ORDER BY quarter) AS a, lag(value, 4) OVER (PARTITION BY symbol ORDER BY quarter) AS b FROM x"},
     ),
     "vol_predictor_features": _predictor(),
     "vol_regime_targets": query(

@@ -49,7 +49,7 @@ QUERIES = {
     "chronological_split": _of(m.split, s.bars),
     "impute_chain": _of(m.impute, _gaps),
     "standard_scale": _of(lambda x: m.standardise(x, ["realized_vol_20d", "volume_sma"]), _features),
-    "interactions_poly": _of(lambda x: m.interactions(x, "realized_vol_20d", "volume_sma"), _features),
+    "interactions_poly": _of(lambda x: m.interactions(x, "realized_vol_20d", "volume_sma").withColumn("cube", F.round("cube", 4)), _features),
     "feature_columns": _named,
     "change_point_eval": _changes,
     "sim_equity": _equity,
@@ -78,7 +78,7 @@ ORACLE = {
         "bars",
     ),
     "standard_scale": query(f"SELECT symbol, date, {r('(v - avg(v) OVER (PARTITION BY symbol)) / stddev_pop(v) OVER (PARTITION BY symbol)', 'realized_vol_20d')}, {r('(vs - avg(vs) OVER (PARTITION BY symbol)) / stddev_pop(vs) OVER (PARTITION BY symbol)', 'volume_sma')} FROM ft", "bars", steps=FEATURES),
-    "interactions_poly": query(f"SELECT symbol, date, {r('v * vs', 'product')}, {r('v / (vs + 1e-6)', 'ratio')}, {r('v * v', 'square')}, {r('v * v * v', 'cube')} FROM ft", "bars", steps=FEATURES),
+    "interactions_poly": query(f"SELECT symbol, date, {r('v * vs', 'product')}, {r('v / (vs + 1e-6)', 'ratio')}, {r('v * v', 'square')}, {r('v * v * v', 'cube', 4)} FROM ft", "bars", steps=FEATURES),
     "change_point_eval": query(
         f"SELECT t.symbol, t.n AS n_true, coalesce(u.n, 0) AS n_found, coalesce(h.n, 0) AS hits, t.n - coalesce(h.n, 0) AS misses, coalesce(u.n, 0) - coalesce(h.n, 0) AS false_alarms, {r('h.d', 'mean_delay')} FROM (SELECT symbol, count(*) AS n FROM tr GROUP BY 1) t LEFT JOIN (SELECT symbol, count(*) AS n FROM fo GROUP BY 1) u USING (symbol) LEFT JOIN (SELECT symbol, count(*) AS n, avg(b - a) AS d FROM hit GROUP BY 1) h USING (symbol)",
         "bars",
