@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import hashlib
 import heapq
 import uuid
 from collections.abc import Iterator
@@ -14,7 +15,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from candela.llm.common import arrow_map, slices, small_batches
+from candela.llm.common import arrow_map, keep, slices, small_batches
 
 #: Parts the entries of a literal table; no piece holds it, as pieces are written with a character for each byte.
 APART, NONE = "Ā", "ā"
@@ -22,7 +23,7 @@ APART, NONE = "Ā", "ā"
 FREQUENT = 50_000
 #: Words a worker remembers; beyond that it starts anew.
 CACHE = 500_000
-#: Bytes of a word from which a heap pays.
+#: Bytes up to which words are folded by expressions, and beyond which a heap pays.
 LONG = 200
 NEVER = 1 << 60
 
@@ -68,10 +69,11 @@ class Table:
         return table
 
     def get(self, x: Column, kind: str | None = None) -> Column:
+        """The value of x, or null. Keys and values stand in the plan once."""
         values = self.values.cast(f"array<{kind}>") if kind else self.values
-        low = F.xxhash64(x).bitwiseAND(F.lit(self.size - 1).cast("long")).cast("int")
-        high = F.shiftrightunsigned(F.xxhash64(x), 32).bitwiseAND(F.lit(self.size - 1).cast("long")).cast("int")
-        return F.when(F.get(self.keys, low) == x, F.get(values, low)).when(F.get(self.keys, high) == x, F.get(values, high))
+        mask = F.lit(self.size - 1).cast("long")
+        places = F.array(F.xxhash64(x).bitwiseAND(mask).cast("int"), F.shiftrightunsigned(F.xxhash64(x), 32).bitwiseAND(mask).cast("int"))
+        return F.get(values, F.get(F.filter(places, lambda p: F.get(self.keys, p) == x), F.lit(0)))
 
 
 def _let(x: Column, f) -> Column:
@@ -110,9 +112,9 @@ def fold_words(words: DataFrame, ranks: Ranks, word_col: str = "word") -> DataFr
 
 
 def frequent_words(docs: DataFrame, pattern: str, text_col: str = "text", words: int = FREQUENT) -> DataFrame:
-    """The corpus's most frequent words, ties by the word: word, n."""
+    """The corpus's most frequent words of at most LONG bytes, ties by the word: word, n."""
     found = docs.select(F.explode(F.regexp_extract_all(F.col(text_col).cast("string"), F.lit(pattern), F.lit(0))).alias("word"))
-    return found.groupBy("word").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "word").limit(words)
+    return found.filter(F.octet_length("word") <= LONG).groupBy("word").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "word").limit(words)
 
 
 class _Memo(dict):
@@ -172,6 +174,37 @@ def _merge_long(parts: list[bytes | None], ranks: dict[bytes, int]) -> list[byte
 _memos: dict[str, _Memo] = {}
 
 
+def _known(docs: DataFrame, pieces: list[bytes], pattern: str, text_col: str, frequent: int) -> dict[str, bytes]:
+    """ids of the commonest words, folded by expressions: `frequent` words at most. The words are a kept table first, so
+    that the plan that holds the rank map is a scan and a projection."""
+    words = keep(frequent_words(docs, pattern, text_col, frequent).select("word").repartition(8), "words")
+    common = fold_words(words, Ranks(pieces)).select("word", "ids").toArrow()
+    return {w: b"".join([i.to_bytes(4, "little") for i in ids]) for w, ids in zip(common["word"].to_pylist(), common["ids"].to_pylist())}
+
+
+def _encoder(shared, pattern: str):
+    """What a task encodes texts with: texts -> ids as 32-bit little-endian numbers."""
+    key, pieces, known = shared.value
+    if key not in _memos:
+        _memos.clear()
+        _memos[key] = _Memo({p: i for i, p in enumerate(pieces)}, known)
+    memo, words = _memos[key], regex.compile(pattern)
+
+    def run(texts: list[str | None]) -> list[bytes]:
+        if len(memo) > CACHE:
+            memo.clear()
+            memo.update(known)
+        find = memo.__getitem__
+        return [b"".join(map(find, words.findall(x or ""))) for x in texts]
+
+    return run
+
+
+def _shared(docs: DataFrame, ranks_path: str, pattern: str, text_col: str, frequent: int):
+    pieces = read_ranks(ranks_path)
+    return docs.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, pieces, _known(docs, pieces, pattern, text_col, frequent)))
+
+
 def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", frequent: int = FREQUENT) -> DataFrame:
     """id, ids (binary: 32-bit little-endian numbers) for every row: the whole text, each match of pattern by itself.
 
@@ -179,29 +212,17 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
     to the workers; a worker folds what else it meets, remembers it and joins the words' ids. Null and empty texts have no
     ids; repeated rows give repeated rows; a null id stays null; other columns are ignored; an empty table gives no rows.
     """
-    spark = docs.sparkSession
-    pieces = read_ranks(ranks_path)
-    common = fold_words(frequent_words(docs, pattern, text_col, frequent), Ranks(pieces)).select("word", "ids").toArrow()  # `frequent` rows at most
-    known = {w: b"".join([i.to_bytes(4, "little") for i in ids]) for w, ids in zip(common["word"].to_pylist(), common["ids"].to_pylist())}
-    shared = spark.sparkContext.broadcast((uuid.uuid4().hex, pieces, known))
-
-    def setup() -> tuple:
-        key, pieces, known = shared.value
-        if key not in _memos:
-            _memos.clear()
-            _memos[key] = _Memo({p: i for i, p in enumerate(pieces)}, known)
-        return _memos[key], known, regex.compile(pattern)
-
-    def step(batch: pa.RecordBatch, state: tuple) -> dict:
-        memo, known, words = state
-        if len(memo) > CACHE:
-            memo.clear()
-            memo.update(known)
-        find = memo.__getitem__
-        return {"id": batch.column(0), "ids": [b"".join(map(find, words.findall(x or ""))) for x in batch.column(1).to_pylist()]}
+    shared = _shared(docs, ranks_path, pattern, text_col, frequent)
+
+    def step(batch: pa.RecordBatch, encoder) -> dict:
+        return {"id": batch.column(0), "ids": encoder(batch.column(1).to_pylist())}
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return arrow_map(rows, step, "id long, ids binary", {"id": pa.int64(), "ids": pa.binary()}, setup).withColumnRenamed("id", id_col)
+    return arrow_map(rows, step, "id long, ids binary", {"id": pa.int64(), "ids": pa.binary()}, lambda: _encoder(shared, pattern)).withColumnRenamed("id", id_col)
+
+
+def _join(ids: bytes, piece) -> bytes:
+    return b"".join(map(piece, np.frombuffer(ids, "<u4").tolist()))
 
 
 def decode(encoded: DataFrame, ranks_path: str, ids_col: str = "ids", to: str = "bytes") -> DataFrame:
@@ -213,14 +234,22 @@ def decode(encoded: DataFrame, ranks_path: str, ids_col: str = "ids", to: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         piece = shared.value.__getitem__
         for batch in slices(batches):
-            texts = [None if x is None else b"".join(map(piece, np.frombuffer(x, "<u4").tolist())) for x in batch.column(ids_col).to_pylist()]
+            texts = [None if x is None else _join(x, piece) for x in batch.column(ids_col).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.binary())], names=[*batch.schema.names, to])
 
     fields = ", ".join(f"`{n}` {t}" for n, t in encoded.dtypes)
     return encoded.mapInArrow(run, f"{fields}, `{to}` binary")
 
 
-def round_trip(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: id, n_tokens, ids_sha256, decoded_sha256, from the ids and what they decode to."""
-    done = decode(encode(docs, ranks_path, pattern, id_col, text_col), ranks_path)
-    return done.select(id_col, (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("bytes", 256).alias("decoded_sha256"))
+def round_trip(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", frequent: int = FREQUENT) -> DataFrame:
+    """Per row: id, n_tokens, ids_sha256, decoded_sha256: of the ids that encode() gives and of what decode() makes of them,
+    taken in one go, so that neither leaves its worker."""
+    shared = _shared(docs, ranks_path, pattern, text_col, frequent)
+
+    def step(batch: pa.RecordBatch, encoder) -> dict:
+        ids, piece = encoder(batch.column(1).to_pylist()), shared.value[1].__getitem__
+        return {"id": batch.column(0), "n": [len(x) // 4 for x in ids], "a": [hashlib.sha256(x).hexdigest() for x in ids], "b": [hashlib.sha256(_join(x, piece)).hexdigest() for x in ids]}
+
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    done = arrow_map(rows, step, "id long, n long, a string, b string", {"id": pa.int64(), "n": pa.int64(), "a": pa.string(), "b": pa.string()}, lambda: _encoder(shared, pattern))
+    return done.select(F.col("id").alias(id_col), F.col("n").alias("n_tokens"), F.col("a").alias("ids_sha256"), F.col("b").alias("decoded_sha256"))

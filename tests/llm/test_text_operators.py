@@ -142,6 +142,8 @@ def test_bpe_round_trip(spark, reference):
     rows = bpe.round_trip(table(spark, docs), RANKS, public_tokenizers.PATTERN).collect()
     want = sorted((str(i), len(x := reference.encode_ordinary(t or "")), hashlib.sha256(np.array(x, "<u4").tobytes()).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest()) for i, t in docs)
     assert sorted((str(a["doc_id"]), a["n_tokens"], a["ids_sha256"], a["decoded_sha256"]) for a in rows) == want
+    back = bpe.decode(bpe.encode(table(spark, docs), RANKS, public_tokenizers.PATTERN), RANKS).collect()
+    assert sorted((str(a["doc_id"]), bytes(a["bytes"]).decode()) for a in back) == sorted((str(i), t or "") for i, t in docs)
 
 
 def test_fold_by_expressions_equals_the_library(spark, reference):
