@@ -30,7 +30,7 @@ def terms(text: Column) -> Column:
 
 def _slots(hashes: list[int]) -> list[int | None]:
     """A table in which each hash stands at one of the two places that its lower and its upper half name."""
-    size = 1 << max(4, (3 * len(hashes)).bit_length())
+    size = 1 << max(4, (2 * len(hashes)).bit_length())
     while True:
         table: list[int | None] = [None] * size
         for x in hashes:
@@ -174,12 +174,11 @@ def edited(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     small_batches(docs.sparkSession)
     lex = lexicon(docs, text_col)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    rows = _neighbours(rows)
+    rows = _neighbours(_print(rows, "text", "a_", lex))  # the next document's print comes along with its text
     n = F.length("text")
     m = F.floor(n / 3).cast("int")
-    rows = rows.withColumn("chars", n.cast("long")).withColumn("edited", F.concat(F.substring("text", F.lit(1), n - m), F.substring(F.col("next.text"), F.lit(1), m))).withColumn("follows", F.col("next.text")).drop("next")
-    rows = rows.withColumn("sha", F.sha2(F.col("edited"), 256))
-    for text, prefix in (("text", "a_"), ("edited", "b_"), ("follows", "c_")):
-        rows = _print(rows, text, prefix, lex)
+    rows = rows.withColumn("chars", n.cast("long")).withColumn("edited", F.concat(F.substring("text", F.lit(1), n - m), F.substring(F.col("next.text"), F.lit(1), m)))
+    rows = rows.withColumn("sha", F.sha2(F.col("edited"), 256)).withColumn("c_n", F.col("next.a_n")).withColumn("c_parts", F.col("next.a_parts")).drop("next")
+    rows = _print(rows, "edited", "b_", lex)
     c = F.col
     return rows.select(c("id").alias(id_col), c("chars").alias("n_chars"), c("sha").alias("edited_sha256"), shown(c("a_n"), c("a_parts")).alias("fingerprint"), shown(c("b_n"), c("b_parts")).alias("edited_fingerprint"), likeness(c("a_n"), c("a_parts"), c("b_n"), c("b_parts")).alias("near_edited"), likeness(c("a_n"), c("a_parts"), c("c_n"), c("c_parts")).alias("near_next"))
