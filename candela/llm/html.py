@@ -252,16 +252,19 @@ def labelled_page(r: random.Random) -> tuple[str, list[int]]:
         out.append(a)
         if kind == "menu":
             for _ in range(r.randint(2, 9)):
-                put("li" if tag in ("ul", "menu") or r.random() < 0.7 else "div", link(words(1, 3, 0.1)), 0)
+                put("li" if tag in ("ul", "menu") or r.random() < 0.7 else "div", link(words(1, 3, 0.1)) if name == "div" or r.random() < 0.8 else words(1, 20, 0.4), 0)
         elif kind == "header":
             for _ in range(r.randint(1, 3)):
-                put(r.choice(("h1", "h2", "p", "div")), words(1, 8, 0.3) if name != "div" else link(words(1, 4, 0.1)), 0)
+                put(r.choice(("h1", "h2", "p", "div")), words(1, 30, 0.5) if name != "div" else link(words(1, 4, 0.1)), 0)
         elif kind == "footer":
             for _ in range(r.randint(1, 3)):
-                put(r.choice(("p", "div")), r.choice(("&copy; ", "Copyright 2020 ", "")) + words(2, 12, 0.6) if name != "div" else "&copy; " + words(2, 8), 0)
+                put(r.choice(("p", "div")), r.choice(("&copy; ", "Copyright 2020 ", "")) + words(2, 50, 0.7) if name != "div" else "&copy; " + words(2, 8), 0)
+            if name != "div" and r.random() < 0.5:
+                out.append("&copy; " + words(1, 30, 0.7) + " &middot; " + words(1, 50))
+                labels.append(0)
         elif kind == "sidebar":
             for _ in range(r.randint(1, 6)):
-                put(r.choice(("li", "p", "h3", "div")), link(words(2, 9, 0.2)) if r.random() < 0.6 else words(2, 25, 0.6), 0)
+                put(r.choice(("li", "p", "h3", "div")), link(words(2, 9, 0.2)) if r.random() < 0.6 else words(2, 60, 0.7), 0)
         elif kind in ("notice", "advert"):
             for _ in range(r.randint(1, 3)):
                 if tag == "p" or r.random() < 0.4:
@@ -271,7 +274,7 @@ def labelled_page(r: random.Random) -> tuple[str, list[int]]:
                 put(r.choice(("p", "div", "h3")), words(2, 40), 0)
         elif kind == "form":
             for _ in range(r.randint(1, 4)):
-                put(r.choice(("label", "p", "button", "legend", "option", "div")), words(1, 10, 0.3), 0)
+                put(r.choice(("label", "p", "button", "legend", "option", "div")), words(1, 30, 0.4), 0)
         elif kind == "comments":
             put(r.choice(("h2", "h3")), words(1, 3, 0), 0)
             for _ in range(r.randint(1, 6)):
