@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from candela.llm.common import keep
+from candela.llm.common import keep, smallest
 
 #: The model is fitted on at most so many vectors, those with the smallest hashes of their ids; every vector is indexed.
 SAMPLE = 16_384
@@ -172,7 +172,7 @@ def nearest(vectors: DataFrame, is_query, id_col: str = "vec_id", vector_col: st
         return spark.createDataFrame([], RESULT)
     d, total = size
     rows = rows.filter(F.size("x") == d)
-    some = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("x").toArrow()
+    some = smallest(rows, ["vec_id"], sample, total).select("x").toArrow()
     model = fit(_vectors(some["x"], d).astype(np.float64), total, lists, coverage=coverage, top=top)
     shared = spark.sparkContext.broadcast(model)  # centroids and codebooks: their size doesn't depend on the rows
 

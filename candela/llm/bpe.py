@@ -112,9 +112,17 @@ def fold_words(words: DataFrame, ranks: Ranks, word_col: str = "word") -> DataFr
 
 
 def frequent_words(docs: DataFrame, pattern: str, text_col: str = "text", words: int = FREQUENT) -> DataFrame:
-    """The corpus's most frequent words of at most LONG bytes, ties by the word: word, n."""
+    """The corpus's most frequent words of at most LONG bytes: all that occur so often that there are `words` of them at
+    most. A histogram of the counts gives that limit, so nothing is sorted and no task meets all words."""
     found = docs.select(F.explode(F.regexp_extract_all(F.col(text_col).cast("string"), F.lit(pattern), F.lit(0))).alias("word"))
-    return found.filter(F.octet_length("word") <= LONG).groupBy("word").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "word").limit(words)
+    counts = keep(found.filter(F.octet_length("word") <= LONG).groupBy("word").agg(F.count("*").alias("n")), "counts")
+    by_count = counts.groupBy("n").agg(F.count("*").alias("k")).toArrow()  # a row for each different count
+    least, left = 1 << 62, words
+    for n, k in sorted(zip(by_count["n"].to_pylist(), by_count["k"].to_pylist()), reverse=True):
+        if k > left:
+            break
+        least, left = n, left - k
+    return counts.filter(F.col("n") >= least)
 
 
 class _Memo(dict):

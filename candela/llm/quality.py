@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from candela.llm.common import keep, lookup
+from candela.llm.common import keep, lookup, smallest
 
 #: The document classifier is fitted on at most so many labelled rows, those with the smallest hashes of their ids.
 SAMPLE = 20_000
@@ -112,7 +112,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     rows = keep(_described(rows, "__text").drop("__text"), "features")
     told = keep(told, "labels")
     rows = keep(lookup(rows, told, "__id", "__one", [F.xxhash64("__id", "__site", "__x")], 0).drop("__one"), "evidence")
-    some = rows.filter("__label is not null").orderBy(F.xxhash64("__id"), "__id", "__x", "__site").limit(sample).select("__x", "__label").toArrow()
+    some = smallest(rows.filter("__label is not null"), ["__id", "__site", "__x"], sample, told.count()).select("__x", "__label").toArrow()
     x = some["__x"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, len(FEATURES)) if some.num_rows else np.zeros((0, len(FEATURES)))
     y = (some["__label"].to_numpy() >= 0.5).astype(float)
     if len(set(y.tolist())) == 2:
