@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from candela.llm.common import arrow_map, keep, slices, small_batches
+from candela.llm.common import arrow_map, keep, slices, small_batches, smallest
 
 #: Subsequences of this many letters count, each gap or letter that one spans by this factor.
 ORDER, DECAY = 3, 0.5
@@ -20,8 +20,10 @@ WIDTH = 8.0
 #: Letters of a window; longer words are cut into windows that overlap by half.
 WINDOW = 16
 LANDMARKS, CLEAN_LANDMARKS = 28, 4
-#: Letters of the stems that are judged along with whole words.
-STEMS = (4, 5)
+#: Letters (and the mark) of the stems that are judged along with whole words.
+STEMS = (4, 5, 6, 7, 8, 9)
+#: Share of what follows clean words up to which a stem or word may be told for an insult.
+CLEAN_SHARE = 0.05
 #: At most so many documents of either label, and sentences of these, are learnt from: those with the smallest hashes.
 #: Sentences of more characters aren't.
 DOCUMENTS = 4_000
@@ -32,11 +34,14 @@ NEGATIVES, POOL = 4_000, 60_000
 CACHE = 400_000
 #: Buckets of pairs of letters, and the share of a landmark's pairs that a word needs to be compared with it.
 BUCKETS, SHARE = 1024, 0.5
+#: What a clean word above the threshold costs against the share of insults below it.
+FALSE_COST = 500.0
 #: The margin of what has no window.
 NONE = -1e9
 #: Words whose kernels are taken at a time.
 TILE = 64
 FOLDS = 5
+START = "^"
 WORD = re.compile(r"[^\W\d_]+")
 #: Runs of single letters with marks or spaces between: a word spelt out.
 SPELT = re.compile(r"(?<![^\W\d_])[^\W\d_](?:[\W_]{1,3}[^\W\d_](?![^\W\d_])){2,}")
@@ -49,11 +54,12 @@ def _cut(word: str) -> list[str]:
 
 
 def token_windows(token: str) -> set[str]:
-    """The windows of what stands between white space: its words, and the word that marks between letters break up."""
+    """The windows of what stands between white space: its words, and the word that marks between letters break up. A
+    window that a word begins with starts with a mark, which counts as a letter: how words begin tells much."""
     found = set(WORD.findall(token))
     if MARKED.search(token):
         found.update(GAP.sub("", x) for x in MARKED.findall(token))
-    return {x for w in found for x in _cut(w)}
+    return {START + x if i == 0 else x for w in found for i, x in enumerate(_cut(w))}
 
 
 def tokens(text: str) -> set[str]:
@@ -225,6 +231,23 @@ def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, c: float = 10.0, roun
     return w[:-1], float(w[-1])
 
 
+def _contexts(sentences: list[str]) -> dict[str, int]:
+    """How many different words each window, and each stem (marked by a hyphen), follows."""
+    seen: set[tuple[str, str]] = set()
+    for x in sentences:
+        before = ""
+        for token in x.lower().split():
+            for w in token_windows(token):
+                seen.add((before, w))
+                seen.update((before, w[:k] + "-") for k in STEMS if len(w) >= k)
+            before = token
+        seen.update(("", w) for w in windows(x))
+    out: dict[str, int] = {}
+    for _, w in seen:
+        out[w] = out.get(w, 0) + 1
+    return out
+
+
 def train(toxic: list[str], clean: list[str]) -> Machine | None:
     """toxic, clean: sentences of documents so labelled. None where no word tells them apart."""
     clean_set = set(clean)
@@ -232,24 +255,42 @@ def train(toxic: list[str], clean: list[str]) -> Machine | None:
     clean = sorted(clean_set)
     if not toxic or not clean:
         return None
-    bad: dict[str, int] = {}
-    good: dict[str, int] = {}
-    for sentences, counts in ((toxic, bad), (clean, good)):
-        for x in sentences:
-            found = windows(x)
-            for w in {*found, *(w[:k] + "-" for w in found for k in STEMS if len(w) > k)}:
-                counts[w] = counts.get(w, 0) + 1
-    share = len(toxic) / (len(toxic) + len(clean))
-    told = {w: _tail(t, t + good.get(w, 0), share) for w, t in bad.items() if t >= 3 and len(w) >= ORDER and t / (t + good.get(w, 0)) > (1 + share) / 2}
+    # a word counts once for each word it follows: insults stand anywhere, while words of a text that was copied with
+    # small changes keep their neighbours and would else look telling
+    bad, good = _contexts(toxic), _contexts(clean)
+    share = sum(bad.values()) / (sum(bad.values()) + sum(good.values()))
     limit = -np.log(1000.0 * max(1, len(bad)))
-    stems = {w for w, p in told.items() if p < limit and w[-1] == "-" and good.get(w, 0) <= 0.01 * bad[w]}
-    bad, good = ({w: n for w, n in x.items() if w[-1:] != "-"} for x in (bad, good))
-    suspects = {w for w in bad if told.get(w, 0.0) < limit or w not in good and any(w[:k] + "-" in stems for k in STEMS)}
-    told = {w: told.get(w, 0.0) for w in {*suspects, *told} if w in bad}
-    insults = sorted(suspects, key=lambda w: (told[w], -bad[w], w))
+    sure = lambda w: bad[w] >= 3 and good.get(w, 0) <= CLEAN_SHARE * bad[w] and _tail(bad[w], bad[w] + good.get(w, 0), share) < limit
+    stems: list[str] = []
+    for x in sorted((w[:-1] for w in bad if w[-1:] == "-" and sure(w)), key=lambda w: (len(w), w)):
+        if not any(x.startswith(y) for y in stems):
+            stems.append(x)
+    words = {w: n for w, n in bad.items() if w[-1:] != "-" and len(w) > ORDER}
+    roots: dict[str, int] = {}
+    for x in stems:  # as far as nearly all of a stem's words go together: what a single insult begins with is that insult
+        of = [w for w in words if w.startswith(x)]
+        weight = sum(words[w] for w in of)
+        while of:
+            most: dict[str, int] = {}
+            for w in of:
+                if len(w) > len(x):
+                    most[w[len(x)]] = most.get(w[len(x)], 0) + words[w]
+            c = max(sorted(most), key=most.get, default="")
+            if not c or most[c] < 0.9 * weight:
+                break
+            x += c
+            of = [w for w in of if w.startswith(x)]
+        roots[x] = max(roots.get(x, 0), weight)
+    began = tuple(sorted(roots))
+    # a word is no insult if clean words begin like it: chance makes some of many alike words look telling
+    alike = lambda w: good.get(w[:7] + "-", 0) <= CLEAN_SHARE * bad.get(w[:7] + "-", 0) if len(w) > 7 else True
+    insults = sorted((w for w in words if sure(w) and alike(w) or began and w.startswith(began) and w not in good), key=lambda w: (-words[w], w))
     if not insults:
         return None
     insults = insults[:2000]
+    told = {**{w: words[w] for w in insults}, **roots}
+    good = {w: n for w, n in good.items() if w[-1:] != "-"}
+    insults = sorted(told, key=lambda w: (-told[w], w))
     own = self_kernel(insults)
     marks: list[int] = []
     for i in range(len(insults)):  # the most telling words that aren't much like one chosen before
@@ -259,18 +300,18 @@ def train(toxic: list[str], clean: list[str]) -> Machine | None:
             marks.append(i)
     rank = lambda w: (zlib.crc32(w.encode("utf-8", "surrogatepass")), w)
     common = sorted(sorted(good, key=lambda w: (-good[w], w))[: 4 * CLEAN_LANDMARKS], key=rank)
-    names = [insults[i] for i in marks] + [w for w in common if len(w) >= ORDER][:CLEAN_LANDMARKS]
+    names = [insults[i] for i in marks] + [w for w in common if len(w) > ORDER][:CLEAN_LANDMARKS]
     own = self_kernel(names)
     base = _sharp(kernel(names, names).astype(np.float64) / np.sqrt(own[:, None] * own[None, :]))
     values, vectors = np.linalg.eigh(base)
     root = vectors / np.sqrt(np.maximum(values, 1e-4)) @ vectors.T
     machine = Machine(names, len(marks), own, np.zeros(len(names)), 0.0, 1.0, 0.0)
-    pool = sorted((w for w in good if w not in told and len(w) >= ORDER), key=rank)[:POOL]
+    pool = sorted((w for w in good if w not in told and len(w) > ORDER), key=rank)[:POOL]
     close = machine.similar(pool)
     hard = np.argsort(-close[:, : len(marks)].max(axis=1, initial=0), kind="stable")[:NEGATIVES]
     yes, no = machine.similar(insults) @ root, close @ root
     kept = np.unique(np.concatenate([hard, np.arange(min(len(pool), NEGATIVES))]))
-    seen = np.sqrt([bad[w] for w in insults])
+    seen = np.sqrt([told[w] for w in insults])
     seen /= seen.sum()
     for _ in range(4):  # with the clean words that the last machine got wrong
         x = np.vstack([yes, no[kept]]).astype(np.float64)
@@ -283,13 +324,16 @@ def train(toxic: list[str], clean: list[str]) -> Machine | None:
         kept = more
     machine.weights = root @ w
     m_bad, m_good = machine.margins(insults), no @ w + machine.bias
-    by = np.argsort(m_bad, kind="stable")
-    low = float(m_bad[by][np.searchsorted(np.cumsum((seen**2)[by]), 0.05 * (seen**2).sum())])  # all but a twentieth of the evidence lies above
-    high = float(m_good.max())
-    if high >= low:
-        high = float(np.quantile(m_good, 1 - 1e-4))
-    machine.slope = float(8 / max(0.25, abs(low - high)))
-    machine.offset = float(-machine.slope * (0.6 * low + 0.4 * high))
+    # the threshold that loses least: evidence of insults below it, and clean words above it, which are in many texts
+    by_bad, by_good = np.argsort(m_bad, kind="stable"), np.sort(m_good)
+    lost = np.cumsum((seen**2)[by_bad]) / (seen**2).sum()
+    cuts = np.linspace(min(0.0, float(m_bad.min())), float(m_bad.max()), 400)
+    missed = np.concatenate([[0.0], lost])[np.searchsorted(m_bad[by_bad], cuts)]
+    wrong = 1 - np.searchsorted(by_good, cuts) / len(by_good)
+    loss = missed + FALSE_COST * wrong
+    best = cuts[loss <= loss.min() + 1e-12]
+    machine.slope = float(8 / max(0.25, np.ptp(best)))
+    machine.offset = -machine.slope * float(best.mean())
     return machine
 
 
@@ -342,7 +386,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     told = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("label")).filter(F.col("id").isNotNull() & F.col("label").isin(0, 1))
     told = told.filter(~held_out(F.col("id"))).groupBy("id").agg(F.max("label").alias("label"))
     told = keep(told, "labels")
-    some = [told.filter(F.col("label") == k).orderBy(F.xxhash64("id"), "id").limit(documents) for k in (0, 1)]
+    count = {r["label"]: r["count"] for r in told.groupBy("label").count().collect()}
+    some = [smallest(told.filter(F.col("label") == k), ["id"], documents, count.get(k, 0)) for k in (0, 1)]
     told = F.broadcast(some[0].unionAll(some[1]))  # 2 * documents rows at most
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).filter("id is not null and text is not null")
     split = rows.join(told, "id").select("label", F.explode(F.split("text", r"[.!?\n]+")).alias("s")).select("label", F.trim("s").alias("s")).filter((F.length("s") >= ORDER) & (F.length("s") <= SENTENCE_CHARS))
