@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -27,20 +27,26 @@ BLOCKS = 6
 CHUNK = 1 << 15
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
-    """64-bit SimHash of the whole text, as an unsigned number; null and wordless texts give 0."""
+def shingle_hashes(text: str | None, shingle: int = SHINGLE) -> list[int]:
+    """A hash for each run of so many words; a text of fewer words is one run, and wordless texts have none."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()  # of bytes: lowers A-Z, splits at \\x20 and \\x09-\\x0d
     if not words:
-        return 0
+        return []
     line, ends, at = b" ".join(words), [], -1
     for w in words:
         at += len(w) + 1
         ends.append(at)
     if len(words) <= shingle:
-        hashes = [xxhash.xxh64_intdigest(line, SEED)]
-    else:
-        starts = [0, *(x + 1 for x in ends)]
-        hashes = [xxhash.xxh64_intdigest(line[a:b], SEED) for a, b in zip(starts, ends[shingle - 1 :])]
+        return [xxhash.xxh64_intdigest(line, SEED)]
+    starts = [0, *(x + 1 for x in ends)]
+    return [xxhash.xxh64_intdigest(line[a:b], SEED) for a, b in zip(starts, ends[shingle - 1 :])]
+
+
+def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
+    """64-bit SimHash of the whole text, as an unsigned number; null and wordless texts give 0."""
+    hashes = shingle_hashes(text, shingle)
+    if not hashes:
+        return 0
     h, ones = np.array(hashes, np.uint64), np.zeros(64, np.int64)
     for i in range(0, len(h), CHUNK):
         part = h[i : i + CHUNK].astype("<u8").view(np.uint8).reshape(-1, 8)
@@ -124,15 +130,15 @@ def fingerprinted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return arrow_map(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")), step, "id long, fp long", {"id": pa.int64(), "fp": pa.int64()})
 
 
-def classes(rows: DataFrame, bits: int = BITS) -> DataFrame:
-    """rows (id, fp; a kept table) -> fp, n (its rows), root (the least fingerprint of its component), component_id (the
+def classes(rows: DataFrame, linked: Callable[[DataFrame], DataFrame] = links) -> DataFrame:
+    """rows (id, fp; a kept table), links of distinct fps -> fp, n (its rows), root (the least fingerprint of its component), component_id (the
     component's least id)."""
     distinct = keep(rows.groupBy("fp").agg(F.min("id").alias("least"), F.count("*").alias("n")), "distinct")
-    roots = components(links(distinct, "fp", bits))
-    linked = keep(roots.select(F.col("node").alias("fp"), "root").unionAll(roots.select(F.col("root").alias("fp"), "root").distinct()).join(distinct, "fp"), "linked")
-    found = keep(linked.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("members")), "classes")
-    named = lookup(linked.select("fp", "root", "n"), found, "root", "members", [F.col("fp")])
-    alone = distinct.join(linked.select("fp"), "fp", "left_anti").select("fp", "n", F.col("fp").alias("root"), F.col("least").alias("component_id"))
+    roots = components(linked(distinct))
+    joined = keep(roots.select(F.col("node").alias("fp"), "root").unionAll(roots.select(F.col("root").alias("fp"), "root").distinct()).join(distinct, "fp"), "linked")
+    found = keep(joined.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("members")), "classes")
+    named = lookup(joined.select("fp", "root", "n"), found, "root", "members", [F.col("fp")])
+    alone = distinct.join(joined.select("fp"), "fp", "left_anti").select("fp", "n", F.col("fp").alias("root"), F.col("least").alias("component_id"))
     return keep(alone.unionByName(named.select("fp", "n", "root", "component_id")), "components")
 
 
@@ -145,7 +151,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Other columns are ignored, whatever their names. An empty table gives no rows.
     """
     rows = keep(fingerprinted(docs, id_col, text_col, shingle), "fingerprints")
-    out = lookup(rows, classes(rows, bits).drop("root"), "fp", "n", [F.col("id"), F.col("fp")])
+    out = lookup(rows, classes(rows, lambda x: links(x, bits=bits)).drop("root"), "fp", "n", [F.col("id"), F.col("fp")])
     return out.select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
@@ -156,7 +162,12 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Fingerprints are taken twice, for the components and beside the rows, which costs less than a copy of all texts.
     """
     rows = keep(fingerprinted(docs, id_col, text_col, shingle), "fingerprints")
-    found = classes(rows, bits)
+    found = classes(rows, lambda x: links(x, bits=bits))
+    return keep_least(docs, rows, found, lambda x: int(np.uint64(fingerprint(x, shingle)).view(np.int64)), id_col, text_col)
+
+
+def keep_least(docs: DataFrame, rows: DataFrame, found: DataFrame, mark: Callable[[str | None], int], id_col: str, text_col: str) -> DataFrame:
+    """docs but for all rows of each of the found classes save the first; mark: a text's fp, as in rows (id, fp)."""
     least = F.col("id").eqNullSafe(F.col("component_id"))
     tied = lookup(rows, found, "fp", "n", [F.col("id"), F.col("fp")]).filter(least).groupBy("root").agg(F.count("*").alias("n")).filter("n > 1").limit(1).count()
     fp, place = free_name(docs, "__fp"), docs.columns.index(text_col)
@@ -164,8 +175,8 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            fps = np.array([fingerprint(x, shingle) for x in batch.column(place).to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fps.view(np.int64))], names=[*batch.schema.names, fp])
+            fps = pa.array([mark(x) for x in batch.column(place).to_pylist()], pa.int64())
+            yield pa.RecordBatch.from_arrays([*batch.columns, fps], names=[*batch.schema.names, fp])
 
     told = docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(fp, T.LongType())]))
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
