@@ -1,4 +1,4 @@
-"""Line dedup by content-defined chunks of lines, in DataFrame operations alone."""
+"""Line dedup by the shortest passages that begin or end at each line, in DataFrame operations alone."""
 
 from __future__ import annotations
 
@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 from candela.llm.common import keep, lookup
 
-#: Chunkings by (seed, one cut in so many places): long chunks first, then finer ones with cuts elsewhere.
-CHUNKINGS = ((11, 16), (12, 4), (13, 2), (14, 2))
 #: Least words of a chunk of several lines, and of a single line.
 CHUNK_WORDS, LINE_WORDS = 20, 50
 
@@ -22,14 +20,24 @@ def _words(line: Column) -> Column:
     return F.length(line) - F.length(F.translate(line, " ", "")) + F.when(F.length(F.trim(line)) > 0, 1).otherwise(0)
 
 
+def _passage(around: Column, chunk_words: int) -> Column:
+    """The first lines of around that are two or more and have chunk_words or more; null if there are too few."""
+    none = F.struct(F.lit(0).alias("k"), F.lit(0).cast("long").alias("words"))
+    longer = lambda a, x: F.when((a.k >= 2) & (a.words >= chunk_words), a).otherwise(F.struct((a.k + 1).alias("k"), (a.words + x.words).alias("words")))
+    found = F.aggregate(around, none, longer)
+    return F.when((found.k >= 2) & (found.words >= chunk_words), F.slice(around, F.lit(1), found.k))
+
+
 def repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk_words: int = CHUNK_WORDS, line_words: int = LINE_WORDS) -> DataFrame:
     """key, first, last: for each row that holds them, the line ranges that repeat an earlier place of the corpus.
 
-    A chunk that repeats consists of lines that repeat, so lines found once cut the text anyway, and what is left are runs
-    of repeated lines. In these a rolling hash over the hashes of the two lines about a place decides whether it is a cut;
-    as only nearby lines decide, text before a passage doesn't shift its chunks. Several chunkings make up for cuts inside
-    short passages. Chunks are compared by their bytes before they count as equal. Of equal chunks the first in the order
-    of id and line stays; a null id comes first.
+    A passage that repeats consists of lines that repeat, so lines found once cut the text, and what is left are runs of
+    repeated lines. At each line of a run that isn't empty, the shortest chunk that begins there and the shortest that ends
+    there are taken, and each line of line_words or more alone. Every repeated passage is the union of such chunks inside
+    it, whatever stands beside it: a line from which a chunk would leave the passage is in the chunk that ends the passage.
+    All lines of the chunks are compared by their bytes before they count as equal. Of equal chunks the first in the order
+    of id and line stays, a null id coming first, and so do those that overlap it, or each other from it on: a line that
+    follows itself is no repeated passage.
     """
     named = docs.filter(F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     named = named.withColumn("key", _key("id", "text"))
@@ -40,35 +48,44 @@ def repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # a document's lines meet in one task, and no more than that; the copies of a repeated row count as one here
     marked = marked.repartition(F.col("key")).groupBy("key", "pos", "id", "h", "words").agg(F.count("*").alias("rows"))
     by = Window.partitionBy("key").orderBy("pos")
-    rolling = F.xxhash64(F.lag("h").over(by), F.col("h"))
     apart = F.coalesce(F.col("pos") != F.lag("pos").over(by) + 1, F.lit(True))
-    marked = marked.withColumn("rolling", rolling).withColumn("apart", apart)
-    for i, (seed, every) in enumerate(CHUNKINGS):
-        cut = F.when(F.col("apart") | (F.pmod(F.xxhash64(F.lit(seed), F.col("rolling")), F.lit(every)) == 0), 1).otherwise(0)
-        marked = marked.withColumn(f"c{i}", F.sum(cut).over(by))
-    split = marked.select("key", "id", "pos", "h", "words", "rows", F.posexplode(F.array(*[F.col(f"c{i}") for i in range(len(CHUNKINGS))])).alias("chunking", "c"))
-    chunks = split.groupBy("key", "chunking", "c").agg(F.first("id").alias("id"), F.max("rows").alias("rows"), F.min("pos").alias("first"), F.max("pos").alias("last"), F.sum("words").alias("words"), F.sort_array(F.collect_list(F.struct("pos", "h"))).alias("hs"))
-    chunks = chunks.filter((F.col("last") > F.col("first")) & (F.col("words") >= chunk_words) | (F.col("words") >= line_words))
-    hs = F.transform("hs", lambda x: x.h)
-    chunks = chunks.groupBy("key", "first", "last").agg(F.first("id").alias("id"), F.max("rows").alias("rows"), F.first(F.concat(F.hex(F.xxhash64(hs)), F.hex(F.xxhash64(F.lit(1), hs)))).alias("chunk"))
-    chunks = keep(chunks, "chunks")
+    marked = marked.withColumn("apart", apart).withColumn("run", F.sum(F.col("apart").cast("long")).over(by))
+    # lines of a word or more, so that a chunk has at most `most` of them; the empty ones between follow from the places
+    most = max(2, chunk_words)
+    run = Window.partitionBy("key", "run").orderBy("pos")
+    line = F.struct("pos", "h", "words")
+    marked = marked.filter("words > 0").withColumn("after", F.collect_list(line).over(run.rowsBetween(0, most - 1)))
+    marked = marked.withColumn("until", F.reverse(F.collect_list(line).over(run.rowsBetween(1 - most, 0))))
+    alone = F.when(F.col("words") >= line_words, F.array(line))
+    chunks = marked.withColumn("ways", F.array(_passage(F.col("after"), chunk_words), F.reverse(_passage(F.col("until"), chunk_words)), alone))
+    chunks = chunks.select("key", "id", F.explode(F.array_distinct(F.filter("ways", lambda x: x.isNotNull()))).alias("way"))
+    chunks = chunks.select("key", "id", F.get("way", F.lit(0)).pos.alias("first"), F.element_at("way", -1).pos.alias("last"), "way")
+    hs = F.transform("way", lambda x: F.struct((x.pos - F.col("first")).alias("at"), x.h.alias("h")))
+    chunks = chunks.select("key", "id", "first", "last", F.concat(F.hex(F.xxhash64(hs)), F.hex(F.xxhash64(F.lit(1), hs))).alias("chunk")).distinct()
+    equals = Window.partitionBy("key", "chunk").orderBy("first")
+    chunks = chunks.withColumn("beyond", F.coalesce(F.col("first") > F.lag("last").over(equals), F.lit(False)))
+    chunks = keep(chunks.withColumn("beyond", F.max("beyond").over(equals)), "chunks")
     place = F.struct("id", "key", "first")
     many = keep(chunks.groupBy("chunk").agg(F.count("*").alias("n"), F.min(place).alias("origin")).filter("n > 1"), "candidates")
     found = keep(lookup(chunks, many, "chunk", "n", [F.col("key"), F.col("first")]).filter("origin is not null"), "found")
-    # the bytes: each candidate's text, cut from its document
-    spans = found.groupBy("key").agg(F.collect_set(F.struct("first", "last", "chunk")).alias("spans"))
-    texts = named.join(spans.hint("merge"), "key").select(F.split("text", "\n", -1).alias("lines"), F.explode("spans").alias("s"))
-    texts = texts.select("s.chunk", F.array_join(F.slice("lines", F.col("s.first") + 1, F.col("s.last") - F.col("s.first") + 1), "\n").alias("text"))
-    equal = texts.groupBy("chunk").agg(F.count("*").alias("n"), F.min("text").alias("a"), F.max("text").alias("b")).filter("a = b").select("chunk", "n", F.lit(True).alias("same"))
-    sure = lookup(found, keep(equal, "equal"), "chunk", "n", [F.col("key"), F.col("first")])
-    return keep(sure.filter(F.col("same") & (F.col("origin") != place)).select("key", "first", "last"), "repeats")
+    # the bytes: lines of found chunks that share a hash; a line of one hash and other bytes takes its chunks along
+    spans = found.groupBy("key").agg(F.array_distinct(F.flatten(F.collect_set(F.sequence("first", "last")))).alias("at"))
+    texts = named.join(spans.hint("merge"), "key").select(F.split("text", "\n", -1).alias("lines"), F.explode("at").alias("at"))
+    texts = texts.select(F.get("lines", F.col("at")).alias("line")).groupBy(F.xxhash64("line").alias("h")).agg(F.min("line").alias("a"), F.max("line").alias("b"))
+    unlike = keep(texts.filter("a != b").select("h"), "unlike")
+    sure = found
+    if unlike.limit(1).count():
+        bad = lines.join(F.broadcast(unlike), "h").select("key", "pos")
+        sure = found.join(bad, (found["key"] == bad["key"]) & F.col("pos").between(F.col("first"), F.col("last")), "left_anti")
+    return keep(sure.filter((F.col("origin.key") != F.col("key")) | F.col("beyond")).select("key", "first", "last"), "repeats")
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk_words: int = CHUNK_WORDS, line_words: int = LINE_WORDS) -> DataFrame:
     """docs with its columns, where text_col lacks the lines of chunks that occur earlier in the corpus, and with
     `__removed`, how many lines were removed.
 
-    A chunk is a run of lines of at least chunk_words words, or one line of at least line_words. A line stays at its
+    A chunk is a run of lines of at least chunk_words words, or one line of at least line_words; every such run that
+    stands in an earlier place goes, whatever lines are beside it. A line stays at its
     first place, since no chunk that holds it is found earlier. Null texts stay null and empty ones empty; a text all of
     whose lines are removed becomes empty. Rows with equal id and text are treated as one and stay alike. All rows
     stay, and columns may have any names but `__removed`. An empty table gives no rows.
