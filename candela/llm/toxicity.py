@@ -19,7 +19,7 @@ ORDER, DECAY = 3, 0.5
 WIDTH = 8.0
 #: Letters of a window; longer words are cut into windows that overlap by half.
 WINDOW = 16
-LANDMARKS, CLEAN_LANDMARKS = 28, 4
+CLEAN_LANDMARKS = 4
 #: Letters (and the mark) of the stems that are judged along with whole words.
 STEMS = (4, 5, 6, 7, 8, 9)
 #: Share of what follows clean words up to which a stem or word may be told for an insult.
@@ -287,17 +287,18 @@ def train(toxic: list[str], clean: list[str]) -> Machine | None:
     insults = sorted((w for w in words if sure(w) and alike(w) or began and w.startswith(began) and w not in good), key=lambda w: (-words[w], w))
     if not insults:
         return None
-    insults = insults[:2000]
     told = {**{w: words[w] for w in insults}, **roots}
     good = {w: n for w, n in good.items() if w[-1:] != "-"}
     insults = sorted(told, key=lambda w: (-told[w], w))
     own = self_kernel(insults)
     marks: list[int] = []
-    for i in range(len(insults)):  # the most telling words that aren't much like one chosen before
-        if len(marks) >= LANDMARKS - CLEAN_LANDMARKS:
-            break
+    for i in range(len(insults)):  # all telling words that aren't much like one chosen before
         if not marks or (kernel([insults[i]], [insults[k] for k in marks])[0] / np.sqrt(own[i] * own[marks])).max() < 0.6:
             marks.append(i)
+    left = np.nonzero(~near(insults, [insults[i] for i in marks]))[0]
+    while len(left):  # like one, but outside the part of the kernel that similar() takes
+        marks.append(int(left[0]))
+        left = left[1:][~near([insults[i] for i in left[1:]], [insults[marks[-1]]])]
     rank = lambda w: (zlib.crc32(w.encode("utf-8", "surrogatepass")), w)
     common = sorted(sorted(good, key=lambda w: (-good[w], w))[: 4 * CLEAN_LANDMARKS], key=rank)
     names = [insults[i] for i in marks] + [w for w in common if len(w) > ORDER][:CLEAN_LANDMARKS]
