@@ -45,7 +45,7 @@ START = "^"
 WORD = re.compile(r"[^\W\d_]+")
 #: Runs of single letters with marks or spaces between: a word spelt out.
 SPELT = re.compile(r"(?<![^\W\d_])[^\W\d_](?:[\W_]{1,3}[^\W\d_](?![^\W\d_])){2,}")
-MARKED = re.compile(r"[^\W\d_]+(?:[^\w\s|]+[^\W\d_]+)+")
+MARKED = re.compile(r"[^\W\d_]+(?:(?:[^\w\s|]|[\d_])+[^\W\d_]+)+")
 GAP = re.compile(r"[\W\d_]+")
 
 
@@ -54,7 +54,7 @@ def _cut(word: str) -> list[str]:
 
 
 def token_windows(token: str) -> set[str]:
-    """The windows of what stands between white space: its words, and the word that marks between letters break up. A
+    """The windows of what stands between white space: its words, and the word that marks, digits or underscores between letters break up. A
     window that a word begins with starts with a mark, which counts as a letter: how words begin tells much."""
     found = set(WORD.findall(token))
     if MARKED.search(token):

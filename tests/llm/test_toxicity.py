@@ -17,3 +17,9 @@ def test_every_learnt_insult_is_near_a_landmark():
     assert toxicity.near(marked, machine.marks[: machine.insults]).all()
     assert (machine.probability(machine.margins(marked)) > 0.5).all()
     assert (machine.probability(machine.margins([toxicity.START + x for x in plain])) < 0.5).mean() > 0.99
+
+
+def test_digits_and_underscores_are_gaps():
+    for x in ("id1iot", "idi_ot", "i1d1i1o1t", "id-iot", "i.d_i0ot"):
+        assert toxicity.START + "idiot" in toxicity.windows(f"you {x} there")
+    assert toxicity.START + "ab" not in toxicity.windows("a|b")
