@@ -1,9 +1,13 @@
-"""Toxicity: a support vector machine over a gap-weighted subsequence kernel, with Nyström landmarks."""
+"""Toxicity: a support vector machine over a gap-weighted subsequence kernel, with Nyström landmarks.
+
+Examples are the sentences of labelled documents, each with its document's label, learnt as bags of windows (multiple
+instances): a toxic sentence counts by its worst window, a clean one by all. Landmarks are windows drawn from these
+sentences. A document scores by how unlikely its words' margins are among the words of clean documents.
+"""
 
 from __future__ import annotations
 
 import re
-import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -13,33 +17,34 @@ from pyspark.sql import functions as F
 
 from candela.llm.common import arrow_map, keep, slices, small_batches, smallest
 
-#: Subsequences of this many letters count, each gap or letter that one spans by this factor.
-ORDER, DECAY = 3, 0.5
-#: Sharpness of the kernel.
-WIDTH = 8.0
-#: Letters of a window; longer words are cut into windows that overlap by half.
-WINDOW = 16
-CLEAN_LANDMARKS = 4
-#: Letters (and the mark) of the stems that are judged along with whole words.
-STEMS = (4, 5, 6, 7, 8, 9)
-#: Share of what follows clean words up to which a stem or word may be told for an insult.
-CLEAN_SHARE = 0.05
+#: Subsequences of up to this many letters count, each place that one skips by this factor.
+ORDER, DECAY = 3, 0.9
+#: Sharpness of the kernel; similarities below FLOOR count as none.
+WIDTH, FLOOR = 8.0, 0.01
+#: Letters of the shortest and the longest beginning of a word that is a window; the rest of longer words is cut into
+#: windows of the latter length that overlap by half.
+SHORT, LONG = 4, 8
+#: Landmarks: at most so many that lean to toxic sentences, and clean ones (the likest to these, and the commonest).
+LANDMARKS, CLEAN_LANDMARKS = 512, 24
+#: A window leans to toxic sentences if it is over its share there by this many standard deviations in either half of the
+#: documents. It becomes a landmark if at least SEVERAL toxic sentences, and TENTH of its own, hold none that leans more.
+LEAN, SEVERAL, TENTH = 4.0, 3, 0.1
+#: No two clean landmarks are as like as this.
+ALIKE = 0.9
 #: At most so many documents of either label, and sentences of these, are learnt from: those with the smallest hashes.
-#: Sentences of more characters aren't.
-DOCUMENTS = 4_000
-SENTENCES, SENTENCE_CHARS = 60_000, 1_000
-#: Clean words of either kind (any, and nearest to the landmarks) the machine starts with; words searched for more.
-NEGATIVES, POOL = 4_000, 60_000
-#: Tokens that a worker remembers; beyond that it starts anew.
-CACHE = 400_000
-#: Buckets of pairs of letters, and the share of a landmark's pairs that a word needs to be compared with it.
-BUCKETS, SHARE = 1024, 0.5
-#: What a clean word above the threshold costs against the share of insults below it.
-FALSE_COST = 500.0
-#: The margin of what has no window.
-NONE = -1e9
-#: Words whose kernels are taken at a time.
-TILE = 64
+DOCUMENTS, SENTENCES = 4_000, 60_000
+#: Words after which a sentence that no mark ends is cut for teaching, and characters after which an unbroken run is.
+SENTENCE_WORDS, RUN = 60, 512
+#: Rounds of choosing worst windows and fitting.
+ROUNDS = 4
+#: Weight of landmarks with a letter inserted, as further (virtual) toxic examples, against that of the sentences.
+VIRTUAL = 0.1
+#: Landmarks of smaller weight are left out.
+LIGHT = 0.02
+#: A clean document of its make shows as much evidence as one that scores 0.5 at most so often.
+CHANCE = 1 / 50
+#: Characters of the tokens a worker remembers (it then starts anew).
+CACHE = 8_000_000
 FOLDS = 5
 START = "^"
 WORD = re.compile(r"[^\W\d_]+")
@@ -47,32 +52,41 @@ WORD = re.compile(r"[^\W\d_]+")
 SPELT = re.compile(r"(?<![^\W\d_])[^\W\d_](?:[\W_]{1,3}[^\W\d_](?![^\W\d_])){2,}")
 MARKED = re.compile(r"[^\W\d_]+(?:(?:[^\w\s|]|[\d_])+[^\W\d_]+)+")
 GAP = re.compile(r"[\W\d_]+")
+EDGES = ".,;:!?()[]{}<>\"'-*_"
 
 
 def _cut(word: str) -> list[str]:
-    return [word] if len(word) <= WINDOW else [word[i : i + WINDOW] for i in range(0, len(word) - WINDOW // 2, WINDOW // 2)]
+    n = len(word)
+    out = [START + word[:k] for k in range(SHORT, min(n, LONG + 1))]
+    if n <= LONG:
+        out.append(START + word)
+    out += [word[i : i + LONG] for i in range(LONG // 2, n - LONG // 2, LONG // 2)]
+    return out
 
 
-def token_windows(token: str) -> set[str]:
-    """The windows of what stands between white space: its words, and the word that marks, digits or underscores between letters break up. A
-    window that a word begins with starts with a mark, which counts as a letter: how words begin tells much."""
-    found = set(WORD.findall(token))
-    if MARKED.search(token):
-        found.update(GAP.sub("", x) for x in MARKED.findall(token))
-    return {START + x if i == 0 else x for w in found for i, x in enumerate(_cut(w))}
+def token_windows(token: str) -> list[str]:
+    """The windows of what stands between white space: those of its words, and of the word that marks, digits or underscores
+    between letters break up. A window that a word begins with starts with a mark, which counts as a letter."""
+    if token.isalpha():
+        return _cut(token) if len(token) >= ORDER else []
+    found = WORD.findall(token)
+    if len(found) > 1 and MARKED.search(token):
+        found += [GAP.sub("", x) for x in MARKED.findall(token)]
+    return [x for w in found if len(w) >= ORDER for x in _cut(w)]
 
 
-def tokens(text: str) -> set[str]:
-    """What stands between white space, in lower case, and words spelt out letter by letter."""
+def tokens(text: str, distinct: bool = False) -> list[str]:
+    """What stands between white space, in lower case and order, without marks at its ends, then words spelt out letter by
+    letter. Runs of more than RUN characters come in pieces that overlap by LONG. distinct: mostly once each, in any order."""
     text = text.lower()
-    found = set(text.split())
-    if runs := SPELT.findall(text):
-        found.update(GAP.sub("", x) for x in runs)
+    found = text.split()
+    found = [t.strip(EDGES) for t in (set(found) if distinct else found)] + [GAP.sub("", x) for x in SPELT.findall(text)]
+    if len(text) > RUN and max(map(len, found), default=0) > RUN:
+        found = [t[i : i + RUN] for t in found for i in range(0, max(1, len(t) - LONG), RUN - LONG)]
     return found
 
 
 def windows(text: str) -> set[str]:
-    """Lower-case words of the text, and those that marks or spaces between letters break up; long words in windows."""
     return {w for t in tokens(text) for w in token_windows(t)}
 
 
@@ -80,136 +94,174 @@ def _codes(words: list[str], width: int) -> np.ndarray:
     return np.array([w.ljust(width, "\0") for w in words], f"<U{width}").view(np.uint32).reshape(len(words), width)
 
 
-def _steps(n: int, decay: float) -> np.ndarray:
-    """From place a to a later place b: the weight of the gap between."""
-    d = np.arange(n)[:, None] - np.arange(n)[None, :]
-    return np.where(d > 0, decay ** np.maximum(d - 1, 0), 0).astype(np.float32)
-
-
-def kernel(words: list[str], marks: list[str], order: int = ORDER, decay: float = DECAY) -> np.ndarray:
-    """Gap-weighted subsequence kernel of each word with each mark, all orders up to `order` summed.
-
-    common holds, for places i of a word and j of a mark, the weight of the common subsequences of q letters that end
-    there; the next order lengthens them by one letter, each place skipped on either side costing a factor decay.
-    """
-    out = np.zeros((len(words), len(marks)), np.float32)
-    widths = np.array([-(-len(m) // 3) * 3 for m in marks], int)
-    for wide in np.unique(widths[widths > 0]).tolist():  # marks of like length together
-        at = np.nonzero(widths == wide)[0]
-        out[:, at] = _kernel(words, [marks[i] for i in at], wide, order, decay)
-    return out
-
-
-def _kernel(words: list[str], marks: list[str], wide: int, order: int, decay: float) -> np.ndarray:
-    out = np.zeros((len(words), len(marks)), np.float32)
-    t = _codes(marks, wide)
-    after_t = _steps(wide, decay).T.copy()
+def _by_length(words: list[str], tile: int = 4096):
+    """Places of the words of each length, some at a time."""
     lengths = np.array([len(w) for w in words], int)
     for n in np.unique(lengths[lengths > 0]).tolist():
         at = np.nonzero(lengths == n)[0]
-        after_s = _steps(n, decay)
-        for i in range(0, len(at), TILE):
-            part = at[i : i + TILE]
-            s = _codes([words[k] for k in part], n)
-            same = ((s[:, :, None, None] == t[None, None, :, :]) & (t != 0)).astype(np.float32)  # word, i, mark, j
-            common, total = same, 0
-            for q in range(order):
-                if q:
-                    b = np.matmul(after_s, common.reshape(len(part), n, -1)).reshape(-1, wide)
-                    common = same * (b @ after_t).reshape(same.shape)
-                total = total + common.sum(axis=(1, 3))
-            out[part] = total
-    return out
+        for i in range(0, len(at), tile):
+            yield n, at[i : i + tile]
 
 
-def self_kernel(words: list[str], order: int = ORDER, decay: float = DECAY) -> np.ndarray:
-    out = np.ones(len(words), np.float32)
-    lengths = np.array([len(w) for w in words])
-    for n in np.unique(lengths):
-        if not n:
-            continue
-        at = np.nonzero(lengths == n)[0]
-        step = _steps(n, decay)
-        for i in range(0, len(at), 4096):
-            part = at[i : i + 4096]
-            s = _codes([words[k] for k in part], int(n))
-            same = (s[:, :, None] == s[:, None, :]).astype(np.float32)
-            common, total = same, 0
-            for q in range(order):
-                if q:
-                    common = same * (step @ common @ step.T)
-                total = total + common.sum(axis=(1, 2))
-            out[part] = total
-    return out
+class Landmarks:
+    """The marks' subsequences, spelt out: by letters (letter, pair, triple) the weight of each mark's occurrences.
 
+    The kernel of a word with all marks is then the sum, over the word's own subsequences, of their weight times that
+    row. Subsequences no mark has are row 0, so words that share little with any cost little.
+    """
 
-def _sharp(cosine: np.ndarray) -> np.ndarray:
-    """A Gaussian of the distance in the subsequence kernel's feature space: again a kernel, and one that parts words
-    which only share a few letters from those that share a stem."""
-    return np.exp(WIDTH * (cosine - 1))
+    def __init__(self, marks: list[str]):
+        self.marks = marks
+        self.letters = np.unique(np.array([ord(c) for m in marks for c in m], np.uint32))
+        size = len(self.letters) + 1
+        self.one, self.two = np.arange(size), np.zeros((size, size), np.int32)
+        rows: dict[tuple, dict[int, float]] = {(): {}}
+        three: dict[tuple, int] = {}
+        for m, mark in enumerate(marks):
+            c = self._ids(_codes([mark], len(mark)))[0].tolist()
+            n = len(c)
+            for i in range(n):
+                for key, w in [((c[i],), 1.0)] + [((c[i], c[j]), DECAY ** (j - i - 1)) for j in range(i + 1, n)] + [((c[i], c[j], c[k]), DECAY ** (k - i - 2)) for j in range(i + 1, n) for k in range(j + 1, n)]:
+                    row = rows.setdefault(key, {})
+                    row[m] = row.get(m, 0.0) + w
+        at = {key: i for i, key in enumerate(rows)}
+        self.weights = np.zeros((len(rows), len(marks)), np.float32)
+        for key, row in rows.items():
+            for m, w in row.items():
+                self.weights[at[key], m] = w
+        pairs = [k for k in at if len(k) == 2]
+        self.one = np.zeros(size, np.int32)
+        self.pair = np.zeros((size, size), np.int32)  # number of the pair, from 1
+        self.two, self.three = np.zeros(len(pairs) + 1, np.int32), np.zeros((len(pairs) + 1, size), np.int32)
+        for i, k in enumerate(pairs, 1):
+            self.pair[k], self.two[i] = i, at[k]
+        for k, row in at.items():
+            if len(k) == 1:
+                self.one[k[0]] = row
+            elif len(k) == 3:
+                self.three[self.pair[k[0], k[1]], k[2]] = row
+        self.own = self_kernel(marks)
+
+    def _ids(self, codes: np.ndarray) -> np.ndarray:
+        """Number of each letter among the marks' letters, from 1; 0 for others."""
+        at = np.minimum(np.searchsorted(self.letters, codes), max(0, len(self.letters) - 1))
+        return np.where(self.letters[at] == codes, at + 1, 0) if len(self.letters) else np.zeros(codes.shape, int)
+
+    def kernel(self, words: list[str]) -> np.ndarray:
+        """Gap-weighted subsequence kernel of each word with each mark, all orders up to ORDER summed.
+
+        Subsequences are added by the place they end at, so that a word's beginnings, where they are words here too, are
+        done on the way."""
+        out = np.zeros((len(words), len(self.marks)), np.float32)
+        order = sorted(range(len(words)), key=words.__getitem__)
+        whole = list(order)  # of each word in order, the longest that begins with it
+        for i in range(len(order) - 2, -1, -1):
+            if words[order[i + 1]].startswith(words[order[i]]):
+                whole[i] = whole[i + 1]
+        longest = np.unique(np.array(whole, int))
+        lengths, order, whole = np.array([len(w) for w in words], int), np.array(order, int), np.searchsorted(longest, whole)
+        for n, part in _by_length([words[k] for k in longest]):
+            row = np.full(len(longest), -1)
+            row[part] = np.arange(len(part))
+            inside = np.nonzero(row[whole] >= 0)[0] if len(part) < len(longest) else np.arange(len(whole))
+            s = self._ids(_codes([words[longest[k]] for k in part], n))
+            total = np.zeros((len(part), len(self.marks)), np.float32)
+
+            def add(rows: np.ndarray, weight: float) -> None:
+                hit = np.nonzero(rows)[0]
+                if len(hit):
+                    total[hit] += np.float32(weight) * self.weights[rows[hit]]
+
+            pairs: list[list[np.ndarray]] = []
+            for k in range(n):
+                add(self.one[s[:, k]], 1.0)
+                pairs.append([self.pair[s[:, i], s[:, k]] for i in range(k)])
+                for i in range(k):
+                    add(self.two[pairs[k][i]], DECAY ** (k - i - 1))
+                    for j in range(i + 1, k):
+                        add(self.three[pairs[j][i], s[:, k]], DECAY ** (k - i - 2))
+                done = inside[lengths[order[inside]] == k + 1]
+                out[order[done]] = total[row[whole[done]]]
+        return out
 
+    def similar(self, words: list[str]) -> np.ndarray:
+        """A Gaussian of the distance in the subsequence kernel's feature space: again a kernel, and one that parts words
+        which only share a few letters from those that share a stem. What comes out below FLOOR is set to 0."""
+        out = np.zeros((len(words), len(self.marks)), np.float32)
+        if not words or not self.marks:
+            return out
+        least = 1 + np.log(FLOOR) / WIDTH
+        k = self.kernel(words)
+        # a word's kernel with itself is at least the sum of its occurrences' squared weights, which only its length tells
+        low = np.array([1.0] + [_least_self(n) for n in range(1, max(len(w) for w in words) + 1)])[[len(w) for w in words]]
+        at = np.nonzero((k / np.sqrt(low[:, None] * self.own[None, :])).max(axis=1) >= least)[0]
+        close = [words[i] for i in at]
+        sharp = np.exp(WIDTH * (k[at] / np.sqrt(self_kernel(close)[:, None] * self.own[None, :]) - 1))
+        out[at] = np.where(sharp >= FLOOR, sharp, 0)
+        return out
 
-def _pairs(codes: np.ndarray, gap: int) -> list[np.ndarray]:
-    """Buckets of a word's pairs of letters at most so many places apart."""
-    return [(codes[:, :-g].astype(np.int64) * 131 + codes[:, g:]) % BUCKETS for g in range(1, gap + 1) if codes.shape[1] > g]
 
+def _least_self(n: int) -> float:
+    d = DECAY**2
+    return n + sum((n - g) * d ** (g - 1) for g in range(1, n)) + sum((n - g) * (g - 1) * d ** (g - 2) for g in range(2, n))
 
-def near(words: list[str], marks: list[str]) -> np.ndarray:
-    """Whether a word holds, in order and with at most one letter between, half of some mark's neighbouring letters."""
-    out = np.zeros(len(words), bool)
-    if not words or not marks:
-        return out
-    wanted = [np.unique(np.concatenate([x.ravel() for x in _pairs(_codes([m], len(m)), 1)] or [np.zeros(0, np.int64)])) for m in marks]
-    which = np.concatenate(wanted)
-    of = np.zeros((len(which), len(marks)), np.float32)
-    of[np.arange(len(which)), np.repeat(np.arange(len(marks)), [len(x) for x in wanted])] = 1
-    least = np.array([len(x) * SHARE for x in wanted], np.float32)
-    lengths = np.array([len(w) for w in words], int)
-    for n in np.unique(lengths[lengths > 1]).tolist():
-        at = np.nonzero(lengths == n)[0]
-        for i in range(0, len(at), 1024):
-            part = at[i : i + 1024]
-            held = np.zeros((len(part), BUCKETS), np.float32)
-            for x in _pairs(_codes([words[k] for k in part], n), 2):
-                held[np.arange(len(part))[:, None], x] = 1
-            out[part] = ((held[:, which] @ of) >= np.maximum(least, 1)).any(axis=1)
+
+def self_kernel(words: list[str]) -> np.ndarray:
+    """Kernel of each word with itself. common holds, for places i and j of the word, the weight of the common subsequences
+    of q letters that end there; the next order lengthens them by a letter, each place skipped on either side costing DECAY."""
+    out = np.ones(len(words), np.float32)
+    for n, part in _by_length(words):
+        d = np.arange(n)[:, None] - np.arange(n)[None, :]
+        step = np.where(d > 0, DECAY ** np.maximum(d - 1, 0), 0).astype(np.float32)
+        s = _codes([words[k] for k in part], n)
+        same = (s[:, :, None] == s[:, None, :]).astype(np.float32)
+        common, total = same, 0
+        for q in range(ORDER):
+            if q:
+                common = same * (step @ common @ step.T)
+            total = total + common.sum(axis=(1, 2))
+        out[part] = total
     return out
 
 
 @dataclass
 class Machine:
-    marks: list[str]
-    insults: int  # the first so many marks are insults, the others clean words
-    own: np.ndarray  # the marks' kernels with themselves
+    landmarks: Landmarks
     weights: np.ndarray  # of the kernels with the marks: the machine's weights by Nyström's map
     bias: float
-    slope: float
-    offset: float
-
-    def similar(self, words: list[str]) -> np.ndarray:
-        """Similarity to each landmark; nothing for words that don't come near any insult."""
-        out = np.zeros((len(words), len(self.marks)), np.float32)
-        at = np.nonzero(near(words, self.marks[: self.insults]))[0]
-        close = [words[i] for i in at]
-        out[at] = _sharp(kernel(close, self.marks) / np.sqrt(self_kernel(close)[:, None] * self.own[None, :]))
-        return out
+    cuts: np.ndarray  # margins that words of clean documents reach, in order
+    shares: np.ndarray  # by place among these, the share of such words that reach as much
+    slope: float = 1.0
+    offset: float = 0.0
 
     def margins(self, words: list[str]) -> np.ndarray:
-        return self.similar(words) @ self.weights + self.bias
+        return self.landmarks.similar(words) @ self.weights + self.bias
 
-    def probability(self, margin: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.slope * margin + self.offset, -60, 60)))
+    def rarity(self, margin: np.ndarray) -> np.ndarray:
+        """Share of the words of clean documents with at least this margin."""
+        return self.shares[np.searchsorted(self.cuts, margin, side="left")]
 
+    def evidence(self, shares: list[float], n: int) -> float:
+        """How unlikely it is that k of n words are as rare as the k-th rarest here: the largest, over k, of the Chernoff
+        exponent of that binomial tail (Berk and Jones)."""
+        best = 0.0
+        for k, p in enumerate(sorted(shares), 1):
+            mean = n * p
+            if k > mean:
+                best = max(best, k * np.log(k / mean) - k + mean)
+        return best
 
-def _tail(t: int, n: int, share: float) -> float:
-    """Natural logarithm of an upper bound on the chance of t or more toxic sentences of n (Chernoff)."""
-    p = t / n
-    if p <= share:
-        return 0.0
-    return -n * (p * np.log(p / share) + ((1 - p) * np.log((1 - p) / (1 - share)) if p < 1 else 0))
+    def calibrate(self, evidence: np.ndarray, toxic: np.ndarray) -> None:
+        """Fit the curve from evidence to score; 0.5 isn't reached by evidence that clean documents show oftener than CHANCE."""
+        self.slope, offset = _calibrate(evidence, toxic)
+        self.offset = min(offset, self.slope * np.log(CHANCE))
 
+    def probability(self, evidence: np.ndarray) -> np.ndarray:
+        """0 where nothing speaks for toxicity."""
+        return np.where(evidence > 0, 1 / (1 + np.exp(-np.clip(self.slope * evidence + self.offset, -60, 60))), 0.0)
 
-def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, c: float = 10.0, rounds: int = 60) -> tuple[np.ndarray, float]:
+
+def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, c: float = 1000.0, rounds: int = 60) -> tuple[np.ndarray, float]:
     """Squared-hinge linear machine by Newton's steps, halved until the loss falls."""
     x1 = np.hstack([x, np.ones((len(x), 1))])
     ridge = np.eye(x1.shape[1])
@@ -231,119 +283,190 @@ def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, c: float = 10.0, roun
     return w[:-1], float(w[-1])
 
 
-def _contexts(sentences: list[str]) -> dict[str, int]:
-    """How many different words each window, and each stem (marked by a hyphen), follows."""
-    seen: set[tuple[str, str]] = set()
-    for x in sentences:
-        before = ""
-        for token in x.lower().split():
-            for w in token_windows(token):
-                seen.add((before, w))
-                seen.update((before, w[:k] + "-") for k in STEMS if len(w) >= k)
-            before = token
-        seen.update(("", w) for w in windows(x))
-    out: dict[str, int] = {}
-    for _, w in seen:
-        out[w] = out.get(w, 0) + 1
-    return out
+def _calibrate(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+    """Platt's logistic curve of the evidence, fitted to smoothed labels."""
+    yes, no = y.sum(), (~y).sum()
+    t = np.where(y, (yes + 1) / (yes + 2), 1 / (no + 2))
+    a = np.column_stack([x, np.ones(len(x))])
+    w = np.array([0.5, -4.0])
+    for _ in range(100):
+        p = 1 / (1 + np.exp(-np.clip(a @ w, -60, 60)))
+        h = (a * (p * (1 - p))[:, None]).T @ a + 1e-6 * np.eye(2)
+        step = np.linalg.solve(h, a.T @ (t - p))
+        w = w + step * min(1.0, 2.0 / max(1e-9, float(np.abs(step).max())))
+        if np.abs(step).max() < 1e-6:
+            break
+    return max(0.05, float(w[0])), float(w[1])
 
 
-def train(toxic: list[str], clean: list[str]) -> Machine | None:
-    """toxic, clean: sentences of documents so labelled. None where no word tells them apart."""
-    clean_set = set(clean)
-    toxic = sorted(set(toxic) - clean_set)
-    clean = sorted(clean_set)
-    if not toxic or not clean:
+def _largest(values: np.ndarray, starts: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each group of neighbouring values (starts: where they begin, owner: each value's group): the largest and its place."""
+    top = np.maximum.reduceat(values, starts)
+    at = np.nonzero(values == top[owner])[0]
+    first = np.full(len(starts), len(values))
+    np.minimum.at(first, owner[at], at)
+    return top, first
+
+
+def train(rows: list[tuple[int, int, str]]) -> Machine | None:
+    """rows: a number for the document, its label, and a sentence of it. None where no window tells the labels apart.
+
+    A sentence that documents of both labels hold counts as clean, equal sentences once.
+    """
+    clean_set = {s for _, y, s in rows if y == 0}
+    kept = {s: (d, y) for d, y, s in sorted(rows, key=lambda r: (r[2], r[0])) if y == 0 or s not in clean_set}
+    if not clean_set or len(kept) == len({s for s in kept if s in clean_set}):
         return None
-    # a word counts once for each word it follows: insults stand anywhere, while words of a text that was copied with
-    # small changes keep their neighbours and would else look telling
-    bad, good = _contexts(toxic), _contexts(clean)
-    share = sum(bad.values()) / (sum(bad.values()) + sum(good.values()))
-    limit = -np.log(1000.0 * max(1, len(bad)))
-    sure = lambda w: bad[w] >= 3 and good.get(w, 0) <= CLEAN_SHARE * bad[w] and _tail(bad[w], bad[w] + good.get(w, 0), share) < limit
-    stems: list[str] = []
-    for x in sorted((w[:-1] for w in bad if w[-1:] == "-" and sure(w)), key=lambda w: (len(w), w)):
-        if not any(x.startswith(y) for y in stems):
-            stems.append(x)
-    words = {w: n for w, n in bad.items() if w[-1:] != "-" and len(w) > ORDER}
-    roots: dict[str, int] = {}
-    for x in stems:  # as far as nearly all of a stem's words go together: what a single insult begins with is that insult
-        of = [w for w in words if w.startswith(x)]
-        weight = sum(words[w] for w in of)
-        while of:
-            most: dict[str, int] = {}
-            for w in of:
-                if len(w) > len(x):
-                    most[w[len(x)]] = most.get(w[len(x)], 0) + words[w]
-            c = max(sorted(most), key=most.get, default="")
-            if not c or most[c] < 0.9 * weight:
-                break
-            x += c
-            of = [w for w in of if w.startswith(x)]
-        roots[x] = max(roots.get(x, 0), weight)
-    began = tuple(sorted(roots))
-    # a word is no insult if clean words begin like it: chance makes some of many alike words look telling
-    alike = lambda w: good.get(w[:7] + "-", 0) <= CLEAN_SHARE * bad.get(w[:7] + "-", 0) if len(w) > 7 else True
-    insults = sorted((w for w in words if sure(w) and alike(w) or began and w.startswith(began) and w not in good), key=lambda w: (-words[w], w))
-    if not insults:
+    ids: dict[str, int] = {"": 0}
+    sent, prev, tok, doc, label = [], [], [], [], []
+    for n, (s, (d, y)) in enumerate(kept.items()):
+        doc.append(d)
+        label.append(y)
+        before = 0
+        for t in tokens(s):
+            i = ids.setdefault(t, len(ids))
+            sent.append(n)
+            prev.append(before)
+            tok.append(i)
+            before = i
+    if not tok:
         return None
-    told = {**{w: words[w] for w in insults}, **roots}
-    good = {w: n for w, n in good.items() if w[-1:] != "-"}
-    insults = sorted(told, key=lambda w: (-told[w], w))
-    own = self_kernel(insults)
-    marks: list[int] = []
-    for i in range(len(insults)):  # all telling words that aren't much like one chosen before
-        if not marks or (kernel([insults[i]], [insults[k] for k in marks])[0] / np.sqrt(own[i] * own[marks])).max() < 0.6:
-            marks.append(i)
-    left = np.nonzero(~near(insults, [insults[i] for i in marks]))[0]
-    while len(left):  # like one, but outside the part of the kernel that similar() takes
-        marks.append(int(left[0]))
-        left = left[1:][~near([insults[i] for i in left[1:]], [insults[marks[-1]]])]
-    rank = lambda w: (zlib.crc32(w.encode("utf-8", "surrogatepass")), w)
-    common = sorted(sorted(good, key=lambda w: (-good[w], w))[: 4 * CLEAN_LANDMARKS], key=rank)
-    names = [insults[i] for i in marks] + [w for w in common if len(w) > ORDER][:CLEAN_LANDMARKS]
-    own = self_kernel(names)
-    base = _sharp(kernel(names, names).astype(np.float64) / np.sqrt(own[:, None] * own[None, :]))
-    values, vectors = np.linalg.eigh(base)
-    root = vectors / np.sqrt(np.maximum(values, 1e-4)) @ vectors.T
-    machine = Machine(names, len(marks), own, np.zeros(len(names)), 0.0, 1.0, 0.0)
-    pool = sorted((w for w in good if w not in told and len(w) > ORDER), key=rank)[:POOL]
-    close = machine.similar(pool)
-    hard = np.argsort(-close[:, : len(marks)].max(axis=1, initial=0), kind="stable")[:NEGATIVES]
-    yes, no = machine.similar(insults) @ root, close @ root
-    kept = np.unique(np.concatenate([hard, np.arange(min(len(pool), NEGATIVES))]))
-    seen = np.sqrt([told[w] for w in insults])
-    seen /= seen.sum()
-    for _ in range(4):  # with the clean words that the last machine got wrong
-        x = np.vstack([yes, no[kept]]).astype(np.float64)
-        y = np.concatenate([np.ones(len(insults)), -np.ones(len(kept))])
-        w, machine.bias = _svm(x, y, np.concatenate([0.5 * len(kept) * seen, np.ones(len(kept))]))
-        wrong = np.nonzero(no @ w + machine.bias > -0.5)[0]
-        more = np.union1d(kept, wrong)
-        if len(more) == len(kept):
-            break
-        kept = more
-    machine.weights = root @ w
-    m_bad, m_good = machine.margins(insults), no @ w + machine.bias
-    # the threshold that loses least: evidence of insults below it, and clean words above it, which are in many texts
-    by_bad, by_good = np.argsort(m_bad, kind="stable"), np.sort(m_good)
-    lost = np.cumsum((seen**2)[by_bad]) / (seen**2).sum()
-    cuts = np.linspace(min(0.0, float(m_bad.min())), float(m_bad.max()), 400)
-    missed = np.concatenate([[0.0], lost])[np.searchsorted(m_bad[by_bad], cuts)]
-    wrong = 1 - np.searchsorted(by_good, cuts) / len(by_good)
-    loss = missed + FALSE_COST * wrong
-    best = cuts[loss <= loss.min() + 1e-12]
-    machine.slope = float(8 / max(0.25, np.ptp(best)))
-    machine.offset = -machine.slope * float(best.mean())
+    sent, prev, tok, doc, label = (np.array(x, np.int64) for x in (sent, prev, tok, doc, label))
+    # windows of each token, those of one token together
+    names: dict[str, int] = {"": 0}
+    of_tok, of_win = [], []
+    for t, i in ids.items():
+        for w in sorted(token_windows(t)) or [""]:
+            of_tok.append(i)
+            of_win.append(names.setdefault(w, len(names)))
+    of_tok, of_win, win = np.array(of_tok), np.array(of_win), list(names)
+    tok_starts = np.nonzero(np.diff(of_tok, prepend=-1))[0]
+    # how many sentences hold each window, and how many different words it follows: words of copied texts keep their neighbours
+    half = doc[sent] & 1
+    group = label[sent] * 2 + half
+    lean = np.full(len(win), np.inf)
+    for unit in (sent, prev):
+        seen = np.unique((group * max(len(ids), len(label)) + unit) * len(ids) + tok)
+        kind, what = seen // len(ids) // max(len(ids), len(label)), seen % len(ids)
+        count = np.zeros((4, len(win)))
+        for g in range(4):
+            c = np.bincount(what[kind == g], minlength=len(ids)).astype(float)
+            count[g] = np.bincount(of_win, weights=c[of_tok], minlength=len(win))
+        if unit is sent:
+            good = count[0] + count[1]
+        for h in (0, 1):
+            both, share = count[h] + count[2 + h], (kind == 2 + h).sum() / max(1, (kind % 2 == h).sum())
+            with np.errstate(divide="ignore", invalid="ignore"):
+                lean = np.minimum(lean, np.nan_to_num((count[2 + h] - both * share) / np.sqrt(both * share * (1 - share)), nan=0.0, posinf=0.0))
+    lean[0] = 0
+    lean = lean * (1 + 0.03 * np.array([len(w) for w in win]))  # of windows that tell alike, the longest
+    order = np.nonzero(lean >= LEAN)[0]
+    order = order[np.lexsort((order, -lean[order]))]
+    rank = np.full(len(win), -1)
+    rank[order] = np.arange(len(order))
+    # the toxic sentences that hold each of them
+    some = rank[of_win] >= 0
+    first, last = np.searchsorted(of_tok[some], [tok, tok + 1])
+    bad = (label[sent] == 1) & (last > first)
+    at = np.repeat(first[bad], (last - first)[bad]) + np.concatenate([np.arange(n) for n in (last - first)[bad]] or [np.zeros(0, int)])
+    pairs = np.unique(rank[of_win[some][at]] * len(label) + np.repeat(sent[bad], (last - first)[bad]))
+    marks, told, bounds = [], np.zeros(len(label), bool), np.searchsorted(pairs, np.arange(len(order) + 1) * len(label))
+    for k, i in enumerate(order.tolist()):
+        holds = pairs[bounds[k] : bounds[k + 1]] % len(label)
+        if (~told[holds]).sum() >= max(SEVERAL, TENTH * len(holds)) and len(marks) < LANDMARKS:
+            marks.append(win[i])
+            told[holds] = True
+    if not marks:
+        return None
+    insults = len(marks)
+    near = Landmarks(marks).similar(win).max(axis=1)
+    plain = np.nonzero((lean <= 0) & (good > 0))[0]
+    plain = plain[plain > 0]
+    hard = plain[np.argsort(-near[plain] * np.sqrt(good[plain]), kind="stable")][: 40 * CLEAN_LANDMARKS]
+    often = plain[np.argsort(-good[plain], kind="stable")][: 4 * CLEAN_LANDMARKS]
+    marks += [m for m in _unlike([win[i] for i in hard], CLEAN_LANDMARKS * 3 // 4) + _unlike([win[i] for i in often], CLEAN_LANDMARKS // 4) if m not in marks]
+    marks = list(dict.fromkeys(marks))
+    landmarks = Landmarks(marks)
+    values, vectors = np.linalg.eigh(landmarks.similar(marks).astype(np.float64))
+    root = vectors / np.sqrt(np.maximum(values, 1e-3)) @ vectors.T
+    x = landmarks.similar(win)
+    some = np.nonzero(x.any(axis=1))[0]
+    place = np.zeros(len(win), np.int64)  # row of a window among those like any mark; 0: like none
+    place[some] = np.arange(1, len(some) + 1)
+    z = np.vstack([np.zeros((1, len(marks))), x[some] @ root])
+    no = np.bincount(place, weights=good, minlength=len(z))
+    spoilt = [(i, (m[:k] + "\0" + m[k:])[: LONG + 1]) for i, m in enumerate(marks[:insults]) for k in range(2, len(m))]
+    virtual, of_mark = landmarks.similar([m for _, m in spoilt]) @ root, np.array([i for i, _ in spoilt], int)
+    names_at = np.array([names[m] for m in marks[:insults]])
+    # sentences' distinct tokens, those of one sentence together
+    pairs = np.unique(sent * len(ids) + tok)
+    p_sent, p_tok = pairs // len(ids), pairs % len(ids)
+    _, p_owner = np.unique(p_sent, return_inverse=True)
+    p_starts = np.nonzero(np.diff(p_sent, prepend=-1))[0]
+    s_label, s_doc = label[p_sent[p_starts]], doc[p_sent[p_starts]]
+    docs, s_owner = np.unique(s_doc, return_inverse=True)
+    f_win = np.where(lean >= LEAN, lean, 0)  # the first worst windows: those that lean most
+    w = None
+    for _ in range(ROUNDS):
+        f_tok, at_tok = _largest(f_win[of_win], tok_starts, of_tok)
+        f_sent, at = _largest(f_tok[p_tok], p_starts, p_owner)
+        witness = place[of_win[at_tok[p_tok[at]]]]
+        # sentences of toxic documents that hold nothing teach nothing
+        active = (s_label == 1) & (f_sent > 0)
+        if not active.any():
+            return None
+        yes = np.bincount(witness[active], minlength=len(z)).astype(float) / active.sum()
+        copies = VIRTUAL * yes[place[names_at]][of_mark] / np.maximum(1, np.bincount(of_mark, minlength=insults))[of_mark]
+        weight = np.concatenate([yes, copies, no / no.sum()])
+        y = np.concatenate([np.ones(len(z) + len(copies)), -np.ones(len(z))])
+        use = weight > 0
+        w, bias = _svm(np.vstack([z, virtual, z])[use], y[use], weight[use])
+        f_win = (z @ w + bias)[place]
+    weights = root @ w
+    light = np.abs(weights) < LIGHT
+    machine = Machine(Landmarks([k for k, x in zip(marks, light) if not x]), weights[~light].astype(np.float32), bias, np.zeros(0), np.zeros(1))
+    f_tok, _ = _largest((x[:, ~light] @ machine.weights + bias)[of_win], tok_starts, of_tok)
+    # what margins words of clean documents reach
+    pairs = np.unique(np.searchsorted(docs, doc[sent]) * len(ids) + tok)
+    d_doc, d_tok = pairs // len(ids), pairs % len(ids)
+    toxic = np.zeros(len(docs), bool)
+    toxic[s_owner[s_label == 1]] = True
+    reach = np.sort(f_tok[d_tok[~toxic[d_doc]]])
+    machine.cuts, first = np.unique(reach, return_index=True)
+    machine.shares = np.concatenate([len(reach) - first + 0.5, [0.5]]) / (len(reach) + 1)
+    hit = f_tok[d_tok] > 0
+    found: list[list[float]] = [[] for _ in docs]
+    for d, p in zip(d_doc[hit].tolist(), machine.rarity(f_tok[d_tok[hit]]).tolist()):
+        found[d].append(p)
+    size = np.bincount(d_doc, minlength=len(docs))
+    machine.calibrate(np.array([machine.evidence(p, n) for p, n in zip(found, size.tolist())]), toxic)
     return machine
 
 
+def _unlike(words: list[str], most: int) -> list[str]:
+    """The first so many words of which none is as like as ALIKE to one before."""
+    out: list[str] = []
+    own: list[float] = []
+    for i in range(0, len(words), 64):
+        if len(out) >= most:
+            break
+        part = words[i : i + 64]
+        near = Landmarks(out + part)
+        cosine = near.kernel(part) / np.sqrt(near.own[len(out) :][:, None] * near.own[None, :])
+        chosen = list(range(len(out)))
+        for k, word in enumerate(part):
+            if len(out) < most and (not chosen or cosine[k, chosen].max() < ALIKE):
+                chosen.append(len(near.marks) - len(part) + k)
+                out.append(word)
+    return out
+
+
 #: The worker's scorer: its memory outlasts a task.
 _scorers: dict[bytes, _Scorer] = {}
 
 
 def _scorer(machine: Machine) -> _Scorer:
-    key = machine.weights.tobytes()
+    key = machine.weights.tobytes() + "\n".join(machine.landmarks.marks).encode("utf-8", "surrogatepass")
     if key not in _scorers:
         _scorers.clear()
         _scorers[key] = _Scorer(machine)
@@ -351,27 +474,38 @@ def _scorer(machine: Machine) -> _Scorer:
 
 
 class _Scorer:
-    """Scores of texts; remembers the margin of every window and the largest of every token it has met."""
+    """Evidence of texts; remembers which tokens it has met, and how rare those above the machine's threshold are."""
 
     def __init__(self, machine: Machine):
-        self.machine, self.seen, self.worst = machine, {}, {}
+        self.machine = machine
+        self.forget()
+
+    def forget(self) -> None:
+        self.plain: set[str] = set()
+        self.rare: dict[str, float] = {}
+        self.size = 0
 
     def learn(self, new: list[str]) -> None:
-        seen = self.seen
-        found = {t: [w for w in token_windows(t) if len(w) >= ORDER] for t in new}
-        words = sorted({w for ws in found.values() for w in ws if w not in seen}, key=lambda w: (len(w), w))
-        for i in range(0, len(words), 4096):
-            seen.update(zip(words[i : i + 4096], self.machine.margins(words[i : i + 4096]).tolist()))
-        self.worst.update((t, max((seen[w] for w in ws), default=NONE)) for t, ws in found.items())
+        for i in range(0, len(new), 20_000):
+            part = new[i : i + 20_000]
+            ws = [token_windows(t) for t in part]
+            names = sorted(set().union(*ws))
+            margin = dict(zip(names, self.machine.margins(names).tolist())) if names else {}
+            worst = [max([margin[w] for w in x], default=0.0) for x in ws]
+            self.plain.update(t for t, f in zip(part, worst) if f <= 0)
+            hit = [(t, f) for t, f in zip(part, worst) if f > 0]
+            self.rare.update(zip([t for t, _ in hit], self.machine.rarity(np.array([f for _, f in hit])).tolist()))
+            self.size += sum(map(len, part))
 
     def __call__(self, texts: list[str | None]) -> np.ndarray:
-        if len(self.worst) > CACHE:
-            self.seen, self.worst = {}, {}
-        found = [tokens(x or "") for x in texts]
-        worst = self.worst
-        self.learn([t for t in set().union(*found) if t not in worst])
-        best = np.array([max(map(worst.__getitem__, x), default=NONE) for x in found])
-        return np.where(best > NONE, self.machine.probability(best), 0.0)
+        """Evidence of each text, from its different words."""
+        found = [set(tokens(x or "", distinct=True)) for x in texts]
+        self.learn([t for t in set().union(*found) if t not in self.plain and t not in self.rare])
+        rare = self.rare
+        out = np.array([self.machine.evidence([rare[t] for t in x & rare.keys()], len(x)) for x in found], float)
+        if self.size > CACHE:
+            self.forget()
+        return out
 
 
 def held_out(id_col: Column) -> Column:
@@ -380,9 +514,11 @@ def held_out(id_col: Column) -> Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", documents: int = DOCUMENTS, sentences: int = SENTENCES) -> Machine | None:
-    """Learn from sentences of labelled documents outside the held-out fold.
+    """Learn from sentences of labelled documents outside the held-out fold; then set the scores' scale by these documents'
+    whole texts.
 
-    A document with labels of both kinds counts as toxic; other values than 0 and 1, null ids and null texts teach nothing.
+    documents and sentences bound what of either label is learnt from (the smallest hashes). A document with labels of both
+    kinds counts as toxic; other values than 0 and 1, null ids and null texts teach nothing. None if nothing can be learnt.
     """
     told = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("label")).filter(F.col("id").isNotNull() & F.col("label").isin(0, 1))
     told = told.filter(~held_out(F.col("id"))).groupBy("id").agg(F.max("label").alias("label"))
@@ -391,20 +527,38 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     some = [smallest(told.filter(F.col("label") == k), ["id"], documents, count.get(k, 0)) for k in (0, 1)]
     told = F.broadcast(some[0].unionAll(some[1]))  # 2 * documents rows at most
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).filter("id is not null and text is not null")
-    split = rows.join(told, "id").select("label", F.explode(F.split("text", r"[.!?\n]+")).alias("s")).select("label", F.trim("s").alias("s")).filter((F.length("s") >= ORDER) & (F.length("s") <= SENTENCE_CHARS))
-    some = [split.filter(F.col("label") == k).orderBy(F.xxhash64("s"), "s").limit(sentences).select("s").toArrow()["s"].to_pylist() for k in (1, 0)]
-    return train(*some)
+    rows = keep(rows.join(told, "id").select(F.xxhash64("id").alias("doc"), "label", "text"), "taught")
+    split = rows.select("doc", "label", F.explode(F.split("text", r"[.!?\n]+")).alias("s")).withColumn("w", F.split(F.trim("s"), r"\s+"))
+    split = split.select("doc", "label", F.explode(F.transform(F.sequence(F.lit(0), F.size("w") - 1, F.lit(SENTENCE_WORDS)), lambda i: F.array_join(F.slice("w", i + 1, SENTENCE_WORDS), " "))).alias("s"))
+    split = split.filter(F.length("s") >= ORDER)
+    parts = [split.filter(F.col("label") == k).orderBy(F.xxhash64("s"), "s", "doc").limit(sentences).toArrow() for k in (1, 0)]
+    machine = train([r for p in parts for r in zip(p["doc"].to_pylist(), p["label"].to_pylist(), p["s"].to_pylist())])
+    if machine is not None:
+        seen = _evidence(rows, machine, "label").toArrow()
+        machine.calibrate(seen["evidence"].to_numpy(), seen["label"].to_numpy() == 1)
+    return machine
+
+
+def _evidence(rows: DataFrame, machine: Machine, carry: str) -> DataFrame:
+    """carry (a long or int column) and the evidence of the text."""
+
+    def step(batch: pa.RecordBatch, scorer: _Scorer) -> dict:
+        return {carry: batch.column(0), "evidence": scorer(batch.column(1).to_pylist())}
+
+    return arrow_map(rows.select(F.col(carry).cast("long"), "text"), step, f"{carry} long, evidence double", {carry: pa.int64(), "evidence": pa.float64()}, lambda: _scorer(machine))
 
 
 def score(docs: DataFrame, machine: Machine | None, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
-    """id, held_out, score, predicted for every row. A document scores as its worst window does; null, empty and wordless
-    texts score 0, and so does everything where nothing could be learnt."""
+    """id, held_out, score, predicted for every row, repeated rows included, whatever other columns there are.
+
+    Texts are taken whole, very long ones too. Null, empty and wordless texts score 0, and so does every text where nothing
+    could be learnt or nothing speaks for toxicity; an empty table gives none. A null id stays null and isn't held out."""
     if machine is None:
         rows = docs.select(F.col(id_col).cast("long").alias("id"), F.lit(0.0).alias("score"))
     else:
 
         def step(batch: pa.RecordBatch, scorer: _Scorer) -> dict:
-            return {"id": batch.column(0), "score": scorer(batch.column(1).to_pylist())}
+            return {"id": batch.column(0), "score": machine.probability(scorer(batch.column(1).to_pylist()))}
 
         rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
         rows = arrow_map(rows, step, "id long, score double", {"id": pa.int64(), "score": pa.float64()}, lambda: _scorer(machine))
@@ -412,7 +566,8 @@ def score(docs: DataFrame, machine: Machine | None, id_col: str = "doc_id", text
 
 
 def without_toxic(docs: DataFrame, machine: Machine | None, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
-    """docs, with all their columns, but for rows whose text scores threshold or more."""
+    """docs, with all their columns, but for rows whose text scores threshold or more. Null and empty texts score 0 and stay;
+    repeated rows share their fate; where nothing could be learnt (machine is None) all rows stay."""
     if machine is None:
         return docs
     small_batches(docs.sparkSession)
@@ -420,6 +575,6 @@ def without_toxic(docs: DataFrame, machine: Machine | None, text_col: str = "tex
     def run(batches):
         scorer = _scorer(machine)
         for batch in slices(batches):
-            yield batch.filter(pa.array(scorer(batch.column(text_col).to_pylist()) < threshold))
+            yield batch.filter(pa.array(machine.probability(scorer(batch.column(text_col).to_pylist())) < threshold))
 
     return docs.mapInArrow(run, docs.schema)

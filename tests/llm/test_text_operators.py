@@ -286,7 +286,7 @@ def brute_kernel(s, t, order=toxicity.ORDER, decay=toxicity.DECAY):
 
 def test_kernel_counts_gapped_subsequences():
     ws, ms = ["idiot", "ixdiot", "abc", "toidi", "i"], ["idiot", "clown", "moronic"]
-    got = toxicity.kernel(ws, ms)
+    got = toxicity.Landmarks(ms).kernel(ws)
     want = np.array([[brute_kernel(w, m) for m in ms] for w in ws])
     assert np.allclose(got, want, rtol=1e-4) and np.allclose(toxicity.self_kernel(ws), [brute_kernel(w, w) for w in ws], rtol=1e-4)
 
