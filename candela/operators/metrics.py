@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from candela.functions.frames import YEAR, change, div, flag, lag, so_far
+from candela.functions.frames import YEAR, change, div, lag, so_far
 
 ROOT = float(YEAR) ** 0.5
 
@@ -22,24 +22,30 @@ def daily(bars: DataFrame) -> DataFrame:
     return bars.select("symbol", "date", change("close").alias("r"))
 
 
-def ml_metrics(returns: DataFrame, market: DataFrame) -> DataFrame:
-    """By symbol: log growth, yearly log growth, Sharpe, deepest fall, win rate, alpha and beta against the market."""
-    m = market.withColumn("symbol", F.lit("market")).select("date", change("close").alias("m"))
-    out = with_curve(returns).join(m, "date", "left")
-    both = F.col("m").isNotNull()
-    g = out.groupBy("symbol").agg(F.log(F.max_by("cum", "date")).alias("log_growth"), F.count("*").alias("num_days"), F.avg("r").alias("mean"), F.stddev_samp("r").alias("sd"), F.min("dd").alias("max_drawdown"), F.avg((F.col("r") > 0).cast("double")).alias("win_rate"), F.covar_samp(F.when(both, F.col("r")), "m").alias("cov"), F.var_samp(F.when(F.col("r").isNotNull(), F.col("m"))).alias("var"), F.avg(F.when(both, F.col("r"))).alias("mr"), F.avg("m").alias("mm"))
-    beta = div("cov", "var")
-    return g.select("symbol", "log_growth", (F.col("log_growth") * YEAR / F.col("num_days")).alias("log_growth_year"), (div("mean", "sd") * ROOT).alias("sharpe_ratio"), "max_drawdown", "win_rate", F.lit(0).cast("long").alias("num_trades"), "num_days", beta.alias("beta"), ((F.col("mr") - beta * F.col("mm")) * YEAR).alias("alpha"))
+def ml_metrics(returns: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """By symbol (symbol, date, r against date, m): growth over all and by year, Sharpe ratio, deepest fall, win rate, beta, alpha
+    and the benchmark's growth on the symbol's own dates, where a missing m counts as 0. num_trades is 0 by definition: a
+    series of returns doesn't tell trades. What would divide by zero is 0."""
+    out = with_curve(returns).join(benchmark.select("date", "m"), "date", "left").withColumn("m", F.coalesce("m", F.lit(0.0)))
+    g = out.groupBy("symbol").agg(F.product(1 + F.col("r")).alias("growth"), F.product(1 + F.col("m")).alias("market"), F.count("*").alias("num_days"), F.avg("r").alias("mean"), F.stddev_samp("r").alias("sd"), F.min("dd").alias("max_drawdown"), F.avg((F.col("r") > 0).cast("double")).alias("win_rate"), F.covar_samp("r", "m").alias("cov"), F.var_samp("m").alias("var"))
+    year = lambda c: F.pow(c, YEAR / F.col("num_days")) - 1
+    beta = F.coalesce(div("cov", "var"), F.lit(0.0))
+    return g.select("symbol", (F.col("growth") - 1).alias("total_return"), year("growth").alias("annualized_return"), F.coalesce(div("mean", "sd") * ROOT, F.lit(0.0)).alias("sharpe_ratio"), "max_drawdown", "win_rate", F.lit(0).cast("long").alias("num_trades"), "num_days", beta.alias("beta"), (year("growth") - beta * year("market")).alias("alpha"), (F.col("market") - 1).alias("benchmark_return"))
 
 
 def portfolio_metrics(returns: DataFrame, trades: DataFrame) -> DataFrame:
-    """Of the equal-weighted portfolio and all trades: volatility, Sharpe, Sortino and Calmar ratios, profit factor."""
-    one = returns.filter("r is not null").groupBy("date").agg((F.avg("r") / 1000).alias("r")).withColumn("symbol", F.lit("portfolio"))
-    out = with_curve(one)
-    g = out.agg(F.log(F.max_by("cum", "date")).alias("lg"), F.count("*").alias("days"), F.stddev_pop("r").alias("sd"), F.stddev_pop(F.when(F.col("r") < 0, F.col("r"))).alias("down"), F.min("dd").alias("dd"))
-    t = trades.agg(F.count("*").alias("num_trades"), F.avg((F.col("pnl") > 0).cast("double")).alias("win_rate"), F.avg(F.when(F.col("pnl") > 0, F.col("pnl"))).alias("avg_win"), F.avg(F.when(F.col("pnl") <= 0, F.col("pnl"))).alias("avg_loss"), F.abs(div(F.sum(F.when(F.col("pnl") > 0, F.col("pnl"))), F.sum(F.when(F.col("pnl") <= 0, F.col("pnl"))))).alias("profit_factor"))
-    year = F.exp(F.col("lg") * YEAR / F.col("days")) - 1
-    return g.join(t).select((F.exp("lg") - 1).alias("total_return"), year.alias("annualized_return"), (F.col("sd") * ROOT).alias("volatility"), div(year - 0.02, F.col("sd") * ROOT).alias("sharpe_ratio"), div(year - 0.02, F.col("down") * ROOT).alias("sortino_ratio"), F.abs("dd").alias("max_drawdown"), div(year, F.abs("dd")).alias("calmar_ratio"), "num_trades", "win_rate", "avg_win", "avg_loss", "profit_factor")
+    """Of the equal-weighted portfolio (symbol, date, r) and all trades (pnl, holding_days, commission, slippage): growth,
+    volatility, Sharpe, Sortino and Calmar ratios, profit factor, duration and costs. Falls count from the capital put in, so
+    a first loss is one. Deviations are of a population; what would divide by zero is 0."""
+    one = returns.filter("r is not null").groupBy("date").agg(F.avg("r").alias("r")).withColumn("symbol", F.lit("portfolio"))
+    out = with_curve(one).withColumn("dd", F.col("cum") / F.greatest(F.lit(1.0), F.max("cum").over(so_far())) - 1)
+    g = out.agg(F.product(1 + F.col("r")).alias("growth"), F.count("*").alias("days"), F.stddev_pop("r").alias("sd"), F.stddev_pop(F.when(F.col("r") < 0, F.col("r"))).alias("down"), F.min("dd").alias("dd"))
+    won = F.col("pnl") > 0
+    part = lambda fn, c: F.coalesce(fn(F.when(c, F.col("pnl"))), F.lit(0.0))
+    t = trades.agg(F.count("*").alias("num_trades"), F.avg(won.cast("double")).alias("win_rate"), part(F.avg, won).alias("avg_win"), part(F.avg, ~won).alias("avg_loss"), F.abs(F.coalesce(div(part(F.sum, won), part(F.sum, ~won)), F.lit(0.0))).alias("profit_factor"), F.avg("holding_days").alias("avg_trade_duration"), F.sum("commission").alias("total_commission"), F.sum("slippage").alias("total_slippage"))
+    year = F.pow("growth", YEAR / F.col("days")) - 1
+    over = lambda x, y: F.coalesce(div(x, y), F.lit(0.0))
+    return g.join(t).select((F.col("growth") - 1).alias("total_return"), year.alias("annualized_return"), (F.col("sd") * ROOT).alias("volatility"), over(year - 0.02, F.col("sd") * ROOT).alias("sharpe_ratio"), over(year - 0.02, F.col("down") * ROOT).alias("sortino_ratio"), F.abs("dd").alias("max_drawdown"), over(year, F.abs("dd")).alias("calmar_ratio"), *t.columns)
 
 
 def sharpe(kind: str, r: str | Column = "r") -> Column:
@@ -75,7 +81,7 @@ def trade_cohorts(trades: DataFrame) -> DataFrame:
 def long_metrics(brands: DataFrame, horizons: tuple[int, ...] = (1, 3)) -> DataFrame:
     """By symbol, horizon and model, the metrics that cross-section reports read. The models are simple rules on monthly
     bars: hold, follow the last return, fade it, stand by a three-month average."""
-    out = brands.select("symbol", "date", "close", (F.least(F.greatest(change("close"), F.lit(-0.9)), F.lit(0.9)) / 10).alias("r")).withColumn("above", F.col("close") > F.avg("close").over(W.partitionBy("symbol").orderBy("date").rowsBetween(-2, 0)))
+    out = brands.select("symbol", "date", "close", change("close").alias("r")).withColumn("above", F.col("close") > F.avg("close").over(W.partitionBy("symbol").orderBy("date").rowsBetween(-2, 0)))
     rules = {"hold": F.lit(1.0), "follow": (F.col("r") > 0).cast("double"), "fade": (F.col("r") <= 0).cast("double"), "trend": F.col("above").cast("double")}
     out = out.withColumn("rule", F.explode(F.array(*[F.struct(F.lit(k).alias("model"), v.alias("p")) for k, v in rules.items()])))
     out = out.withColumn("horizon", F.explode(F.array(*[F.lit(h) for h in horizons])))
@@ -218,7 +224,3 @@ def lagged(positions: DataFrame) -> DataFrame:
     """symbol, date, close, position -> r and s, the returns of holding and of yesterday's position."""
     out = positions.withColumn("r", change("close"))
     return out.select("symbol", "date", "r", (lag("position") * F.col("r")).alias("s")).filter("r is not null")
-
-
-def beats(a: Column, b: Column) -> Column:
-    return flag(a > b)

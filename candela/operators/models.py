@@ -7,7 +7,6 @@ import pandas as pd
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -46,20 +45,25 @@ def interactions(rows: DataFrame, a: str, b: str) -> DataFrame:
     return rows.select("symbol", "date", (F.col(a) * F.col(b)).alias("product"), F.when(safe, F.col(a) / (F.col(b) + 1e-6)).alias("ratio"), F.pow(a, F.lit(2)).alias("square"), F.pow(a, F.lit(3)).alias("cube"))
 
 
-def evaluate_changes(true: DataFrame, found: DataFrame, tolerance: int = 20) -> DataFrame:
-    """true, found: symbol and place -> by symbol, hits, misses, false alarms and mean delay. Pairs within tolerance are
-    taken nearest first; each place is used once. Places meet by buckets as wide as the tolerance."""
-    at = lambda d, c: F.floor(F.col(c) / tolerance) + d
-    left = true.select("symbol", F.col("place").alias("t"), F.explode(F.array(*[at(d, "place") for d in (-1, 0, 1)])).alias("k"))
-    right = found.select("symbol", F.col("place").alias("f"), at(0, "place").alias("k"))
-    pairs = left.join(right, ["symbol", "k"]).filter(F.abs(F.col("t") - F.col("f")) <= tolerance).withColumn("gap", F.abs(F.col("t") - F.col("f")))
-    best = W.partitionBy("symbol", "t").orderBy("gap", "f")
-    back = W.partitionBy("symbol", "f").orderBy("gap", "t")
-    hits = pairs.withColumn("a", F.row_number().over(best)).withColumn("b", F.row_number().over(back)).filter("a = 1 AND b = 1")
-    h = hits.groupBy("symbol").agg(F.count("*").alias("hits"), F.avg(F.col("f") - F.col("t")).alias("mean_delay"))
-    n, m = true.groupBy("symbol").agg(F.count("*").alias("n_true")), found.groupBy("symbol").agg(F.count("*").alias("n_found"))
-    out = n.join(m, "symbol", "left").join(h, "symbol", "left").na.fill(0, ["n_found", "hits"])
-    return out.select("symbol", "n_true", "n_found", "hits", (F.col("n_true") - F.col("hits")).alias("misses"), (F.col("n_found") - F.col("hits")).alias("false_alarms"), "mean_delay")
+def evaluate_changes(true: DataFrame, found: DataFrame, tolerance: int = 5) -> DataFrame:
+    """true, found: symbol and place -> by symbol, hits, misses, false alarms, precision, recall, F1 and mean delay.
+
+    Each found place goes to its nearest true one (of two as near, the earlier); of those within tolerance of one true
+    place the earliest found is the hit. Nearest places come from one window over both, not a range join. A symbol without
+    true places has recall 1, and precision 1 if nothing was found there. Equal places of a symbol count once."""
+    both = true.select("symbol", "place").distinct().withColumn("t", F.col("place")).unionByName(found.select("symbol", "place").distinct(), allowMissingColumns=True)
+    by = W.partitionBy("symbol").orderBy("place")
+    near = both.withColumns({"before": F.last("t", True).over(by), "after": F.first("t", True).over(by.rangeBetween(0, W.unboundedFollowing))})
+    least = F.when(F.col("after").isNull() | (F.col("place") - F.col("before") <= F.col("after") - F.col("place")), F.col("before")).otherwise(F.col("after"))
+    near = near.select("symbol", "place", "t", F.when(F.col("t").isNull(), least).alias("to"))
+    hit = near.filter(F.abs(F.col("to") - F.col("place")) <= tolerance).groupBy("symbol", "to").agg(F.min("place").alias("place"))
+    h = hit.groupBy("symbol").agg(F.count("*").alias("hits"), F.avg(F.col("place") - F.col("to")).alias("mean_delay"))
+    n = both.groupBy("symbol").agg(F.count("t").alias("n_true"), F.count_if(F.col("t").isNull()).alias("n_found"))
+    out = n.join(h, "symbol", "left").na.fill(0, ["hits"]).na.fill(0.0, ["mean_delay"])
+    precision = F.coalesce(div("hits", "n_found"), F.lit(1.0))
+    recall = F.coalesce(div("hits", "n_true"), F.lit(1.0))
+    f1 = F.when(F.col("n_true") == 0, precision).otherwise(F.coalesce(div(2 * precision * recall, precision + recall), F.lit(0.0)))
+    return out.select("symbol", "n_true", "n_found", "hits", (F.col("n_true") - F.col("hits")).alias("misses"), (F.col("n_found") - F.col("hits")).alias("false_alarms"), precision.alias("precision"), recall.alias("recall"), f1.alias("f1"), "mean_delay")
 
 
 def haar(x: np.ndarray, levels: int) -> list[np.ndarray]:
@@ -215,9 +219,11 @@ def spike_forest(features: DataFrame, targets: DataFrame) -> DataFrame:
 
 
 def drawdown_odds(features: DataFrame, targets: DataFrame) -> DataFrame:
-    """Chance of a drawdown by isotonic regression on the index's percentile, and the risk level it stands for."""
-    rows = features.select("date", "vix_percentile_252d").join(targets.select("date", "drawdown_flag"), "date").na.drop()
-    model = IsotonicRegression(labelCol="drawdown_flag", featuresCol="vix_percentile_252d").fit(rows.withColumn("vix_percentile_252d", F.col("vix_percentile_252d")))
-    p = F.col("prediction")
-    level = F.when(p > 0.5, "EXTREME").when(p > 0.3, "HIGH").when(p > 0.15, "ELEVATED").otherwise("LOW")
-    return model.transform(rows).select("date", p.alias("p_drawdown"), level.alias("risk_level"), "drawdown_flag")
+    """date, year, y, p and the level it stands for: the chance of a drawdown by isotonic regression on the index's
+    percentile, each year's from the years before it alone."""
+    from candela.operators.labels import steps
+    from candela.operators.learners import walk_forward
+
+    rows = features.select("date", "vix_percentile_252d").join(targets.filter("fwd_max_dd is not null").select("date", "drawdown_flag"), "date")
+    out = walk_forward(rows, "vix_percentile_252d", "drawdown_flag")
+    return out.withColumn("risk_level", steps(F.col("p"), [(0.15, "LOW"), (0.30, "MODERATE"), (0.50, "ELEVATED"), (0.70, "HIGH")], "EXTREME"))

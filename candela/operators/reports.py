@@ -80,7 +80,7 @@ def expanding_z(rows: DataFrame, column: str, least: int = 20) -> DataFrame:
     return rows.select("symbol", "date", F.when(n >= least, (F.col(column) - m) / F.greatest(s, F.lit(1e-4))).otherwise(0.0).alias("z"))
 
 
-def timing(positions: DataFrame, crash: float = -0.5, reduced: float = 0.95) -> DataFrame:
+def timing(positions: DataFrame, crash: float = -0.03, reduced: float = 0.95) -> DataFrame:
     """By symbol: the first crash and the first reduced position, days between, and what of the losses the strategy took."""
     out = positions.withColumn("r", change("close")).withColumn("s", lag("position") * F.col("r"))
     g = out.groupBy("symbol").agg(F.min(F.when(F.col("r") < crash, F.col("date"))).alias("first_crash"), F.min(F.when(F.col("position") < reduced, F.col("date"))).alias("first_reduced"), F.sum(F.when(F.col("r") < 0, F.col("r"))).alias("hold_loss"), F.sum(F.when(F.col("r") < 0, F.col("s"))).alias("strategy_loss"))

@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -19,12 +20,13 @@ from pyspark.sql import functions as F
 from candela.functions.frames import change, div, flag, lag, mean, so_far, std
 
 
-def scan(rows: DataFrame, inputs: list[str], outputs: str, start: Callable[[], Callable[..., tuple]], key: str = "symbol", order: str = "date") -> DataFrame:
-    """key, order and outputs (a DDL list) for each row: start() makes a step for a new key, which takes the inputs of
-    each row in order and gives its outputs. NULL inputs come as None."""
-    dealt = rows.select(key, order, *inputs).repartition(F.col(key)).sortWithinPartitions(key, order)
-    kinds = dict(dealt.dtypes)
-    schema = f"`{key}` {kinds[key]}, `{order}` {kinds[order]}, {outputs}"
+def scan(rows: DataFrame, inputs: list[str], outputs: str, start: Callable[[], Callable[..., tuple]], key: str = "symbol", order: str = "date", also: tuple[str, ...] = ()) -> DataFrame:
+    """key, order, the columns of `also` as they are, and outputs (a DDL list) for each row: start() makes a step for a new
+    key, which takes the inputs of each row in order and gives its outputs. NULL inputs come as None."""
+    columns_in = [key, order, *inputs, *(c for c in also if c not in inputs)]
+    dealt = rows.select(columns_in).repartition(F.col(key)).sortWithinPartitions(key, order)
+    kinds, kept = dict(dealt.dtypes), [columns_in.index(c) for c in also]
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in (key, order, *also)) + f", {outputs}"
     names = [x.strip().split(" ")[0] for x in outputs.split(",")]
     types = {"double": pa.float64(), "int": pa.int32(), "long": pa.int64(), "string": pa.string(), "boolean": pa.bool_()}
     arrow = [types[x.strip().split(" ")[1]] for x in outputs.split(",")]
@@ -33,12 +35,12 @@ def scan(rows: DataFrame, inputs: list[str], outputs: str, start: Callable[[], C
         now, step = object(), None
         for batch in batches:
             out = []
-            for k, *values in zip(batch.column(0).to_pylist(), *(batch.column(i).to_pylist() for i in range(2, batch.num_columns))):
+            for k, *values in zip(batch.column(0).to_pylist(), *(batch.column(i).to_pylist() for i in range(2, 2 + len(inputs)))):
                 if k != now or step is None:
                     now, step = k, start()
                 out.append(step(*values))
             columns = list(zip(*out)) if out else [[]] * len(names)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, t) for c, t in zip(columns, arrow))], names=[key, order, *names])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(batch.column(i) for i in kept), *(pa.array(c, t) for c, t in zip(columns, arrow))], names=[key, order, *also, *names])
 
     return dealt.mapInArrow(run, schema)
 
@@ -198,8 +200,60 @@ def roc_overlay(bars: DataFrame, vix: DataFrame, params: DataFrame) -> DataFrame
     out = out.withColumn("i", F.row_number().over(order) - 1)
     before = F.coalesce(*[F.when(F.col("back") == k, F.lag("vix", k).over(order)) for k in sorted({t.back for t in TIERS.values()})])
     out = out.withColumn("vix_roc", F.coalesce(F.when(before > 0, (F.col("vix") - before) / before), F.lit(0.0)))
-    moves = scan(out, ["i", "vix_roc", "back", "leave", "enter", "days"], "position int, move int", hysteresis_start)
-    return out.select("symbol", "date", "close", "vix", "tier", "vix_roc").join(moves, ["symbol", "date"])
+    return scan(out, ["i", "vix_roc", "back", "leave", "enter", "days"], "position int, move int", hysteresis_start, also=("close", "vix", "tier", "vix_roc"))
+
+
+GRID = [(back, leave, enter, days) for back in (3, 5, 7, 10) for leave in (0.15, 0.20, 0.25, 0.30, 0.35, 0.40, 0.50) for enter in (0.15, 0.10, 0.05, 0.0, -0.05, -0.10) for days in (1, 2, 3, 5)]
+
+
+def grid_search(bars: DataFrame, vix: DataFrame, grid: list[tuple[int, float, float, int]] = GRID, until: str = "9999-12-31") -> DataFrame:
+    """By symbol and combination (back, leave, enter, days) of the rate-of-change overlay: excess growth, deepest falls,
+    score (excess and half of what the fall improves) up to the date `until` (training) and after it (test).
+
+    All combinations walk a symbol's rows side by side, as arrays; symbols are walked in parallel. Bars without an index
+    value are left out.
+    """
+    g = np.array(grid, float)
+    schema = "symbol string, back int, leave double, enter double, days int, part string, excess double, bh_max_dd double, strategy_max_dd double, score double, num_days int"
+
+    def walk(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("date")
+        close, index, train = rows["close"].to_numpy(float), rows["vix"].to_numpy(float), (rows["date"] <= pd.Timestamp(until).date()).to_numpy() if until < "9999" else np.ones(len(rows), bool)
+        back, leave, enter, days = g[:, 0].astype(int), g[:, 1], g[:, 2], g[:, 3]
+        inside, out_for = np.ones(len(g), bool), np.zeros(len(g))
+        position = np.ones((len(rows), len(g)))
+        for i in range(len(rows)):
+            at = np.maximum(i - back, 0)
+            roc = np.where((i >= back) & (index[at] > 0), index[i] / np.where(index[at] > 0, index[at], 1) - 1, 0.0)
+            live = i >= back
+            leaves = live & inside & (roc > leave)
+            waits = live & ~inside
+            out_for = np.where(leaves, 0, out_for + waits)
+            returns = waits & (out_for >= days) & (roc < enter)
+            inside = (inside & ~leaves) | returns
+            position[i] = inside
+        r = np.diff(close) / close[:-1]
+        held = position[:-1] * r[:, None]
+        out = []
+        for name, rows_in in (("train", train[1:]), ("test", ~train[1:])):
+            if not rows_in.any():
+                continue
+            a, b = np.cumprod(1 + held[rows_in], axis=0), np.cumprod(1 + r[rows_in])
+            fall, base = (a / np.maximum.accumulate(a, axis=0) - 1).min(axis=0), (b / np.maximum.accumulate(b) - 1).min()
+            excess = a[-1] - b[-1]
+            out.append(pd.DataFrame({"symbol": rows["symbol"].iloc[0], "back": back.astype("int32"), "leave": leave, "enter": enter, "days": days.astype("int32"), "part": name, "excess": excess, "bh_max_dd": base, "strategy_max_dd": fall, "score": excess + 0.5 * (fall - base), "num_days": np.int32(rows_in.sum())}))
+        return pd.concat(out) if out else pd.DataFrame({c.split(" ")[0]: [] for c in schema.split(", ")})
+
+    return bars.join(vix, "date").select("symbol", "date", "close", "vix").groupBy("symbol").applyInPandas(walk, schema)
+
+
+def best_of_grid(searched: DataFrame, k: int = 5) -> DataFrame:
+    """The k best combinations of each symbol by training score (ties to the smaller parameters), with their test score."""
+    key = ["symbol", "back", "leave", "enter", "days"]
+    place = W.partitionBy("symbol").orderBy(F.desc(F.round("score", 9)), "back", "leave", "enter", "days")
+    train = searched.filter("part = 'train'").withColumn("place", F.row_number().over(place)).filter(F.col("place") <= k)
+    test = searched.filter("part = 'test'").select(*key, F.col("score").alias("test_score"), F.col("excess").alias("test_excess"))
+    return train.select(*key, "place", "score", "excess", "num_days").join(test, key, "left")
 
 
 def overlay_backtest(positions: DataFrame) -> DataFrame:
@@ -406,12 +460,13 @@ def bocpd(bars: DataFrame, hazard: float = 0.01) -> DataFrame:
 
 
 def min_duration(labels: DataFrame, days: int = 5) -> DataFrame:
-    """symbol, date, regime -> regime with runs shorter than `days` given the label of the original run before them."""
+    """symbol, date, regime -> regime with runs shorter than `days` given the label of the original run before them; a short
+    first run takes that of the run after it."""
     starts = F.coalesce(F.col("regime") != lag("regime"), F.lit(True))
     out = labels.withColumn("run", F.sum(starts.cast("int")).over(so_far()))
     runs = out.groupBy("symbol", "run").agg(F.first("regime").alias("label"), F.count("*").alias("n"))
     by = W.partitionBy("symbol").orderBy("run")
-    runs = runs.withColumn("smooth", F.when(F.col("n") < days, F.coalesce(F.lag("label").over(by), F.col("label"))).otherwise(F.col("label")))
+    runs = runs.withColumn("smooth", F.when(F.col("n") < days, F.coalesce(F.lag("label").over(by), F.lead("label").over(by), F.col("label"))).otherwise(F.col("label")))
     return out.join(runs.select("symbol", "run", "smooth"), ["symbol", "run"]).select("symbol", "date", "regime", "run", F.col("smooth").alias("regime_smooth"))
 
 
@@ -449,7 +504,7 @@ def ledger(positions: DataFrame) -> DataFrame:
 
 def online_features(bars: DataFrame, alpha: float = 0.06) -> DataFrame:
     """What the online engine tells of each bar from those before it: returns over a running deviation, close's place in
-    the range, opening gap, and range against its own past of 20 bars."""
+    the range and the opening gap. (The range against its own past is in labels.tail_rates.)"""
 
     def start():
         state = [None, 0.0001]

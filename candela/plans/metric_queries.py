@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from candela.functions import frames
 from candela.functions.frames import rounded
 from candela.operators import metrics as m
 from candela.operators import sequences as q
@@ -16,7 +17,8 @@ from candela.sources import bars as s
 
 
 def _long(spark, sf_dir):
-    return m.long_metrics(s.brand_bars(spark, sf_dir))
+    """Invented prices jump by hundreds of percent; their tenth root moves like a price."""
+    return m.long_metrics(s.brand_bars(spark, sf_dir).withColumn("close", F.pow("close", 0.1)))
 
 
 def _of_table(operator, name):
@@ -27,6 +29,21 @@ def _returns(spark, sf_dir):
     return m.daily(s.bars(spark, sf_dir))
 
 
+def _tame(spark, sf_dir):
+    """Returns of invented prices, a thousandth of them, so that their product stays a number."""
+    return _returns(spark, sf_dir).withColumn("r", F.col("r") / 1000)
+
+
+def _benchmark(spark, sf_dir):
+    rows = s.market(spark, sf_dir).withColumn("symbol", F.lit("market"))
+    return rows.select("date", (frames.change("close") / 1000).alias("m"))
+
+
+def _costed(spark, sf_dir):
+    rows = s.trades(spark, sf_dir)
+    return rows.withColumn("commission", F.lit(1.0)).withColumn("slippage", F.abs("pnl") * 0.0005)
+
+
 def _lagged(spark, sf_dir):
     return m.lagged(_positions(spark, sf_dir))
 
@@ -127,7 +144,7 @@ def _micros(column: str):
 def _limiter(spark, sf_dir):
     """Calls a user made in the minute up to each event, and whether that is over the limit."""
     events = s.table(spark, sf_dir, "events")
-    over = W.partitionBy("user_id").orderBy(_micros("ts")).rangeBetween(-3_600_000_000, 0)
+    over = W.partitionBy("user_id").orderBy(_micros("ts")).rangeBetween(-60_000_000, 0)
     return events.select("event_id", "user_id", F.count("*").over(over).alias("calls")).withColumn("over", (F.col("calls") > 1).cast("int"))
 
 
@@ -138,8 +155,8 @@ def _windows(spark, sf_dir):
 
 
 QUERIES = {
-    "metrics_ml": _of(m.ml_metrics, _returns, s.market),
-    "metrics_portfolio": _of(m.portfolio_metrics, _returns, s.trades),
+    "metrics_ml": _of(m.ml_metrics, _tame, _benchmark),
+    "metrics_portfolio": _of(m.portfolio_metrics, _tame, _costed),
     "sharpe_variants": _of(m.sharpe_variants, _returns),
     "trade_stats": _of(m.trade_stats, s.trades),
     "trade_cohorts_verdict": _of(m.trade_cohorts, s.trades),
@@ -184,11 +201,13 @@ QUERIES = {
 
 RET = {"x": f"SELECT *, {change('close')} AS ret FROM bars"}
 CURVE = {**RET, "y": f"SELECT *, product(1 + ret) {SO_FAR} AS cum FROM x WHERE ret IS NOT NULL", "z": f"SELECT *, cum / max(cum) {SO_FAR} - 1 AS dd FROM y"}
+TAME = {"x": f"SELECT *, {change('close')} / 1000 AS ret FROM bars", "y": CURVE["y"], "z": CURVE["z"]}
 MARKET = {"mk": f"SELECT date, {change('close')} AS m FROM market"}
 TRADES = {"t": "SELECT c_mktsegment AS symbol, CASE WHEN o_orderpriority <> '4-NOT SPECIFIED' THEN o_orderpriority END AS tier, o_orderstatus AS vol_regime, CAST(o_orderdate AS DATE) AS date, o_totalprice - (SELECT avg(o_totalprice) FROM orders) AS pnl, (o_totalprice - (SELECT avg(o_totalprice) FROM orders)) / (SELECT avg(o_totalprice) FROM orders) AS pnl_pct, CASE WHEN o_orderkey % 7 <> 0 THEN o_orderkey % 30 END AS holding_days FROM orders JOIN customer ON c_custkey = o_custkey"}
 _mon = "OVER (PARTITION BY symbol ORDER BY date)"
 LONG = {
-    "b0": f"SELECT symbol, date, least(greatest({change('close')}, -0.9), 0.9) / 10 AS ret, close > avg(close) {frame(3)} AS above FROM brands",
+    "b": "SELECT symbol, date, power(close, 0.1) AS close FROM brands",
+    "b0": f"SELECT symbol, date, {change('close')} AS ret, close > avg(close) {frame(3)} AS above FROM b",
     "b1": "SELECT symbol, date, ret, model, p FROM (SELECT *, 1.0::DOUBLE AS hold, CASE WHEN ret > 0 THEN 1.0 WHEN ret <= 0 THEN 0.0 END AS follow, CASE WHEN ret <= 0 THEN 1.0 WHEN ret > 0 THEN 0.0 END AS fade, CAST(above AS DOUBLE) AS trend FROM b0) UNPIVOT INCLUDE NULLS (p FOR model IN (hold, follow, fade, trend))",
     "b2": "SELECT symbol, model, h AS horizon, date, (CASE WHEN h = 1 THEN lag(p, 1) OVER w ELSE lag(p, 3) OVER w END) * ret AS ret FROM b1, (VALUES (1), (3)) AS v(h) WINDOW w AS (PARTITION BY symbol, model, h ORDER BY date)",
     "b3": "SELECT *, product(1 + ret) OVER w AS cum FROM b2 WHERE ret IS NOT NULL WINDOW w AS (PARTITION BY symbol, model, horizon ORDER BY date ROWS UNBOUNDED PRECEDING)",
@@ -230,17 +249,17 @@ _gridded = {
 
 ORACLE = {
     "metrics_ml": query(
-        f"SELECT symbol, {r('lg', 'log_growth')}, {r('lg * 252 / num_days', 'log_growth_year')}, {r('mean / nullif(sd, 0) * sqrt(252)', 'sharpe_ratio')}, {r('max_drawdown', 'max_drawdown')}, {r('win_rate', 'win_rate')}, CAST(0 AS BIGINT) AS num_trades, num_days, {r('cov / var', 'beta')}, {r('(mr - cov / var * mm) * 252', 'alpha')} FROM g",
+        f"SELECT symbol, {r('gr - 1', 'total_return')}, {r('power(gr, 252 / num_days) - 1', 'annualized_return')}, {r('coalesce(mean / nullif(sd, 0) * sqrt(252), 0)', 'sharpe_ratio')}, {r('max_drawdown', 'max_drawdown')}, {r('win_rate', 'win_rate')}, CAST(0 AS BIGINT) AS num_trades, num_days, {r('beta', 'beta')}, {r('power(gr, 252 / num_days) - 1 - beta * (power(mk, 252 / num_days) - 1)', 'alpha')}, {r('mk - 1', 'benchmark_return')} FROM (SELECT *, coalesce(cov / nullif(var, 0), 0) AS beta FROM g)",
         "bars", "market",
-        steps={**CURVE, **MARKET, "g": "SELECT symbol, ln(arg_max(cum, z.date)) AS lg, count(*) AS num_days, avg(ret) AS mean, stddev_samp(ret) AS sd, min(dd) AS max_drawdown, avg(CASE WHEN ret > 0 THEN 1.0 ELSE 0.0 END) AS win_rate, covar_samp(ret, m) AS cov, var_samp(m) AS var, avg(CASE WHEN m IS NOT NULL THEN ret END) AS mr, avg(m) AS mm FROM z LEFT JOIN mk ON z.date = mk.date GROUP BY symbol"},
+        steps={**TAME, "mk0": f"SELECT date, {change('close')} / 1000 AS m FROM market", "j": "SELECT z.*, coalesce(m, 0) AS m FROM z LEFT JOIN mk0 ON z.date = mk0.date", "g": "SELECT symbol, product(1 + ret) AS gr, product(1 + m) AS mk, count(*) AS num_days, avg(ret) AS mean, stddev_samp(ret) AS sd, min(dd) AS max_drawdown, avg(CASE WHEN ret > 0 THEN 1.0 ELSE 0.0 END) AS win_rate, covar_samp(ret, m) AS cov, var_samp(m) AS var FROM j GROUP BY symbol"},
     ),
     "metrics_portfolio": query(
-        f"SELECT {r('exp(lg) - 1', 'total_return')}, {r('yr', 'annualized_return')}, {r('sd * sqrt(252)', 'volatility')}, {r('(yr - 0.02) / (sd * sqrt(252))', 'sharpe_ratio')}, {r('(yr - 0.02) / (down * sqrt(252))', 'sortino_ratio')}, {r('abs(dd)', 'max_drawdown')}, {r('yr / abs(dd)', 'calmar_ratio')}, num_trades, {_all('win_rate avg_win avg_loss profit_factor')} FROM (SELECT *, exp(lg * 252 / days) - 1 AS yr FROM g), tt",
+        f"SELECT {r('gr - 1', 'total_return')}, {r('yr', 'annualized_return')}, {r('sd * sqrt(252)', 'volatility')}, {r('(yr - 0.02) / (sd * sqrt(252))', 'sharpe_ratio')}, {r('(yr - 0.02) / (down * sqrt(252))', 'sortino_ratio')}, {r('abs(dd)', 'max_drawdown')}, {r('yr / abs(dd)', 'calmar_ratio')}, num_trades, {_all('win_rate avg_win avg_loss profit_factor avg_trade_duration total_commission total_slippage')} FROM (SELECT *, power(gr, 252 / days) - 1 AS yr FROM g), tt",
         "bars",
         steps={
-            **RET, **TRADES, "p": "SELECT 'p' AS symbol, date, avg(ret) / 1000 AS ret FROM x WHERE ret IS NOT NULL GROUP BY date", "y": f"SELECT *, product(1 + ret) {SO_FAR} AS cum FROM p", "z": f"SELECT *, cum / max(cum) {SO_FAR} - 1 AS dd FROM y",
-            "g": "SELECT ln(arg_max(cum, date)) AS lg, count(*) AS days, stddev_pop(ret) AS sd, stddev_pop(CASE WHEN ret < 0 THEN ret END) AS down, min(dd) AS dd FROM z",
-            "tt": "SELECT count(*) AS num_trades, avg(CASE WHEN pnl > 0 THEN 1.0 ELSE 0.0 END) AS win_rate, avg(CASE WHEN pnl > 0 THEN pnl END) AS avg_win, avg(CASE WHEN pnl <= 0 THEN pnl END) AS avg_loss, abs(sum(CASE WHEN pnl > 0 THEN pnl END) / sum(CASE WHEN pnl <= 0 THEN pnl END)) AS profit_factor FROM t",
+            **RET, **TRADES, "p": "SELECT 'p' AS symbol, date, avg(ret / 1000) AS ret FROM x WHERE ret IS NOT NULL GROUP BY date", "y": f"SELECT *, product(1 + ret) {SO_FAR} AS cum FROM p", "z": f"SELECT *, cum / greatest(1.0, max(cum) {SO_FAR}) - 1 AS dd FROM y",
+            "g": "SELECT product(1 + ret) AS gr, count(*) AS days, stddev_pop(ret) AS sd, stddev_pop(CASE WHEN ret < 0 THEN ret END) AS down, min(dd) AS dd FROM z",
+            "tt": "SELECT count(*) AS num_trades, avg(CASE WHEN pnl > 0 THEN 1.0 ELSE 0.0 END) AS win_rate, avg(CASE WHEN pnl > 0 THEN pnl END) AS avg_win, avg(CASE WHEN pnl <= 0 THEN pnl END) AS avg_loss, abs(sum(CASE WHEN pnl > 0 THEN pnl END) / sum(CASE WHEN pnl <= 0 THEN pnl END)) AS profit_factor, avg(holding_days) AS avg_trade_duration, CAST(count(*) AS DOUBLE) AS total_commission, sum(abs(pnl) * 0.0005) AS total_slippage FROM t",
         },
     ),
     "sharpe_variants": query(
@@ -331,6 +350,6 @@ ORACLE = {
         "SELECT CAST(date_trunc('month', d.date) AS DATE) AS month, count(*) AS weekdays, count(m.date) AS sessions FROM d LEFT JOIN market m ON d.date = m.date GROUP BY 1",
         "market", steps={"d": "SELECT CAST(unnest(range((SELECT min(date) FROM market), (SELECT max(date) FROM market) + INTERVAL 1 DAY, INTERVAL 1 DAY)) AS DATE) AS date", "d2": "SELECT 1"},
     ).replace("FROM d LEFT", "FROM (SELECT date FROM d WHERE isodow(date) <= 5) d LEFT"),
-    "rate_limiter_window": "SELECT event_id, user_id, calls, CAST(CASE WHEN calls > 1 THEN 1 ELSE 0 END AS INTEGER) AS over FROM (SELECT event_id, user_id, count(*) OVER (PARTITION BY user_id ORDER BY epoch_us(ts) RANGE BETWEEN 3600000000 PRECEDING AND CURRENT ROW) AS calls FROM events)",
+    "rate_limiter_window": "SELECT event_id, user_id, calls, CAST(CASE WHEN calls > 1 THEN 1 ELSE 0 END AS INTEGER) AS over FROM (SELECT event_id, user_id, count(*) OVER (PARTITION BY user_id ORDER BY epoch_us(ts) RANGE BETWEEN 60000000 PRECEDING AND CURRENT ROW) AS calls FROM events)",
     "event_windows": f"SELECT (epoch_us(ts) // 21600000000) * 21600000000 AS start_us, event_type, count(*) AS n, {r('sum(value)', 'total')} FROM events GROUP BY 1, 2",
 }

@@ -36,7 +36,7 @@ def _changes(spark, sf_dir):
     rows = f.regime_labels(s.bars(spark, sf_dir)).withColumn("place", F.row_number().over(f.order())).withColumn("before", F.lag("regime").over(f.order()))
     true = rows.filter("before != regime").select("symbol", "place")
     found = rows.filter("before != regime AND place % 3 = 0").select("symbol", (F.col("place") + F.col("place") % 10).alias("place"))
-    return rounded(m.evaluate_changes(true, found, 20))
+    return rounded(m.evaluate_changes(true, found))
 
 
 def _equity(spark, sf_dir):
@@ -80,14 +80,14 @@ ORACLE = {
     "standard_scale": query(f"SELECT symbol, date, {r('(v - avg(v) OVER (PARTITION BY symbol)) / stddev_pop(v) OVER (PARTITION BY symbol)', 'realized_vol_20d')}, {r('(vs - avg(vs) OVER (PARTITION BY symbol)) / stddev_pop(vs) OVER (PARTITION BY symbol)', 'volume_sma')} FROM ft", "bars", steps=FEATURES),
     "interactions_poly": query(f"SELECT symbol, date, {r('v * vs', 'product')}, {r('v / (vs + 1e-6)', 'ratio')}, {r('v * v', 'square')}, {r('v * v * v', 'cube', 4)} FROM ft", "bars", steps=FEATURES),
     "change_point_eval": query(
-        f"SELECT t.symbol, t.n AS n_true, coalesce(u.n, 0) AS n_found, coalesce(h.n, 0) AS hits, t.n - coalesce(h.n, 0) AS misses, coalesce(u.n, 0) - coalesce(h.n, 0) AS false_alarms, {r('h.d', 'mean_delay')} FROM (SELECT symbol, count(*) AS n FROM tr GROUP BY 1) t LEFT JOIN (SELECT symbol, count(*) AS n FROM fo GROUP BY 1) u USING (symbol) LEFT JOIN (SELECT symbol, count(*) AS n, avg(b - a) AS d FROM hit GROUP BY 1) h USING (symbol)",
+        f"SELECT symbol, n_true, n_found, hits, n_true - hits AS misses, n_found - hits AS false_alarms, {r('coalesce(hits / nullif(n_found, 0), 1)', 'precision')}, {r('hits / n_true', 'recall')}, {r('coalesce(2 * hits / nullif(n_found + n_true, 0), 0)', 'f1')}, {r('mean_delay', 'mean_delay')} FROM (SELECT t.symbol, t.n AS n_true, coalesce(u.n, 0) AS n_found, coalesce(h.n, 0) AS hits, coalesce(h.d, 0) AS mean_delay FROM (SELECT symbol, count(*) AS n FROM tr GROUP BY 1) t LEFT JOIN (SELECT symbol, count(*) AS n FROM fo GROUP BY 1) u USING (symbol) LEFT JOIN (SELECT symbol, count(*) AS n, avg(b - a) AS d FROM hit GROUP BY 1) h USING (symbol))",
         "bars",
         steps={
             "x": f"SELECT *, {change('close')} AS ret FROM bars", "y": f"SELECT *, {std('ret', 20)} AS sd FROM x", "k": "SELECT symbol, quantile_cont(sd, 0.33) AS a, quantile_cont(sd, 0.67) AS b FROM y GROUP BY symbol",
             "z": "SELECT y.symbol, y.date, CASE WHEN sd < a THEN 0 WHEN sd > b THEN 2 ELSE 1 END AS regime FROM y JOIN k ON y.symbol = k.symbol", "u0": f"SELECT *, {lag('regime')} AS before, row_number() OVER (PARTITION BY symbol ORDER BY date) AS place FROM z",
-            "tr": "SELECT symbol, place FROM u0 WHERE before <> regime", "fo": "SELECT symbol, place + place % 10 AS place FROM u0 WHERE before <> regime AND place % 3 = 0",
-            "pr": "SELECT tr.symbol, tr.place AS a, fo.place AS b, abs(tr.place - fo.place) AS g FROM tr JOIN fo ON tr.symbol = fo.symbol AND abs(tr.place - fo.place) <= 20",
-            "hit": "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY symbol, a ORDER BY g, b) AS p, row_number() OVER (PARTITION BY symbol, b ORDER BY g, a) AS q FROM pr) WHERE p = 1 AND q = 1",
+            "tr": "SELECT symbol, place FROM u0 WHERE before <> regime", "fo": "SELECT DISTINCT symbol, place + place % 10 AS place FROM u0 WHERE before <> regime AND place % 3 = 0",
+            "pr": "SELECT symbol, b, a FROM (SELECT fo.symbol, fo.place AS b, tr.place AS a, row_number() OVER (PARTITION BY fo.symbol, fo.place ORDER BY abs(tr.place - fo.place), tr.place) AS k FROM fo JOIN tr ON tr.symbol = fo.symbol) WHERE k = 1 AND abs(a - b) <= 5",
+            "hit": "SELECT symbol, a, min(b) AS b FROM pr GROUP BY 1, 2",
         },
     ),
     "sim_equity": query(f"SELECT date, {r('sum(cash + shares * close)', 'equity')}, count(*) AS symbols, CAST(count(*) FILTER (action <> 'hold') AS BIGINT) AS orders FROM e GROUP BY date", "bars", steps=LEDGER, recursive=True),

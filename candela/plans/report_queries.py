@@ -124,7 +124,7 @@ ORACLE = {
     ),
     "expanding_zscore": query(f"SELECT date, {r(f'CASE WHEN count(vix) {SO_FAR} >= 20 THEN (vix - avg(vix) {SO_FAR}) / greatest(stddev_pop(vix) {SO_FAR}, 1e-4) ELSE 0 END', 'z')} FROM v", "vix", steps={"v": "SELECT 'v' AS symbol, * FROM vix"}),
     "crash_timing": query(
-        f"SELECT symbol, fc AS first_crash, fr AS first_reduced, {r('hl', 'hold_loss')}, {r('sl', 'strategy_loss')}, CAST(fr - fc AS INTEGER) AS days_late, {r('1 - sl / hl', 'reduction')} FROM (SELECT symbol, min(CASE WHEN ret < -0.5 THEN date END) AS fc, min(CASE WHEN position < 0.95 THEN date END) AS fr, sum(CASE WHEN ret < 0 THEN ret END) AS hl, sum(CASE WHEN ret < 0 THEN st END) AS sl FROM y GROUP BY symbol)",
+        f"SELECT symbol, fc AS first_crash, fr AS first_reduced, {r('hl', 'hold_loss')}, {r('sl', 'strategy_loss')}, CAST(fr - fc AS INTEGER) AS days_late, {r('1 - sl / hl', 'reduction')} FROM (SELECT symbol, min(CASE WHEN ret < -0.03 THEN date END) AS fc, min(CASE WHEN position < 0.95 THEN date END) AS fr, sum(CASE WHEN ret < 0 THEN ret END) AS hl, sum(CASE WHEN ret < 0 THEN st END) AS sl FROM y GROUP BY symbol)",
         "bars", steps={"x": f"SELECT *, {change('close')} AS ret, CAST(CASE WHEN close > {mean('close', 20)} THEN 1.0 ELSE 0.5 END AS DOUBLE) AS position FROM bars", "y": f"SELECT *, {lag('position')} * ret AS st FROM x"},
     ),
     "peak_recovery": query(

@@ -36,7 +36,7 @@ QUERIES = {
     "tunable_override": _of(q.tunable_overlay, s.vix),
     "bocpd_runlength": _of(lambda b: q.bocpd(b).select("symbol", "date", "map_run_length", "expected_run_length", "map_drop"), s.bars),
     "bocpd_cp_identity": _of(lambda b: q.bocpd(b).select("symbol", "date", "cp_prob"), s.bars),
-    "bocpd_regime_labels": _of(lambda b: q.min_duration(f.regime_labels(b).select("symbol", "date", "regime")), s.bars),
+    "smoothed_labels": _of(lambda b: q.min_duration(f.regime_labels(b).select("symbol", "date", "regime")), s.bars),
     "ledger_replay": _of(q.ledger, _wanted),
     "feature_engine_online": _of(q.online_features, s.bars),
 }
@@ -167,14 +167,14 @@ ORACLE = {
         },
     ),
     "bocpd_cp_identity": query(f"SELECT symbol, date, {r('0.01', 'cp_prob')} FROM bars", "bars"),
-    "bocpd_regime_labels": query(
-        "SELECT w.symbol, w.date, w.regime, w.run, CAST(CASE WHEN g.n < 5 THEN coalesce(g.prev, g.label) ELSE g.label END AS INTEGER) AS regime_smooth FROM w JOIN g ON w.symbol = g.symbol AND w.run = g.run",
+    "smoothed_labels": query(
+        "SELECT w.symbol, w.date, w.regime, w.run, CAST(CASE WHEN g.n < 5 THEN coalesce(g.prev, g.next, g.label) ELSE g.label END AS INTEGER) AS regime_smooth FROM w JOIN g ON w.symbol = g.symbol AND w.run = g.run",
         "bars",
         steps={
             "x": f"SELECT *, {change('close')} AS ret FROM bars", "y": f"SELECT *, {std('ret', 20)} AS sd FROM x", "k": "SELECT symbol, quantile_cont(sd, 0.33) AS a, quantile_cont(sd, 0.67) AS b FROM y GROUP BY symbol",
             "z": "SELECT y.symbol, y.date, CAST(CASE WHEN sd < a THEN 0 WHEN sd > b THEN 2 ELSE 1 END AS INTEGER) AS regime FROM y JOIN k ON y.symbol = k.symbol",
             "u": f"SELECT *, CASE WHEN regime IS DISTINCT FROM {lag('regime')} THEN 1 ELSE 0 END AS starts FROM z", "w": f"SELECT *, CAST(sum(starts) {SO_FAR} AS BIGINT) AS run FROM u",
-            "g0": "SELECT symbol, run, min(regime) AS label, count(*) AS n FROM w GROUP BY 1, 2", "g": "SELECT *, lag(label) OVER (PARTITION BY symbol ORDER BY run) AS prev FROM g0",
+            "g0": "SELECT symbol, run, min(regime) AS label, count(*) AS n FROM w GROUP BY 1, 2", "g": "SELECT *, lag(label) OVER (PARTITION BY symbol ORDER BY run) AS prev, lead(label) OVER (PARTITION BY symbol ORDER BY run) AS next FROM g0",
         },
     ),
     "ledger_replay": query(
