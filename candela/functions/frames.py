@@ -84,21 +84,21 @@ def island(changes: Column) -> Column:
     return F.sum(changes.cast("int")).over(so_far())
 
 
-def as_of(rows: DataFrame, series: DataFrame, by: str = "date", on: str = "symbol") -> DataFrame:
-    """rows with the latest values of series (by, values...) at or before their own date.
+def as_of(rows: DataFrame, *series: DataFrame, by: str = "date") -> DataFrame:
+    """rows with the latest values of each series (by, values..., one row a date) at or before their own date.
 
-    Both are put in one order and each row takes the last value seen: one shuffle, no range join. series has one row a
-    date and is repeated for each key of rows; keys are the distinct values of `on`.
+    The dates of rows and series are put in one order, in which each takes the last values seen, and rows are joined with
+    their dates. So the series never meet the rows' other keys, and what one task orders is a calendar, not a table.
     """
-    values = [c for c in series.columns if c != by]
-    keys = rows.select(on).distinct()
-    told = series.join(F.broadcast(keys))
-    mark = F.struct(*values)
-    left = rows.select(*rows.columns, F.lit(None).cast(told.select(mark.alias("m")).schema["m"].dataType).alias("__m"), F.lit(1).alias("__o"))
-    right = told.select(*[F.col(c) if c in (by, on) else F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in rows.columns], mark.alias("__m"), F.lit(0).alias("__o"))
-    over = Window.partitionBy(on).orderBy(by, "__o").rowsBetween(Window.unboundedPreceding, 0)
-    seen = left.unionByName(right).withColumn("__m", F.last("__m", ignorenulls=True).over(over)).filter("__o = 1")
-    return seen.select(*rows.columns, *[F.col("__m")[v].alias(v) for v in values])
+    days = rows.select(by).distinct().withColumn("__row", F.lit(1))
+    marks = [F.struct(*[c for c in x.columns if c != by]) for x in series]
+    line = days
+    for i, (x, mark) in enumerate(zip(series, marks)):
+        line = line.unionByName(x.select(by, F.lit(0).alias("__row"), mark.alias(f"__m{i}")), allowMissingColumns=True)
+    over = Window.partitionBy(F.lit(0)).orderBy(by, "__row").rowsBetween(Window.unboundedPreceding, 0)
+    told = line.select(by, "__row", *[F.last(f"__m{i}", ignorenulls=True).over(over).alias(f"__m{i}") for i in range(len(series))]).filter("__row = 1")
+    told = told.select(by, *[F.col(f"__m{i}")[c].alias(c) for i, x in enumerate(series) for c in x.columns if c != by])
+    return rows.join(told, by, "left").select(*rows.columns, *[c for c in told.columns if c != by])
 
 
 #: Added before a result is rounded, so that decimal ties, which engines break by their last bit, lie off the edge.

@@ -162,10 +162,8 @@ def volatility_index(bars: DataFrame, vix: DataFrame) -> DataFrame:
 def macro_correlation(bars: DataFrame, panel: DataFrame, names: dict[str, str]) -> DataFrame:
     """Correlation with, and momentum against, named series (prefix -> name). Returns of a series are taken on its own
     calendar and then stand until its next date."""
-    out = bars.select("symbol", "date", "close")
-    for prefix, name in names.items():
-        series = _over_market(panel.filter(F.col("name") == name)).select("date", change("close").alias(f"{prefix}_r"), change("close", 20).alias(f"{prefix}_m"))
-        out = as_of(out, series)
+    series = [_over_market(panel.filter(F.col("name") == name)).select("date", change("close").alias(f"{prefix}_r"), change("close", 20).alias(f"{prefix}_m")) for prefix, name in names.items()]
+    out = as_of(bars.select("symbol", "date", "close"), *series)
     out = out.withColumn("r", change("close")).withColumn("m", change("close", 20))
     columns = []
     for p in names:

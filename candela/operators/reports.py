@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from candela.functions.frames import change, div, flag, lag, so_far
+from candela.functions.frames import change, div, flag, lag, so_far, whole
 
 
 def fundamentals(rows: DataFrame) -> DataFrame:
@@ -88,14 +88,17 @@ def timing(positions: DataFrame, crash: float = -0.03, reduced: float = 0.95) ->
 
 
 def recovery(bars: DataFrame, start: str, end: str) -> DataFrame:
-    """By symbol, within dates: peak, trough after it, the fall, and the first date after the trough at the peak's level."""
-    inside = bars.filter(F.col("date").between(start, end)).select("symbol", "date", "close")
-    peak = inside.groupBy("symbol").agg(F.max("close").alias("peak"))
-    at = inside.join(F.broadcast(peak), "symbol").filter("close = peak").groupBy("symbol", "peak").agg(F.min("date").alias("peak_date"))
-    after = inside.join(F.broadcast(at), "symbol").filter("date >= peak_date")
-    low = after.groupBy("symbol", "peak", "peak_date").agg(F.min("close").alias("trough"), F.min_by("date", F.struct("close", "date")).alias("trough_date"))
-    back = bars.select("symbol", F.col("date").alias("d"), F.col("close").alias("c")).join(F.broadcast(low.select("symbol", "peak", "trough_date")), "symbol").filter((F.col("d") > F.col("trough_date")) & (F.col("c") >= F.col("peak"))).groupBy("symbol").agg(F.min("d").alias("recovered"))
-    return low.join(back, "symbol", "left").withColumn("fall", F.col("trough") / F.col("peak") - 1)
+    """By symbol, within dates: peak, trough after it, the fall, and the first date after the trough, be it beyond the dates,
+    at the peak's level. All windows are over whole symbols, so there is one shuffle and nothing is broadcast."""
+    inside, over = F.col("date").between(start, end), whole()
+    out = bars.select("symbol", "date", "close").withColumn("peak", F.max(F.when(inside, F.col("close"))).over(over))
+    out = out.withColumn("peak_date", F.min(F.when(inside & (F.col("close") == F.col("peak")), F.col("date"))).over(over))
+    after = inside & (F.col("date") >= F.col("peak_date"))
+    out = out.withColumn("trough", F.min(F.when(after, F.col("close"))).over(over))
+    out = out.withColumn("trough_date", F.min(F.when(after & (F.col("close") == F.col("trough")), F.col("date"))).over(over))
+    back = (F.col("date") > F.col("trough_date")) & (F.col("close") >= F.col("peak"))
+    g = out.filter("peak is not null").groupBy("symbol", "peak", "peak_date", "trough", "trough_date").agg(F.min(F.when(back, F.col("date"))).alias("recovered"))
+    return g.withColumn("fall", F.col("trough") / F.col("peak") - 1)
 
 
 def spaced(marks: DataFrame, spacing: int = 5) -> DataFrame:

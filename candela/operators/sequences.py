@@ -146,7 +146,7 @@ def kalman(bars: DataFrame) -> DataFrame:
         return lambda close, r: (price(close)[0], returns(r)[0])
 
     moved = bars.withColumn("r", F.coalesce(change("close"), F.lit(0.0)))
-    out = scan(moved.withColumn("c", F.col("close")), ["c", "r"], "kalman_price double, kalman_returns double", start).join(bars.select("symbol", "date", "close"), ["symbol", "date"])
+    out = scan(moved.withColumn("c", F.col("close")), ["c", "r"], "kalman_price double, kalman_returns double", start, also=("close",))
     return out.select("symbol", "date", "kalman_price", "kalman_returns", (F.col("close") - F.col("kalman_price")).alias("price_kalman_residual"), div("close", "kalman_price").alias("kalman_price_ratio"), (F.col("kalman_price") - lag("kalman_price", 5)).alias("kalman_momentum"), flag(F.col("kalman_price") > mean("kalman_price", 20, 1)).alias("kalman_trend"))
 
 

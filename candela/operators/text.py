@@ -48,7 +48,7 @@ def _count(words: Column, of: tuple[str, ...]) -> Column:
 
 def lexicon(articles: DataFrame) -> DataFrame:
     """Positive, negative and uncertain words, and (positive - negative) / root of words, within [-1, 1]."""
-    words = F.transform(F.filter(F.split(F.lower("body"), r"[ \n\t\r]+"), lambda w: w != ""), lambda w: F.regexp_replace(w, r"^[.,!?;:]+|[.,!?;:]+$", ""))
+    words = F.transform(F.filter(F.split(F.lower("body"), r"[ \n\t\r]+"), lambda w: w != ""), lambda w: F.btrim(w, F.lit(".,!?;:")))
     out = articles.withColumn("words", words).withColumn("n", F.size("words"))
     out = out.select(*articles.columns, "n", _count(F.col("words"), POSITIVE).alias("pos"), _count(F.col("words"), NEGATIVE).alias("neg"), _count(F.col("words"), UNCERTAIN).alias("unc"))
     root = F.sqrt("n")

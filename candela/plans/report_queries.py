@@ -8,6 +8,7 @@ from candela.functions.frames import order, rounded
 from candela.operators import features as f
 from candela.operators import reports as p
 from candela.plans import registry
+from candela.plans.feature_queries import ORACLE as FEATURE_ORACLE
 from candela.plans.feature_queries import _of, _positions
 from candela.plans.metric_queries import LONG, TRADES, _long
 from candela.plans.sql import SO_FAR, change, flag, lag, mean, query, r, std
@@ -38,10 +39,12 @@ def _votes(spark, sf_dir):
     return rows.select("symbol", "date", F.explode(rules).alias("vote"))
 
 
+DRIVERS = ["vix_level", "vix_zscore_60d", "vix_roc_5d", "vix_roc_20d", "rv_5d", "rv_20d", "spy_ret_5d", "trailing_dd_10d"]
+
+
 def _drivers(spark, sf_dir):
     m, t = f.market_risk(s.market(spark, sf_dir), s.vix(spark, sf_dir)), f.market_risk_targets(s.market(spark, sf_dir))
-    names = ["vix_level", "vix_zscore_60d", "vix_roc_5d", "vix_roc_20d", "rv_5d", "rv_20d", "spy_ret_5d", "trailing_dd_10d"]
-    return rounded(p.drivers(m.join(t, "date"), "fwd_max_dd", names))
+    return rounded(p.drivers(rounded(m).join(rounded(t), "date"), "fwd_max_dd", DRIVERS))
 
 
 def _marks(spark, sf_dir):
@@ -103,6 +106,10 @@ LABELS = {
     "lb": "SELECT y.symbol, y.date, CAST(CASE WHEN sd < a THEN 0 WHEN sd > b THEN 2 ELSE 1 END AS INTEGER) AS regime, coalesce(ret, 0) AS r FROM y JOIN k ON y.symbol = k.symbol",
 }
 ORACLE = {
+    "risk_drivers": query(
+        f"SELECT feature, {r('c', 'corr')} FROM (SELECT * FROM g UNPIVOT (c FOR feature IN ({', '.join(DRIVERS)}))) ORDER BY round(abs(c), 9) DESC, feature LIMIT 5",
+        steps={"m": FEATURE_ORACLE["market_risk_features"], "t": FEATURE_ORACLE["market_risk_targets"], "g": f"SELECT {', '.join(f'corr({n}, fwd_max_dd) AS {n}' for n in DRIVERS)} FROM m JOIN t USING (date)"},
+    ),
     "fundamental_scores": query(
         f"""SELECT symbol, {r('coalesce(pe, (SELECT quantile_cont(pe, 0.5) FROM x))', 'pe_ratio')}, {r('pe / (eg * 100 + 1e-6)', 'pe_to_growth')}, {r('coalesce(roe, 0) * 10 + coalesce(margin, 0) * 10 + coalesce(rg, 0) * 5 - coalesce(debt, 100) / 100', 'quality_score')}, {r('-coalesce(pe, 0) / 20 - coalesce(pb, 0) / 3', 'valuation_score')}, {r('coalesce(liq, 1) * 0.5 + (100 - coalesce(debt, 100)) / 100', 'financial_health')},
         {flag('coalesce(dv, 0) * 100 > 2')} AS dividend_attractive, {flag('coalesce(eg, 0) > 0.15 AND coalesce(pe, 0) > 20')} AS is_growth_stock, {flag('coalesce(pe, 0) > 0 AND coalesce(pe, 0) < 15 AND coalesce(pb, 0) < 2')} AS is_value_stock FROM x""",

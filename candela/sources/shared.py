@@ -9,6 +9,11 @@ from pyspark.sql import SparkSession
 
 
 def new_folder(spark: SparkSession, label: str) -> str:
-    """A new path below spark.checkpoint.dir, or below a temporary folder where that is unset."""
-    top = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="candela-")
-    return f"{top.rstrip('/')}/candela/{uuid.uuid4().hex}/{label}"
+    """A new path below spark.checkpoint.dir, or below a temporary folder where that is unset and driver and executors are one
+    process (tests); on a cluster it must be set."""
+    sc = spark.sparkContext
+    top = sc.getConf().get("spark.checkpoint.dir")
+    if not top and not sc.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    top = top or tempfile.mkdtemp(prefix="candela-")
+    return f"{top.rstrip('/')}/candela/{sc.applicationId}/{uuid.uuid4().hex}/{label}"
