@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from candela.functions.frames import mean, std
 from candela.operators.labels import regimes, trend_features
-from candela.operators.sequences import RunLength, min_duration, scan
+from candela.operators.sequences import RunLength, RunLengths, min_duration, scan
 
 # The detector's settings.
 HAZARD, HAZARD_LOW, HAZARD_HIGH = 1 / 126, 1 / 252, 1 / 42
@@ -45,7 +45,7 @@ def change_points(rows: DataFrame) -> DataFrame:
     """symbol, date, x, hazard -> the chance that a run starts there, the likeliest and the expected run length."""
 
     def start():
-        model = RunLength(HAZARD, KAPPA, ALPHA, BETA)
+        model = RunLength(HAZARD, KAPPA, ALPHA, BETA, first=False)
 
         def step(x: float, hazard: float) -> tuple:
             model.h = hazard
@@ -143,6 +143,19 @@ def alpha_detector(bars: DataFrame, warmup: int = 20) -> DataFrame:
     return scan(rows, list(CHANNELS), "change_prob double, expected_run_length double, vol_change_prob double, in_transition int, position double, regime_id int", start)
 
 
+def joint_changes(bars: DataFrame) -> DataFrame:
+    """Run lengths of return, gap and place in the range taken together."""
+    from candela.operators.sequences import online_features
+
+    rows = online_features(bars).select("symbol", "date", F.col("ret_z").alias("a"), F.col("gap_z").alias("b"), F.col("clv").alias("c"))
+
+    def start():
+        model = RunLengths(CHANNEL_HAZARD, 3, CHANNEL_BETA)
+        return lambda *xs: model.update(xs)
+
+    return scan(rows, ["a", "b", "c"], "change_prob double, map_run_length int, expected_run_length double", start)
+
+
 def risk_level(risk: Column) -> Column:
     return F.when(risk >= 0.70, "HIGH").when(risk >= 0.45, "ELEVATED").when(risk >= 0.25, "MODERATE").when(risk.isNotNull(), "LOW")
 

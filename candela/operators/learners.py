@@ -215,6 +215,27 @@ def backtest(predicted: DataFrame, bars: DataFrame, threshold: float = 0.5) -> D
     return rows.filter("held is not null").groupBy("symbol", "horizon", "model").agg(F.count("*").alias("num_days"), F.count_if(moved).alias("num_trades"), F.sum(F.log1p(F.col("held") * F.col("r"))).alias("strategy_log_return"), F.sum(F.log1p("r")).alias("hold_log_return"))
 
 
+def regime_forests(features: DataFrame, targets: DataFrame, train: float = 0.6, rows_needed: int = 50, hits_needed: int = 10) -> DataFrame:
+    """symbol, date, part, spike_prob, calm_prob: two forests a symbol, one that sees only calm training days and learns
+    which spike, one that sees only wild ones and learns which calm down. A forest without enough rows or hits gives 0.
+
+    features: symbol, date, numbers; targets: symbol, date, current_low, current_high, spike_target, calm_target."""
+    names = [c for c in features.columns if c not in ("symbol", "date")]
+    rows = features.join(targets.select("symbol", "date", "current_low", "current_high", "spike_target", "calm_target"), ["symbol", "date"]).na.drop()
+
+    def one(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("date")
+        x, past = group[names].to_numpy(float), np.arange(len(group)) < int(len(group) * train)
+        odds = []
+        for where, what in (("current_low", "spike_target"), ("current_high", "calm_target")):
+            y, use = group[what].to_numpy(int), past & (group[where].to_numpy() == 1)
+            enough = use.sum() >= rows_needed and hits_needed < y[use].sum() < use.sum()
+            odds.append(Forest(SEED, 20, 5).fit(x[use], y[use], _weights(y[use])).predict(x) if enough else np.zeros(len(y)))
+        return pd.DataFrame({"symbol": group["symbol"], "date": group["date"], "part": np.where(past, "train", "test"), "spike_prob": odds[0], "calm_prob": odds[1], "spike_target": group["spike_target"].astype("int32"), "calm_target": group["calm_target"].astype("int32")})
+
+    return rows.groupBy("symbol").applyInPandas(one, "symbol string, date date, part string, spike_prob double, calm_prob double, spike_target int, calm_target int")
+
+
 def search(rows: DataFrame, features: list[str], ridges: tuple[float, ...] = (0.1, 1.0, 10.0, 100.0)) -> DataFrame:
     """By symbol and horizon: the logistic regression's penalty with the least log loss on the validation part."""
 
@@ -273,21 +294,22 @@ def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return xs, np.repeat([b[0] for b in blocks], [b[2] for b in blocks])
 
 
-def walk_forward(rows: DataFrame, x: str, y: str, ahead: int = 10, least: int = 250) -> DataFrame:
-    """date, x, y (0/1, known `ahead` rows later) -> each year's odds by an isotonic fit on the rows before it whose outcome
-    was known when the year began. Years with fewer such rows than least are left out. The series is one index's; each year
+def walk_forward(rows: DataFrame, x: str, y: str, ahead: int = 10, least: int = 500, fewest: int = 50, years: int = 4) -> DataFrame:
+    """date, x, y (0/1, known `ahead` rows later) -> the last years' odds, each year's by an isotonic fit on the rows before
+    it whose outcome was known when the year began. Years with fewer such rows than least, or fewer of their own than
+    fewest, are left out. The series is one index's; each year
     is a task with the rows before it."""
     from pyspark.sql import Window as W
 
     base = rows.select("date", F.col(x).alias("x"), F.col(y).cast("double").alias("y"), F.year("date").alias("year")).filter("x is not null and y is not null")
     base = base.withColumn("known", F.lead("date", ahead).over(W.orderBy("date")))
-    years = base.select(F.col("year").alias("test")).distinct()
+    tested = base.select(F.col("year").alias("test")).distinct().orderBy(F.desc("test")).limit(years)
     first = F.to_date(F.concat(F.col("test").cast("string"), F.lit("-01-01")))
-    seen = base.join(F.broadcast(years), F.col("test") >= F.col("year")).withColumn("trains", F.col("known") < first).filter("trains or year = test")
+    seen = base.join(F.broadcast(tested), F.col("test") >= F.col("year")).withColumn("trains", F.col("known") < first).filter("trains or year = test")
 
     def one(group: pd.DataFrame) -> pd.DataFrame:
         past, now = group[group["trains"].eq(True) & (group["year"] < group["test"])], group[group["year"] == group["test"]].sort_values("date")
-        if len(past) < least:
+        if len(past) < least or len(now) < fewest:
             return now.head(0)[["date", "year", "y"]].assign(p=0.0)
         xs, fit = isotonic(past["x"].to_numpy(), past["y"].to_numpy())
         return pd.DataFrame({"date": now["date"], "year": now["year"], "y": now["y"], "p": np.interp(now["x"], xs, fit)})

@@ -4,15 +4,12 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.classification import RandomForestClassifier
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from candela.functions.frames import change, div, lag, order, so_far, whole
-from candela.operators.sequences import RunLength, scan
+from candela.operators.sequences import scan
 
 
 def split(bars: DataFrame, train: float = 0.6, validate: float = 0.2) -> DataFrame:
@@ -111,111 +108,102 @@ def wavelets(bars: DataFrame, window: int = 64) -> DataFrame:
     return whole_series.join(scan(bars, ["close"], "smooth_online double", lambda: past([])), ["symbol", "date"])
 
 
-def wasserstein_clusters(features: DataFrame, k: int = 3, window: int = 20, rounds: int = 20) -> DataFrame:
-    """Windows of returns clustered by Wasserstein distance of their sorted values (atoms sorted before the median
-    barycentre), clusters named in order of volatility."""
+def _clusters(x: np.ndarray, k: int, rounds: int) -> np.ndarray:
+    """Centroids of rows of sorted values by Wasserstein distance, medians of their members, in order of volatility."""
+    rng = np.random.RandomState(42)
+    c = x[rng.choice(len(x), k, replace=False)].copy()
+    for _ in range(rounds):
+        near = np.abs(x[:, None, :] - c[None]).mean(axis=2).argmin(axis=1)
+        new = np.stack([np.median(x[near == j], axis=0) if (near == j).any() else c[j] for j in range(k)])
+        if np.allclose(new, c):
+            break
+        c = new
+    return c[np.argsort(c.std(axis=1), kind="stable")]
+
+
+def wasserstein_clusters(features: DataFrame, k: int = 3, window: int = 20, rounds: int = 20, days: int = 500, every: int = 126) -> DataFrame:
+    """Each row's window of returns by its nearest cluster, 0 calm to 2 wild; -1 before the first fit.
+
+    Clusters (Wasserstein distance of sorted values, median barycentres) are fitted anew every so many rows on the windows
+    of the last so many calendar days, and stand until the next fit; so nothing of a later row tells a row's label."""
 
     def cluster(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("date")
-        r = rows["returns"].to_numpy()
-        n = len(r) // window
-        if n < k:
-            return pd.DataFrame({"symbol": rows["symbol"], "date": rows["date"], "regime": -1})
-        x = np.sort(r[: n * window].reshape(n, window), axis=1)
-        x = np.sign(x) * np.log1p(np.abs(x))
-        rng = np.random.RandomState(42)
-        c = x[rng.choice(n, k, replace=False)].copy()
-        for _ in range(rounds):
-            near = np.abs(x[:, None, :] - c[None]).mean(axis=2).argmin(axis=1)
-            new = np.stack([np.median(x[near == j], axis=0) if (near == j).any() else c[j] for j in range(k)])
-            if np.allclose(new, c):
-                break
-            c = new
-        place = np.argsort(np.argsort(c.std(axis=1)))
-        label = np.repeat(place[near], window)
-        label = np.concatenate([label, np.full(len(r) - len(label), label[-1])])
+        r, when = rows["returns"].to_numpy(), pd.to_datetime(rows["date"]).to_numpy()
+        label = np.full(len(r), -1)
+        if len(r) >= window:
+            x = np.sort(np.lib.stride_tricks.sliding_window_view(np.sign(r) * np.log1p(np.abs(r)), window), axis=1)  # ends at row i + window - 1
+            c = None
+            for start in range(every, len(r), every):
+                first = int(np.searchsorted(when, when[start - 1] - np.timedelta64(days, "D")))
+                seen = x[first : max(first, start - window + 1)]
+                if len(seen) >= k:
+                    c = _clusters(seen, k, rounds)
+                if c is not None:
+                    now = np.arange(start, min(start + every, len(r)))
+                    now = now[now >= window - 1]
+                    label[now] = np.abs(x[now - window + 1][:, None, :] - c[None]).mean(axis=2).argmin(axis=1)
         return pd.DataFrame({"symbol": rows["symbol"], "date": rows["date"], "regime": label.astype("int32")})
 
     return features.select("symbol", "date", "returns").groupBy("symbol").applyInPandas(cluster, "symbol string, date date, regime int")
 
 
-def hidden_states(features: DataFrame, k: int = 3, rounds: int = 30) -> DataFrame:
-    """A Gaussian hidden Markov model of one feature fitted by EM, and each row's state by a forward filter only; states
-    are named in order of variance."""
+class Hidden:
+    """A Gaussian hidden Markov model of one feature."""
 
-    def fit(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("date")
-        x = np.clip(rows["vol_norm_return"].to_numpy(), -10, 10)
-        mu, var = np.quantile(x, [(j + 0.5) / k for j in range(k)]), np.full(k, x.var() + 1e-6)
-        a, pi = np.full((k, k), 0.05 / max(1, k - 1)) + np.eye(k) * (0.95 - 0.05 / max(1, k - 1)), np.full(k, 1 / k)
-
-        def forward():
-            b = np.exp(-0.5 * (x[:, None] - mu) ** 2 / var) / np.sqrt(2 * np.pi * var) + 1e-300
-            f, s = np.empty_like(b), np.empty(len(x))
-            p = pi
-            for t in range(len(x)):
-                v = (p if t == 0 else p @ a) * b[t]
-                s[t] = v.sum()
-                p = f[t] = v / s[t]
-            return b, f, s
+    def __init__(self, x: np.ndarray, k: int):
+        self.k = k
+        self.mu, self.var = np.quantile(x, [(j + 0.5) / k for j in range(k)]), np.full(k, x.var() + 1e-6)
+        self.a, self.pi = np.full((k, k), 0.05 / max(1, k - 1)) + np.eye(k) * (0.95 - 0.05 / max(1, k - 1)), np.full(k, 1 / k)
+
+    def forward(self, x: np.ndarray, p: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Densities, odds of each state given the values up to it, and their scale; p: the odds before the first value."""
+        b = np.exp(-0.5 * (x[:, None] - self.mu) ** 2 / self.var) / np.sqrt(2 * np.pi * self.var) + 1e-300
+        f, s = np.empty_like(b), np.empty(len(x))
+        p = self.pi if p is None else p @ self.a
+        for t in range(len(x)):
+            v = p * b[t]
+            s[t] = v.sum()
+            f[t] = v / s[t]
+            p = f[t] @ self.a
+        return b, f, s
 
+    def fit(self, x: np.ndarray, rounds: int) -> Hidden:
         for _ in range(rounds):
-            b, f, s = forward()
+            b, f, s = self.forward(x)
             back = np.ones_like(f)
             for t in range(len(x) - 2, -1, -1):
-                back[t] = (a * (b[t + 1] * back[t + 1])).sum(axis=1) / s[t + 1]
+                back[t] = self.a @ (b[t + 1] * back[t + 1]) / s[t + 1]
             g = f * back
             g /= g.sum(axis=1, keepdims=True)
-            move = a * (f[:-1].T @ (b[1:] * back[1:] / s[1:, None]))
-            a = move / move.sum(axis=1, keepdims=True)
-            pi, w = g[0], g.sum(axis=0)
-            mu = (g * x[:, None]).sum(axis=0) / w
-            var = (g * (x[:, None] - mu) ** 2).sum(axis=0) / w + 1e-6
-        f = forward()[1]
-        place = np.argsort(np.argsort(var))
-        return pd.DataFrame({"symbol": rows["symbol"], "date": rows["date"], "state": place[f.argmax(axis=1)].astype("int32"), "confidence": 1 + (f * np.log(f + 1e-300)).sum(axis=1) / np.log(k)})
-
-    return features.select("symbol", "date", "vol_norm_return").groupBy("symbol").applyInPandas(fit, "symbol string, date date, state int, confidence double")
-
-
-def detector(bars: DataFrame, hazard: float = 0.05, weights: tuple[float, ...] = (1.0, 1.0, 1.0)) -> DataFrame:
-    """Change points told by three channels (return, range, volume), each with its own run lengths: the noisy-or of their
-    drops of the likeliest run, a gate that opens fast and closes slowly, and a position that follows."""
-    r = change("close")
-    out = bars.withColumn("a", F.coalesce(F.signum(r) * F.log1p(F.abs(r)), F.lit(0.0))).withColumn("b", F.log1p(F.col("high") / F.col("low") - 1)).withColumn("c", F.coalesce(F.log(div("volume", lag("volume"))), F.lit(0.0)))
-
-    def start():
-        models = [RunLength(hazard) for _ in range(3)]
-        before, state = [0, 0, 0], [0.0, 0]
-
-        def step(*xs: float) -> tuple:
-            quiet = 1.0
-            for i, (model, x) in enumerate(zip(models, xs)):
-                p, run, _ = model.update(x)
-                drop = before[i] > 3 and run <= 2
-                before[i] = run
-                quiet *= 1 - min(1.0, weights[i] * (0.5 if drop else p))
-            risk = 1 - quiet
-            state[0] = risk if risk > state[0] else 0.9 * state[0] + 0.1 * risk
-            state[1] += int(risk > 0.4)
-            return risk, state[0], max(0.2, 1 - state[0]), state[1]
+            move = self.a * (f[:-1].T @ (b[1:] * back[1:] / s[1:, None]))
+            self.a = move / move.sum(axis=1, keepdims=True)
+            self.pi, w = g[0], g.sum(axis=0)
+            self.mu = (g * x[:, None]).sum(axis=0) / w
+            self.var = (g * (x[:, None] - self.mu) ** 2).sum(axis=0) / w + 1e-6
+        return self
 
-        return step
 
-    return scan(out, ["a", "b", "c"], "cp_risk double, gate double, position double, regime_id int", start)
+def hidden_states(features: DataFrame, k: int = 3, rounds: int = 30, again: int = 5, window: int = 756, every: int = 63) -> DataFrame:
+    """Each row's state by a forward filter, 0 calm to k - 1 wild, and how sure it is; rows before the first fit are left out.
 
+    The model is fitted by EM on the last `window` rows, every so many rows, each time from the one before, and frozen
+    between; so no state looks ahead. A series shorter than the window has no states."""
 
-def spike_forest(features: DataFrame, targets: DataFrame) -> DataFrame:
-    """Chances of a volatility spike by a random forest, trained on the first 60 percent of each symbol's days."""
-    names = [c for c in features.columns if c not in ("symbol", "date")]
-    rows = features.join(targets.select("symbol", "date", "spike_target"), ["symbol", "date"]).na.drop()
-    rows = rows.join(split(rows), ["symbol", "date"])
-    rows = VectorAssembler(inputCols=names, outputCol="features").transform(rows)
-    train = rows.filter("part = 'train'")
-    if train.select("spike_target").distinct().count() < 2:
-        return rows.select("symbol", "date", "part", F.lit(0.0).alias("spike_prob"), "spike_target")
-    model = RandomForestClassifier(labelCol="spike_target", featuresCol="features", numTrees=20, maxDepth=5, seed=42).fit(train)
-    return model.transform(rows).select("symbol", "date", "part", vector_to_array("probability")[1].alias("spike_prob"), "spike_target")
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("date")
+        x = np.clip(rows["vol_norm_return"].to_numpy(), -10, 10)
+        state, sure, model = np.full(len(x), -1), np.zeros(len(x)), None
+        for start in range(window, len(x), every):
+            past = x[start - window : start]
+            model = (model or Hidden(past, k)).fit(past, again if model else rounds)
+            f = model.forward(x[start : start + every], model.forward(past)[1][-1])[1]
+            state[start : start + every] = np.argsort(np.argsort(model.var))[f.argmax(axis=1)]
+            sure[start : start + every] = 1 + (f * np.log(f + 1e-300)).sum(axis=1) / np.log(k)
+        out = pd.DataFrame({"symbol": rows["symbol"], "date": rows["date"], "state": state.astype("int32"), "confidence": sure})
+        return out[out["state"] >= 0]
+
+    return features.select("symbol", "date", "vol_norm_return").groupBy("symbol").applyInPandas(run, "symbol string, date date, state int, confidence double")
 
 
 def drawdown_odds(features: DataFrame, targets: DataFrame) -> DataFrame:

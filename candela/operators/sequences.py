@@ -412,12 +412,15 @@ MAX_RUN = 500
 
 
 class RunLength:
-    """Bayesian online change-point detection with a normal-inverse-gamma model; at most MAX_RUN run lengths are kept. A new
-    run counts the value it starts with."""
+    """Bayesian online change-point detection with a normal-inverse-gamma model; at most MAX_RUN run lengths are kept.
 
-    def __init__(self, hazard: float = 0.01, kappa: float = 1.0, alpha: float = 1.0, beta: float = 1.0, mu: float = 0.0):
-        self.h, self.kappa, self.alpha, self.beta, self.mu = hazard, kappa, alpha, beta, mu
-        self.log_r, self.n, self.s, self.q = np.zeros(1), np.zeros(1), np.zeros(1), np.zeros(1)
+    first: a new run counts the value it starts with, and the shortest runs are kept. Otherwise it starts from the prior,
+    and the likeliest are.
+    """
+
+    def __init__(self, hazard: float = 0.01, kappa: float = 1.0, alpha: float = 1.0, beta: float = 1.0, mu: float = 0.0, first: bool = True):
+        self.h, self.kappa, self.alpha, self.beta, self.mu, self.first = hazard, kappa, alpha, beta, mu, first
+        self.log_r, self.n, self.s, self.q, self.length = np.zeros(1), np.zeros(1), np.zeros(1), np.zeros(1), np.zeros(1, int)
 
     def update(self, x: float) -> tuple[float, int, float]:
         """Chance that a run starts, likeliest run length, expected run length."""
@@ -428,14 +431,45 @@ class RunLength:
         df, scale = 2 * alpha, np.maximum(beta * (k + 1) / (alpha * k), 1e-10)
         lg = np.array([math.lgamma((d + 1) / 2) - math.lgamma(d / 2) for d in df])
         pred = lg - 0.5 * np.log(df * np.pi * scale) - (df + 1) / 2 * np.log1p((x - mu) ** 2 / (df * scale))
-        joint = self.log_r + pred
-        top = joint.max()
-        whole = top + math.log(np.exp(joint - top).sum())
-        new = np.concatenate([[whole + math.log(self.h)], joint + math.log1p(-self.h)])
-        top = new.max()
-        new -= top + math.log(np.exp(new - top).sum())
-        self.log_r = new[:MAX_RUN]
-        self.n, self.s, self.q = (np.concatenate([[a], b + a])[:MAX_RUN] for a, b in ((1.0, self.n), (x, self.s), (x * x, self.q)))
+        self.log_r = _grown(self.log_r + pred, self.h)
+        new = (1.0, x, x * x) if self.first else (0.0, 0.0, 0.0)
+        self.n, self.s, self.q = (np.concatenate([[a], b + c]) for a, b, c in zip(new, (self.n, self.s, self.q), (1.0, x, x * x)))
+        self.length = np.concatenate([[0], self.length + 1])
+        if len(self.log_r) > MAX_RUN:
+            kept = np.arange(MAX_RUN) if self.first else np.sort(np.argsort(self.log_r, kind="stable")[-MAX_RUN:])
+            self.log_r, self.n, self.s, self.q, self.length = (v[kept] for v in (self.log_r, self.n, self.s, self.q, self.length))
+            if not self.first:
+                self.log_r = self.log_r - math.log(np.exp(self.log_r).sum())
+        p = np.exp(self.log_r)
+        return float(p[0]) if self.length[0] == 0 else 0.0, int(self.length[p.argmax()]), float((self.length * p).sum())
+
+
+def _grown(joint: np.ndarray, hazard: float) -> np.ndarray:
+    """Log odds of run lengths 0, 1, ... after a value whose log density under each run is in joint."""
+    top = joint.max()
+    whole = top + math.log(np.exp(joint - top).sum())
+    new = np.concatenate([[whole + math.log(hazard)], joint + math.log1p(-hazard)])
+    top = new.max()
+    return new - top - math.log(np.exp(new - top).sum())
+
+
+class RunLengths:
+    """The same for several values at once: normal marginals of each run's own mean and variance; runs of fewer than two
+    values have the prior variance about 0. A new run starts empty."""
+
+    def __init__(self, hazard: float, dimension: int, beta: float = 1.0):
+        self.h, self.beta = hazard, beta
+        self.log_r, self.n = np.zeros(1), np.zeros(1)
+        self.s, self.q = np.zeros((1, dimension)), np.zeros((1, dimension))
+
+    def update(self, xs: tuple[float, ...]) -> tuple[float, int, float]:
+        x, n = np.array(xs, float), np.maximum(self.n, 1)[:, None]
+        few = self.n[:, None] < 2
+        mean = np.where(few, 0.0, self.s / n)
+        var = np.where(few, self.beta, np.maximum(self.q / n - mean**2, 1e-6))
+        self.log_r = _grown(self.log_r - 0.5 * (np.log(2 * np.pi * var) + (x - mean) ** 2 / var).sum(axis=1), self.h)[:MAX_RUN]
+        self.n = np.concatenate([[0.0], self.n + 1])[:MAX_RUN]
+        self.s, self.q = (np.concatenate([np.zeros((1, len(x))), a + b])[:MAX_RUN] for a, b in ((self.s, x), (self.q, x * x)))
         p = np.exp(self.log_r)
         return float(p[0]), int(p.argmax()), float((np.arange(len(p)) * p).sum())
 

@@ -58,7 +58,8 @@ QUERIES = {
     "scaled_trends": _of(d.scaled_trends, _tamed),
     "bocpd_regimes": _of(d.bocpd_regimes, _tamed),
     "gate_overlay": _of(d.gated, _gate_inputs),
-    "alpha_detector": _of(d.alpha_detector, _tamed),
+    "detector_v1": _of(d.joint_changes, _tamed),
+    "detector_v2": _of(d.alpha_detector, _tamed),
     "grid_search_full": _of(lambda a, b: q.best_of_grid(q.grid_search(a, b, until="1997-12-31")), _tamed, s.vix),
     "bocpd_current": _of(d.current, _tamed),
 }

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from candela.functions.frames import rounded
 from candela.operators import features as f
+from candela.operators import learners
 from candela.operators import models as m
 from candela.operators import sequences as q
 from candela.plans.feature_queries import A, _of
@@ -56,9 +57,7 @@ QUERIES = {
     "wavelet_denoise": _of(m.wavelets, s.bars),
     "wkmeans": _of(m.wasserstein_clusters, lambda sp, sf: f.wasserstein_features(s.bars(sp, sf))),
     "hmm_forward": _of(m.hidden_states, lambda sp, sf: f.hmm_features(s.bars(sp, sf))),
-    "detector_v1": _of(m.detector, s.bars),
-    "detector_v2": _of(lambda b: m.detector(b, 0.01, (1.0, 0.7, 0.5)), s.bars),
-    "rf_spike": _of(m.spike_forest, lambda sp, sf: f.vol_predictor(s.bars(sp, sf), s.vix(sp, sf)), lambda sp, sf: f.vol_regime_targets(s.bars(sp, sf))),
+    "rf_spike": _of(learners.regime_forests, lambda sp, sf: f.vol_predictor(s.bars(sp, sf), s.vix(sp, sf)), lambda sp, sf: f.vol_regime_targets(s.bars(sp, sf))),
     "isotonic_dd": _of(m.drawdown_odds, lambda sp, sf: f.market_risk(s.market(sp, sf), s.vix(sp, sf)), lambda sp, sf: f.market_risk_targets(s.market(sp, sf))),
     "stream_event_ids": lambda sp, sf: twins.run_to_end(twins.deduplicated(twins.events(sp, sf)).select("event_id", "event_type"), "events"),
     "stream_ema": lambda sp, sf: rounded(twins.run_to_end(twins.ema(twins.events(sp, sf)), "ema")),
@@ -71,7 +70,9 @@ FEATURES = {
     "ft": "SELECT * FROM f0 WHERE v5 IS NOT NULL AND v IS NOT NULL AND vs IS NOT NULL",
 }
 EVENTS = {"n": "SELECT event_type AS symbol, event_id AS date, value, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS i FROM events"}
+NAMED = "return_1d return_5d return_10d return_20d log_return_1d momentum_5d momentum_10d momentum_20d gap gap_pct gap_up gap_down day_of_week is_monday is_friday month is_january is_december quarter".split()
 ORACLE = {
+    "feature_columns": "SELECT unnest([" + ", ".join(f"'{n}'" for n in NAMED) + "]) AS feature",
     "chronological_split": query("SELECT symbol, date, CASE WHEN i <= floor(n * 0.6) THEN 'train' WHEN i <= floor(n * 0.8) THEN 'validate' ELSE 'test' END AS part FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY date) AS i, count(*) OVER (PARTITION BY symbol) AS n FROM bars)", "bars"),
     "impute_chain": query(
         f"SELECT symbol, date, {r('coalesce(last_value(x IGNORE NULLS) ' + SO_FAR + ', first_value(x IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY date ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 0)', 'x')} FROM (SELECT symbol, date, CASE WHEN i > 3 AND i % 7 <> 0 THEN close END AS x FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY date) AS i FROM bars))",

@@ -103,3 +103,34 @@ def test_strategies_by_name(spark, bars):  # noqa: F811
     for config in ({}, {"type": "nonsense"}, {"type": "vix_roc", "tier": "tier2"}, {"type": "vix_roc_vol", "tier": "tier3"}):
         rows = g.create(config)(bars, vix).collect()
         assert len(rows) == 504 and all(0 <= r["position"] <= 1 for r in rows)
+
+
+@pytest.mark.parametrize("name", ["wasserstein_clusters", "hidden_states"])
+def test_rolling_models_do_not_look_ahead(spark, name):
+    from candela.operators import models as mo
+
+    rng = np.random.default_rng(3)
+    n = 900
+    rows = pd.DataFrame({"symbol": "A", "date": pd.bdate_range("2015-01-01", periods=n).date, "returns": rng.normal(0, 0.01, n) * np.where(np.arange(n) // 150 % 2, 3, 1)})
+    rows["vol_norm_return"] = rows["returns"] * 100
+    table, part = spark.createDataFrame(rows), spark.createDataFrame(rows.iloc[:840])
+    whole = {r["date"]: tuple(r) for r in getattr(mo, name)(table).collect()}
+    cut = {r["date"]: tuple(r) for r in getattr(mo, name)(part).collect()}
+    assert cut and all(whole[k][:3] == v[:3] for k, v in cut.items())
+
+
+def test_joint_run_lengths_see_a_change_in_any_value():
+    rng = np.random.default_rng(8)
+    xs = rng.normal(0, 1, (160, 3))
+    xs[100:, 1] += 5
+    model = q.RunLengths(1 / 200, 3)
+    runs = [model.update(tuple(x))[1] for x in xs]
+    assert max(runs[:100]) > 80 and min(runs[100:112]) < 15 and runs[-1] < 65
+
+
+def test_runs_that_start_from_the_prior_keep_the_likeliest():
+    rng = np.random.default_rng(2)
+    model = q.RunLength(0.02, 0.1, 2.0, 2.0, first=False)
+    for x in rng.normal(0, 1, 700):
+        p, likeliest, expected = model.update(float(x))
+    assert len(model.log_r) == q.MAX_RUN and np.exp(model.log_r).sum() == pytest.approx(1) and 0 < expected <= 700
