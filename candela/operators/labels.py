@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from candela.functions.frames import YEAR, change, div, island, lag, last, order, roll, so_far, std, whole
+from candela.functions.frames import YEAR, change, div, island, lag, last, roll, so_far, std
 
 # Thresholds of the regime rules.
 CRISIS_VOL, VERY_HIGH_RISK, HIGH_RISK, MODERATE_RISK, LOW_RISK = 0.40, 0.75, 0.50, 0.35, 0.30
