@@ -23,6 +23,8 @@ PIVOTS = 24
 #: Two fingerprints that differ in at most BITS bits agree on all but BITS of these blocks, so they meet under one of
 #: the masks; what agrees under a mask leaves 22 bits at most, hence no more than 2**22 fingerprints in a group.
 BLOCKS = 6
+#: A group of more fingerprints is parted by further masks within its task.
+SMALL = 512
 #: Hashes whose bits are counted at a time.
 CHUNK = 1 << 15
 
@@ -65,54 +67,75 @@ def pivots(n: int = PIVOTS) -> np.ndarray:
     return np.random.default_rng(SEED).integers(0, 1 << 64, n, np.uint64, endpoint=False)
 
 
-def groups_within(fps: np.ndarray, refs: np.ndarray, bits: int = BITS) -> np.ndarray:
-    """The smallest member of each fingerprint's component, under links of at most so many differing bits.
+def _pairs(fps: np.ndarray, refs: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs of fps within so many bits.
 
-    The table holds every fingerprint's Hamming distance to every pivot. By the triangle inequality two fingerprints
-    whose distances to some pivot differ by more than bits are no pair; those whose largest difference is small are
-    verified. Members found leave the table, so a dense group costs its size times its width, not all its pairs.
+    The table holds every fingerprint's Hamming distance to every pivot. By the triangle inequality two fingerprints whose
+    distances to some pivot differ by more than bits are no pair; those whose largest difference is small are verified.
     """
-    fps = np.sort(fps)
-    table = np.bitwise_count(fps[:, None] ^ refs[None, :]).astype(np.int16)
-    by = np.argsort(table[:, 0], kind="stable")
-    left, first, root = by, table[by, 0], fps.copy()
-    while len(left):
-        seed = left[np.argmin(left)]
-        queue, members = [seed], [seed]
-        alive = left != seed
-        left, first = left[alive], first[alive]
-        while queue and len(left):
-            x = queue.pop()
-            a, b = np.searchsorted(first, (table[x, 0] - bits, table[x, 0] + bits + 1))
-            near = left[a:b]
-            near = near[np.abs(table[near] - table[x]).max(axis=1, initial=0) <= bits]
-            near = near[np.bitwise_count(fps[near] ^ fps[x]) <= bits]
-            if len(near):
-                queue += near.tolist()
-                members += near.tolist()
-                gone = np.isin(left, near)
-                left, first = left[~gone], first[~gone]
-        root[members] = fps[seed]
-    out = np.empty_like(fps)
-    out[:] = root
-    return np.stack([fps, out])
+    table = np.bitwise_count(fps[:, None] ^ refs[None, :]).astype(np.int8)
+    order = np.argsort(table[:, 0], kind="stable")
+    first = table[order, 0].astype(int)
+    ends = np.searchsorted(first, first + bits, side="right")
+    n = ends - np.arange(len(fps)) - 1
+    a = np.repeat(np.arange(len(fps)), n)
+    b = np.arange(len(a)) - np.repeat(np.cumsum(n) - n, n) + a + 1
+    a, b = order[a], order[b]
+    for k in range(1, table.shape[1]):
+        near = np.abs(table[a, k] - table[b, k]) <= bits
+        a, b = a[near], b[near]
+    near = np.bitwise_count(fps[a] ^ fps[b]) <= bits
+    return a[near], b[near]
+
+
+def close_pairs(fps: np.ndarray, refs: np.ndarray, bits: int = BITS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of distinct fps within so many bits, each at least once.
+
+    Small groups go to the distance tables. A large one is first parted again: of bits + 2 blocks of the bits in which its
+    members differ at all, a pair agrees on two, so it meets in a group of those that agree there, which leaves half of
+    the bits. So a group's cost follows its size and not the square of it, however many fingerprints share a mask.
+    """
+    if len(fps) < 2:
+        return
+    free = int(np.bitwise_or.reduce(fps ^ fps[0]))
+    places = [k for k in range(64) if free >> k & 1]
+    if len(fps) <= SMALL or len(places) < 2 * (bits + 2):
+        for i in range(0, len(fps), SMALL):  # blocks against blocks; one of each for a small group
+            for j in range(i, len(fps), SMALL):
+                part = np.concatenate([fps[i : i + SMALL], fps[j : j + SMALL]]) if j > i else fps[i : i + SMALL]
+                a, b = _pairs(part, refs, bits)
+                yield part[a], part[b]
+        return
+    blocks = [sum(1 << k for k in places[i :: bits + 2]) for i in range(bits + 2)]
+    for two in combinations(blocks, 2):
+        key = fps & np.uint64(sum(two))
+        order = np.argsort(key, kind="stable")
+        cuts = np.nonzero(np.diff(key[order]))[0] + 1
+        for group in np.split(fps[order], cuts):
+            yield from close_pairs(group, refs, bits)
 
 
 def _links(bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         refs = pivots()
         for batch in batches:
-            a, b = [], []
             for row in batch.column(0):
-                fps, roots = groups_within(row.values.to_numpy(zero_copy_only=False).view(np.uint64), refs, bits)
-                linked = fps != roots
-                a += roots[linked].view(np.int64).tolist()
-                b += fps[linked].view(np.int64).tolist()
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+                held: list[tuple[np.ndarray, np.ndarray]] = []
+                for pair in close_pairs(np.unique(row.values.to_numpy(zero_copy_only=False).view(np.uint64)), refs, bits):
+                    held.append(pair)
+                    if sum(len(a) for a, _ in held[-1:]) > SMALL or len(held) >= 1000:
+                        yield _batch(held)
+                        held = []
+                yield _batch(held)
 
     return run
 
 
+def _batch(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    a, b = (np.concatenate([x[k] for x in held] or [np.zeros(0, np.uint64)]).view(np.int64) for k in (0, 1))
+    return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+
 def links(fps: DataFrame, column: str = "fp", bits: int = BITS) -> DataFrame:
     """Of distinct 64-bit fingerprints: links a, b whose components are those of all pairs within so many bits."""
     keyed = fps.select(F.col(column).alias("fp"), F.posexplode(F.array(*[F.col(column).bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m)) for m in masks(bits)])).alias("mask", "key"))

@@ -79,7 +79,10 @@ def test_links_give_all_components(spark):
 def test_dense_group_is_one_component():
     base = 0x0123456789ABCDEF
     fps = np.array([base ^ (1 << i) ^ (1 << j) for i in range(20) for j in range(i)], np.uint64)
-    assert len(set(simhash.groups_within(fps, simhash.pivots())[1].tolist())) == 1
+    linked = {(min(int(x), int(y)), max(int(x), int(y))) for a, b in simhash.close_pairs(np.unique(fps), simhash.pivots()) for x, y in zip(a, b)}
+    want = sorted(fps.tolist())
+    assert linked == {(a, b) for i, a in enumerate(want) for b in want[i + 1 :] if (a ^ b).bit_count() <= 2}
+    assert set(brute_components(want).values()) == {want[0]}
 
 
 def test_near_duplicates_of_odd_rows(spark):
