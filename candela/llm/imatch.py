@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from candela.llm.common import keep, small_batches
+from candela.llm.common import small_batches
 
 #: Terms in at least and at most these shares of the documents make up the lexicon: idf from 3 to 6.9. A document has so
 #: many different terms on average, T; so at most T / LEAST_SHARE terms are in the lexicon, however many documents.
@@ -19,7 +19,11 @@ PARTS = 8
 FEW = 4
 #: Levels count for likeness whose parts hold at most so many of a document's terms on average.
 SPARSE = 2.0
-MOST_BUCKETS = 1000
+#: Bytes of text of a bucket of neighbours, sorted in one task (it may spill); the bounds of so many buckets at most are a
+#: literal of the plan, beyond which buckets grow: 100,000 of 1 GB for 100 TB.
+BUCKET_BYTES, MOST_BOUNDS = 4 << 20, 100_000
+#: Ids looked at to place a bound.
+PER_BOUND = 20
 SEED = 97
 
 
@@ -134,40 +138,59 @@ def fingerprints(docs: DataFrame, lex: Lexicon, text_col: str = "text") -> DataF
     return out.withColumn("fingerprint", shown(F.col("__p_n"), F.col("__p_parts"))).withColumnRenamed("__p_n", "terms").drop("__t", "__p_parts")
 
 
+def _place(key: Column, bounds: list[int]) -> Column:
+    """How many of the ascending bounds lie below key, by halving."""
+    if not bounds:
+        return F.lit(0)
+    table = F.split(F.lit(",".join(map(str, bounds))), ",").cast("array<bigint>")  # folded into a literal when the plan is made
+    span = F.struct(F.lit(0).alias("a"), F.lit(len(bounds)).alias("b"))
+
+    def halve(x: Column, _: Column) -> Column:
+        mid = F.shiftright(x["a"] + x["b"], 1)
+        right = (x["a"] < x["b"]) & (F.get(table, mid) < key)
+        return F.struct(F.when(right, mid + 1).otherwise(x["a"]).alias("a"), F.when(right | (x["a"] >= x["b"]), x["b"]).otherwise(mid).alias("b"))
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(len(bounds).bit_length() + 1)), span, halve)["a"]
+
+
 def _neighbours(rows: DataFrame) -> DataFrame:
     """rows (id, ...) with `next`, a struct of the row that follows in descending order of id; the first after the last.
 
-    Quantiles of the ids cut the order into buckets that are sorted apart. The first rows of a bucket are also sent to
-    the end of the one before, so every row finds the next in its own bucket; rows without an id come last.
+    Quantiles of a sample of the ids cut the order into buckets of about BUCKET_BYTES of text, which are sorted apart; the
+    sample moves bounds, not results. The first rows of a bucket are also sent to the end of the one before, so every row
+    finds the next in its own bucket. Rows without an id come last, in order of their texts' hashes, cut likewise.
     """
     columns = rows.columns
-    total = rows.count()
-    n = int(min(MOST_BUCKETS, max(1, total // 500)))
-    bounds = rows.select(F.percentile_approx("id", [i / n for i in range(1, n)], 10 * MOST_BUCKETS)).first()[0] if n > 1 else []
-    bounds = sorted(set(bounds or []))
-    bucket = F.when(F.col("id").isNull(), -1).otherwise(F.aggregate(F.array(*[F.lit(b).cast("long") for b in bounds]), F.lit(0), lambda a, b: a + F.when(F.col("id") > b, 1).otherwise(0))) if bounds else F.when(F.col("id").isNull(), -1).otherwise(0)
-    placed = rows.withColumn("__bucket", bucket.cast("int"))
-    heads = {r[0]: r[1] for r in placed.groupBy("__bucket").agg(F.max("id")).collect()}  # a row for each bucket
-    order = sorted(heads, reverse=True)
-    before = {b: order[i - 1] for i, b in enumerate(order)}  # the first bucket's rows follow the last bucket's
-    to = F.lit(None).cast("int")
-    at = F.col("__bucket")
-    if order:
-        also = F.create_map(*[x for b in order for x in (F.lit(b), F.lit(before[b]))])
-        head = F.create_map(*[x for b in order for x in (F.lit(b), F.lit(heads[b]).cast("long"))])
-        to = F.when(F.col("id").eqNullSafe(F.element_at(head, at)), F.element_at(also, at))
-    dealt = placed.withColumn("__to", to)
-    dealt = dealt.withColumn("__x", F.explode(F.when(F.col("__to").isNull(), F.array(F.struct(at.alias("b"), F.lit(False).alias("guest")))).otherwise(F.array(F.struct(at.alias("b"), F.lit(False).alias("guest")), F.struct(F.col("__to").alias("b"), F.lit(True).alias("guest"))))))
-    by = Window.partitionBy("__b").orderBy("guest", F.col("id").desc_nulls_last(), "text")
-    dealt = dealt.select(*columns, F.col("__x.b").alias("__b"), F.col("__x.guest").alias("guest"))
-    return dealt.withColumn("next", F.lead(F.struct(*columns)).over(by)).filter(~F.col("guest")).drop("__b", "guest")
+    size, ids, none = rows.agg(F.sum(F.when(F.col("id").isNotNull(), F.octet_length("text"))), F.count("id"), F.sum(F.when(F.col("id").isNull(), F.octet_length("text")))).first()
+    n = int(min(MOST_BOUNDS, max(1, (size or 0) // BUCKET_BYTES)))
+    bounds: list[int] = []
+    if n > 1:
+        share = min(1.0, PER_BOUND * n / ids)
+        some = rows.filter(F.col("id").isNotNull() & (F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < int(np.ceil(share * (1 << 20))))).select("id").toArrow()["id"].to_numpy()
+        bounds = sorted(set(np.quantile(some, np.arange(1, n) / n, method="nearest").tolist())) if len(some) else []
+    m = int(min(MOST_BOUNDS, max(1, (none or 0) // BUCKET_BYTES)))
+    h = F.xxhash64("text")
+    key = F.coalesce("id", F.bitwise_not(h))  # in descending order
+    blank = F.least(F.lit(m - 1), F.floor((h / F.lit(2.0**64) + 0.5) * m)).cast("int")
+    placed = rows.withColumns({"__key": key, "__b": F.when(F.col("id").isNull(), -1 - blank).otherwise(_place(F.col("id"), bounds)).cast("int")})
+    heads = placed.groupBy("__b").agg(F.max("__key").alias("__first"))  # a row for each bucket, so their number is bounded
+    way = Window.partitionBy(F.lit(0)).orderBy(F.desc("__b"))
+    last = F.min("__b").over(Window.partitionBy(F.lit(0)))  # the first bucket's rows follow the last bucket's
+    heads = heads.select("__b", "__first", F.coalesce(F.lag("__b").over(way), last).alias("__to"))
+    dealt = placed.join(F.broadcast(heads), "__b", "left")
+    here, there = F.struct(F.col("__b").alias("b"), F.lit(False).alias("guest")), F.struct(F.col("__to").alias("b"), F.lit(True).alias("guest"))
+    dealt = dealt.withColumn("__x", F.explode(F.when(F.col("__key") == F.col("__first"), F.array(here, there)).otherwise(F.array(here))))
+    by = Window.partitionBy("__at").orderBy("guest", F.desc("__key"), "text")
+    dealt = dealt.select(*columns, "__key", F.col("__x.b").alias("__at"), F.col("__x.guest").alias("guest"))
+    return dealt.withColumn("next", F.lead(F.struct(*columns)).over(by)).filter(~F.col("guest")).drop("__at", "guest", "__key")
 
 
 def edited(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
 
     The edited text ends in the beginning of the next document's, descending id, instead of its own last third. Null texts
-    are empty; of rows that share an id the one with the lesser text comes first; rows without an id come last. A document
+    are empty; of rows that share an id the one with the lesser text comes first; rows without an id come last, by their
+    texts' hashes. A document
     without terms has an empty fingerprint, whose likeness is 1 to another such and 0 to others. An empty table gives no
     rows; other columns are ignored.
     """
