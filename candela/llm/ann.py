@@ -73,7 +73,7 @@ def _kmeans(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 10) -
 def fit(x: np.ndarray, rows: int, lists: int | None = None, width: int = 2, coverage: float = COVERAGE, top: int = TOP) -> Model:
     """x: the sample, float64. rows: vectors to index, which set the number of lists unless that is given."""
     rng = np.random.default_rng(SEED)
-    lists = max(1, min(lists or max(8, round(rows**0.5 / 4)), 1024, len(x)))
+    lists = max(1, min(lists or max(8, round(rows**0.5 / 4)), max(8, len(x) // 8), len(x)))
     centroids = _kmeans(x, lists, rng, 15)
     near = _nearest(x, centroids)
     parts = -(-x.shape[1] // width)
@@ -158,7 +158,7 @@ def nearest(vectors: DataFrame, is_query, id_col: str = "vec_id", vector_col: st
 
     The model (coarse centroids, residual codebooks and the number of lists probed) is fitted on at most `sample` vectors;
     all are indexed. Lists are packed into shards, lists larger than a shard are cut by a hash of the id, and queries go in
-    blocks to the shards that hold lists they probe; so no group grows with a hot list. A shard scores its rows by distance
+    blocks to the shards that hold lists they probe; so no group grows with a hot list, and a shard that few queries probe is sent to one task only. A shard scores its rows by distance
     tables, ranks the best `rerank` by their original vectors in double precision and passes on its best `top`.
 
     Vectors that are null, empty, zero, or hold null or non-finite components take no part, nor do rows without an id or
@@ -198,7 +198,6 @@ def nearest(vectors: DataFrame, is_query, id_col: str = "vec_id", vector_col: st
     layout = spark.createDataFrame([(k, first[k], pieces[k]) for k in sizes], "list long, first long, pieces long")
     shards_of = {k: list(range(first[k], first[k] + pieces[k])) for k in sizes}
     asked = indexed.filter(is_query(F.col("vec_id"))).select(F.col("vec_id").alias("query_id"), "x")
-    blocks = max(1, -(-asked.count() // BLOCK))
 
     def probe(batches):
         m = shared.value
@@ -207,9 +206,12 @@ def nearest(vectors: DataFrame, is_query, id_col: str = "vec_id", vector_col: st
             to = [sorted({s for k in ks for s in shards_of.get(k, ())}) for ks in lists_of.tolist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(to, pa.list_(pa.int64()))], names=["query_id", "x", "shards"])
 
-    sent = asked.mapInArrow(probe, f"query_id long, x {kind}, shards array<long>").select("query_id", "x", F.explode("shards").alias("shard"), F.pmod(F.xxhash64("query_id"), F.lit(blocks)).alias("block"))
+    sent = keep(asked.mapInArrow(probe, f"query_id long, x {kind}, shards array<long>").select("query_id", "x", F.explode("shards").alias("shard")), "asked")
+    # a shard is copied only where more queries probe it than one task should hold
+    blocks = sent.groupBy("shard").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))  # a row for each shard
+    sent = sent.join(blocks, "shard").withColumn("block", F.pmod(F.xxhash64("query_id"), F.col("blocks"))).drop("blocks")
     held = indexed.join(F.broadcast(layout), "list").withColumn("shard", F.col("first") + F.pmod(F.xxhash64("vec_id"), F.col("pieces")))
-    held = held.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))).select("vec_id", "x", "list", "code", "shard", "block")
+    held = held.join(blocks, "shard").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).select("vec_id", "x", "list", "code", "shard", "block")
     search = _search(model, d, top, rerank)
     found = held.groupBy("shard", "block").cogroup(sent.groupBy("shard", "block")).applyInArrow(lambda key, a, b: search(key, a, b), "query_id long, vec_id long, score double")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
