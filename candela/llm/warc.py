@@ -102,16 +102,20 @@ def write_archives(pages: DataFrame, folder: str | None = None, id_col: str = "p
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), payload.alias("payload"), F.sha2(payload, 256).alias("digest"))
     first = rows.filter((F.octet_length("payload") >= least) & F.col("id").isNotNull()).groupBy("digest").agg(F.min("id").alias("first"), F.count("*").alias("n"))
     repeated = keep(first.filter("n > 1"), "payloads")
-    told = lookup(rows, repeated, "digest", "n", [F.col("id"), F.col("url")])
+    told = lookup(rows, repeated, "digest", "n", [F.col("id"), F.col("url")], wide=True)
     told = told.withColumn("refers_to", F.when(F.col("id").isNotNull() & (F.col("first") != F.col("id")), F.col("first"))).drop("first")
     return keep(told.mapInArrow(_write(folder, archive_bytes), "path string, size long"), "manifest")
 
 
 class _Range:
-    """The records of one archive that start in [start, end)."""
+    """The records of one archive that start in [start, end).
 
-    def __init__(self, file: pa.NativeFile, size: int, start: int, end: int):
-        self.file, self.size, self.start, self.end = file, size, start, end
+    strict: nothing but whole records stands in the archive, so what stands between two of them is a damaged one. A range
+    answers for what follows each of its records, be it in the next range; the first also for the archive's beginning.
+    """
+
+    def __init__(self, file: pa.NativeFile, size: int, start: int, end: int, strict: bool = False):
+        self.file, self.size, self.start, self.end, self.strict = file, size, start, end, strict
         self.at, self.data = start, b""  # data: the archive's bytes from at on
 
     def bytes_from(self, pos: int, n: int) -> bytes:
@@ -126,6 +130,7 @@ class _Range:
 
     def records(self) -> Iterator[tuple[bytes, bytes]]:
         pos = self.start
+        due = 0 if self.start == 0 else None  # where a record must start
         while pos < self.end:
             data = self.bytes_from(pos, 2 * PROBE)
             found = data.find(MAGIC, 0, self.end - pos + len(MAGIC) - 1)
@@ -135,10 +140,15 @@ class _Range:
             pos += found
             record = self.member(pos) if pos < self.end else None
             if record:
+                if self.strict and due is not None and pos != due:
+                    break
                 head, body, pos = record
+                due = pos
                 yield head, body
             else:
                 pos += 1
+        if self.strict and due is not None and due < self.size and (due < self.end or self.member(due) is None):
+            raise ValueError(f"no whole record at byte {due}")
 
     def member(self, pos: int) -> tuple[bytes, bytes, int] | None:
         """Header, block and end of the record whose gzip member starts at pos; None if none does."""
@@ -182,7 +192,7 @@ def parse(head: bytes, block: bytes) -> tuple:
 COLUMNS = {"page_id": pa.int64(), "url": pa.string(), "payload_bytes": pa.int64(), "payload_digest": pa.string(), "record_type": pa.string(), "refers_to": pa.int64(), "payload": pa.binary()}
 
 
-def _read(payloads: bool):
+def _read(payloads: bool, strict: bool):
     columns = {k: t for k, t in COLUMNS.items() if payloads or k != "payload"}
 
     def batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -196,7 +206,7 @@ def _read(payloads: bool):
             for path, size, start, end in zip(*(ranges.column(k).to_pylist() for k in range(4))):
                 store, at = fs.FileSystem.from_uri(path)
                 with store.open_input_file(at) as file:
-                    for record in _Range(file, size, start, end).records():
+                    for record in _Range(file, size, start, end, strict).records():
                         rows.append(parse(*record) if payloads else (*parse(*record)[:-1], None))
                         held += len(record[1])
                         if len(rows) >= 1000 or payloads and held > 8 * BLOCK:
@@ -207,13 +217,14 @@ def _read(payloads: bool):
     return run
 
 
-def read_archives(archives: DataFrame, payloads: bool = True, split_bytes: int | None = None) -> DataFrame:
+def read_archives(archives: DataFrame, payloads: bool = True, split_bytes: int | None = None, strict: bool = True) -> DataFrame:
     """archives (path, size) -> page_id, url, payload_bytes, payload_digest, record_type, refers_to, and payload.
 
     Each archive is cut into byte ranges, by default as large as Spark's own file splits. A task looks for gzip magic from
     its range's start on, takes a candidate for a record if it decodes, starts with a WARC version and is as long as its
     Content-Length says, and else looks on from the next byte. It owns the records that start in its range and reads past
-    its end to finish the last; so every record is read once, whatever the ranges.
+    its end to finish the last; so every record is read once, whatever the ranges. strict: a record that can't be read, or bytes that are none, fail the
+    read, as a lost page would else go unseen; otherwise they are passed over. No archives give no rows.
     """
     spark = archives.sparkSession
     split = split_bytes or _split_bytes(spark)
@@ -221,7 +232,7 @@ def read_archives(archives: DataFrame, payloads: bool = True, split_bytes: int |
     ranges = ranges.select("path", "size", "start", F.least("size", F.col("start") + split).alias("end"))
     n = max(1, archives.agg(F.sum(F.ceil(F.col("size") / split))).first()[0] or 1)
     schema = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long" + ", payload binary" * payloads
-    return ranges.repartition(int(n), "path", "start").mapInArrow(_read(payloads), schema)
+    return ranges.repartition(int(n), "path", "start").mapInArrow(_read(payloads, strict), schema)
 
 
 def _split_bytes(spark: SparkSession) -> int:
