@@ -22,7 +22,7 @@ APART, NONE = "Ā", "ā"
 #: Words folded once for the whole corpus by expressions, and broadcast: so many at most.
 FREQUENT = 50_000
 #: Words a worker remembers; beyond that it starts anew.
-CACHE = 500_000
+CACHE, CACHE_CHARS, LONG_WORD = 500_000, 16_000_000, 256
 #: Bytes up to which words are folded by expressions, and beyond which a heap pays.
 LONG = 200
 NEVER = 1 << 60
@@ -130,10 +130,17 @@ class _Memo(dict):
 
     def __init__(self, ranks: dict[bytes, int], known: dict[str, bytes]):
         super().__init__(known)
-        self.ranks = ranks
+        self.ranks, self.known, self.size = ranks, known, 0
 
     def __missing__(self, word: str) -> bytes:
-        out = self[word] = b"".join([self.ranks[p].to_bytes(4, "little") for p in merge(word.encode(), self.ranks)])
+        out = b"".join([self.ranks[p].to_bytes(4, "little") for p in merge(word.encode(), self.ranks)])
+        if len(word) <= LONG_WORD:
+            self[word] = out
+            self.size += len(word)
+            if len(self) > CACHE or self.size > CACHE_CHARS:
+                self.clear()
+                self.update(self.known)
+                self.size = 0
         return out
 
 
@@ -199,9 +206,6 @@ def _encoder(shared, pattern: str):
     memo, words = _memos[key], regex.compile(pattern)
 
     def run(texts: list[str | None]) -> list[bytes]:
-        if len(memo) > CACHE:
-            memo.clear()
-            memo.update(known)
         find = memo.__getitem__
         return [b"".join(map(find, words.findall(x or ""))) for x in texts]
 

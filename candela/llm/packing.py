@@ -17,8 +17,9 @@ from candela.llm.common import keep, slices
 
 LENGTH = 2048
 END_ID = 1
-#: Words whose ids a worker remembers; beyond that it starts anew.
-CACHE = 600_000
+#: Words whose ids a worker remembers, and their characters in all; beyond that it starts anew. Longer words than
+#: LONG_WORD aren't remembered.
+CACHE, CACHE_CHARS, LONG_WORD = 600_000, 16_000_000, 256
 
 
 class _Words(dict):
@@ -26,10 +27,16 @@ class _Words(dict):
 
     def __init__(self, find):
         super().__init__({"": b""})
-        self.find = find
+        self.find, self.size = find, 0
 
     def __missing__(self, word: str) -> bytes:
-        out = self[word] = self.find(word)
+        out = self.find(word)
+        if len(word) <= LONG_WORD:
+            self[word] = out
+            self.size += len(word)
+            if len(self) > 2 * CACHE or self.size > CACHE_CHARS:
+                self.clear()
+                self.size = 0
         return out
 
 
