@@ -32,19 +32,28 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset and they are
+    one process (tests); on a cluster it must be set."""
     sc = spark.sparkContext
     if path := sc.getConf().get("spark.checkpoint.dir"):
         return path.rstrip("/")
     current = sc._jsc.sc().getCheckpointDir()
     if current.isEmpty():
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="candela-"))
         current = sc._jsc.sc().getCheckpointDir()
     return current.get().rstrip("/")
 
 
 def new_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/candela/{uuid.uuid4().hex}/{label}"
+    return f"{shared_dir(spark)}/candela/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}/{label}"
+
+
+def clean(spark: SparkSession) -> bool:
+    """Delete what this application has kept in the shared folder; what reads of it must be done by then."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/candela/{spark.sparkContext.applicationId}")
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def keep(df: DataFrame, label: str) -> DataFrame:
