@@ -8,6 +8,8 @@ sentences. A document scores by how unlikely its words' margins are among the wo
 from __future__ import annotations
 
 import re
+from array import array
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 import numpy as np
@@ -201,6 +203,17 @@ class Landmarks:
         return out
 
 
+    def close(self, words: list[str], tile: int = 16_384) -> tuple[np.ndarray, np.ndarray]:
+        """The places of words that are like any mark, and their similarities: some words at a time."""
+        at, rows = [np.zeros(0, np.int64)], [np.zeros((0, len(self.marks)), np.float32)]
+        for i in range(0, len(words), tile):
+            part = self.similar(words[i : i + tile])
+            some = np.nonzero(part.any(axis=1))[0]
+            at.append(some + i)
+            rows.append(part[some])
+        return np.concatenate(at), np.concatenate(rows)
+
+
 def _least_self(n: int) -> float:
     d = DECAY**2
     return n + sum((n - g) * d ** (g - 1) for g in range(1, n)) + sum((n - g) * (g - 1) * d ** (g - 2) for g in range(2, n))
@@ -263,7 +276,8 @@ class Machine:
 
 def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, c: float = 1000.0, rounds: int = 60) -> tuple[np.ndarray, float]:
     """Squared-hinge linear machine by Newton's steps, halved until the loss falls."""
-    x1 = np.hstack([x, np.ones((len(x), 1))])
+    x1 = np.hstack([x, np.ones((len(x), 1))]).astype(np.float64)
+    del x
     ridge = np.eye(x1.shape[1])
     ridge[-1, -1] = 1e-6
     w = np.zeros(x1.shape[1])
@@ -299,6 +313,12 @@ def _calibrate(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return max(0.05, float(w[0])), float(w[1])
 
 
+def _distinct(x: np.ndarray) -> np.ndarray:
+    """The different values of x, a temporary array, in order."""
+    x.sort()
+    return x[np.diff(x, prepend=x[:1] - 1) != 0]
+
+
 def _largest(values: np.ndarray, starts: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Of each group of neighbouring values (starts: where they begin, owner: each value's group): the largest and its place."""
     top = np.maximum.reduceat(values, starts)
@@ -308,17 +328,20 @@ def _largest(values: np.ndarray, starts: np.ndarray, owner: np.ndarray) -> tuple
     return top, first
 
 
-def train(rows: list[tuple[int, int, str]]) -> Machine | None:
+def train(rows: Iterable[tuple[int, int, str]]) -> Machine | None:
     """rows: a number for the document, its label, and a sentence of it. None where no window tells the labels apart.
 
     A sentence that documents of both labels hold counts as clean, equal sentences once.
     """
+    rows = sorted(rows, key=lambda r: (r[2], r[0]))
     clean_set = {s for _, y, s in rows if y == 0}
-    kept = {s: (d, y) for d, y, s in sorted(rows, key=lambda r: (r[2], r[0])) if y == 0 or s not in clean_set}
-    if not clean_set or len(kept) == len({s for s in kept if s in clean_set}):
+    kept = {s: (d, y) for d, y, s in rows if y == 0 or s not in clean_set}
+    del rows
+    if not clean_set or all(y == 0 for _, y in kept.values()):
         return None
+    del clean_set
     ids: dict[str, int] = {"": 0}
-    sent, prev, tok, doc, label = [], [], [], [], []
+    sent, prev, tok, doc, label = (array("q") for _ in range(5))
     for n, (s, (d, y)) in enumerate(kept.items()):
         doc.append(d)
         label.append(y)
@@ -331,26 +354,28 @@ def train(rows: list[tuple[int, int, str]]) -> Machine | None:
             before = i
     if not tok:
         return None
-    sent, prev, tok, doc, label = (np.array(x, np.int64) for x in (sent, prev, tok, doc, label))
+    del kept
+    sent, prev, tok, doc, label = (np.frombuffer(x, np.int64) for x in (sent, prev, tok, doc, label))
     # windows of each token, those of one token together
     names: dict[str, int] = {"": 0}
-    of_tok, of_win = [], []
+    of_tok, of_win = array("i"), array("i")
     for t, i in ids.items():
         for w in sorted(token_windows(t)) or [""]:
             of_tok.append(i)
             of_win.append(names.setdefault(w, len(names)))
-    of_tok, of_win, win = np.array(of_tok), np.array(of_win), list(names)
+    of_tok, of_win, win, words = np.array(of_tok, np.int32), np.array(of_win, np.int32), list(names), len(ids)
+    del ids, names
     tok_starts = np.nonzero(np.diff(of_tok, prepend=-1))[0]
     # how many sentences hold each window, and how many different words it follows: words of copied texts keep their neighbours
     half = doc[sent] & 1
     group = label[sent] * 2 + half
     lean = np.full(len(win), np.inf)
     for unit in (sent, prev):
-        seen = np.unique((group * max(len(ids), len(label)) + unit) * len(ids) + tok)
-        kind, what = seen // len(ids) // max(len(ids), len(label)), seen % len(ids)
+        seen = _distinct((group * max(words, len(label)) + unit) * words + tok)
+        kind, what = seen // words // max(words, len(label)), seen % words
         count = np.zeros((4, len(win)))
         for g in range(4):
-            c = np.bincount(what[kind == g], minlength=len(ids)).astype(float)
+            c = np.bincount(what[kind == g], minlength=words).astype(float)
             count[g] = np.bincount(of_win, weights=c[of_tok], minlength=len(win))
         if unit is sent:
             good = count[0] + count[1]
@@ -359,6 +384,7 @@ def train(rows: list[tuple[int, int, str]]) -> Machine | None:
             with np.errstate(divide="ignore", invalid="ignore"):
                 lean = np.minimum(lean, np.nan_to_num((count[2 + h] - both * share) / np.sqrt(both * share * (1 - share)), nan=0.0, posinf=0.0))
     lean[0] = 0
+    del seen, kind, what, count, half, group
     lean = lean * (1 + 0.03 * np.array([len(w) for w in win]))  # of windows that tell alike, the longest
     order = np.nonzero(lean >= LEAN)[0]
     order = order[np.lexsort((order, -lean[order]))]
@@ -369,7 +395,7 @@ def train(rows: list[tuple[int, int, str]]) -> Machine | None:
     first, last = np.searchsorted(of_tok[some], [tok, tok + 1])
     bad = (label[sent] == 1) & (last > first)
     at = np.repeat(first[bad], (last - first)[bad]) + np.concatenate([np.arange(n) for n in (last - first)[bad]] or [np.zeros(0, int)])
-    pairs = np.unique(rank[of_win[some][at]] * len(label) + np.repeat(sent[bad], (last - first)[bad]))
+    pairs = _distinct(rank[of_win[some][at]] * len(label) + np.repeat(sent[bad], (last - first)[bad]))
     marks, told, bounds = [], np.zeros(len(label), bool), np.searchsorted(pairs, np.arange(len(order) + 1) * len(label))
     for k, i in enumerate(order.tolist()):
         holds = pairs[bounds[k] : bounds[k + 1]] % len(label)
@@ -379,7 +405,9 @@ def train(rows: list[tuple[int, int, str]]) -> Machine | None:
     if not marks:
         return None
     insults = len(marks)
-    near = Landmarks(marks).similar(win).max(axis=1)
+    near = np.zeros(len(win), np.float32)
+    some, like = Landmarks(marks).close(win)
+    near[some] = like.max(axis=1)
     plain = np.nonzero((lean <= 0) & (good > 0))[0]
     plain = plain[plain > 0]
     hard = plain[np.argsort(-near[plain] * np.sqrt(good[plain]), kind="stable")][: 40 * CLEAN_LANDMARKS]
@@ -389,19 +417,21 @@ def train(rows: list[tuple[int, int, str]]) -> Machine | None:
     landmarks = Landmarks(marks)
     values, vectors = np.linalg.eigh(landmarks.similar(marks).astype(np.float64))
     root = vectors / np.sqrt(np.maximum(values, 1e-3)) @ vectors.T
-    x = landmarks.similar(win)
-    some = np.nonzero(x.any(axis=1))[0]
+    some, x = landmarks.close(win)
     place = np.zeros(len(win), np.int64)  # row of a window among those like any mark; 0: like none
     place[some] = np.arange(1, len(some) + 1)
-    z = np.vstack([np.zeros((1, len(marks))), x[some] @ root])
+    z = np.vstack([np.zeros((1, len(marks)), np.float32), x @ root.astype(np.float32)])
     no = np.bincount(place, weights=good, minlength=len(z))
     spoilt = [(i, (m[:k] + "\0" + m[k:])[: LONG + 1]) for i, m in enumerate(marks[:insults]) for k in range(2, len(m))]
     virtual, of_mark = landmarks.similar([m for _, m in spoilt]) @ root, np.array([i for i, _ in spoilt], int)
-    names_at = np.array([names[m] for m in marks[:insults]])
+    told_by = set(marks[:insults])
+    named = {w: i for i, w in enumerate(win) if w in told_by}
+    names_at = np.array([named[m] for m in marks[:insults]])
     # sentences' distinct tokens, those of one sentence together
-    pairs = np.unique(sent * len(ids) + tok)
-    p_sent, p_tok = pairs // len(ids), pairs % len(ids)
-    _, p_owner = np.unique(p_sent, return_inverse=True)
+    pairs = _distinct(sent * words + tok)
+    p_sent, p_tok = (pairs // words).astype(np.int32), (pairs % words).astype(np.int32)
+    p_owner = np.cumsum(np.diff(p_sent, prepend=p_sent[:1]) > 0, dtype=np.int32)
+    del pairs
     p_starts = np.nonzero(np.diff(p_sent, prepend=-1))[0]
     s_label, s_doc = label[p_sent[p_starts]], doc[p_sent[p_starts]]
     docs, s_owner = np.unique(s_doc, return_inverse=True)
@@ -417,18 +447,19 @@ def train(rows: list[tuple[int, int, str]]) -> Machine | None:
             return None
         yes = np.bincount(witness[active], minlength=len(z)).astype(float) / active.sum()
         copies = VIRTUAL * yes[place[names_at]][of_mark] / np.maximum(1, np.bincount(of_mark, minlength=insults))[of_mark]
-        weight = np.concatenate([yes, copies, no / no.sum()])
-        y = np.concatenate([np.ones(len(z) + len(copies)), -np.ones(len(z))])
-        use = weight > 0
-        w, bias = _svm(np.vstack([z, virtual, z])[use], y[use], weight[use])
+        held, free, spoils = np.nonzero(yes)[0], np.nonzero(no)[0], np.nonzero(copies)[0]
+        weight = np.concatenate([yes[held], copies[spoils], no[free] / no.sum()])
+        y = np.concatenate([np.ones(len(held) + len(spoils)), -np.ones(len(free))])
+        w, bias = _svm(np.vstack([z[held], virtual[spoils], z[free]]), y, weight)
         f_win = (z @ w + bias)[place]
     weights = root @ w
     light = np.abs(weights) < LIGHT
     machine = Machine(Landmarks([k for k, x in zip(marks, light) if not x]), weights[~light].astype(np.float32), bias, np.zeros(0), np.zeros(1))
-    f_tok, _ = _largest((x[:, ~light] @ machine.weights + bias)[of_win], tok_starts, of_tok)
+    f_win = np.concatenate([[bias], x[:, ~light] @ machine.weights + bias])[place]
+    f_tok, _ = _largest(f_win[of_win], tok_starts, of_tok)
     # what margins words of clean documents reach
-    pairs = np.unique(np.searchsorted(docs, doc[sent]) * len(ids) + tok)
-    d_doc, d_tok = pairs // len(ids), pairs % len(ids)
+    pairs = _distinct(np.searchsorted(docs, doc[sent]) * words + tok)
+    d_doc, d_tok = pairs // words, pairs % words
     toxic = np.zeros(len(docs), bool)
     toxic[s_owner[s_label == 1]] = True
     reach = np.sort(f_tok[d_tok[~toxic[d_doc]]])
@@ -532,7 +563,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     split = split.select("doc", "label", F.explode(F.transform(F.sequence(F.lit(0), F.size("w") - 1, F.lit(SENTENCE_WORDS)), lambda i: F.array_join(F.slice("w", i + 1, SENTENCE_WORDS), " "))).alias("s"))
     split = split.filter(F.length("s") >= ORDER)
     parts = [split.filter(F.col("label") == k).orderBy(F.xxhash64("s"), "s", "doc").limit(sentences).toArrow() for k in (1, 0)]
-    machine = train([r for p in parts for r in zip(p["doc"].to_pylist(), p["label"].to_pylist(), p["s"].to_pylist())])
+    machine = train(r for p in parts for b in p.to_batches(1000) for r in zip(*(b.column(k).to_pylist() for k in range(3))))
     if machine is not None:
         seen = _evidence(rows, machine, "label").toArrow()
         machine.calibrate(seen["evidence"].to_numpy(), seen["label"].to_numpy() == 1)
