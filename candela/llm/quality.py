@@ -58,6 +58,7 @@ class Model:
     bias: float
     sites: DataFrame  # __site, __n, __host_rate, __rate: posteriors by path
     base: float  # the global rate
+    rows: DataFrame | None = None  # __row, __site, __x: the corpus that fit() described, where it was asked to carry columns
 
     def evidence(self, x: Column) -> Column:
         z = F.lit(self.bias)
@@ -98,18 +99,25 @@ def _strength(groups: DataFrame, n: str, s: str, prior: Column, base: float) ->
     return float(min(MOST_STRENGTH, max(LEAST_STRENGTH, base * (1 - base) / variance - 1))) if variance > 0 else MOST_STRENGTH
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", path_col: str = "lang", label_col: str = "quality", sample: int = SAMPLE) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", path_col: str = "lang", label_col: str = "quality", sample: int = SAMPLE, carry: list[str] | None = None) -> Model:
     """The classifier (from at most `sample` labelled rows) and the posteriors of all hosts and paths.
 
     Every document of the corpus is evidence on its path: its label if it has one, else the classifier's probability.
     Paths shrink towards their host and hosts towards the global rate, by strengths that moments of the groups give, so
     sparse sites say little. Evidence is summed by grouped aggregation; nothing of a site's documents meets in a task.
+    carry: columns that are written beside the features, so that score_corpus() need not read and describe the texts again.
+
+    Null texts, hosts and paths count as empty; rows without an id have no label; a repeated row counts each time, labels
+    of one id are averaged. Without labels of both kinds documents are no evidence for each other; an empty table is fine.
+    Columns may have any names.
     """
     told = labels.select(F.col(id_col).cast("long").alias("__id"), F.col(label_col).cast("double").alias("__label")).filter(F.col("__id").isNotNull() & F.col("__label").isin(0.0, 1.0))
     told = told.groupBy("__id").agg(F.avg("__label").alias("__label"), F.lit(1).cast("long").alias("__one"))
     host, site = _site(host_col, path_col)
-    rows = docs.select(F.col(id_col).cast("long").alias("__id"), host.alias("__host"), site.alias("__site"), F.col(text_col).cast("string").alias("__text"))
-    rows = keep(_described(rows, "__text").drop("__text"), "features")
+    row = [F.struct(*[docs[f"`{c}`"] for c in carry]).alias("__row")] if carry else []
+    rows = docs.select(F.col(id_col).cast("long").alias("__id"), host.alias("__host"), site.alias("__site"), F.col(text_col).cast("string").alias("__text"), *row)
+    described = keep(_described(rows, "__text").drop("__text"), "features")
+    rows = described.select("__id", "__host", "__site", "__x")
     told = keep(told, "labels")
     rows = keep(lookup(rows, told, "__id", "__one", [F.xxhash64("__id", "__site", "__x")], 0).drop("__one"), "evidence")
     some = smallest(rows.filter("__label is not null"), ["__id", "__site", "__x"], sample, told.count()).select("__x", "__label").toArrow()
@@ -131,6 +139,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     k = _strength(paths, "__n", "__s", F.col("__host_rate"), base)
     sites = keep(paths.select("__site", "__n", "__host_rate", ((F.col("__s") + k * F.col("__host_rate")) / (F.col("__n") + k)).alias("__rate")), "sites")
     model.sites, model.base = sites, base
+    model.rows = described.select("__row", "__site", "__x") if carry else None
     return model
 
 
@@ -144,7 +153,16 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", host_col: str =
     row = F.struct(*[docs[f"`{c}`"] for c in (columns or docs.columns)])
     _, site = _site(host_col, path_col)
     rows = docs.select(row.alias("__row"), site.alias("__site"), F.col(text_col).cast("string").alias("__text"))
-    rows = _described(rows, "__text").withColumn("__z", model.evidence(F.col("__x"))).drop("__x", "__text")
+    return _scored(_described(rows, "__text").drop("__text"), model, threshold)
+
+
+def score_corpus(model: Model, threshold: float = THRESHOLD) -> DataFrame:
+    """As score() of the table that fit() was given, its row being the columns that fit() was to carry."""
+    return _scored(model.rows, model, threshold)
+
+
+def _scored(rows: DataFrame, model: Model, threshold: float) -> DataFrame:
+    rows = rows.withColumn("__z", model.evidence(F.col("__x"))).drop("__x")
     rows = lookup(rows, model.sites, "__site", "__n", [F.xxhash64("__row")])
     rate, base = F.coalesce(F.col("__rate"), F.lit(model.base)), model.base
     odds = F.col("__z") + F.log(rate / (1 - rate)) - float(np.log(base / (1 - base)))

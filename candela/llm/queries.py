@@ -26,7 +26,7 @@ def op2_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
-    scored = quality.score(docs, quality.fit(docs, read(spark, sf_dir, "labels")), columns=["doc_id", "source", "lang"])
+    scored = quality.score_corpus(quality.fit(docs, read(spark, sf_dir, "labels"), carry=["doc_id", "source", "lang"]))
     return scored.select("row.*", "doc_score", "host_score", "path_score", "score", "keep")
 
 
@@ -64,5 +64,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_html, op2_ann, op3_quality, op4_linededup, op5_simhash, op6_imatch, op7_warc, op8_toxicity, op9_packing, op10_bpe)}
 
 
+#: What SQL can say: records by the hashes of whole payloads, the first of equal ones being the response.
+ORACLE = {
+    "op7_warc": """WITH p AS (SELECT page_id, url, coalesce(html, '') AS t FROM pages), f AS (SELECT t, min(page_id) AS first FROM p WHERE strlen(t) >= 100 GROUP BY t)
+SELECT page_id, url, CAST(strlen(p.t) AS BIGINT) AS payload_bytes, sha256(p.t) AS payload_digest, CASE WHEN first <> page_id THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN first <> page_id THEN first END AS refers_to FROM p LEFT JOIN f ON p.t = f.t""",
+}
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return ORACLE
