@@ -64,6 +64,16 @@ def keep(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Tables of at most so many rows and bytes of text are broadcast.
+SMALL_ROWS, SMALL_BYTES = 1_000_000, 16 << 20
+
+
+def is_small(df: DataFrame, text: Column | None = None) -> bool:
+    """Whether df, of a few numbers a row and perhaps this text, may be broadcast."""
+    rows, size = df.agg(F.count("*"), F.coalesce(F.sum(F.lit(8) if text is None else F.octet_length(text)), F.lit(0))).first()
+    return rows <= SMALL_ROWS and size <= SMALL_BYTES
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """name, lengthened until df has no such column."""
     while name.lower() in {c.lower() for c in df.columns}:

@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from candela.llm import bpe, html, imatch, quality, toxicity
+from candela.llm import bpe, decontaminate, html, imatch, merkle, oracles, quality, toxicity, whitening
 from candela.llm.ann import nearest
 from candela.llm.common import read
 from candela.llm.linededup import dedup_lines
@@ -60,15 +61,29 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The embeddings' projections on up to 32 whitened components."""
+    out = whitening.whiten(read(spark, sf_dir, "embeddings"))
+    return out.withColumn("deviation", F.col("deviation").cast("long"))
+
+
+def op12_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which documents hold ten words in a row of benchmark items, and of how many."""
+    return decontaminate.decontaminate(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents' manifest by source, checked against texts of which a fifth have lost their capitals."""
+    docs = read(spark, sf_dir, "documents")
+    spoilt = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    return merkle.manifest(docs, ["doc_id", "source", "lang", "n_chars", "text"], {"text": merkle.lower_ascii(F.col("text"))}, spoilt)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_html, op2_ann, op3_quality, op4_linededup, op5_simhash, op6_imatch, op7_warc, op8_toxicity, op9_packing, op10_bpe)}
+    return {f.__name__: f for f in (op1_html, op2_ann, op3_quality, op4_linededup, op5_simhash, op6_imatch, op7_warc, op8_toxicity, op9_packing, op10_bpe, op11_whitening, op12_decontaminate, op13_merkle)}
 
 
-#: What SQL can say: records by the hashes of whole payloads, the first of equal ones being the response.
-ORACLE = {
-    "op7_warc": """WITH p AS (SELECT page_id, url, coalesce(html, '') AS t FROM pages), f AS (SELECT t, min(page_id) AS first FROM p WHERE strlen(t) >= 100 GROUP BY t)
-SELECT page_id, url, CAST(strlen(p.t) AS BIGINT) AS payload_bytes, sha256(p.t) AS payload_digest, CASE WHEN first <> page_id THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN first <> page_id THEN first END AS refers_to FROM p LEFT JOIN f ON p.t = f.t""",
-}
+ORACLE = {"op7_warc": oracles.WARC, "op12_decontaminate": oracles.DECONTAMINATE, "op13_merkle": oracles.MERKLE}
 
 
 def oracle_sql() -> dict[str, str]:
