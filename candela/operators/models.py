@@ -1,4 +1,4 @@
-"""Data preparation, clustering, hidden states, wavelets, detectors and MLlib models."""
+"""Data preparation, clustering and hidden states."""
 
 from __future__ import annotations
 
@@ -9,7 +9,6 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from candela.functions.frames import change, div, lag, order, so_far, whole
-from candela.operators.sequences import scan
 
 
 def split(bars: DataFrame, train: float = 0.6, validate: float = 0.2) -> DataFrame:
@@ -63,51 +62,6 @@ def evaluate_changes(true: DataFrame, found: DataFrame, tolerance: int = 5) -> D
     return out.select("symbol", "n_true", "n_found", "hits", (F.col("n_true") - F.col("hits")).alias("misses"), (F.col("n_found") - F.col("hits")).alias("false_alarms"), precision.alias("precision"), recall.alias("recall"), f1.alias("f1"), "mean_delay")
 
 
-def haar(x: np.ndarray, levels: int) -> list[np.ndarray]:
-    """Details from fine to coarse, then the approximation; x is padded to a multiple by its last value."""
-    x = np.pad(x, (0, -len(x) % (1 << levels)), mode="edge")
-    out = []
-    for _ in range(levels):
-        a, b = x[0::2], x[1::2]
-        out.append((a - b) / np.sqrt(2))
-        x = (a + b) / np.sqrt(2)
-    return [*out, x]
-
-
-def unhaar(parts: list[np.ndarray]) -> np.ndarray:
-    x = parts[-1]
-    for d in reversed(parts[:-1]):
-        y = np.empty(2 * len(x))
-        y[0::2], y[1::2] = (x + d) / np.sqrt(2), (x - d) / np.sqrt(2)
-        x = y
-    return x
-
-
-def denoise(x: np.ndarray, levels: int = 4, share: float = 0.1) -> np.ndarray:
-    """Soft threshold at a share of the largest detail. Looks ahead: that is the whole series' largest."""
-    parts = haar(x, levels)
-    return unhaar([np.sign(d) * np.maximum(np.abs(d) - share * np.abs(d).max(initial=0), 0) for d in parts[:-1]] + parts[-1:])[: len(x)]
-
-
-def wavelets(bars: DataFrame, window: int = 64) -> DataFrame:
-    """The close denoised over the whole series (looks ahead), and over the last `window` bars only."""
-
-    def past(seen: list[float]):
-        def step(close: float) -> tuple:
-            seen.append(close)
-            del seen[:-window]
-            return (float(denoise(np.array(seen))[-1]),)
-
-        return step
-
-    def all_of(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("date")
-        return pd.DataFrame({"symbol": rows["symbol"], "date": rows["date"], "smooth": denoise(rows["close"].to_numpy())})
-
-    whole_series = bars.select("symbol", "date", "close").groupBy("symbol").applyInPandas(all_of, "symbol string, date date, smooth double")
-    return whole_series.join(scan(bars, ["close"], "smooth_online double", lambda: past([])), ["symbol", "date"])
-
-
 def _clusters(x: np.ndarray, k: int, rounds: int) -> np.ndarray:
     """Centroids of rows of sorted values by Wasserstein distance, medians of their members, in order of volatility."""
     rng = np.random.RandomState(42)

@@ -54,7 +54,6 @@ QUERIES = {
     "feature_columns": _named,
     "change_point_eval": _changes,
     "sim_equity": _equity,
-    "wavelet_denoise": _of(m.wavelets, s.bars),
     "wkmeans": _of(m.wasserstein_clusters, lambda sp, sf: f.wasserstein_features(s.bars(sp, sf))),
     "hmm_forward": _of(m.hidden_states, lambda sp, sf: f.hmm_features(s.bars(sp, sf))),
     "rf_spike": _of(learners.regime_forests, lambda sp, sf: f.vol_predictor(s.bars(sp, sf), s.vix(sp, sf)), lambda sp, sf: f.vol_regime_targets(s.bars(sp, sf))),

@@ -56,11 +56,6 @@ def test_scan_keeps_symbols_apart(spark):
     assert out["a", 1] == 1.0 and out["b", 1] == 10.0
 
 
-def test_wavelet_parts_rebuild_the_series():
-    x = np.random.default_rng(2).normal(size=77)
-    assert np.allclose(models.unhaar(models.haar(x, 3))[:77], x)
-
-
 def test_ledger_pays_slippage_and_fees():
     step = sequences.ledger_start()()
     _, cash, shares, equity, _ = step(100.0, 1)
