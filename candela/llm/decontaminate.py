@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from candela.llm.common import HEAVY_SHARE, free_name, is_small, keep, lookup
 
-#: What parts words, once A-Z are lower-case.
-GAPS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: What parts words, in either case.
+GAPS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: Words of a window; an item of fewer is one window.
 WINDOW = 10
 #: Places over which postings of a heavy term are dealt.
@@ -18,23 +18,31 @@ SALTS = 64
 
 
 def words(text: Column) -> Column:
-    lower = F.translate(F.coalesce(text.cast("string"), F.lit("")), string.ascii_uppercase, string.ascii_lowercase)
-    return F.filter(F.split(lower, GAPS), lambda w: w != "")
+    """The words as they are written."""
+    return F.array_remove(F.split(F.coalesce(text.cast("string"), F.lit("")), GAPS), "")
+
+
+def lower(word: Column) -> Column:
+    """word with A-Z, and no other letters, in lower case."""
+    plain = F.octet_length(word) == F.length(word)
+    return F.when(plain, F.lower(word)).otherwise(F.translate(word, string.ascii_uppercase, string.ascii_lowercase))
 
 
 def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The stored index: uid (a number of its own for each row of docs), term, pos; and per row of docs a head, whose term
     is null, with doc_id and n_words.
 
-    Each task writes the postings of its documents as a segment sorted by term, so nothing is shuffled, a term's postings lie
-    together and a head is read without the rest. A null text has no words; equal rows have a head and postings each.
+    Each task writes the postings of its documents as a segment in order of the terms' hashes, heads first, so nothing is
+    shuffled, a term's postings lie together and heads are read without the rest. A null text has no words; equal rows have a
+    head and postings each.
     """
     rows = docs.select(F.monotonically_increasing_id().alias("uid"), docs[f"`{id_col}`"].cast("long").alias("doc_id"), words(docs[f"`{text_col}`"]).alias("w"))
     rows = rows.withColumn("n", F.size("w").cast("long"))
-    each = rows.select("uid", "doc_id", "n", F.posexplode(F.concat(F.array(F.lit(None).cast("string")), "w")).alias("at", "term"))
-    head = F.col("term").isNull()
-    each = each.select("uid", F.when(head, F.col("doc_id")).alias("doc_id"), F.when(head, F.col("n")).alias("n_words"), "term", (F.col("at") - 1).alias("pos"))
-    return keep(each.sortWithinPartitions("term"), "postings")
+    each = rows.select("uid", "doc_id", "n", F.posexplode(F.concat(F.array(F.lit(None).cast("string")), "w")).alias("at", "word"))
+    head = F.col("word").isNull()
+    each = each.select("uid", F.when(head, F.col("doc_id")).alias("doc_id"), F.when(head, F.col("n")).alias("n_words"), lower(F.col("word")).alias("term"), (F.col("at") - 1).alias("pos"))
+    place = F.when(F.col("term").isNull(), F.lit(-(1 << 63))).otherwise(F.xxhash64("term"))
+    return keep(each.sortWithinPartitions(place), "postings")
 
 
 def _tokens(index: DataFrame) -> DataFrame:
@@ -44,28 +52,30 @@ def _tokens(index: DataFrame) -> DataFrame:
 def test_terms(index: DataFrame, items: DataFrame, id_col: str = "item_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """(ids, terms), both kept: item, gid for each item with words, gid naming its sequence of words; and gid, size, q, term,
     n for each word of each different sequence, n being how often the corpus holds it."""
-    rows = items.select(F.coalesce(items[f"`{id_col}`"].cast("string"), F.lit("")).alias("item"), words(items[f"`{text_col}`"]).alias("w")).filter(F.size("w") > 0)
+    rows = items.select(F.coalesce(items[f"`{id_col}`"].cast("string"), F.lit("")).alias("item"), F.transform(words(items[f"`{text_col}`"]), lower).alias("w")).filter(F.size("w") > 0)
     rows = rows.withColumn("gid", F.sha2(F.array_join("w", " "), 256))
     ids = keep(rows.select("item", "gid").distinct(), "items")
     each = keep(rows.select("gid", F.size("w").alias("size"), F.posexplode("w").alias("q", "term")).distinct(), "item_words")
-    wanted = keep(each.select("term").distinct(), "wanted")
+    wanted = each.select("term").distinct()
     tokens = _tokens(index).select("term")
     counts = tokens.join(F.broadcast(wanted), "term", "left_semi") if is_small(wanted, F.col("term")) else tokens
-    counts = keep(counts.groupBy("term").agg(F.count("*").alias("n")).join(wanted, "term"), "frequencies")
+    counts = counts.groupBy("term").agg(F.count("*").alias("n")).join(wanted, "term")
     known = each.join(counts, "term", "left")
     return ids, keep(known.select("gid", "size", "q", "term", F.coalesce("n", F.lit(0).cast("long")).alias("n")), "test_terms")
 
 
 def _windows(terms: DataFrame) -> DataFrame:
-    """gid, start, rarest (n, term, q), held (its words): the windows that can occur, as the corpus holds each of their words."""
+    """gid, start, rarest and second (n, term, q; the same in a window of one word), held (its words): the windows that can
+    occur, as the corpus holds each of their words."""
     by = Window.partitionBy("gid").orderBy("q").rowsBetween(0, WINDOW - 1)
-    all_ = terms.withColumn("rarest", F.min(F.struct("n", "term", "q")).over(by)).withColumn("held", F.collect_list("term").over(by))
-    return all_.filter((F.col("q") <= F.greatest(F.col("size") - WINDOW, F.lit(0))) & (F.col("rarest.n") > 0)).select("gid", F.col("q").alias("start"), "rarest", "held")
+    word = F.struct("n", "term", "q")
+    all_ = terms.withColumn("held", F.collect_list(word).over(by)).withColumn("by", F.array_sort("held"))
+    told = all_.select("gid", F.col("q").alias("start"), "size", F.col("by")[0].alias("rarest"), F.coalesce(F.get("by", F.lit(1)), F.get("by", F.lit(0))).alias("second"), F.col("held.term").alias("held"))
+    return told.filter((F.col("start") <= F.greatest(F.col("size") - WINDOW, F.lit(0))) & (F.col("rarest.n") > 0)).drop("size")
 
 
-def _at_postings(index: DataFrame, anchors: DataFrame) -> DataFrame:
+def _at_postings(tokens: DataFrame, anchors: DataFrame) -> DataFrame:
     """anchors (term, n, ...; several of a term), each with every posting (uid, pos) of its term."""
-    tokens = _tokens(index)
     if is_small(anchors, F.col("term")):
         return tokens.join(F.broadcast(anchors), "term")
     total = tokens.count()
@@ -79,7 +89,7 @@ def _at_postings(index: DataFrame, anchors: DataFrame) -> DataFrame:
 
 def _postings_of(index: DataFrame, needs: DataFrame) -> DataFrame:
     """The postings of the documents that needs names, if these are few; all of them otherwise."""
-    uids = keep(needs.select("uid").distinct(), "candidates")
+    uids = needs.select("uid").distinct()
     return _tokens(index).join(F.broadcast(uids), "uid", "left_semi") if is_small(uids) else _tokens(index)
 
 
@@ -87,12 +97,20 @@ def phrases(index: DataFrame, terms: DataFrame) -> DataFrame:
     """uid, gid, first, last: the places of documents where windows of an item stand, joined where they overlap.
 
     A document place less an item place is an offset, the same along a phrase. The postings of each window's rarest word
-    give candidate offsets; the postings of all other words of the item are met with them at that offset, and runs of
-    WINDOW words or more (or whole shorter items) are phrases. Words are compared as they are, not by hashes.
+    give candidate offsets, those of its second rarest leave the ones where they are met at the same offset; at these the
+    postings of all other words of the item are met, and runs of WINDOW words or more (or whole shorter items) are phrases.
+    Words are compared as they are, not by hashes.
     """
-    anchors = _windows(terms).select("gid", "rarest.*").distinct()
-    found = _at_postings(index, keep(anchors, "anchors")).select("uid", "gid", (F.col("pos") - F.col("q")).alias("offset")).distinct()
-    found = keep(found, "offsets")
+    windows = keep(_windows(terms), "windows")
+    anchors = windows.select("gid", "rarest.*").distinct()
+    pairs = windows.select("gid", F.col("rarest.q").alias("q"), F.col("second.q").alias("q2"), F.col("second.term").alias("term2")).distinct()
+    probed = windows.select(F.explode(F.array("rarest.term", "second.term")).alias("term")).distinct()
+    small = is_small(probed, F.col("term"))
+    tokens = keep(_tokens(index).join(F.broadcast(probed), "term", "left_semi"), "probes") if small else _tokens(index)
+    found = _at_postings(tokens, anchors).select("uid", "gid", "q", (F.col("pos") - F.col("q")).alias("offset"))
+    asked = found.join(F.broadcast(pairs) if is_small(pairs, F.concat("gid", "term2")) else pairs, ["gid", "q"]).filter(F.col("offset") + F.col("q2") >= 0)
+    asked = asked.select("uid", "gid", "offset", F.col("term2").alias("term"), (F.col("offset") + F.col("q2")).alias("pos"))
+    found = keep(asked.join(tokens, ["uid", "pos", "term"]).select("uid", "gid", "offset").distinct(), "offsets")
     needs = found.join(terms, "gid").select("uid", "gid", "offset", "size", "q", "term", (F.col("offset") + F.col("q")).alias("pos")).filter("pos >= 0")
     met = needs.join(_postings_of(index, found), ["uid", "pos", "term"])
     by = Window.partitionBy("uid", "gid", "offset").orderBy("q")
@@ -105,7 +123,7 @@ def near(index: DataFrame, terms: DataFrame, within: int = 2 * WINDOW) -> DataFr
     stands, in any order, at most `within` words from the window's rarest word, at pos; span: words from the first to the
     last of those nearest to it (of two as near, the earlier counts)."""
     windows = _windows(terms).select("gid", "start", "rarest.term", "rarest.n", F.array_distinct("held").alias("held"))
-    at = keep(_at_postings(index, keep(windows, "windows")), "places")
+    at = keep(_at_postings(_tokens(index), keep(windows, "windows")), "places")
     block = F.floor(F.col("pos") / within).cast("int")
     others = F.filter("held", lambda w: w != F.col("term"))
     needs = at.select("uid", "gid", "start", F.col("pos").alias("at"), block.alias("b"), F.size(others).alias("m"), F.explode_outer(others).alias("term"))
@@ -127,7 +145,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     """
     index = build_index(docs, id_col, text_col)
     ids, terms = test_terms(index, items, item_col, item_text)
-    spans = keep(phrases(index, terms), "phrases")
+    spans = phrases(index, terms)
     before = Window.partitionBy("uid").orderBy("first", "last").rowsBetween(Window.unboundedPreceding, -1)
     fresh = F.col("last") - F.greatest(F.col("first") - 1, F.coalesce(F.max("last").over(before), F.lit(-1)))
     hits = spans.withColumn("fresh", F.greatest(fresh, F.lit(0)).cast("long")).groupBy("uid").agg(F.sum("fresh").alias("n_hit"), F.array_sort(F.collect_set("gid")).alias("gids"))
