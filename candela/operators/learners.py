@@ -1,24 +1,31 @@
 """Classifiers by symbol and horizon, trained on the past and judged on what follows; walk-forward calibration.
 
-A group (one symbol, one horizon) is one series of daily rows, a few thousand at most; groups are fitted in parallel, each in
-one task. Everything is deterministic: a row's place in time decides what it is used for, seeds come from the group.
+All groups (one symbol, one horizon each) are fitted at once, over the whole table: trees by aggregation (`trees`), the
+logistic regression by MLlib, on features that are crossed with the group. What is learnt is saved as tables of nodes and a
+persisted MLlib pipeline. A row's place in time decides what it is used for; seeds are fixed.
 """
 
 from __future__ import annotations
 
-import json
-import zlib
-
 import numpy as np
 import pandas as pd
+from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.feature import Interaction, OneHotEncoder, StringIndexer, VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from candela.functions.frames import lag, order, whole
+from candela.operators import trees as t
+from candela.sources.shared import new_folder, small, written
 
-#: Cut points that a tree tries for each feature.
-BINS = 32
-SEED = 42
+#: The trees of each kind of model; how many, and how much of each boosted one counts.
+SINGLE, FOREST, BOOSTED = t.Shape(5, 20), t.Shape(6, 20, some=2), t.Shape(3, 20)
+TREES, ROUNDS, RATE = 20, 8, 0.3
+#: Penalty of the regression on standardised coefficients.
+RIDGE = 1e-3
 
 
 def with_targets(bars: DataFrame, features: DataFrame, horizons: tuple[int, ...] = (3, 5, 10), train: float = 0.6, validate: float = 0.2) -> DataFrame:
@@ -36,158 +43,108 @@ def with_targets(bars: DataFrame, features: DataFrame, horizons: tuple[int, ...]
     return rows.select("symbol", "date", "horizon", *keep, "target", part.alias("part")).filter("part is not null and target is not null").na.drop(subset=keep)
 
 
-def _weights(y: np.ndarray) -> np.ndarray:
-    """Balanced class weights."""
-    n = np.bincount(y, minlength=2).astype(float)
-    return (len(y) / (2 * np.maximum(n, 1)))[y]
-
-
-class Logistic:
-    """L2 logistic regression on standardised features by Newton's steps."""
-
-    def fit(self, x, y, w, ridge: float = 1.0):
-        self.mean, self.sd = x.mean(axis=0), np.where(x.std(axis=0) > 0, x.std(axis=0), 1)
-        a = np.column_stack([(x - self.mean) / self.sd, np.ones(len(x))])
-        penalty = np.diag([ridge] * x.shape[1] + [1e-6])
-        self.b = np.zeros(a.shape[1])
-        for _ in range(30):
-            p = 1 / (1 + np.exp(-np.clip(a @ self.b, -30, 30)))
-            step = np.linalg.solve((a * (w * p * (1 - p))[:, None]).T @ a + penalty, a.T @ (w * (y - p)) - penalty @ self.b)
-            self.b += step
-            if np.abs(step).max() < 1e-8:
-                break
-        return self
-
-    def predict(self, x):
-        return 1 / (1 + np.exp(-np.clip(np.column_stack([(x - self.mean) / self.sd, np.ones(len(x))]) @ self.b, -30, 30)))
-
-    def importance(self, k):
-        return np.abs(self.b[:k])
-
-
-class Tree:
-    """A regression tree of weighted squared error, which for labels 0 and 1 is the Gini index."""
-
-    def __init__(self, depth: int, leaf: int, some: int | None = None, rng: np.random.Generator | None = None):
-        self.depth, self.leaf, self.some, self.rng = depth, leaf, some, rng
-
-    def fit(self, x, y, w):
-        self.nodes: list[tuple] = []
-        self.gain = np.zeros(x.shape[1])
-        self._grow(x, y, w, self.depth)
-        return self
-
-    def _grow(self, x, y, w, depth) -> int:
-        at = len(self.nodes)
-        self.nodes.append((-1, 0.0, -1, -1, float((w * y).sum() / w.sum())))
-        best = (1e-12, None, None)
-        if depth and len(y) >= 2 * self.leaf:
-            total, mass = (w * y).sum(), w.sum()
-            columns = range(x.shape[1]) if self.some is None else sorted(self.rng.choice(x.shape[1], self.some, replace=False).tolist())
-            for j in columns:
-                cuts = np.unique(np.quantile(x[:, j], np.linspace(0, 1, BINS + 1)[1:-1]))
-                side = np.searchsorted(cuts, x[:, j], side="left")  # rows with side <= k lie at or below cuts[k]
-                n, s, m = (np.cumsum(np.bincount(side, weights=v, minlength=len(cuts) + 1))[:-1] for v in (np.ones(len(y)), w * y, w))
-                with np.errstate(divide="ignore", invalid="ignore"):
-                    gain = np.where((n >= self.leaf) & (len(y) - n >= self.leaf), s * s / m + (total - s) ** 2 / (mass - m) - total * total / mass, -1)
-                k = int(np.argmax(gain)) if len(gain) else -1
-                if k >= 0 and gain[k] > best[0]:
-                    best = (float(gain[k]), j, float(cuts[k]))
-        gain, j, cut = best
-        if j is not None:
-            self.gain[j] += gain
-            low = x[:, j] <= cut
-            a, b = self._grow(x[low], y[low], w[low], depth - 1), self._grow(x[~low], y[~low], w[~low], depth - 1)
-            self.nodes[at] = (j, cut, a, b, self.nodes[at][4])
-        return at
-
-    def predict(self, x):
-        feature, cut, low, high, value = (np.array(v) for v in zip(*self.nodes))
-        at = np.zeros(len(x), int)
-        for _ in range(self.depth):
-            inner = feature[at] >= 0
-            goes = x[np.arange(len(x)), np.maximum(feature[at], 0)] <= cut[at]
-            at = np.where(inner, np.where(goes, low[at], high[at]), at)
-        return value[at]
-
-    def importance(self, k):
-        return self.gain
-
-
-class Forest:
-    """Trees of resampled rows and a root of the features at each split."""
-
-    def __init__(self, seed: int, trees: int = 30, depth: int = 6, leaf: int = 20):
-        self.rng, self.n, self.depth, self.leaf = np.random.default_rng(seed), trees, depth, leaf
-
-    def fit(self, x, y, w):
-        self.trees = []
-        for _ in range(self.n):
-            rows = self.rng.integers(0, len(y), len(y))
-            self.trees.append(Tree(self.depth, self.leaf, max(1, int(x.shape[1] ** 0.5)), self.rng).fit(x[rows], y[rows], w[rows]))
-        return self
-
-    def predict(self, x):
-        return np.mean([t.predict(x) for t in self.trees], axis=0)
-
-    def importance(self, k):
-        return np.sum([t.gain for t in self.trees], axis=0)
-
-
-class Boosted:
-    """Trees of the logistic loss's gradient, leaves set by a Newton step."""
-
-    def __init__(self, rounds: int = 40, depth: int = 3, rate: float = 0.1, leaf: int = 20):
-        self.rounds, self.depth, self.rate, self.leaf = rounds, depth, rate, leaf
-
-    def fit(self, x, y, w):
-        self.base, self.trees = 0.0, []
-        f = np.zeros(len(y))
-        for _ in range(self.rounds):
-            p = 1 / (1 + np.exp(-f))
-            h = w * np.maximum(p * (1 - p), 1e-6)
-            self.trees.append(Tree(self.depth, self.leaf).fit(x, w * (y - p) / h, h))
-            f = f + self.rate * self.trees[-1].predict(x)
-        return self
-
-    def predict(self, x):
-        return 1 / (1 + np.exp(-self.rate * np.sum([t.predict(x) for t in self.trees], axis=0)))
-
-    def importance(self, k):
-        return np.sum([t.gain for t in self.trees], axis=0)
-
-
-def learner(name: str, seed: int = SEED):
-    return {"logistic_regression": Logistic, "decision_tree": lambda: Tree(5, 20), "random_forest": lambda: Forest(seed), "gradient_boosting": Boosted}[name]()
-
-
 MODELS = ("decision_tree", "gradient_boosting", "logistic_regression", "random_forest")
+GROUP = ["symbol", "horizon"]
+
+
+def prepared(rows: DataFrame) -> DataFrame:
+    """Rows of with_targets, with what the learners need: model (the group's name), id, train, y and w, which balances the
+    classes of a group's training rows. Features mustn't have these names."""
+    out = rows.withColumns({"model": F.concat_ws("|", *GROUP), "id": F.unix_date("date"), "train": F.col("part") == "train", "y": F.col("target").cast("double")})
+    n = F.count_if("train").over(W.partitionBy("model"))
+    own = F.count_if("train").over(W.partitionBy("model", "target"))
+    return out.withColumn("w", F.coalesce(F.try_divide(n, 2 * own), F.lit(1.0)))
+
+
+def regression(rows: DataFrame, features: list[str], ridge: float = RIDGE) -> PipelineModel:
+    """One logistic regression for all groups: each feature, and a constant beside the common one, is crossed with the group, so groups share
+    nothing but the penalty. rows: those of `prepared`."""
+    stages = [
+        StringIndexer(inputCol="model", outputCol="group", handleInvalid="keep", stringOrderType="alphabetAsc"),
+        OneHotEncoder(inputCol="group", outputCol="own", dropLast=False, handleInvalid="keep"),
+        VectorAssembler(inputCols=features, outputCol="plain", handleInvalid="keep"),
+        Interaction(inputCols=["own", "plain"], outputCol="crossed"),
+        VectorAssembler(inputCols=["own", "crossed"], outputCol="all"),
+        LogisticRegression(featuresCol="all", labelCol="y", weightCol="w", regParam=ridge, maxIter=100, tol=1e-9, probabilityCol="odds"),
+    ]
+    return Pipeline(stages=stages).fit(rows.filter("train"))
+
+
+def _filled(rows: DataFrame, features: list[str]) -> DataFrame:
+    return rows.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in features})
+
+
+def fit(rows: DataFrame, features: list[str], folder: str, models: tuple[str, ...] = MODELS, seed: int = 42) -> None:
+    """Train `models` on the training rows of every group, and save them below folder: nodes (kind and trees' nodes), groups
+    (model, mean and whether both classes were met), and the regression's pipeline."""
+    made = written(prepared(_filled(rows, features)), "prepared")
+    made.filter("train").groupBy("model").agg(F.avg("y").alias("mean"), (F.min("y") < F.max("y")).alias("both")).write.parquet(f"{folder}/groups")
+    if "logistic_regression" in models:
+        regression(made, features).write().save(f"{folder}/regression")
+    if set(models) - {"logistic_regression"}:
+        binned, cuts = t.prepared(made, features)
+        binned = written(binned, "binned")
+        grown = {"decision_tree": lambda: t.tree(binned, cuts, SINGLE), "random_forest": lambda: t.forest(binned, cuts, TREES, FOREST, seed), "gradient_boosting": lambda: t.boost(binned, cuts, ROUNDS, RATE, BOOSTED)[0]}
+        for kind in grown:
+            if kind in models:
+                grown[kind]().write.parquet(f"{folder}/nodes/kind={kind}")
+
+
+def _odds(kind: str, rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    own = nodes.filter(F.col("kind") == kind).drop("kind")
+    if kind == "gradient_boosting":
+        return t.score(rows, own, BOOSTED.depth, "sum", RATE).withColumn("p", 1 / (1 + F.exp(-F.col("score"))))
+    return t.score(rows, own, max(SINGLE.depth, FOREST.depth)).withColumn("p", F.col("score"))
+
+
+def predict(rows: DataFrame, features: list[str], folder: str, models: tuple[str, ...] = MODELS) -> DataFrame:
+    """rows (symbol, horizon, features, ...) with model, the kind, and p, its odds, once for each of models that are saved in
+    folder. Missing features count as 0. A group whose training rows had one class has that class's odds; one that wasn't
+    trained has 0.5."""
+    spark, names = rows.sparkSession, rows.columns
+    base = _filled(rows, features).withColumn("model", F.concat_ws("|", *GROUP)).withColumn("__x", F.array(*features))
+    out = None
+    for kind in models:
+        if kind == "logistic_regression":
+            told = PipelineModel.load(f"{folder}/regression").transform(base).withColumn("p", vector_to_array("odds")[1])
+        else:
+            told = _odds(kind, base, spark.read.parquet(f"{folder}/nodes"))
+        told = told.select(*[F.col(c) for c in names], F.col("model").alias("of"), F.lit(kind).alias("model"), "p")
+        out = told if out is None else out.unionByName(told)
+    groups = small(spark.read.parquet(f"{folder}/groups").withColumnRenamed("model", "of"))
+    p = F.when(F.col("both"), F.col("p")).otherwise(F.coalesce("mean", F.lit(0.5)))
+    return out.join(groups, "of", "left").withColumn("p", p).drop("of", "mean", "both")
 
 
 def fit_predict(rows: DataFrame, features: list[str], models: tuple[str, ...] = MODELS) -> DataFrame:
     """Rows of with_targets -> symbol, horizon, model, date, part, target, p: each model fitted on the training part alone
-    (balanced classes), its odds for every row. A group whose training part has one class only gives that class's odds."""
+    (balanced classes), its odds for every row."""
+    folder = new_folder(rows.sparkSession, "models")
+    fit(rows, features, folder, models)
+    return predict(rows, features, folder, models).select("symbol", "horizon", "model", "date", "part", "target", "p")
+
+
+def consensus(rows: DataFrame, features: list[str], folder: str, models: tuple[str, ...] = MODELS) -> DataFrame:
+    """symbol, date, horizon, each saved model's odds, their mean, and how many say a rise: what is told of rows by models
+    that were trained before."""
+    told = predict(rows.select("symbol", "date", "horizon", *features), features, folder, models)
+    wide = told.groupBy("symbol", "date", "horizon").pivot("model", list(models)).agg(F.first("p"))
+    votes = sum(((F.col(m) >= 0.5).cast("int") for m in models[1:]), (F.col(models[0]) >= 0.5).cast("int"))
+    return wide.withColumns({"mean_odds": sum((F.col(m) for m in models[1:]), F.col(models[0])) / len(models), "votes": votes})
 
-    def one(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("date")
-        x, y, train = group[features].to_numpy(float), group["target"].to_numpy(int), (group["part"] == "train").to_numpy()
-        out = []
-        for name in models:
-            if train.any() and len(np.unique(y[train])) == 2:
-                p = learner(name, SEED + zlib.crc32(f"{group['symbol'].iloc[0]}{group['horizon'].iloc[0]}".encode()) % 1000).fit(x[train], y[train], _weights(y[train])).predict(x)
-            else:
-                p = np.full(len(y), float(y[train].mean()) if train.any() else 0.5)
-            out.append(group[["symbol", "horizon", "date", "part", "target"]].assign(model=name, p=p))
-        return pd.concat(out)[["symbol", "horizon", "model", "date", "part", "target", "p"]]
 
-    return rows.groupBy("symbol", "horizon").applyInPandas(one, "symbol string, horizon int, model string, date date, part string, target int, p double")
+def importance(folder_nodes: DataFrame, features: list[str]) -> DataFrame:
+    """kind, model, feature, gain and its share of the model's."""
+    out = None
+    for kind in ("decision_tree", "gradient_boosting", "random_forest"):
+        one = t.importance(folder_nodes.filter(F.col("kind") == kind), features).withColumn("kind", F.lit(kind))
+        out = one if out is None else out.unionByName(one)
+    return out.withColumn("share", F.try_divide("gain", F.sum("gain").over(W.partitionBy("kind", "model"))))
 
 
 def by_part(predicted: DataFrame) -> DataFrame:
     """By symbol, horizon, model and part: how many, accuracy, precision, recall, F1, Brier score, and the area under the
     curve by ranks, ties sharing their mean rank."""
-    from pyspark.sql import Window as W
-
     keys = ["symbol", "horizon", "model", "part"]
     ties = W.partitionBy(*keys, "p")
     ranked = predicted.withColumn("rank", F.rank().over(W.partitionBy(*keys).orderBy("p")) + (F.count("*").over(ties) - 1) / 2)
@@ -203,8 +160,6 @@ def by_part(predicted: DataFrame) -> DataFrame:
 def backtest(predicted: DataFrame, bars: DataFrame, threshold: float = 0.5) -> DataFrame:
     """Test rows: hold on the day after a rise was told likely. By symbol, horizon, model: days, trades, log growth of the
     strategy and of holding."""
-    from pyspark.sql import Window as W
-
     from candela.functions.frames import change
 
     by = W.partitionBy("symbol", "horizon", "model").orderBy("date")
@@ -215,69 +170,40 @@ def backtest(predicted: DataFrame, bars: DataFrame, threshold: float = 0.5) -> D
     return rows.filter("held is not null").groupBy("symbol", "horizon", "model").agg(F.count("*").alias("num_days"), F.count_if(moved).alias("num_trades"), F.sum(F.log1p(F.col("held") * F.col("r"))).alias("strategy_log_return"), F.sum(F.log1p("r")).alias("hold_log_return"))
 
 
-def regime_forests(features: DataFrame, targets: DataFrame, train: float = 0.6, rows_needed: int = 50, hits_needed: int = 10) -> DataFrame:
+def regime_forests(features: DataFrame, targets: DataFrame, train: float = 0.6, rows_needed: int = 50, hits_needed: int = 10, trees: int = 20, shape: t.Shape = t.Shape(5, 20, some=3)) -> DataFrame:
     """symbol, date, part, spike_prob, calm_prob: two forests a symbol, one that sees only calm training days and learns
     which spike, one that sees only wild ones and learns which calm down. A forest without enough rows or hits gives 0.
 
     features: symbol, date, numbers; targets: symbol, date, current_low, current_high, spike_target, calm_target."""
     names = [c for c in features.columns if c not in ("symbol", "date")]
     rows = features.join(targets.select("symbol", "date", "current_low", "current_high", "spike_target", "calm_target"), ["symbol", "date"]).na.drop()
-
-    def one(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("date")
-        x, past = group[names].to_numpy(float), np.arange(len(group)) < int(len(group) * train)
-        odds = []
-        for where, what in (("current_low", "spike_target"), ("current_high", "calm_target")):
-            y, use = group[what].to_numpy(int), past & (group[where].to_numpy() == 1)
-            enough = use.sum() >= rows_needed and hits_needed < y[use].sum() < use.sum()
-            odds.append(Forest(SEED, 20, 5).fit(x[use], y[use], _weights(y[use])).predict(x) if enough else np.zeros(len(y)))
-        return pd.DataFrame({"symbol": group["symbol"], "date": group["date"], "part": np.where(past, "train", "test"), "spike_prob": odds[0], "calm_prob": odds[1], "spike_target": group["spike_target"].astype("int32"), "calm_target": group["calm_target"].astype("int32")})
-
-    return rows.groupBy("symbol").applyInPandas(one, "symbol string, date date, part string, spike_prob double, calm_prob double, spike_target int, calm_target int")
-
-
-def search(rows: DataFrame, features: list[str], ridges: tuple[float, ...] = (0.1, 1.0, 10.0, 100.0)) -> DataFrame:
-    """By symbol and horizon: the logistic regression's penalty with the least log loss on the validation part."""
-
-    def one(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("date")
-        x, y = group[features].to_numpy(float), group["target"].to_numpy(int)
-        train, check = (group["part"] == "train").to_numpy(), (group["part"] == "validate").to_numpy()
-        out = []
-        if check.any() and len(np.unique(y[train])) == 2:
-            for ridge in ridges:
-                p = np.clip(Logistic().fit(x[train], y[train], np.ones(train.sum()), ridge).predict(x[check]), 1e-9, 1 - 1e-9)
-                out.append((group["symbol"].iloc[0], int(group["horizon"].iloc[0]), ridge, float(-(y[check] * np.log(p) + (1 - y[check]) * np.log(1 - p)).mean())))
-        table = pd.DataFrame(out, columns=["symbol", "horizon", "ridge", "loss"])
-        return table.sort_values(["loss", "ridge"]).head(1)
-
-    return rows.groupBy("symbol", "horizon").applyInPandas(one, "symbol string, horizon int, ridge double, loss double")
-
-
-def save_models(rows: DataFrame, features: list[str], folder: str) -> None:
-    """Logistic regressions by symbol and horizon, as a table of JSON documents."""
-
-    def one(group: pd.DataFrame) -> pd.DataFrame:
-        part = group[group["part"] == "train"]
-        y = part["target"].to_numpy(int)
-        if len(np.unique(y)) < 2:
-            return pd.DataFrame({"symbol": [], "horizon": [], "model": []})
-        m = Logistic().fit(part[features].to_numpy(float), y, _weights(y))
-        said = json.dumps({"features": features, "mean": m.mean.tolist(), "sd": m.sd.tolist(), "b": m.b.tolist()})
-        return pd.DataFrame({"symbol": [group["symbol"].iloc[0]], "horizon": [int(group["horizon"].iloc[0])], "model": [said]})
-
-    rows.groupBy("symbol", "horizon").applyInPandas(one, "symbol string, horizon int, model string").write.parquet(folder)
-
-
-def infer(rows: DataFrame, models: DataFrame) -> DataFrame:
-    """Odds of every row by its group's saved model, by expressions alone: the model is a row, not code."""
-    told = models.select("symbol", "horizon", F.from_json("model", "features array<string>, mean array<double>, sd array<double>, b array<double>").alias("m"))
-    out = rows.join(told, ["symbol", "horizon"])
-    names = [c for c, t in rows.dtypes if t == "double"]
-    values = F.create_map(*[v for c in names for v in (F.lit(c), F.col(c))])
-    x = F.transform(F.arrays_zip("m.features", "m.mean", "m.sd"), lambda z: (F.element_at(values, z["features"]) - z["mean"]) / z["sd"])
-    dot = F.aggregate(F.zip_with(x, F.slice("m.b", 1, F.size("m.features")), lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b) + F.element_at("m.b", -1)
-    return out.select("symbol", "date", "horizon", (1 / (1 + F.exp(-dot))).alias("p"))
+    past = F.row_number().over(order()) <= F.floor(F.count("*").over(whole()) * train)
+    rows = rows.withColumn("past", past)
+    two = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), (F.col(where) == 1).alias("use"), F.col(what).cast("double").alias("y")) for k, where, what in (("spike", "current_low", "spike_target"), ("calm", "current_high", "calm_target"))]))
+    each = rows.select("symbol", "date", *names, "past", "spike_target", "calm_target", two.alias("t"))
+    each = each.select("symbol", "date", *names, "past", "spike_target", "calm_target", F.col("t.k").alias("kind"), F.concat_ws("|", "symbol", "t.k").alias("model"), F.unix_date("date").alias("id"), (F.col("past") & F.col("t.use")).alias("train"), F.col("t.y").alias("y"))
+    by = W.partitionBy("model")
+    each = each.withColumns({"n": F.count_if("train").over(by), "hits": F.count_if(F.col("train") & (F.col("y") == 1)).over(by), "own": F.count_if("train").over(W.partitionBy("model", "y"))})
+    each = each.withColumn("w", F.coalesce(F.try_divide("n", 2 * F.col("own")), F.lit(1.0)))
+    binned, cuts = t.prepared(written(each, "rows"), names)
+    binned = written(binned, "binned")
+    scored = t.score(binned, t.forest(binned, cuts, trees, shape), shape.depth)
+    enough = (F.col("n") >= rows_needed) & (F.col("hits") > hits_needed) & (F.col("hits") < F.col("n"))
+    told = scored.withColumn("p", F.when(enough, F.col("score")).otherwise(0.0))
+    said = lambda k: F.max(F.when(F.col("kind") == k, F.col("p"))).alias(f"{k}_prob")
+    return told.groupBy("symbol", "date").agg(F.when(F.first("past"), "train").otherwise("test").alias("part"), said("spike"), said("calm"), F.first("spike_target").cast("int").alias("spike_target"), F.first("calm_target").cast("int").alias("calm_target"))
+
+
+def search(rows: DataFrame, features: list[str], ridges: tuple[float, ...] = (0.0001, 0.001, 0.01, 0.1)) -> DataFrame:
+    """By symbol and horizon: the regression's penalty with the least log loss on the validation part, of ties the smaller."""
+    made = written(prepared(_filled(rows, features)).withColumn("w", F.lit(1.0)), "prepared")
+    out = None
+    for ridge in ridges:
+        p = F.least(F.greatest(vector_to_array("odds")[1], F.lit(1e-9)), F.lit(1 - 1e-9))
+        told = regression(made, features, ridge).transform(made.filter("part = 'validate'")).withColumn("p", p)
+        loss = told.groupBy(*GROUP).agg(F.avg(-(F.col("y") * F.log("p") + (1 - F.col("y")) * F.log(1 - F.col("p")))).alias("loss")).withColumn("ridge", F.lit(ridge))
+        out = loss if out is None else out.unionByName(loss)
+    return out.groupBy(*GROUP).agg(F.min_by("ridge", F.struct("loss", "ridge")).alias("ridge"), F.min("loss").alias("loss"))
 
 
 def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -299,8 +225,6 @@ def walk_forward(rows: DataFrame, x: str, y: str, ahead: int = 10, least: int =
     it whose outcome was known when the year began. Years with fewer such rows than least, or fewer of their own than
     fewest, are left out. The series is one index's; each year
     is a task with the rows before it."""
-    from pyspark.sql import Window as W
-
     base = rows.select("date", F.col(x).alias("x"), F.col(y).cast("double").alias("y"), F.year("date").alias("year")).filter("x is not null and y is not null")
     base = base.withColumn("known", F.lead("date", ahead).over(W.orderBy("date")))
     tested = base.select(F.col("year").alias("test")).distinct().orderBy(F.desc("test")).limit(years)

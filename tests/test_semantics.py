@@ -5,6 +5,7 @@ import math
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from candela.operators import features as f
 from candela.operators import labels as b
@@ -138,13 +139,49 @@ def test_a_prefix_of_the_bars_gives_a_prefix_of_the_rows(bars, name):
             assert a == z or a == pytest.approx(z, rel=1e-9, abs=1e-9, nan_ok=True)
 
 
-@pytest.mark.parametrize("name", l.MODELS)
-def test_models_learn_a_plain_rule(name):
+def test_models_learn_a_plain_rule(spark, tmp_path):
+    """Two groups with opposite rules; missing features count as 0, unknown groups have even odds, one class its own."""
     rng = np.random.default_rng(1)
-    x = rng.normal(size=(600, 4))
+    x = rng.normal(size=(1300, 4))
     y = (x[:, 0] + 0.5 * x[:, 1] > 0).astype(int)
-    p = l.learner(name).fit(x[:400], y[:400], np.ones(400)).predict(x[400:])
-    assert ((p >= 0.5) == y[400:]).mean() > 0.85 and p.min() >= 0 and p.max() <= 1
+    sym = np.where(np.arange(1300) % 2 == 0, "a", "b")
+    y = np.where(sym == "a", y, 1 - y)
+    frame = pd.DataFrame(x, columns=["f1", "f2", "f3", "f4"]).assign(symbol=sym, horizon=5, date=pd.date_range("2001-01-01", periods=1300).date, target=y, part=np.where(np.arange(1300) < 800, "train", "test"))
+    flat = frame.head(40).assign(symbol="flat", target=1)
+    rows = spark.createDataFrame(pd.concat([frame, flat]))
+    folder = str(tmp_path / "models")
+    l.fit(rows, ["f1", "f2", "f3", "f4"], folder)
+    out = l.predict(rows, ["f1", "f2", "f3", "f4"], folder).toPandas()
+    test = out[(out.part == "test") & (out.symbol != "flat")]
+    for name, g in test.groupby("model"):
+        assert ((g.p >= 0.5) == g.target).mean() > 0.85 and g.p.between(0, 1).all(), name
+    assert set(out[out.symbol == "flat"].p) == {1.0} and set(out.model) == set(l.MODELS)
+    other = rows.withColumn("symbol", F.lit("new")).limit(3)
+    assert {r.p for r in l.predict(other, ["f1", "f2", "f3", "f4"], folder).collect()} == {0.5}
+    holes = rows.filter("symbol = 'a'").limit(5)
+    null, zero = holes.withColumn("f1", F.lit(None).cast("double")), holes.withColumn("f1", F.lit(0.0))
+    key = lambda d: sorted((r.model, r.date, round(r.p, 9)) for r in l.predict(d, ["f1", "f2", "f3", "f4"], folder).collect())
+    assert key(null) == key(zero)
+    c = l.consensus(rows.filter("symbol = 'a'"), ["f1", "f2", "f3", "f4"], folder).first()
+    assert c.votes == sum(c[m] >= 0.5 for m in l.MODELS) and abs(c.mean_odds - sum(c[m] for m in l.MODELS) / 4) < 1e-12
+
+
+def test_regression_is_each_groups_own(spark):
+    """The crossed regression equals Newton's steps on one group alone, whatever other groups hold."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(400, 2))
+    y = (rng.random(400) < 1 / (1 + np.exp(-(x[:, 0] - 0.5 * x[:, 1] + 0.3)))).astype(float)
+    one = pd.DataFrame(x, columns=["u", "v"]).assign(model="a", train=True, y=y, w=1.0)
+    two = one.assign(model="b", y=1 - y)
+    odds = {}
+    for rows in (one, pd.concat([one, two])):
+        m = l.regression(spark.createDataFrame(rows), ["u", "v"], 0.0)
+        odds[len(rows)] = [r.p for r in m.transform(spark.createDataFrame(one)).select(l.vector_to_array("odds")[1].alias("p")).collect()]
+    a, b = np.column_stack([x, np.ones(400)]), np.zeros(3)
+    for _ in range(20):
+        p = 1 / (1 + np.exp(-a @ b))
+        b = b + np.linalg.solve((a * (p * (1 - p))[:, None]).T @ a, a.T @ (y - p))
+    assert np.allclose(odds[400], 1 / (1 + np.exp(-a @ b)), atol=1e-4) and np.allclose(odds[800], odds[400], atol=1e-4)
 
 
 def test_isotonic_is_the_best_rising_fit():
@@ -170,13 +207,5 @@ def test_training_sees_nothing_of_later_parts(spark, bars):
     a = l.fit_predict(rows, names, ("logistic_regression",)).filter("part = 'train'").collect()
     changed = rows.withColumn("target", __import__("pyspark.sql.functions", fromlist=["when"]).expr("CASE WHEN part = 'test' THEN 1 - target ELSE target END"))
     z = l.fit_predict(changed, names, ("logistic_regression",)).filter("part = 'train'").collect()
-    assert {(r["symbol"], r["date"], r["p"]) for r in a} == {(r["symbol"], r["date"], r["p"]) for r in z}
-
-
-def test_saved_models_give_the_same_odds(spark, bars, tmp_path):
-    features = f.realized_vol(bars).select("symbol", "date", "realized_vol_5d", "realized_vol_20d").na.drop()
-    rows, names = l.with_targets(bars, features, (5,)), ["realized_vol_5d", "realized_vol_20d"]
-    l.save_models(rows, names, str(tmp_path / "models"))
-    a = {(r["symbol"], r["date"]): r["p"] for r in l.infer(rows, spark.read.parquet(str(tmp_path / "models"))).collect()}
-    z = {(r["symbol"], r["date"]): r["p"] for r in l.fit_predict(rows, names, ("logistic_regression",)).collect()}
-    assert a.keys() == z.keys() and all(a[k] == pytest.approx(z[k], abs=1e-9) for k in a)
+    odds = lambda rows: {(r["symbol"], r["date"]): r["p"] for r in rows}
+    assert odds(a).keys() == odds(z).keys() and all(odds(z)[k] == pytest.approx(p, abs=1e-9) for k, p in odds(a).items())
