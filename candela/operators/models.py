@@ -75,6 +75,21 @@ def _clusters(x: np.ndarray, k: int, rounds: int) -> np.ndarray:
     return c[np.argsort(c.std(axis=1), kind="stable")]
 
 
+def _fits(rows: pd.DataFrame, k: int, window: int, rounds: int, days: int, every: int):
+    """(first row, centroids) of each fit on a symbol's rows, in order, and the sorted windows, the i-th ending at row i + window - 1."""
+    r, when = rows["returns"].to_numpy(), pd.to_datetime(rows["date"]).to_numpy()
+    if len(r) < window:
+        return [], np.empty((0, window))
+    x = np.sort(np.lib.stride_tricks.sliding_window_view(np.sign(r) * np.log1p(np.abs(r)), window), axis=1)
+    out = []
+    for start in range(every, len(r), every):
+        first = int(np.searchsorted(when, when[start - 1] - np.timedelta64(days, "D")))
+        seen = x[first : max(first, start - window + 1)]
+        if len(seen) >= k:
+            out.append((start, _clusters(seen, k, rounds)))
+    return out, x
+
+
 def wasserstein_clusters(features: DataFrame, k: int = 3, window: int = 20, rounds: int = 20, days: int = 500, every: int = 126) -> DataFrame:
     """Each row's window of returns by its nearest cluster, 0 calm to 2 wild; -1 before the first fit.
 
@@ -83,25 +98,34 @@ def wasserstein_clusters(features: DataFrame, k: int = 3, window: int = 20, roun
 
     def cluster(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("date")
-        r, when = rows["returns"].to_numpy(), pd.to_datetime(rows["date"]).to_numpy()
-        label = np.full(len(r), -1)
-        if len(r) >= window:
-            x = np.sort(np.lib.stride_tricks.sliding_window_view(np.sign(r) * np.log1p(np.abs(r)), window), axis=1)  # ends at row i + window - 1
-            c = None
-            for start in range(every, len(r), every):
-                first = int(np.searchsorted(when, when[start - 1] - np.timedelta64(days, "D")))
-                seen = x[first : max(first, start - window + 1)]
-                if len(seen) >= k:
-                    c = _clusters(seen, k, rounds)
-                if c is not None:
-                    now = np.arange(start, min(start + every, len(r)))
-                    now = now[now >= window - 1]
-                    label[now] = np.abs(x[now - window + 1][:, None, :] - c[None]).mean(axis=2).argmin(axis=1)
+        label = np.full(len(rows), -1)
+        fits, x = _fits(rows, k, window, rounds, days, every)
+        for i, (start, c) in enumerate(fits):
+            now = np.arange(max(start, window - 1), fits[i + 1][0] if i + 1 < len(fits) else len(rows))
+            label[now] = np.abs(x[now - window + 1][:, None, :] - c[None]).mean(axis=2).argmin(axis=1)
         return pd.DataFrame({"symbol": rows["symbol"], "date": rows["date"], "regime": label.astype("int32")})
 
     return features.select("symbol", "date", "returns").groupBy("symbol").applyInPandas(cluster, "symbol string, date date, regime int")
 
 
+def wasserstein_centroids(features: DataFrame, k: int = 3, window: int = 20, rounds: int = 20, days: int = 500, every: int = 126) -> DataFrame:
+    """symbol, since, cluster, c: the clusters of each fit as rows, so that windows that no fit has seen can be told later."""
+
+    def fitted(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("date")
+        out = [(rows["symbol"].iloc[0], rows["date"].iloc[start], j, c[j].tolist()) for start, c in _fits(rows, k, window, rounds, days, every)[0] for j in range(k)]
+        return pd.DataFrame(out, columns=["symbol", "since", "cluster", "c"])
+
+    return features.select("symbol", "date", "returns").groupBy("symbol").applyInPandas(fitted, "symbol string, since date, cluster int, c array<double>")
+
+
+def windows(features: DataFrame, window: int = 20) -> DataFrame:
+    """symbol, date, xs: each row's last `window` returns, damped by a signed logarithm; rows with fewer are left out."""
+    x = F.signum("returns") * F.log1p(F.abs("returns"))
+    over = order().rowsBetween(1 - window, 0)
+    return features.select("symbol", "date", F.collect_list(x).over(over).alias("xs")).filter(F.size("xs") == window)
+
+
 class Hidden:
     """A Gaussian hidden Markov model of one feature."""
 
