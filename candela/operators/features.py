@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from candela.functions.frames import YEAR, as_of, change, corr, div, flag, island, lag, last, mean, order, roll, so_far, std, whole
+from candela.operators.sequences import order_statistics
 
 ANNUAL = float(YEAR) ** 0.5
 
@@ -187,10 +188,9 @@ def options_proxy(bars: DataFrame) -> DataFrame:
     out = bars.withColumn("r", change("close"))
     for k in (10, 30, 60):
         out = out.withColumn(f"v{k}", std("r", k) * ANNUAL)
-    over = last(YEAR)
-    rank = F.size(F.filter(F.collect_list("v30").over(over), lambda x: x < F.col("v30"))) / F.count("v30").over(over) * 100
-    enough = F.count("v30").over(over) >= 60
-    out = out.withColumn("vol_percentile", F.when(enough & F.col("v30").isNotNull(), rank)).withColumn("median", F.when(enough, F.percentile("v30", F.lit(0.5)).over(over)))
+    out = order_statistics(out.select("symbol", "date", "r", "v10", "v30", "v60"), "v30", YEAR)
+    enough = F.col("__held") >= 60
+    out = out.withColumn("vol_percentile", F.when(enough, F.col("__below") / F.col("__held") * 100)).withColumn("median", F.when(enough, F.col("__median")))
     high, low = F.coalesce(F.col("vol_percentile") > 75, F.lit(False)), F.coalesce(F.col("vol_percentile") < 25, F.lit(False))
     return out.select("symbol", "date", "vol_percentile", flag(high).alias("vol_regime_high"), flag(low).alias("vol_regime_low"), flag(F.col("v10") > F.col("v30")).alias("vol_expansion"), flag(F.col("v10") < F.col("v30")).alias("vol_contraction"), div("v10", F.col("v60") + 1e-6).alias("vol_term_structure"), flag(F.col("v30") > 2 * F.col("median")).alias("vol_spike"), div("r", F.col("v30") / ANNUAL + 1e-6).alias("vol_adjusted_return"), flag(high & (F.col("r") < 0)).alias("vol_fear"), flag(low & (F.col("r") > 0)).alias("vol_complacency"))
 
@@ -198,11 +198,10 @@ def options_proxy(bars: DataFrame) -> DataFrame:
 def market_risk(market: DataFrame, vix: DataFrame) -> DataFrame:
     """The twelve features of the market's risk, from data up to each date."""
     out = as_of(_over_market(market).select("symbol", "date", "close"), vix).withColumn("r", change("close")).withColumn("vr", change("vix"))
-    over = last(YEAR)
-    rank = F.size(F.filter(F.collect_list("vix").over(over), lambda x: x < F.col("vix"))) / (YEAR - 1)
+    out = order_statistics(out, "vix", YEAR)
     out = out.withColumn("rv5", std("r", 5) * ANNUAL).withColumn("rv20", std("r", 20) * ANNUAL).withColumn("top10", roll(F.max, "close", 10))
     return out.select(
-        "date", F.col("vix").alias("vix_level"), div(F.col("vix") - mean("vix", 60), std("vix", 60)).alias("vix_zscore_60d"), change("vix", 5).alias("vix_roc_5d"), change("vix", 20).alias("vix_roc_20d"), F.when(F.count("vix").over(over) >= YEAR, rank).alias("vix_percentile_252d"),
+        "date", F.col("vix").alias("vix_level"), div(F.col("vix") - mean("vix", 60), std("vix", 60)).alias("vix_zscore_60d"), change("vix", 5).alias("vix_roc_5d"), change("vix", 20).alias("vix_roc_20d"), F.when(F.col("__held") >= YEAR, F.col("__below") / (YEAR - 1)).alias("vix_percentile_252d"),
         std("vr", 20).alias("vol_of_vix_20d"), F.col("rv5").alias("rv_5d"), F.col("rv20").alias("rv_20d"), div("rv5", "rv20").alias("vol_ratio_5_20"), div(F.col("vix") / 100, "rv20").alias("vrp"), change("close", 5).alias("spy_ret_5d"), div(F.col("close") - F.col("top10"), "top10").alias("trailing_dd_10d"),
     )
 

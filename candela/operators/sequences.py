@@ -7,6 +7,8 @@ follow the length of a series. Parallel by symbol; one series is walked by one t
 from __future__ import annotations
 
 import math
+from bisect import bisect_left, insort
+from collections import deque
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -45,6 +47,34 @@ def scan(rows: DataFrame, inputs: list[str], outputs: str, start: Callable[[], C
     return dealt.mapInArrow(run, schema)
 
 
+# --- order statistics
+
+
+def order_statistics(rows: DataFrame, column: str, window: int) -> DataFrame:
+    """rows with __below, how many of the last `window` rows' values are less than the row's own, __held, how many of them have
+    a value, and __median, which is of these. Values of the window are kept in order: a row is one search, an insertion
+    and a removal, not a pass over the frame."""
+
+    def start():
+        seen: deque = deque()
+        ordered: list[float] = []
+
+        def step(x: float | None) -> tuple:
+            if len(seen) == window and (old := seen.popleft()) is not None:
+                del ordered[bisect_left(ordered, old)]
+            seen.append(x)
+            if x is not None:
+                insort(ordered, x)
+            n = len(ordered)
+            middle = None if not n else ordered[n // 2] if n % 2 else (ordered[n // 2 - 1] + ordered[n // 2]) / 2
+            return None if x is None else bisect_left(ordered, x), n, middle
+
+        return step
+
+    also = tuple(c for c in rows.columns if c not in ("symbol", "date", column))
+    return scan(rows, [column], "__below int, __held int, __median double", start, also=(*also, column))
+
+
 # --- averages and filters
 
 

@@ -67,3 +67,15 @@ def test_ledger_pays_slippage_and_fees():
 def test_empty_series(spark):
     none = series(spark, [1.0]).filter("false")
     assert features.returns(none).count() == 0 and sequences.macd(none).count() == 0
+
+
+def test_order_statistics_equal_sorting_each_frame(spark):
+    rng = np.random.default_rng(4)
+    x = [None if rng.random() < 0.1 else float(v) for v in rng.integers(0, 12, 90)]
+    df = spark.createDataFrame([("a", d.date(), v, 7) for d, v in zip(pd.date_range("2020-01-01", periods=90), x)], "symbol string, date date, v double, w int")
+    out = sequences.order_statistics(df, "v", 20).orderBy("date").collect()
+    for i, r in enumerate(out):
+        held = sorted(v for v in x[max(0, i - 19) : i + 1] if v is not None)
+        assert r["__held"] == len(held) and r["v"] == x[i] and r["w"] == 7
+        assert r["__median"] == (float(np.median(held)) if held else None)
+        assert r["__below"] == (None if x[i] is None else sum(v < x[i] for v in held))
