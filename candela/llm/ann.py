@@ -30,6 +30,7 @@ class Model:
     centroids: np.ndarray  # lists x d
     codebooks: np.ndarray  # subspaces x codes x width, zero-padded
     probes: int
+    sizes: np.ndarray | None = None  # rows of each list, once all are filed
 
     @property
     def padded(self) -> int:
@@ -46,8 +47,14 @@ class Model:
         """queries x subspaces x codes: each code's share of the inner product."""
         return np.einsum("qmw,mkw->qmk", _pad(q, self.padded).reshape(len(q), len(self.codebooks), -1), self.codebooks, optimize=True)
 
-    def probed(self, q: np.ndarray) -> np.ndarray:
-        return np.argsort(-(q @ self.centroids.T), axis=1, kind="stable")[:, : self.probes]
+    def probed(self, q: np.ndarray, top: int) -> np.ndarray:
+        """queries x lists: which lists are probed, in order of the centroids' scores until they hold more than top rows, and
+        so many at least as were fitted."""
+        order = np.argsort(-(q @ self.centroids.T), axis=1, kind="stable")
+        short = (np.cumsum(self.sizes[order], axis=1) <= top).sum(axis=1) + 1
+        out = np.zeros(order.shape, bool)
+        np.put_along_axis(out, order, np.arange(order.shape[1])[None] < np.maximum(self.probes, short)[:, None], axis=1)
+        return out
 
 
 def _pad(x: np.ndarray, width: int) -> np.ndarray:
@@ -56,7 +63,8 @@ def _pad(x: np.ndarray, width: int) -> np.ndarray:
 
 def _nearest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
     half = 0.5 * (c * c).sum(axis=1)
-    return np.concatenate([np.argmax(x[i : i + 4096] @ c.T - half, axis=1) for i in range(0, len(x), 4096)] or [np.zeros(0, np.int64)])
+    some = max(1, min(4096, (1 << 23) // max(1, len(c))))
+    return np.concatenate([np.argmax(x[i : i + some] @ c.T - half, axis=1) for i in range(0, len(x), some)] or [np.zeros(0, np.int64)])
 
 
 def _kmeans(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 10) -> np.ndarray:
@@ -71,10 +79,17 @@ def _kmeans(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 10) -
 
 
 def fit(x: np.ndarray, rows: int, lists: int | None = None, width: int = 2, coverage: float = COVERAGE, top: int = TOP) -> Model:
-    """x: the sample, float64. rows: vectors to index, which set the number of lists unless that is given."""
+    """x: the sample, float64. rows: vectors to index, whose root sets the number of lists unless that is given. Where the
+    sample is too small for so many, each of the centroids it bears is moved by each of a second level's, which are
+    fitted on what the first leaves, so the number of lists follows the rows at any size."""
     rng = np.random.default_rng(SEED)
-    lists = max(1, min(lists or max(8, round(rows**0.5 / 4)), max(8, len(x) // 8), len(x)))
+    wanted = max(1, lists or max(8, round(rows**0.5 / 4)))
+    lists = max(1, min(wanted, max(8, len(x) // 8), len(x)))
     centroids = _kmeans(x, lists, rng, 15)
+    if wanted > lists and len(x) > lists:
+        second = _kmeans(x - centroids[_nearest(x, centroids)], min(-(-wanted // lists), len(x)), rng)
+        centroids = (centroids[:, None] + second[None]).reshape(-1, x.shape[1])
+        lists = len(centroids)
     near = _nearest(x, centroids)
     parts = -(-x.shape[1] // width)
     r = _pad(x - centroids[near], parts * width).reshape(len(x), parts, width)[:8192]
@@ -120,8 +135,7 @@ def _search(model: Model, d: int, top: int, rerank: int):
         for i in range(0, len(qid), TILE):
             qt = q[i : i + TILE]
             tables = model.tables(qt).astype(np.float32)
-            near = np.zeros((len(qt), len(model.centroids)), bool)
-            np.put_along_axis(near, model.probed(qt), True, axis=1)
+            near = model.probed(qt, top)
             scores = (qt @ model.centroids.T).astype(np.float32)[:, lists]
             for m in range(codes.shape[1]):
                 scores += tables[:, m, :][:, codes[:, m]]
@@ -157,7 +171,8 @@ def nearest(vectors: DataFrame, is_query, id_col: str = "vec_id", vector_col: st
     largest inner product that the index finds, ties to the smaller id.
 
     The model (coarse centroids, residual codebooks and the number of lists probed) is fitted on at most `sample` vectors;
-    all are indexed. Lists are packed into shards, lists larger than a shard are cut by a hash of the id, and queries go in
+    all are indexed. A query probes further lists until they hold more than `top` rows, so it has `top` neighbours where there
+    are as many. Lists are packed into shards, lists larger than a shard are cut by a hash of the id, and queries go in
     blocks to the shards that hold lists they probe; so no group grows with a hot list, and a shard that few queries probe is sent to one task only. A shard scores its rows by distance
     tables, ranks the best `rerank` by their original vectors in double precision and passes on its best `top`.
 
@@ -187,6 +202,8 @@ def nearest(vectors: DataFrame, is_query, id_col: str = "vec_id", vector_col: st
     kind = dict(rows.dtypes)["x"]
     indexed = keep(rows.mapInArrow(index, f"vec_id long, x {kind}, list long, code binary"), "index")
     sizes = {r[0]: r[1] for r in indexed.groupBy("list").count().collect()}  # a row for each list
+    model.sizes = np.array([sizes.get(k, 0) for k in range(len(model.centroids))])
+    filed = spark.sparkContext.broadcast(model)
     first, pieces, shard, filled = {}, {}, 0, 0
     for k, n in sorted(sizes.items()):
         if filled and filled + n > SHARD:
@@ -200,10 +217,12 @@ def nearest(vectors: DataFrame, is_query, id_col: str = "vec_id", vector_col: st
     asked = indexed.filter(is_query(F.col("vec_id"))).select(F.col("vec_id").alias("query_id"), "x")
 
     def probe(batches):
-        m = shared.value
+        m = filed.value
         for batch in batches:
-            lists_of = m.probed(_vectors(batch.column(1), d).astype(np.float64))
-            to = [sorted({s for k in ks for s in shards_of.get(k, ())}) for ks in lists_of.tolist()]
+            if not batch.num_rows:
+                continue
+            lists_of = m.probed(_vectors(batch.column(1), d).astype(np.float64), top)
+            to = [sorted({s for k in np.flatnonzero(ks).tolist() for s in shards_of.get(k, ())}) for ks in lists_of]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(to, pa.list_(pa.int64()))], names=["query_id", "x", "shards"])
 
     sent = keep(asked.mapInArrow(probe, f"query_id long, x {kind}, shards array<long>").select("query_id", "x", F.explode("shards").alias("shard")), "asked")

@@ -215,3 +215,25 @@ def test_registered_queries(spark):
     from candela.llm import queries
 
     assert [n.split("_")[0] for n in queries.queries()] == [f"op{i}" for i in range(1, 11)]
+
+
+def test_ann_small_clusters_get_all_they_ask_for(spark):
+    """A query whose probed lists hold few vectors probes on: tight clusters, one of six."""
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(8, 16)) * 10
+    x = np.concatenate([centres[k] + rng.normal(size=(142, 16)) * 0.01 for k in range(7)] + [centres[7] + rng.normal(size=(6, 16)) * 0.01])
+    for shift in (0, 1000, 5000):
+        df = vectors(spark, x.tolist(), [shift + i for i in range(len(x))])
+        out = ann.nearest(df, lambda i: i >= shift + 994).collect()  # noqa: B023
+        assert {q: sum(r.query_id == q for r in out) for q in {r.query_id for r in out}} == {shift + i: 20 for i in range(994, 1000)}
+
+
+def test_ann_second_level_of_centroids(spark):
+    """More lists than the sample bears: all vectors are filed, and neighbours are found."""
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(1500, 8))
+    model = ann.fit(x[:200], 1500, lists=100)
+    assert len(model.centroids) >= 100 > 200 // 8 and len(np.unique(model.assign(x))) > 60
+    got = ann.nearest(vectors(spark, x.tolist()), lambda i: i % 50 == 0, lists=100, sample=200).collect()
+    want = {q: set(np.argsort(-np.where(np.arange(1500) == q, -np.inf, x @ x[q]), kind="stable")[:20].tolist()) for q in range(0, 1500, 50)}
+    assert np.mean([r.vec_id in want[r.query_id] for r in got]) >= 0.9 and len(got) == 600
