@@ -18,46 +18,56 @@ from candela.llm.warc import read_archives, write_archives
 
 
 def op1_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page: title paragraphs and body blocks that the field labels as article."""
     return html.main_texts(read(spark, sf_dir, "pages"), html.trained())
 
 
 def op2_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest of every other vector, for each 20th."""
     return nearest(read(spark, sf_dir, "embeddings"), lambda vec_id: vec_id % 20 == 0)
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its own score, its host and path posteriors, and whether it is kept."""
     docs = read(spark, sf_dir, "documents")
     scored = quality.score_corpus(quality.fit(docs, read(spark, sf_dir, "labels"), carry=["doc_id", "source", "lang"]))
     return scored.select("row.*", "doc_score", "host_score", "path_score", "score", "keep")
 
 
 def op4_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the lines of passages that an earlier place of the corpus holds."""
     done = dedup_lines(read(spark, sf_dir, "documents").select("doc_id", "text"))
     return done.withColumnRenamed("__removed", "lines_removed")
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of whole texts and the components they form at two bits or fewer."""
     return near_duplicates(read(spark, sf_dir, "documents"))
 
 
 def op6_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every text and of its edited form, and how alike these and the next document's are."""
     return imatch.edited(read(spark, sf_dir, "documents"))
 
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A record for every page, written to archives and read back by byte ranges."""
     return read_archives(write_archives(read(spark, sf_dir, "pages")), payloads=False)
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of whole texts by a machine that learnt from the labels outside the held-out fold."""
     docs = read(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.fit(docs, read(spark, sf_dir, "labels")))
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in sequences of 2,048 tokens."""
     return pack(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of all texts encoded to byte-level tokens, and decoded again."""
     return bpe.round_trip(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 

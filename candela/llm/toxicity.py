@@ -540,8 +540,8 @@ class _Scorer:
 
 
 def held_out(id_col: Column) -> Column:
-    """Whether the id's hash puts it in the fold that labels are never learnt from."""
-    return F.crc32(F.coalesce(id_col.cast("string"), F.lit("")).cast("binary")) % FOLDS == 0
+    """Whether the id's hash puts it in the fold that labels are never learnt from; a null id, which has no label, isn't."""
+    return id_col.isNotNull() & (F.crc32(F.coalesce(id_col.cast("string"), F.lit("")).cast("binary")) % FOLDS == 0)
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", documents: int = DOCUMENTS, sentences: int = SENTENCES) -> Machine | None:

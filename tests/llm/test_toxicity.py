@@ -66,3 +66,12 @@ def test_digits_and_underscores_are_gaps():
     for x in ("id1iot", "idi_ot", "i1d1i1o1t", "id-iot", "i.d_i0ot"):
         assert toxicity.START + "idiot" in toxicity.windows(f"you {x} there")
     assert toxicity.START + "ab" not in toxicity.windows("a|b")
+
+
+def test_null_ids_are_not_held_out(spark):
+    from pyspark.sql import functions as F
+
+    from candela.llm import toxicity
+
+    rows = spark.createDataFrame([(None,), (1,), (2,)], "doc_id long").select("doc_id", toxicity.held_out(F.col("doc_id")).alias("h")).collect()
+    assert {r.doc_id: r.h for r in rows} == {i: i is not None and __import__("zlib").crc32(str(i).encode()) % 5 == 0 for i in (None, 1, 2)}
