@@ -56,11 +56,14 @@ def _placed(rows: DataFrame, levels: list[DataFrame]) -> DataFrame:
     return out
 
 
-def grow(rows: DataFrame, cuts: DataFrame, shape: Shape = Shape(), trees: int | None = None) -> tuple[DataFrame, list[DataFrame]]:
+def grow(rows: DataFrame, cuts: DataFrame, shape: Shape = Shape(), trees: int | None = None, limits: DataFrame | None = None) -> tuple[DataFrame, list[DataFrame]]:
     """(nodes, levels): one tree for each model and tree of rows (model, tree, __b, g, h, c): g the gradient that a leaf
     follows, h its weight, c how many rows it stands for. A leaf's value is sum g / (sum h + ridge); a cut's gain is what
-    the sum of (sum g)² / (sum h + ridge) rises by. levels: the cuts of each level, to place rows by. trees: how many are grown, if that is known."""
+    the sum of (sum g)² / (sum h + ridge) rises by. levels: the cuts of each level, to place rows by. trees: how many are grown, if that is known. limits
+    (model, depth, leaf, ridge): each model's own, in place of the shape's, whose depth is the most."""
     levels: list[DataFrame] = []
+    ridge, leaf = (F.col("ridge"), F.col("leaf")) if limits is not None else (F.lit(shape.ridge), F.lit(shape.leaf))
+    limited = lambda df: df if limits is None else df.join(small(limits), "model")
     grown = trees or rows.select(*KEY).distinct().count()  # each level has at most so many times 2 ** level cuts
     for level in range(shape.depth):
         at = _placed(rows, levels).filter(F.col("node") >= 1 << level)
@@ -71,14 +74,16 @@ def grow(rows: DataFrame, cuts: DataFrame, shape: Shape = Shape(), trees: int |
         if shape.some:
             drawn = F.dense_rank().over(W.partitionBy(*KEY, "node").orderBy(F.xxhash64(*KEY, "node", "feature")))
             sums = sums.withColumn("drawn", drawn).filter(F.col("drawn") <= shape.some)
-        worth = lambda g, h: g * g / (h + shape.ridge)
+        sums = limited(sums)
+        sums = sums if limits is None else sums.filter(F.col("depth") > level)
+        worth = lambda g, h: g * g / (h + ridge)
         gain = worth(F.col("g"), F.col("h")) + worth(F.col("gg") - F.col("g"), F.col("hh") - F.col("h")) - worth(F.col("gg"), F.col("hh"))
-        open_ = (F.col("c") >= shape.leaf) & (F.col("cc") - F.col("c") >= shape.leaf)
+        open_ = (F.col("c") >= leaf) & (F.col("cc") - F.col("c") >= leaf)
         tried = sums.filter(open_).withColumn("gain", gain).withColumn("score", F.round(F.col("gain") / F.col("hh"), DIGITS)).filter("score > 0")
-        best = tried.groupBy(*KEY, "node").agg(F.max_by(F.struct("feature", "bin", "gain", (F.col("gg") / (F.col("hh") + shape.ridge)).alias("value"), F.col("cc").alias("n")), F.struct("score", -F.col("feature"), -F.col("bin"))).alias("s"))
+        best = tried.groupBy(*KEY, "node").agg(F.max_by(F.struct("feature", "bin", "gain", (F.col("gg") / (F.col("hh") + ridge)).alias("value"), F.col("cc").alias("n")), F.struct("score", -F.col("feature"), -F.col("bin"))).alias("s"))
         found = written(best.select(*KEY, "node", "s.*"), "cuts")
         levels.append(F.broadcast(found) if grown << level <= SMALL_ROWS else found)
-    leaves = _placed(rows, levels).groupBy(*KEY, "node").agg((F.sum("g") / (F.sum("h") + shape.ridge)).alias("value"), F.sum("c").cast("double").alias("n"))
+    leaves = limited(_placed(rows, levels).groupBy(*KEY, "node").agg(*[F.sum(c).alias(c) for c in "ghc"])).select(*KEY, "node", (F.col("g") / (F.col("h") + ridge)).alias("value"), F.col("c").cast("double").alias("n"))
     leaves = leaves.select(*KEY, "node", F.lit(None).cast("int").alias("feature"), F.lit(None).cast("double").alias("cut"), F.lit(0.0).alias("gain"), "value", "n")
     nodes = leaves
     for found in levels:
@@ -92,10 +97,10 @@ def _one(rows: DataFrame) -> DataFrame:
     return rows.filter("train").select("model", F.lit(0).alias("tree"), "__b", (F.col("w") * F.col("y")).alias("g"), F.col("w").alias("h"), F.lit(1.0).alias("c"))
 
 
-def tree(rows: DataFrame, cuts: DataFrame, shape: Shape = Shape()) -> DataFrame:
-    """Nodes of one tree a model, of rows (model, train, __b, y, w): weighted squared error, which for labels 0 and 1 is the
+def tree(rows: DataFrame, cuts: DataFrame, shape: Shape = Shape(), limits: DataFrame | None = None) -> DataFrame:
+    """Nodes of one tree a model (each within its own limits, if any are given), of rows (model, train, __b, y, w): weighted squared error, which for labels 0 and 1 is the
     Gini index."""
-    return grow(_one(rows), cuts, shape)[0]
+    return grow(_one(rows), cuts, shape, limits=limits)[0]
 
 
 def forest(rows: DataFrame, cuts: DataFrame, trees: int = 30, shape: Shape = Shape(6, some=2), seed: int = 42) -> DataFrame:

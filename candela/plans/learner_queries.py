@@ -13,6 +13,7 @@ from candela.operators import features as f
 from candela.operators import learners as l
 from candela.operators import sequences as q
 from candela.operators import trees as t
+from candela.operators import tuning as u
 from candela.plans.feature_queries import _of
 from candela.plans.label_queries import TREND, _tamed
 from candela.plans.sql import lag, query, r, roll, std
@@ -80,6 +81,7 @@ QUERIES = {
     "model_importance": _importance,
     "tree_nodes": _first_tree,
     "vol_regressor": lambda sp, sf: rounded(t.regression_by_year(t.walk_forward_regression(_risk(sp, sf), RISKS, "fwd_realized_vol", "known"))),
+    "model_tune": lambda sp, sf: rounded(u.tune(_rows(sp, sf), NAMES, _tamed(sp, sf).select("symbol", "date", change("close").alias("r")))),
     "model_search": _of(lambda x: l.search(x, NAMES), _rows),
     "batch_inference": _infer,
     "scaled_trends": _of(d.scaled_trends, _tamed),
