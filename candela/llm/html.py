@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from candela.llm.common import arrow_map
 
 #: Labelled pages the field is trained on, made by `labelled_page`, and steps of the training.
-PAGES, STEPS = 500, 150
+PAGES, STEPS = 900, 150
 SEED = 5
 
 # Element names of HTML by what they do to the text around them.
@@ -33,6 +33,12 @@ TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*
 ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)", re.I)
 NAME = re.compile(r"[a-z]+")
 RIGHTS = re.compile(r"©|\(c\)|copyright|all rights", re.I)
+QUOTED = re.compile(r"\"[^\"]*\"?|'[^']*'?")
+HIDDEN = re.compile(r"(?<![\w-])hidden(?![\w-])", re.I)
+UNSHOWN = re.compile(r"style\s*=\s*(?:\"[^\"]*|'[^']*|)(?:display\s*:\s*none|visibility\s*:\s*hidden)", re.I)
+#: How reader comments are told where nothing is named so: by their number, and by when they were written.
+COUNTED = re.compile(r"^\W*\d+ (?:comments?|replies|responses|reviews?|reactions?)\b|^(?:comments?|replies|responses|reviews?)\W*\d*\W*$", re.I)
+AGO = re.compile(r"\b(?:\d+|an?) (?:second|minute|hour|day|week|month|year)s? ago\b", re.I)
 
 
 @dataclass(slots=True)
@@ -50,6 +56,18 @@ class _Open:
     unseen: bool
 
 
+@functools.lru_cache(maxsize=10_000)
+def _named(word: str) -> tuple[str, ...]:
+    """Marks of a word of a class, id or role: itself, and a usual name that it holds."""
+    held = next((w for w in ROOTS if w in word and w != word), None)
+    return (f"named:{word}", f"named:{held}") if held else (f"named:{word}",)
+
+
+def _hidden(attributes: str) -> bool:
+    low = attributes.lower()
+    return "hidden" in low and (UNSHOWN.search(attributes) is not None or HIDDEN.search(QUOTED.sub("", attributes)) is not None) or "none" in low and UNSHOWN.search(attributes) is not None
+
+
 def blocks(page: str, known: frozenset[str] | None = None) -> list[Block]:
     """The page's leaf blocks in order: text between the borders of block elements, with the marks of its ancestors (their
     tags, and words of their class, id and role). known: the marks worth keeping; others are dropped at once, so that
@@ -116,11 +134,12 @@ def blocks(page: str, known: frozenset[str] | None = None) -> list[Block]:
             continue
         marks = {f"in:{tag}"} if tag in BLOCK or tag == "ins" else set()
         for a in ATTRIBUTE.finditer(m[3]):
-            marks.update(f"named:{w}" for w in NAME.findall(a[2].lower()))
+            for w in NAME.findall(a[2].lower()):
+                marks.update(_named(w))
         if known is not None:
             marks &= known
         above = stack[-1]
-        stack.append(_Open(tag, above.marks | marks if not marks <= above.marks else above.marks, above.unseen or tag in UNSEEN))
+        stack.append(_Open(tag, above.marks | marks if not marks <= above.marks else above.marks, above.unseen or tag in UNSEEN or bool(m[3]) and _hidden(m[3])))
         count[tag] += 1
         if tag in RAW:
             close = re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.I).search(page, at)
@@ -139,10 +158,12 @@ AROUND = {
     "advert": ("div.ad", "div.ads", "div.advert", "div.advertisement", "div.sponsored", "div.sponsor", "ins.adsbygoogle", "div.promo", "section.promotion", "div#ad-slot", "div.commercial", "aside.ad", "div.offer", "p.ad", "div.adbox"),
     "form": ("form", "form.search", "form#login", "div.newsletter", "div.subscribe", "div.signup", "div.login", "form.contact", "fieldset", "search"),
     "comments": ("section.comments", "div#comments", "div.comments", "ol.commentlist", "ul.comment-list", "div.comment", "div.replies", "div.discussion", "section.responses", "div.feedback", "div.reviews", "div#disqus"),
+    "table": ("td",),
     "share": ("div.share", "div.social", "ul.sharing", "div.toolbar", "div.actions", "div.author-bio", "div.meta"),
 }
-ARTICLE = ("article", "article", "article", "article", "article.post", "main", "div.content", "div.article-body", "div.entry-content", "div.post", "div#main", "section.story", "div#content", "div.text", "main.main-content", "div", "td", "div.article", "section")
+ARTICLE = ("article", "article", "article", "article", "article.post", "main", "div.content", "div.article-body", "div.entry-content", "div.post", "div#main", "section.story", "div#content", "div.text", "main.main-content", "div", "div", "div", "td", "div.article", "section")
 
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 LENGTHS = (2, 4, 8, 16, 32, 64)
 
 
@@ -155,6 +176,10 @@ AMONG = _marks(ARTICLE)
 AMID = frozenset(set().union(*map(_marks, AROUND.values())) | {"in:dialog", "in:ins", "in:button", "in:select"}) - AMONG
 
 
+#: Usual names that are looked for within longer words, the longest first.
+ROOTS = tuple(sorted({m.removeprefix("named:") for m in AMID | AMONG if m.startswith("named:") and len(m) >= 11}, key=lambda w: (-len(w), w)))
+
+
 def features(all_blocks: list[Block]) -> list[list[str]]:
     """What the field sees of each block."""
     out = []
@@ -166,8 +191,15 @@ def features(all_blocks: list[Block]) -> list[list[str]]:
         f.append("stops" if b.text[-1] in ".!?:;\"')…”»" else "open")
         amid = bool(b.marks & AMID)
         f.append(("amid:" if amid else "clear:") + ("article" if b.marks & AMONG else b.tag))
-        if RIGHTS.search(b.text):
-            f.append("rights")
+        f.append(f"{b.tag}:{f[3]}")
+        if told := RIGHTS.search(b.text):
+            f += ["rights", f"rights:{b.tag}", "rights:all" if told[0].lower() == "all rights" else "rights:whose"]
+        if words < 12 and COUNTED.search(b.text):
+            f.append("counted")
+        if words < 16 and AGO.search(b.text):
+            f.append("ago")
+        if b.tag in HEADINGS and i + 1 < n and all_blocks[i + 1].linked > 0.8 * len(all_blocks[i + 1].text):
+            f.append("leads:links")
         if "," in b.text:
             f.append("comma")
         if n > 8 and i < 2:
@@ -247,6 +279,8 @@ def labelled_page(r: random.Random) -> tuple[str, list[int]]:
 
     def around(kind: str) -> None:
         name = r.choice(AROUND[kind])
+        if kind == "comments" and r.random() < 0.25 or kind == "sidebar" and r.random() < 0.15:
+            name = "div"
         a, b = _open(name)
         tag = a[1:].split(" ")[0].rstrip(">")
         out.append(a)
@@ -262,6 +296,14 @@ def labelled_page(r: random.Random) -> tuple[str, list[int]]:
             if name != "div" and r.random() < 0.5:
                 out.append("&copy; " + words(1, 30, 0.7) + " &middot; " + words(1, 50))
                 labels.append(0)
+        elif kind == "table":
+            for _ in range(r.randint(1, 2)):
+                put("", " ".join(link(words(1, 2, 0)) for _ in range(r.randint(1, 6))), 0)
+                out.append("</td><td>")
+        elif kind == "sidebar" and name in ("div", "td"):
+            put(r.choice(("h2", "h3", "h4")), words(1, 3, 0), 0)
+            for _ in range(r.randint(2, 6)):
+                put(r.choice(("li", "p", "div")), link(words(2, 9, 0.2)), 0)
         elif kind == "sidebar":
             for _ in range(r.randint(1, 6)):
                 put(r.choice(("li", "p", "h3", "div")), link(words(2, 9, 0.2)) if r.random() < 0.6 else words(2, 60, 0.7), 0)
@@ -275,6 +317,13 @@ def labelled_page(r: random.Random) -> tuple[str, list[int]]:
         elif kind == "form":
             for _ in range(r.randint(1, 4)):
                 put(r.choice(("label", "p", "button", "legend", "option", "div")), words(1, 30, 0.4), 0)
+        elif kind == "comments" and name in ("div", "ol"):
+            put(r.choice(("h2", "h3", "h4", "p")), r.choice((f"{r.randint(1, 40)} {r.choice(('comments', 'Comments', 'replies', 'responses'))}", f"Comments ({r.randint(1, 40)})", "Comments")), 0)
+            for _ in range(r.randint(1, 5)):
+                said = f"{words(1, 2, 0)} {r.randint(1, 20)} {r.choice(('days', 'hours', 'weeks', 'minutes'))} ago"
+                put(r.choice(("p", "div", "h4", "li")), said, 0)
+                for _ in range(r.randint(1, 2)):
+                    put("p", words(2, 50), 0)
         elif kind == "comments":
             put(r.choice(("h2", "h3")), words(1, 3, 0), 0)
             for _ in range(r.randint(1, 6)):
@@ -328,7 +377,7 @@ def labelled_page(r: random.Random) -> tuple[str, list[int]]:
             elif kind in ("h2", "h3"):
                 put(kind, words(1, 9, 0.3), 1)
             else:
-                text = words(1, 110, 0.95)
+                text = words(1, 110, 0.95) if r.random() < 0.96 else "All rights reserved."
                 if r.random() < 0.15:
                     text += " " + link(words(1, 3, 0)) + " " + words(1, 8)
                 put(kind, text, 1)
@@ -338,6 +387,20 @@ def labelled_page(r: random.Random) -> tuple[str, list[int]]:
             around("comments")
         out.append(b + ("</tr></table>" if a == "<td>" else "") + ("</main>" if nested else ""))
 
+    if r.random() < 0.12:  # a page that is a table
+        out.append("<table><tr>")
+        around("table")
+        out.append("</tr><tr><td>")
+        article()
+        out.append("</td>")
+        if r.random() < 0.6:
+            out.append("<td>")
+            around("sidebar")
+            out.append("</td>")
+        out.append("</tr><tr><td>")
+        put("", r.choice(("&copy; 2020 ", "Copyright 2020 ")) + words(1, 5, 0), 0)
+        out.append("</td></tr></table>")
+        return f"<html><head><title>x</title></head><body>{''.join(out)}</body></html>", labels
     parts = ["header", "menu", "notice", "advert", "form", "sidebar"]
     r.shuffle(parts)
     for kind in parts[: r.randint(0, 5)]:
