@@ -214,7 +214,7 @@ def test_stages_take_odd_rows(spark):
 def test_registered_queries(spark):
     from candela.llm import queries
 
-    assert [n.split("_")[0] for n in queries.queries()] == [f"op{i}" for i in range(1, 11)]
+    assert [n.split("_")[0] for n in queries.queries()] == [f"op{i}" for i in range(1, 14)]
 
 
 def test_ann_small_clusters_get_all_they_ask_for(spark):
@@ -237,3 +237,12 @@ def test_ann_second_level_of_centroids(spark):
     got = ann.nearest(vectors(spark, x.tolist()), lambda i: i % 50 == 0, lists=100, sample=200).collect()
     want = {q: set(np.argsort(-np.where(np.arange(1500) == q, -np.inf, x @ x[q]), kind="stable")[:20].tolist()) for q in range(0, 1500, 50)}
     assert np.mean([r.vec_id in want[r.query_id] for r in got]) >= 0.9 and len(got) == 600
+
+
+@pytest.mark.parametrize("name", ["op7_warc", "op12_decontaminate", "op13_merkle"])
+def test_queries_equal_their_sql(spark, name):
+    import oracle
+    from candela.llm import queries
+
+    assert set(queries.oracle_sql()) == {"op7_warc", "op12_decontaminate", "op13_merkle"}
+    assert oracle.compare(queries.queries()[name](spark, SF), oracle.connect(SF), queries.oracle_sql()[name]) == ""
