@@ -223,6 +223,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
     The `frequent` commonest words are folded by expressions over a literal rank map, once for the whole corpus, and sent
     to the workers; a worker folds what else it meets, remembers it and joins the words' ids. Null and empty texts have no
     ids; repeated rows give repeated rows; a null id stays null; other columns are ignored; an empty table gives no rows.
+    Very long texts are taken whole, one at a time in a worker.
     """
     shared = _shared(docs, ranks_path, pattern, text_col, frequent)
 
@@ -238,7 +239,8 @@ def _join(ids: bytes, piece) -> bytes:
 
 
 def decode(encoded: DataFrame, ranks_path: str, ids_col: str = "ids", to: str = "bytes") -> DataFrame:
-    """encoded, with the pieces of its ids joined, as binary; null where ids is."""
+    """encoded, with the pieces of its ids joined, as binary; null where ids is. An id that the ranks don't hold fails the
+    job: such bytes are no encoding by these ranks."""
     spark = encoded.sparkSession
     shared = spark.sparkContext.broadcast(read_ranks(ranks_path))
     small_batches(spark)
@@ -255,7 +257,9 @@ def decode(encoded: DataFrame, ranks_path: str, ids_col: str = "ids", to: str =
 
 def round_trip(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", frequent: int = FREQUENT) -> DataFrame:
     """Per row: id, n_tokens, ids_sha256, decoded_sha256: of the ids that encode() gives and of what decode() makes of them,
-    taken in one go, so that neither leaves its worker."""
+    taken in one go, so that neither leaves its worker. Null and empty texts have no ids, and the digests of nothing;
+    very long texts are taken whole; repeated rows give repeated rows; a null id stays null; other columns, of any names,
+    are ignored; an empty table gives no rows."""
     shared = _shared(docs, ranks_path, pattern, text_col, frequent)
 
     def step(batch: pa.RecordBatch, encoder) -> dict:

@@ -140,7 +140,8 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
     shorter. First pass: each task tokenises its partition and numbers its tokens from 0; the kept table then fixes which
     document stands where. Second pass: the prefix sums of the partitions' totals (one row a partition) turn these numbers
     into places in the stream, at which documents are cut. Null and empty texts are end_id alone. Repeated rows are packed
-    as often as they occur, a null id stays null, other columns are ignored, an empty table gives no pieces.
+    as often as they occur, a null id stays null, other columns are ignored, an empty table gives no pieces. Very long
+    texts are tokenised whole and cut over as many sequences as they fill.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.spark_partition_id().cast("long").alias("part"), F.col(text_col).cast("string").alias("text"))
     stream = keep(rows.mapInArrow(_tokenise(tokenizer_path, end_id), "id long, part long, at long, tokens long, ids binary"), "tokens")
