@@ -24,13 +24,16 @@ def daily(bars: DataFrame) -> DataFrame:
 
 def ml_metrics(returns: DataFrame, benchmark: DataFrame) -> DataFrame:
     """By symbol (symbol, date, r against date, m): growth over all and by year, Sharpe ratio, deepest fall, win rate, beta, alpha
-    and the benchmark's growth on the symbol's own dates, where a missing m counts as 0. num_trades is 0 by definition: a
-    series of returns doesn't tell trades. What would divide by zero is 0."""
-    out = with_curve(returns).join(benchmark.select("date", "m"), "date", "left").withColumn("m", F.coalesce("m", F.lit(0.0)))
-    g = out.groupBy("symbol").agg(F.product(1 + F.col("r")).alias("growth"), F.product(1 + F.col("m")).alias("market"), F.count("*").alias("num_days"), F.avg("r").alias("mean"), F.stddev_samp("r").alias("sd"), F.min("dd").alias("max_drawdown"), F.avg((F.col("r") > 0).cast("double")).alias("win_rate"), F.covar_samp("r", "m").alias("cov"), F.var_samp("m").alias("var"))
+    and the benchmark's growth on the symbol's own dates, where a missing m counts as 0. num_trades counts how often
+    `position`, where returns has such a column, differs from the one before (at first from none); without it there are 0.
+    What would divide by zero is 0."""
+    by = W.partitionBy("symbol").orderBy("date")
+    moved = F.col("position") != F.coalesce(F.lag("position").over(by), F.lit(0)) if "position" in returns.columns else F.lit(False)
+    out = with_curve(returns.withColumn("moved", moved)).join(benchmark.select("date", "m"), "date", "left").withColumn("m", F.coalesce("m", F.lit(0.0)))
+    g = out.groupBy("symbol").agg(F.product(1 + F.col("r")).alias("growth"), F.product(1 + F.col("m")).alias("market"), F.count("*").alias("num_days"), F.avg("r").alias("mean"), F.stddev_samp("r").alias("sd"), F.min("dd").alias("max_drawdown"), F.avg((F.col("r") > 0).cast("double")).alias("win_rate"), F.covar_samp("r", "m").alias("cov"), F.var_samp("m").alias("var"), F.count_if("moved").alias("num_trades"))
     year = lambda c: F.pow(c, YEAR / F.col("num_days")) - 1
     beta = F.coalesce(div("cov", "var"), F.lit(0.0))
-    return g.select("symbol", (F.col("growth") - 1).alias("total_return"), year("growth").alias("annualized_return"), F.coalesce(div("mean", "sd") * ROOT, F.lit(0.0)).alias("sharpe_ratio"), "max_drawdown", "win_rate", F.lit(0).cast("long").alias("num_trades"), "num_days", beta.alias("beta"), (year("growth") - beta * year("market")).alias("alpha"), (F.col("market") - 1).alias("benchmark_return"))
+    return g.select("symbol", (F.col("growth") - 1).alias("total_return"), year("growth").alias("annualized_return"), F.coalesce(div("mean", "sd") * ROOT, F.lit(0.0)).alias("sharpe_ratio"), "max_drawdown", "win_rate", "num_trades", "num_days", beta.alias("beta"), (year("growth") - beta * year("market")).alias("alpha"), (F.col("market") - 1).alias("benchmark_return"))
 
 
 def portfolio_metrics(returns: DataFrame, trades: DataFrame) -> DataFrame:

@@ -155,7 +155,7 @@ def _windows(spark, sf_dir):
 
 
 QUERIES = {
-    "metrics_ml": _of(m.ml_metrics, _tame, _benchmark),
+    "metrics_ml": _of(m.ml_metrics, lambda sp, sf: _tame(sp, sf).withColumn("position", F.dayofmonth("date") % 2), _benchmark),
     "metrics_portfolio": _of(m.portfolio_metrics, _tame, _costed),
     "sharpe_variants": _of(m.sharpe_variants, _returns),
     "trade_stats": _of(m.trade_stats, s.trades),
@@ -249,9 +249,9 @@ _gridded = {
 
 ORACLE = {
     "metrics_ml": query(
-        f"SELECT symbol, {r('gr - 1', 'total_return')}, {r('power(gr, 252 / num_days) - 1', 'annualized_return')}, {r('coalesce(mean / nullif(sd, 0) * sqrt(252), 0)', 'sharpe_ratio')}, {r('max_drawdown', 'max_drawdown')}, {r('win_rate', 'win_rate')}, CAST(0 AS BIGINT) AS num_trades, num_days, {r('beta', 'beta')}, {r('power(gr, 252 / num_days) - 1 - beta * (power(mk, 252 / num_days) - 1)', 'alpha')}, {r('mk - 1', 'benchmark_return')} FROM (SELECT *, coalesce(cov / nullif(var, 0), 0) AS beta FROM g)",
+        f"SELECT symbol, {r('gr - 1', 'total_return')}, {r('power(gr, 252 / num_days) - 1', 'annualized_return')}, {r('coalesce(mean / nullif(sd, 0) * sqrt(252), 0)', 'sharpe_ratio')}, {r('max_drawdown', 'max_drawdown')}, {r('win_rate', 'win_rate')}, num_trades, num_days, {r('beta', 'beta')}, {r('power(gr, 252 / num_days) - 1 - beta * (power(mk, 252 / num_days) - 1)', 'alpha')}, {r('mk - 1', 'benchmark_return')} FROM (SELECT *, coalesce(cov / nullif(var, 0), 0) AS beta FROM g)",
         "bars", "market",
-        steps={**TAME, "mk0": f"SELECT date, {change('close')} / 1000 AS m FROM market", "j": "SELECT z.*, coalesce(m, 0) AS m FROM z LEFT JOIN mk0 ON z.date = mk0.date", "g": "SELECT symbol, product(1 + ret) AS gr, product(1 + m) AS mk, count(*) AS num_days, avg(ret) AS mean, stddev_samp(ret) AS sd, min(dd) AS max_drawdown, avg(CASE WHEN ret > 0 THEN 1.0 ELSE 0.0 END) AS win_rate, covar_samp(ret, m) AS cov, var_samp(m) AS var FROM j GROUP BY symbol"},
+        steps={**TAME, "mk0": f"SELECT date, {change('close')} / 1000 AS m FROM market", "j": "SELECT z.*, coalesce(m, 0) AS m, day(z.date) % 2 <> coalesce(lag(day(z.date) % 2) OVER (PARTITION BY symbol ORDER BY z.date), 0) AS moved FROM z LEFT JOIN mk0 ON z.date = mk0.date", "g": "SELECT symbol, product(1 + ret) AS gr, product(1 + m) AS mk, count(*) AS num_days, avg(ret) AS mean, stddev_samp(ret) AS sd, min(dd) AS max_drawdown, avg(CASE WHEN ret > 0 THEN 1.0 ELSE 0.0 END) AS win_rate, covar_samp(ret, m) AS cov, var_samp(m) AS var, CAST(count(*) FILTER (moved) AS BIGINT) AS num_trades FROM j GROUP BY symbol"},
     ),
     "metrics_portfolio": query(
         f"SELECT {r('gr - 1', 'total_return')}, {r('yr', 'annualized_return')}, {r('sd * sqrt(252)', 'volatility')}, {r('(yr - 0.02) / (sd * sqrt(252))', 'sharpe_ratio')}, {r('(yr - 0.02) / (down * sqrt(252))', 'sortino_ratio')}, {r('abs(dd)', 'max_drawdown')}, {r('yr / abs(dd)', 'calmar_ratio')}, num_trades, {_all('win_rate avg_win avg_loss profit_factor avg_trade_duration total_commission total_slippage')} FROM (SELECT *, power(gr, 252 / days) - 1 AS yr FROM g), tt",
