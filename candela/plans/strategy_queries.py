@@ -11,8 +11,9 @@ from candela.operators import strategies as g
 from candela.plans.feature_queries import _of
 from candela.plans.label_queries import _tamed
 from candela.plans.report_queries import LABELS, _labels
+from candela.plans.sequence_queries import OVERLAY
 from candela.plans.sql import change as delta
-from candela.plans.sql import lag, query, r
+from candela.plans.sql import lag, query, r, std
 from candela.sources import bars as s
 
 SPLIT = "1997-12-31"
@@ -57,7 +58,26 @@ QUERIES = {
 }
 
 _b, _a = "OVER (PARTITION BY symbol ORDER BY date ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING)", "OVER (PARTITION BY symbol ORDER BY date ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING)"
+#: The overlay of the second tier for all symbols, then returns of closes that move like prices and of the positions before.
+_second = q.TIERS["tier2"]
+SECOND = {
+    **OVERLAY,
+    "t": "SELECT * FROM (VALUES " + ", ".join(f"('{k}', 'tier2', {_second.back}, {_second.leave}, {_second.enter}, {_second.days})" for k in q.TIER_OF) + ") AS t(symbol, tier, back, leave, enter, days)",
+    "p": "SELECT n.symbol, n.date, power(n.close, 0.02) AS close, e.position FROM e JOIN n ON n.symbol = e.symbol AND n.i = e.i",
+    "x": f"SELECT *, {delta('close')} AS ret FROM p",
+    "u": f"SELECT *, {std('ret', 20)} * sqrt(252) AS v FROM x",
+    "w": f"SELECT *, coalesce(least(1, greatest(0.25, 0.15 / nullif({lag('v')}, 0))), 1) AS share FROM u",
+}
+
+
+def _earned(position: str) -> str:
+    told = f"SELECT symbol, ret, {lag(position)} * ret AS st FROM w"
+    return query(f"SELECT symbol, count(*) AS days, {r('sum(ln(1 + ret))', 'hold')}, {r('sum(ln(1 + st))', 'strategy')} FROM ({told}) WHERE ret IS NOT NULL GROUP BY symbol", "bars", "vix", steps=SECOND, recursive=True)
+
+
 ORACLE = {
+    "strategy_vix_roc": _earned("position"),
+    "strategy_vix_roc_vol": _earned("(position * share)"),
     "regime_actions": query(
         "SELECT symbol, date, model, regime, position, long_only, CASE WHEN regime IN ('low_vol', 'bullish') AND position = 'flat' THEN 'buy' WHEN regime IN ('low_vol', 'bullish') AND position = 'short' AND long_only = 0 THEN 'cover' WHEN regime IN ('high_vol', 'bearish') AND position = 'long' THEN 'sell' WHEN regime IN ('high_vol', 'bearish') AND position = 'flat' AND long_only = 0 THEN 'short' ELSE 'hold' END AS action FROM z",
         "bars",
