@@ -98,8 +98,8 @@ QUERIES = {
     "rf_spike": _of(learners.regime_forests, lambda sp, sf: f.vol_predictor(s.bars(sp, sf), s.vix(sp, sf)), lambda sp, sf: f.vol_regime_targets(s.bars(sp, sf))),
     "isotonic_dd": _of(m.drawdown_odds, lambda sp, sf: f.market_risk(s.market(sp, sf), s.vix(sp, sf)), lambda sp, sf: f.market_risk_targets(s.market(sp, sf))),
     "stream_event_ids": lambda sp, sf: twins.run_to_end(twins.deduplicated(twins.events(sp, sf)).select("event_id", "event_type"), "events"),
-    "stream_ema": lambda sp, sf: rounded(twins.run_to_end(twins.ema(twins.events(sp, sf)), "ema")),
-    "stream_hysteresis": lambda sp, sf: twins.run_to_end(twins.overlay(twins.events(sp, sf)), "overlay"),
+    "stream_ema": lambda sp, sf: rounded(twins.ema(twins.events(sp, sf))),
+    "stream_hysteresis": lambda sp, sf: twins.overlay(twins.events(sp, sf)),
 }
 
 FEATURES = {

@@ -2,14 +2,17 @@
 
 import datetime as dt
 
+import duckdb
 import numpy as np
+import oracle
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from candela.operators import vector_index as v
+from candela.plans import model_queries
 from candela.sources import provider
-from candela.streaming import engine
+from candela.streaming import engine, twins
 from candela.streaming.twins import run_to_end
 
 
@@ -152,3 +155,37 @@ def test_stream_forgets(spark, tmp_path):
     assert len(x) == 9 + 3 and sorted(x.date)[9] > dt.date(2002, 6, 3)
     kept = feed(spark, str(tmp_path / "d"), x1, *y, x2)
     assert len(kept[kept.symbol == "x"]) == 9 + 4
+
+
+def shuffled_events(spark, tmp_path, n, name="events"):
+    """Events of two types, their ids in no order, and some without a value."""
+    rng = np.random.default_rng(5)
+    value = [None if x < 0.02 else float(v) for x, v in zip(rng.random(n), rng.exponential(10, n))]
+    rows = [(i, "ab"[i % 7 // 4], value[i]) for i in rng.permutation(n).tolist()]
+    df = spark.createDataFrame(rows, "event_id long, event_type string, value double").withColumn("ts", F.timestamp_seconds("event_id")).coalesce(1)
+    df.write.parquet(f"{tmp_path}/{name}.parquet")
+    return df
+
+
+@pytest.mark.parametrize("name", ["stream_hysteresis", "stream_ema"])
+def test_stream_takes_events_in_order(spark, tmp_path, name):
+    """Several Arrow batches a type: each used to be sorted alone, in whatever order they came."""
+    shuffled_events(spark, tmp_path, 3000)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(size)
+    spark.conf.set(size, "100")
+    try:
+        assert oracle.compare(model_queries.QUERIES[name](spark, str(tmp_path)), con, model_queries.ORACLE[name]) == ""
+    finally:
+        spark.conf.set(size, before)
+
+
+def test_stream_keeps_its_state_between_micro_batches(spark, tmp_path):
+    all_ = shuffled_events(spark, tmp_path, 600)
+    for a, b in ((0, 250), (250, 251), (251, 600)):
+        all_.filter(F.col("event_id").between(a, b - 1)).coalesce(1).write.mode("append").parquet(f"{tmp_path}/parts")
+    parts = spark.readStream.schema(all_.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/parts")
+    for step in (twins.overlay, twins.ema):
+        assert sorted(step(parts).collect(), key=lambda x: x[0]) == sorted(step(twins.events(spark, str(tmp_path))).collect(), key=lambda x: x[0])
