@@ -16,8 +16,11 @@ SAMPLE = 16_384
 #: Share of the sample's true neighbours that the lists probed must hold; sets how many lists are probed.
 COVERAGE = 0.975
 TOP = 20
-#: Candidates of each query and shard that are ranked again by their original vectors.
+#: Candidates of each query and shard that are ranked again by their original vectors first; then all that, by the error of
+#: their codes, may be nearer than the last of these.
 RERANK = 128
+#: Different queries whose true neighbours among all rows are found, to set how many lists are probed.
+PROBED = 128
 #: Rows of a shard and queries of a block, at most about.
 SHARD, BLOCK = 16_384, 8_192
 #: Queries scored at a time.
@@ -47,6 +50,14 @@ class Model:
         """queries x subspaces x codes: each code's share of the inner product."""
         return np.einsum("qmw,mkw->qmk", _pad(q, self.padded).reshape(len(q), len(self.codebooks), -1), self.codebooks, optimize=True)
 
+    def decode(self, codes: np.ndarray, lists: np.ndarray) -> np.ndarray:
+        r = np.concatenate([b[codes[:, m]] for m, b in enumerate(self.codebooks)], axis=1)
+        return self.centroids[lists] + r[:, : self.centroids.shape[1]]
+
+    def places(self, q: np.ndarray) -> np.ndarray:
+        """queries x lists: each list's place in the order in which a query probes them."""
+        return np.argsort(np.argsort(-(q @ self.centroids.T), axis=1, kind="stable"), axis=1)
+
     def probed(self, q: np.ndarray, top: int) -> np.ndarray:
         """queries x lists: which lists are probed, in order of the centroids' scores until they hold more than top rows, and
         so many at least as were fitted."""
@@ -99,10 +110,15 @@ def fit(x: np.ndarray, rows: int, lists: int | None = None, width: int = 2, cove
     scores = q @ x.T
     scores[np.arange(len(q)), some] = -np.inf
     best = np.argpartition(-scores, min(top, len(x) - 1), axis=1)[:, :top]
-    place = np.argsort(np.argsort(-(q @ centroids.T), axis=1, kind="stable"), axis=1)  # of each list among a query's
-    needed = np.sort(np.take_along_axis(place, near[best], axis=1).ravel())
-    probes = int(needed[min(len(needed) - 1, int(np.ceil(coverage * len(needed))))]) + 1
-    return Model(centroids, codebooks, min(lists, probes))
+    model = Model(centroids, codebooks, lists)
+    model.probes = min(lists, _enough(np.take_along_axis(model.places(q), near[best], axis=1).ravel(), coverage))
+    return model
+
+
+def _enough(places: np.ndarray, coverage: float) -> int:
+    """Lists to probe so that they hold this share of neighbours whose lists have these places."""
+    needed = np.sort(places)
+    return int(needed[min(len(needed) - 1, int(np.ceil(coverage * len(needed))))]) + 1
 
 
 def _best(scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -116,6 +132,11 @@ def _best(scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     return np.nonzero(np.isfinite(scores))
 
 
+def _products(q: np.ndarray, x: np.ndarray, a: np.ndarray, b: np.ndarray, some: int = 1 << 15) -> np.ndarray:
+    """Inner products of the rows a of q and b of x, in double precision."""
+    return np.concatenate([np.einsum("nd,nd->n", q[a[i : i + some]], x[b[i : i + some]].astype(np.float64)) for i in range(0, len(a), some)] or [np.zeros(0)])
+
+
 def _vectors(column: pa.ChunkedArray, d: int) -> np.ndarray:
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, d)
@@ -131,17 +152,27 @@ def _search(model: Model, d: int, top: int, rerank: int):
         ids, lists, x = rows["vec_id"].to_numpy(), rows["list"].to_numpy(), _vectors(rows["x"], d)
         codes = np.frombuffer(b"".join(rows["code"].to_pylist()), np.uint8).reshape(len(ids), -1)
         qid, q = queries["query_id"].to_numpy(), _vectors(queries["x"], d).astype(np.float64)
+        error = np.linalg.norm(x - model.decode(codes, lists), axis=1)
+        largest = float(np.linalg.norm(x.astype(np.float64), axis=1).max())
         out = []
         for i in range(0, len(qid), TILE):
             qt = q[i : i + TILE]
-            tables = model.tables(qt).astype(np.float32)
-            near = model.probed(qt, top)
-            scores = (qt @ model.centroids.T).astype(np.float32)[:, lists]
+            tables = model.tables(qt)
+            near = model.probed(qt, top)[:, lists] & (ids[None, :] != qid[i : i + TILE, None])
+            scores = (qt @ model.centroids.T)[:, lists]
             for m in range(codes.shape[1]):
                 scores += tables[:, m, :][:, codes[:, m]]
-            scores[~near[:, lists] | (ids[None, :] == qid[i : i + TILE, None])] = -np.inf
+            scores[~near] = -np.inf
             a, b = _best(scores, rerank)
-            exact = np.einsum("nd,nd->n", qt[a], x[b].astype(np.float64))
+            exact = _products(qt, x, a, b)
+            # what may be as near as the last of the best: its score by the code is off by no more than |q| times the code's error
+            least = np.array([np.partition(e, len(e) - top)[len(e) - top] if len(e) > top else -np.inf for e in np.split(exact, np.searchsorted(a, np.arange(1, len(qt))))])
+            size = np.linalg.norm(qt, axis=1)[:, None]
+            scores += size * (error + 1e-9 * largest)
+            more = near & (scores >= least[:, None])
+            more[a, b] = False
+            a2, b2 = np.nonzero(more)
+            a, b, exact = np.concatenate([a, a2]), np.concatenate([b, b2]), np.concatenate([exact, _products(qt, x, a2, b2)])
             order = np.lexsort((ids[b], -exact, a))
             a, b, exact = a[order], b[order], exact[order]
             first = np.searchsorted(a, np.arange(len(qt)))
@@ -152,6 +183,36 @@ def _search(model: Model, d: int, top: int, rerank: int):
     return run
 
 
+def _true_places(model: Model, x: np.ndarray, indexed: DataFrame, asked: DataFrame, d: int, top: int) -> np.ndarray:
+    """Places of the lists that hold the true neighbours, among all rows, of up to PROBED different queries (asked: vec_id,
+    x). x: the sample, whose neighbours say below which score none can be."""
+    some = asked.orderBy(F.xxhash64("vec_id"), "vec_id").limit(4 * PROBED).toArrow()
+    q, first = np.unique(_vectors(some["x"], d).astype(np.float64), axis=0, return_index=True)
+    q, own = q[np.argsort(first)][:PROBED], some["vec_id"].to_numpy()[np.sort(first)][:PROBED]
+    if not len(q):
+        return np.zeros(1, int)
+    scores = q @ x.T
+    k = min(top + 1, len(x))  # the query itself may be in the sample
+    least = np.partition(scores, len(x) - k, axis=1)[:, len(x) - k] - 1e-9 * np.abs(scores).max(axis=1) if len(x) > top else np.full(len(q), -np.inf)
+
+    def best(batches):
+        held = pa.table({"i": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "list": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
+        for batch in batches:
+            ids, lists, y = batch.column(0).to_numpy(), batch.column(2).to_numpy(), _vectors(batch.column(1), d).astype(np.float64)
+            scores = q @ y.T
+            a, b = np.nonzero((scores >= least[:, None]) & (ids[None] != own[:, None]))
+            held = pa.concat_tables([held, pa.table({"i": a, "vec_id": ids[b], "list": lists[b], "score": scores[a, b]})]).sort_by([("i", "ascending"), ("score", "descending"), ("vec_id", "ascending")])
+            i = held["i"].to_numpy()
+            held = held.filter(pa.array(np.arange(len(i)) - np.searchsorted(i, i) < top))
+        yield from held.combine_chunks().to_batches()
+
+    found = indexed.select("vec_id", "x", "list").mapInArrow(best, "i long, vec_id long, list long, score double")
+    found = found.withColumn("rank", F.row_number().over(Window.partitionBy("i").orderBy(F.desc("score"), "vec_id"))).filter(F.col("rank") <= top).select("i", "list").toArrow()
+    if not found.num_rows:
+        return np.zeros(1, int)
+    return model.places(q)[found["i"].to_numpy(), found["list"].to_numpy()]
+
+
 RESULT = "query_id long, rank int, vec_id long, score double"
 
 
@@ -171,10 +232,12 @@ def nearest(vectors: DataFrame, is_query, id_col: str = "vec_id", vector_col: st
     largest inner product that the index finds, ties to the smaller id.
 
     The model (coarse centroids, residual codebooks and the number of lists probed) is fitted on at most `sample` vectors;
-    all are indexed. A query probes further lists until they hold more than `top` rows, so it has `top` neighbours where there
+    all are indexed. Enough lists are probed to hold the share `coverage` of the true neighbours, among all rows, of some of
+    the queries. A query probes further lists until they hold more than `top` rows, so it has `top` neighbours where there
     are as many. Lists are packed into shards, lists larger than a shard are cut by a hash of the id, and queries go in
     blocks to the shards that hold lists they probe; so no group grows with a hot list, and a shard that few queries probe is sent to one task only. A shard scores its rows by distance
-    tables, ranks the best `rerank` by their original vectors in double precision and passes on its best `top`.
+    tables, ranks the best `rerank` by their original vectors in double precision, then all others of the lists probed whose
+    codes are too coarse to rule them out, and passes on its best `top`.
 
     Vectors that are null, empty, zero, or hold null or non-finite components take no part, nor do rows without an id or
     with another dimension than most. Of rows that share an id the least vector counts. A single vector has no
@@ -187,8 +250,8 @@ def nearest(vectors: DataFrame, is_query, id_col: str = "vec_id", vector_col: st
         return spark.createDataFrame([], RESULT)
     d, total = size
     rows = rows.filter(F.size("x") == d)
-    some = smallest(rows, ["vec_id"], sample, total).select("x").toArrow()
-    model = fit(_vectors(some["x"], d).astype(np.float64), total, lists, coverage=coverage, top=top)
+    some = _vectors(smallest(rows, ["vec_id"], sample, total).select("x").toArrow()["x"], d).astype(np.float64)
+    model = fit(np.unique(some, axis=0), total, lists, coverage=coverage, top=top)  # copies would hide the rest
     shared = spark.sparkContext.broadcast(model)  # centroids and codebooks: their size doesn't depend on the rows
 
     def index(batches):
@@ -202,6 +265,8 @@ def nearest(vectors: DataFrame, is_query, id_col: str = "vec_id", vector_col: st
     kind = dict(rows.dtypes)["x"]
     indexed = keep(rows.mapInArrow(index, f"vec_id long, x {kind}, list long, code binary"), "index")
     sizes = {r[0]: r[1] for r in indexed.groupBy("list").count().collect()}  # a row for each list
+    asked = indexed.filter(is_query(F.col("vec_id"))).select("vec_id", "x")
+    model.probes = min(len(model.centroids), max(model.probes, _enough(_true_places(model, some, indexed, asked, d, top), coverage)))
     model.sizes = np.array([sizes.get(k, 0) for k in range(len(model.centroids))])
     filed = spark.sparkContext.broadcast(model)
     first, pieces, shard, filled = {}, {}, 0, 0
@@ -214,7 +279,7 @@ def nearest(vectors: DataFrame, is_query, id_col: str = "vec_id", vector_col: st
             shard, filled = shard + pieces[k], 0
     layout = spark.createDataFrame([(k, first[k], pieces[k]) for k in sizes], "list long, first long, pieces long")
     shards_of = {k: list(range(first[k], first[k] + pieces[k])) for k in sizes}
-    asked = indexed.filter(is_query(F.col("vec_id"))).select(F.col("vec_id").alias("query_id"), "x")
+    asked = asked.withColumnRenamed("vec_id", "query_id")
 
     def probe(batches):
         m = filed.value

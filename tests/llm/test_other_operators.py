@@ -246,3 +246,32 @@ def test_queries_equal_their_sql(spark, name):
 
     assert set(queries.oracle_sql()) == {"op7_warc", "op12_decontaminate", "op13_merkle"}
     assert oracle.compare(queries.queries()[name](spark, SF), oracle.connect(SF), queries.oracle_sql()[name]) == ""
+
+
+def recall(spark, x, every=20, **how):
+    """Share of the truly nearest (by score, so ties count) that are found for each 20th row."""
+    x = x.astype(np.float32)
+    out = ann.nearest(vectors(spark, x.tolist()), lambda i: i % every == 0, **how).collect()
+    got = {}
+    for r in out:
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    x, hits = x.astype(np.float64), 0
+    for q in range(0, len(x), every):
+        s = x @ x[q]
+        s[q] = -np.inf
+        hits += int((s[got.get(q, [])] >= np.sort(s)[-20] * (1 - 1e-12)).sum())
+    return hits / 20 / len(range(0, len(x), every))
+
+
+def test_ann_large_groups_of_almost_equal_vectors(spark):
+    """Their codes are the same, so more than RERANK rows of a list look equally near."""
+    rng = np.random.default_rng(4)
+    unit = lambda n: (lambda g: g / np.linalg.norm(g, axis=1, keepdims=True))(rng.normal(size=(n, 16)))
+    tight = np.repeat(unit(5), 400, axis=0) * 2 + rng.normal(size=(2000, 16)) * 1e-6
+    assert recall(spark, np.concatenate([unit(4000), tight])[rng.permutation(6000)], lists=4) > 0.95
+
+
+def test_ann_of_large_numbers(spark):
+    """Products beyond single precision used to be left out."""
+    rng = np.random.default_rng(4)
+    assert recall(spark, rng.normal(size=(600, 8)) * 1e25) > 0.9
