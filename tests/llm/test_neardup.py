@@ -3,6 +3,7 @@
 import random
 
 import corpus_pipeline
+import numpy as np
 from candela.llm import neardup
 from test_text_operators import ODD, table, words
 
@@ -61,3 +62,33 @@ def test_bands_of_many_blocks_equal_brute_force(spark, monkeypatch):
         docs.append((i, " ".join(ws)))
     kept = neardup.one_of_each(table(spark, docs)).collect()
     assert sorted(x["doc_id"] for x in kept) == brute(docs)
+
+
+def test_near_stage_is_told_by_fingerprints(spark, monkeypatch):
+    """SimHash fingerprints decide which pairs' sets are compared at all, in pairs and in blocks, by pivots and by popcounts."""
+    r = random.Random(5)
+    base, docs = words(r, 60).split(), []
+    for i in range(30):
+        docs.append((i, " ".join([*base[:-1], words(r, 1) + str(i)])))
+    assert len(neardup.one_of_each(table(spark, docs)).collect()) == 1
+    for few in (2, 1000):  # where no pair of fingerprints is near, none is linked
+        monkeypatch.setattr(neardup, "FEW", few)
+        monkeypatch.setattr(neardup, "RADIUS", -1)
+        assert len(neardup.one_of_each(table(spark, docs)).collect()) == 30
+
+
+def test_fingerprints_of_near_sets_are_near():
+    r = np.random.default_rng(3)
+    ways = []
+    for n in (4, 8, 12, 40, 400, 5000):
+        for _ in range(200):
+            x = r.integers(0, 1 << 63, n + n // 4, dtype=np.uint64)  # n in common
+            cut = n + n // 8
+            a, b = np.unique(x[:cut]), np.unique(np.concatenate([x[:n], x[cut:]]))
+            ways.append(int(np.bitwise_count(neardup.fingerprint(a) ^ neardup.fingerprint(b)).sum()))
+    assert max(ways) <= neardup.RADIUS - 10
+    a, b = np.stack([neardup.fingerprint(x) for x in r.integers(0, 1 << 63, (300, 50), dtype=np.uint64)]).reshape(2, 150, -1)
+    table, refs = neardup._distances(a, b[:4]), neardup._distances(b, b[:4])
+    true = neardup._distances(a, b)
+    assert all((np.abs(table[:, None, p] - refs[None, :, p]) <= true).all() for p in range(4))
+    assert true.min() > neardup.RADIUS and true[3, 5] == sum(int(x ^ y).bit_count() for x, y in zip(a[3], b[5]))
