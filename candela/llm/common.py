@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -19,7 +21,7 @@ SLICE = 256
 
 
 #: Bounds of the batches that go to Python workers, so that their memory doesn't follow the length of the texts.
-BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20)}
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -97,6 +99,16 @@ def smallest(df: DataFrame, by: list[str], k: int, total: int) -> DataFrame:
     return some.orderBy(h, *by).limit(k)
 
 
+def release() -> None:
+    """Give what a task has freed back to the system: workers outlive their tasks, and a later stage needs the room."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def arrow_map(df: DataFrame, step: Callable[[pa.RecordBatch], dict], schema: str, types: dict[str, pa.DataType], setup: Callable[[], object] | None = None) -> DataFrame:
     """mapInArrow by slices; step gives columns by name as lists. setup runs once a task and is handed to step."""
 
@@ -106,6 +118,8 @@ def arrow_map(df: DataFrame, step: Callable[[pa.RecordBatch], dict], schema: str
         for piece in slices(batches):
             out = step(piece, state) if setup else step(piece)
             yield pa.RecordBatch.from_arrays([pa.array(out[k], t) for k, t in types.items()], schema=arrow)
+        state = piece = out = None
+        release()
 
     small_batches(df.sparkSession)
     return df.mapInArrow(run, schema)

@@ -13,7 +13,7 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from candela.llm.common import keep, slices
+from candela.llm.common import keep, release, slices
 
 LENGTH = 2048
 END_ID = 1
@@ -110,6 +110,7 @@ def _tokenise(path: str, end_id: int):
                 tokens.append(len(x) // 2)
                 at += len(x) // 2
             yield pa.RecordBatch.from_arrays([docs, parts, pa.array(starts, pa.int64()), pa.array(tokens, pa.int64()), pa.array(data, pa.binary())], names=["id", "part", "at", "tokens", "ids"])
+        release()
 
     return run
 

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from candela.llm.common import arrow_map, free_name, keep, lookup, slices, small_batches
+from candela.llm.common import arrow_map, free_name, keep, lookup, release, slices, small_batches
 from candela.llm.graph import components
 
 SHINGLE = 3
@@ -200,6 +200,7 @@ def keep_least(docs: DataFrame, rows: DataFrame, found: DataFrame, mark: Callabl
         for batch in slices(batches):
             fps = pa.array([mark(x) for x in batch.column(place).to_pylist()], pa.int64())
             yield pa.RecordBatch.from_arrays([*batch.columns, fps], names=[*batch.schema.names, fp])
+        release()
 
     told = docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(fp, T.LongType())]))
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])

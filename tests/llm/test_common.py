@@ -1,6 +1,8 @@
 """Lookups under hot keys, samples, tables of the shared folder, components."""
 
 import random
+import subprocess
+import sys
 
 from pyspark.sql import functions as F
 
@@ -47,3 +49,18 @@ def test_components_of_random_graphs(spark):
         got = {x["node"]: x["root"] for x in components(spark.createDataFrame(edges, "a long, b long")).collect()}
         assert all(got.get(x, x) == y for x, y in root.items())
     assert components(spark.createDataFrame([(5, 5)], "a long, b long")).count() == 0
+
+
+def test_freed_memory_goes_back(spark):
+    """In a process of its own: what lies below a live object stays with the process until it is released."""
+    code = """
+import re
+from candela.llm.common import release
+held = lambda: int(re.search(r"VmRSS:\\s+(\\d+)", open("/proc/self/status").read())[1]) // 1024
+x = [bytes(2000) for _ in range(100_000)]
+x = x[-1:]
+before = held()
+release()
+print(before - held())
+"""
+    assert int(subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True).stdout) > 100
