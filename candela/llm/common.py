@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 #: A key with at least this share of the rows is heavy, so there are at most 1 / HEAVY_SHARE heavy keys to broadcast.
 HEAVY_SHARE = 1 / 2000
+#: Where no key has so many narrow rows none is treated as heavy: a task bears as many.
+BEARABLE = 10_000
 #: Places over which the rows of heavy keys are dealt.
 SPREAD = 4096
 #: Rows of an Arrow batch that become Python objects at a time.
@@ -125,23 +127,31 @@ def arrow_map(df: DataFrame, step: Callable[[pa.RecordBatch], dict], schema: str
     return df.mapInArrow(run, schema)
 
 
-def lookup(left: DataFrame, right: DataFrame, key: str, n: str, spread_by: list[Column], total: int | None = None, right_key: str | None = None, wide: bool = False) -> DataFrame:
+def lookup(left: DataFrame, right: DataFrame, key: str, n: str, spread_by: list[Column], total: int | None = None, right_key: str | None = None, wide: bool = False, most: int | None = None, merge: bool = False) -> DataFrame:
     """left, with the other columns of right by key (null where there is no such key).
 
     right has each key once and, as column n, how many rows of left have it. The few keys that hold a large share of
     left (at most 1 / HEAVY_SHARE of them) are broadcast; the others are joined by a shuffle, in which rows of heavy
     keys are dealt out by spread_by. right should be a kept table: it is read three times. A null key matches nothing and
     is dealt out likewise. right_key: the key's name in right, if another.
-    wide: left holds whole texts; the plan is then the same at every size, whether or not right would fit a broadcast.
+    total, most: the sum and the largest of n, where the caller knows them. Where no key is heavy nothing is broadcast as
+    heavy, as empty broadcasts are the driver's work too.
+    wide: left holds whole texts; the join by shuffle is then the same at every size, whether or not right would fit a
+    broadcast. merge: so it is for narrow rows.
     """
     by = right_key or key
     values = [c for c in right.columns if c not in (by, n)]
     if total is None:
-        total = right.agg(F.coalesce(F.sum(n), F.lit(0))).first()[0]
+        total, most = right.agg(F.coalesce(F.sum(n), F.lit(0)), F.coalesce(F.max(n), F.lit(0))).first()
     least = max(2, -(-total * HEAVY_SHARE // 1))
+    if most is not None and most < max(least, 0 if wide else BEARABLE):
+        rest = right.select(F.col(by).alias("__lk"), F.lit(-1).cast("long").alias("__lp"), *[F.col(c).alias(f"__l_{c}") for c in values])
+        place = F.when(F.col(key).isNull(), F.pmod(F.xxhash64(*spread_by), F.lit(SPREAD))).otherwise(F.lit(-1)).cast("long")
+        found = left.withColumn("__p", place).join(rest.hint("merge") if wide or merge else rest, (F.col(key) == F.col("__lk")) & (F.col("__p") == F.col("__lp")), "left")
+        return found.select(*[F.col(c) for c in left.columns], *[F.col(f"__l_{c}").alias(c) for c in values])
     heavy = right.filter(F.col(n) >= least).select(F.col(by).alias("__hk"), F.lit(True).alias("__hit"), *[F.col(c).alias(f"__h_{c}") for c in values])
     light = right.filter(F.col(n) < least).select(F.col(by).alias("__lk"), F.lit(-1).cast("long").alias("__lp"), *[F.col(c).alias(f"__l_{c}") for c in values])
     one = left.join(F.broadcast(heavy), F.col(key) == F.col("__hk"), "left")
     place = F.when(F.col("__hit") | F.col(key).isNull(), F.pmod(F.xxhash64(*spread_by), F.lit(SPREAD))).otherwise(F.lit(-1)).cast("long")
-    two = one.withColumn("__p", place).join(light.hint("merge") if wide else light, (F.col(key) == F.col("__lk")) & (F.col("__p") == F.col("__lp")), "left")
+    two = one.withColumn("__p", place).join(light.hint("merge") if wide or merge else light, (F.col(key) == F.col("__lk")) & (F.col("__p") == F.col("__lp")), "left")
     return two.select(*[F.col(c) for c in left.columns], *[F.coalesce(F.col(f"__h_{c}"), F.col(f"__l_{c}")).alias(c) for c in values])

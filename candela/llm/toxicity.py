@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from candela.llm.common import arrow_map, keep, slices, small_batches, smallest
+from candela.llm.common import arrow_map, keep, release, slices, small_batches, smallest
 
 #: Subsequences of up to this many letters count, each place that one skips by this factor.
 ORDER, DECAY = 3, 0.9
@@ -564,6 +564,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     split = split.filter(F.length("s") >= ORDER)
     parts = [split.filter(F.col("label") == k).orderBy(F.xxhash64("s"), "s", "doc").limit(sentences).toArrow() for k in (1, 0)]
     machine = train(r for p in parts for b in p.to_batches(1000) for r in zip(*(b.column(k).to_pylist() for k in range(3))))
+    del parts
+    release()  # the driver's share of this
     if machine is not None:
         seen = _evidence(rows, machine, "label").toArrow()
         machine.calibrate(seen["evidence"].to_numpy(), seen["label"].to_numpy() == 1)

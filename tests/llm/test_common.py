@@ -6,6 +6,7 @@ import sys
 
 from pyspark.sql import functions as F
 
+from candela.llm import common, graph
 from candela.llm.common import free_name, keep, lookup, smallest
 from candela.llm.graph import components
 
@@ -51,6 +52,31 @@ def test_components_of_random_graphs(spark):
     assert components(spark.createDataFrame([(5, 5)], "a long, b long")).count() == 0
 
 
+def test_nothing_is_broadcast_for_keys_of_which_none_is_heavy(spark):
+    left = spark.createDataFrame([(i, f"k{i % 5000}" if i % 7 else None) for i in range(10_000)], "id long, key string")
+    right = keep(left.filter("key is not null").groupBy("key").agg(F.count("*").alias("n"), F.concat(F.lit("v"), "key").alias("v")), "right")
+    for wide in (False, True):
+        found = lookup(left, right, "key", "n", [F.col("id")], wide=wide)
+        assert "broadcast" not in found._jdf.queryExecution().optimizedPlan().toString().lower()
+        assert {(r["id"], r["v"]) for r in found.collect()} == {(i, f"vk{i % 5000}" if i % 7 else None) for i in range(10_000)}
+
+
+def test_components_and_lookups_with_heavy_keys(spark, monkeypatch):
+    monkeypatch.setattr(common, "BEARABLE", 0)
+    monkeypatch.setattr(graph, "BEARABLE", 0)
+    test_components_of_random_graphs(spark)
+    test_lookup_with_hot_null_and_unknown_keys(spark)
+
+
+def test_stars_take_no_round(spark, monkeypatch):
+    """The links of small groups are stars as they come: a round would change nothing."""
+    kept = []
+    monkeypatch.setattr(graph, "keep", lambda df, label: kept.append(label) or keep(df, label))
+    edges = [(a, a + k) for a in range(0, 1000, 10) for k in (1, 2)]
+    assert {(r["node"], r["root"]) for r in components(spark.createDataFrame(edges, "a long, b long")).collect()} == {(b, a) for a, b in edges}
+    assert kept == ["edges"]
+
+
 def test_freed_memory_goes_back(spark):
     """In a process of its own: what lies below a live object stays with the process until it is released."""
     code = """
